@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, sharding, simhash
+from . import bpe, minhash, packing, sharding, simhash, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,9 +27,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.deduplicate(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_ring_sharding, op6_simhash, op7_bpe, op9_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup)}
 SQL: dict[str, str] = {}
