@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Virtual nodes of a shard on the ring.
 VIRTUAL_NODES = 32
 #: Parts of an arc that are ranked separately.
@@ -89,6 +91,7 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(key), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("_place", _place(F.col(key)))
     rows = rows.withColumn("_arc", _arc(F.col("_place"), nodes)).withColumn("_block", F.pmod(F.xxhash64("_place", "text_crc32", "size"), F.lit(BLOCKS)).cast("int"))
+    rows = saved(rows, "ring")  # slim; the texts are read once
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("_arc", "_block").count().collect()}  # shards x virtual_nodes x BLOCKS numbers
     plan = walk(counts, nodes, shards, slack)
     schema = "_arc int, _block int, _runs array<struct<first: long, end: long, shard: int, slot: long>>"
