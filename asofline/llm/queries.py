@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, sharding, simhash, warc
+from . import bpe, minhash, packing, sharding, simhash, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -35,5 +39,5 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.deduplicate(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup)}
 SQL: dict[str, str] = {}
