@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, sharding, simhash, toxicity, warc
+from . import bpe, chat, minhash, packing, rules, sharding, simhash, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,6 +23,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(table(spark, sf_dir, "documents"))
+
+
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
@@ -39,5 +47,5 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.deduplicate(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_best_fit_packing, op4_line_frequency, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup)}
+SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_line_frequency": rules.SQL}
