@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, packing, rules, sharding, simhash, toxicity, warc
+from . import bpe, chat, minhash, packing, quality, rules, sharding, simhash, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -47,5 +47,9 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.deduplicate(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_best_fit_packing, op4_line_frequency, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup)}
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_best_fit_packing, op4_line_frequency, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup, op10_cotraining)}
 SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_line_frequency": rules.SQL}

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofline.llm import packing
+from asofline.llm import minhash, packing, quality, toxicity
 from asofline.llm.common import saved, table
 from asofline.llm.queries import VOCABULARY
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity classifier, fitted on the labelled ones among them, scores below its threshold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.annotate(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.annotate(docs, model).where("kept").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that with the smallest id."""
+    drop = minhash.deduplicate(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as sequences of at most 2048 tokens."""
     return packing.packed_documents(docs, VOCABULARY)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", clean_of_toxicity), ("quality", good_quality), ("near_duplicates", one_of_each), ("packing", packed)]
 #: Trained models, hashing and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
