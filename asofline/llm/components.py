@@ -18,6 +18,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where(f"{u} is not null and {v} is not null and a > b").distinct()
     e = saved(e, "edges")
     before = None
+    if e.isEmpty():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
