@@ -1,6 +1,4 @@
-"""Registry of the queries and their SQL."""
+"""All queries and their SQL."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import market, news  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
