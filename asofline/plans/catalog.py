@@ -1,4 +1,4 @@
 """All queries and their SQL."""
 
-from . import market, news, topics  # noqa: F401
+from . import casebook, market, news, topics  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
