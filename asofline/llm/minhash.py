@@ -5,12 +5,12 @@ minhashes, are computed; the key of table (i, j) combines half key i of the firs
 second.  So HALVES**2 tables cost 2 * HALVES * ROWS minhashes instead of 2 * HALVES**2 * ROWS.  A half key
 that no other set has can't be part of a shared table key and is left out before keys are combined.
 
-Equal sets are one class, whatever their number.  In a first round the members of each bucket of FIRST**2 tables
-are compared with one leader, the smallest, which connects groups of copies with one pair a member.  Then
-only buckets of all tables that hold classes of two components and more are left.  There the members outside
-the bucket's largest component are leaders in turn, LEADERS at a time, and are compared with every member of
-another component; a leader that was compared with all leaves its bucket, and rounds go on until no bucket
-holds two components.  So each pair of a bucket has been compared or is connected already.
+Equal sets are one class, whatever their number.  Buckets of FIRST**2 tables are settled first,
+then those of all tables.  To settle buckets, only those that hold classes of two components and more are
+looked at.  The members outside the bucket's largest component are leaders in turn, LEADERS at a time, and are
+compared with every member of another component; a leader that was compared with all is done, and rounds go
+on until no bucket has a leader left.  So each pair of a bucket has been compared or is connected already,
+and a group of copies, which the first leaders connect, is compared by a few pairs a member.
 
 A comparison first looks at one bit of each minhash, of which sets at the threshold share 0.9: pairs with less
 than SKETCH in common (more than four standard deviations below) aren't fetched.  The others are confirmed
@@ -38,10 +38,10 @@ from .components import components
 
 #: Minhashes of a half key, and half keys of each of the two collections.
 ROWS, HALVES = 5, 20
-#: Half keys of each collection that the first round uses.
+#: Half keys of each collection that are settled first.
 FIRST = 4
-#: Leaders of a bucket in each later round.
-LEADERS = 16
+#: Leaders of a bucket in a round; one in the first round, when each class is a component.
+LEADERS = 64
 #: Equal bits of two sketches at least.
 SKETCH = 0.8
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -182,30 +182,24 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
     spark = docs.sparkSession
     nodes = saved(sharing(classes), "sharing")
     sets = saved(full_sets(docs, nodes.select("node").distinct(), width, key, text), "sets")
-    as_leader = lambda rows: rows.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp"))
-    first = saved(keyed(nodes, FIRST).withColumn("comp", F.col("node")), "first")
-    lead = first.groupBy("key").agg(F.min(F.struct("node", "n", "sketch", "comp")).alias("_l"), F.count("*").alias("_c")).where("_c > 1").select("key", "_l.*")
-    found = saved(confirmed(candidates(first, as_leader(lead), percent), sets, percent), "links")
-    labels = components(found)
-    placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    rows = keyed(placed)
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
-    alive = saved(rows.join(mixed, "key"), "alive")
-    round_ = 0
-    while not alive.isEmpty():
-        round_ += 1
-        shares = alive.groupBy("key", "comp").agg(F.count("*").alias("_c")).groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m")).select("key", F.col("_m.comp").alias("_largest"))
-        minor = alive.join(shares, "key").where("comp != _largest").drop("_largest")
-        lead = minor.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("_r") <= LEADERS).drop("_r")
-        lead = saved(lead, f"leaders{round_}")
-        pairs = candidates(alive, as_leader(lead), percent)
-        new = saved(confirmed(pairs, sets, percent), f"links{round_}")
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            labels = components(found)
-        left = alive.join(lead.select("key", "node"), ["key", "node"], "left_anti").drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        mixed = left.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
-        alive = saved(left.join(mixed, "key"), f"alive{round_}")
+    found, labels = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, component long")
+    for most in (FIRST, HALVES):
+        done, first = spark.createDataFrame([], "key long, node long"), most == FIRST
+        while True:
+            placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            rows = keyed(placed, most)
+            of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"))
+            largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
+            minor = rows.join(largest, (rows["key"] == largest["key"]) & (rows["comp"] != largest["_largest"])).drop(largest["key"]).drop("_largest").join(done, ["key", "node"], "left_anti")
+            lead = minor.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("_r") <= (1 if first else LEADERS)).drop("_r")
+            lead = saved(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
+            if lead.isEmpty():
+                break
+            new = saved(confirmed(candidates(rows, lead, percent), sets, percent), "links")
+            if not new.isEmpty():
+                found = found.unionByName(new)
+                labels = components(found)
+            done, first = done.unionByName(lead.select("key", F.col("u").alias("node"))), False
     return labels
 
 
