@@ -15,7 +15,10 @@ FETCH, SLICE, ROLLING, LEAST_BARS, WARM = 130, 100, 20, 30, 10
 STD_FLOOR = 0.0005
 YEAR = 252
 
-_BY = W.partitionBy("symbol").orderBy("date")
+
+def _by():
+    return W.partitionBy("symbol").orderBy("date")
+
 
 
 def as_of(bars: DataFrame, day: Column, rows: int) -> DataFrame:
@@ -28,21 +31,21 @@ def fetched(bars: DataFrame, day: Column) -> DataFrame:
     """The bars of a window: i counts from 0 at the oldest of FETCH bars, n is the symbol's number of bars."""
     cut = as_of(bars, day, FETCH).drop("n")
     everything = W.partitionBy("symbol").orderBy("date").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return cut.withColumn("i", F.row_number().over(_BY) - 1).withColumn("n", F.count("*").over(everything)).where(F.col("n") >= LEAST_BARS)
+    return cut.withColumn("i", F.row_number().over(_by()) - 1).withColumn("n", F.count("*").over(everything)).where(F.col("n") >= LEAST_BARS)
 
 
 def daily_return() -> Column:
-    before = F.lag("close").over(_BY)
+    before = F.lag("close").over(_by())
     return F.when(before.isNull(), None).when(before == 0, 0.0).otherwise((F.col("close") - before) / before)
 
 
 def scored(bars: DataFrame, day: Column) -> DataFrame:
     """Score, its parts and flags of every bar of the slice that has a full baseline; bars of score 0 have no row."""
-    w = _BY.rowsBetween(-ROLLING, -1)
+    w = _by().rowsBetween(-ROLLING, -1)
     rows = fetched(bars, day).withColumn("ret", daily_return())
     rows = rows.withColumns({
         "_mean": F.avg("ret").over(w), "_std": F.greatest(F.coalesce(F.stddev_samp("ret").over(w), F.lit(0.0)), F.lit(STD_FLOOR)),
-        "_median": F.percentile("volume", 0.5).over(w), "_hi": F.max("high").over(w), "_lo": F.min("low").over(w), "_base": F.lag("close", 5).over(_BY),
+        "_median": F.percentile("volume", 0.5).over(w), "_hi": F.max("high").over(w), "_lo": F.min("low").over(w), "_base": F.lag("close", 5).over(_by()),
     })
     rows = rows.where((F.col("i") >= F.greatest(F.lit(ROLLING + 1), F.col("n") - SLICE)))
     c = F.col("close")
@@ -70,12 +73,12 @@ def top_moves(bars: DataFrame, day: Column, take: int = 5) -> DataFrame:
 def sliced(bars: DataFrame, day: Column) -> DataFrame:
     """The last SLICE bars of the fetched ones; i counts from 0 again, ret is null at its first bar."""
     rows = fetched(bars, day).where(F.col("i") >= F.col("n") - SLICE).drop("n")
-    return rows.withColumn("i", F.row_number().over(_BY) - 1).withColumn("ret", daily_return())
+    return rows.withColumn("i", F.row_number().over(_by()) - 1).withColumn("ret", daily_return())
 
 
 def drawdowns(rows: DataFrame) -> DataFrame:
     """rows (symbol, date, close) with drawdown_pct below the highest close so far."""
-    peak = F.max("close").over(_BY.rowsBetween(W.unboundedPreceding, W.currentRow))
+    peak = F.max("close").over(_by().rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.withColumn("drawdown_pct", F.when(peak == 0, 0.0).otherwise((F.col("close") - peak) / peak * 100))
 
 
@@ -100,7 +103,7 @@ def window_summary(bars: DataFrame, day: Column) -> DataFrame:
 def regimes(bars: DataFrame, day: Column) -> DataFrame:
     """symbol, date, i, volatility, regime: thirds of the window's own volatilities; its first days are warming."""
     rows = sliced(bars, day)
-    rows = rows.withColumn("volatility", F.when(F.col("i") >= WARM, F.coalesce(F.stddev_samp("ret").over(_BY.rowsBetween(-ROLLING + 1, 0)), F.lit(0.0)) * F.sqrt(F.lit(YEAR)) * 100))
+    rows = rows.withColumn("volatility", F.when(F.col("i") >= WARM, F.coalesce(F.stddev_samp("ret").over(_by().rowsBetween(-ROLLING + 1, 0)), F.lit(0.0)) * F.sqrt(F.lit(YEAR)) * 100))
     measured = W.partitionBy("symbol")
     rows = rows.withColumn("_n", F.count("volatility").over(measured)).withColumn("_r", F.row_number().over(measured.orderBy(F.col("volatility").asc_nulls_last())) - 1)
     cut = lambda k: F.max(F.when(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * k / 3)), F.col("volatility"))).over(measured)
@@ -111,13 +114,13 @@ def regimes(bars: DataFrame, day: Column) -> DataFrame:
 
 def tense_runs(labels: DataFrame) -> DataFrame:
     """symbol, run_start, run_end, days of every run of tense days (labels: symbol, date, i, regime)."""
-    tense = labels.where("regime = 'tense'").withColumn("_run", F.col("i") - F.row_number().over(_BY))
+    tense = labels.where("regime = 'tense'").withColumn("_run", F.col("i") - F.row_number().over(_by()))
     return tense.groupBy("symbol", "_run").agg(F.min("date").alias("run_start"), F.max("date").alias("run_end"), F.count("*").alias("days")).drop("_run")
 
 
 def bigrams(labels: DataFrame) -> DataFrame:
     """symbol, from_regime, to_regime, pairs, share of all pairs of neighbouring days."""
-    pairs = labels.withColumn("to_regime", F.lead("regime").over(_BY)).where("to_regime is not null")
+    pairs = labels.withColumn("to_regime", F.lead("regime").over(_by())).where("to_regime is not null")
     n = F.sum("pairs").over(W.partitionBy("symbol"))
     out = pairs.groupBy("symbol", F.col("regime").alias("from_regime"), "to_regime").agg(F.count("*").alias("pairs"))
     return out.withColumn("share", F.bround(F.col("pairs") / n, 6))

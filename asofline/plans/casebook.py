@@ -13,18 +13,23 @@ from ..streaming import events as S
 from . import news, topics
 from .registry import query
 
-DAY, D, _T = news.DAY, news.D, column(news.DAY)
+DAY, D = news.DAY, news.D
+
+
+def _t():
+    return column(DAY)
+
 
 
 def frozen(spark, sf_dir):
     bars, f = T.bars(spark, sf_dir), T.filings(spark, sf_dir)
-    top = moves.top_moves(bars, _T).select("symbol", "date", "daily_return_pct", "score", "flags")
+    top = moves.top_moves(bars, _t()).select("symbol", "date", "daily_return_pct", "score", "flags")
     peaks = top.join(evidence.move_sentiment(top, news.known(spark, sf_dir), T.sentiment(spark, sf_dir)).drop("n_scored"), ["symbol", "date"])
     in_window = evidence.with_filings(top, f).groupBy("symbol", "date").agg(F.count_if(F.col("form_type").startswith("8-K")).alias("n_8k"), F.count_if(F.col("form_type").startswith("10-")).alias("n_10"), F.count("*").alias("n_filings"))
     a = news.admitted(spark, sf_dir).select(F.col("symbol").alias("_s"), "published_at")
     n = top.join(a, (F.col("symbol") == F.col("_s")) & (F.to_date("published_at") <= F.col("date"))).groupBy("symbol", "date").agg(F.count("*").alias("news_count"))
     found = threads.attributes(topics.members(spark, sf_dir)).select("symbol", "thread", F.regexp_replace("thread", "-[01]$", "").alias("category"), "n_articles", "span_start", "span_end")
-    return cases.freeze(peaks, found, moves.regimes(bars, _T), n.join(in_window, ["symbol", "date"], "full_outer"), bars)
+    return cases.freeze(peaks, found, moves.regimes(bars, _t()), n.join(in_window, ["symbol", "date"], "full_outer"), bars)
 
 
 CASES = news.MOVES | moves.sql(D, moves.SQL_REGIMES) | {
@@ -256,7 +261,7 @@ SELECT c.symbol, c.name, coalesce(p.n, 0) AS n_prices, p.c AS as_of_close, p.d A
   CASE WHEN f.n IS NULL THEN 'no filings' END, CASE WHEN n.n IS NULL THEN 'no news' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM companies c LEFT JOIN p USING (symbol) LEFT JOIN f USING (symbol) LEFT JOIN n USING (symbol)""")
 def h27_snapshot(spark, sf_dir):
     """The sections of a symbol as of a date."""
-    out = snapshot.assemble(T.companies(spark, sf_dir), T.bars(spark, sf_dir), T.filings(spark, sf_dir), news.known(spark, sf_dir), _T)
+    out = snapshot.assemble(T.companies(spark, sf_dir), T.bars(spark, sf_dir), T.filings(spark, sf_dir), news.known(spark, sf_dir), _t())
     return out.select("symbol", "name", F.size("prices").alias("n_prices"), F.bround("as_of_close", 8).alias("as_of_close"), "as_of_date", F.size("filings").alias("n_filings"), "n_news", F.array_join("warnings", "; ").alias("warnings"))
 
 
@@ -266,7 +271,7 @@ def s14_daily_prices(spark, sf_dir):
     b = T.bars(spark, sf_dir)
     entry = F.struct(F.date_format("date", "yyyy-MM-dd").alias("key"), F.struct(*(F.col(c).cast("string").alias(f"{k + 1}. {c}") for k, c in enumerate(("open", "high", "low", "close", "volume")))).alias("value"))
     raw = b.groupBy("symbol").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("Time Series (Daily)"))).alias("body"))
-    return parsers.daily_prices(raw, _T, 50).select("symbol", "date", F.bround("close", 8).alias("close"), "volume")
+    return parsers.daily_prices(raw, _t(), 50).select("symbol", "date", F.bround("close", 8).alias("close"), "volume")
 
 
 @query(T.oracle("filings") + "SELECT symbol, accession, form_type, filed_at FROM filings WHERE symbol IN ('Brand#2', 'Brand#7')")

@@ -14,17 +14,21 @@ DAY = "2000-03-15"
 D = f"DATE '{DAY}'"
 PICKS = ["Brand#11", "Brand#23", "Brand#2"]
 IN = "('" + "','".join(PICKS) + "')"
-_T = column(DAY)
+
+
+def _t():
+    return column(DAY)
+
 
 
 @query(T.oracle("bars") + f"""SELECT symbol, date, round_even(close, 8) AS close, volume, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars WHERE date <= {D} QUALIFY n <= 30""")
 def s1_bars_as_of(spark, sf_dir):
-    return moves.as_of(T.bars(spark, sf_dir), _T, 30).select("symbol", "date", F.bround("close", 8).alias("close"), "volume", "n")
+    return moves.as_of(T.bars(spark, sf_dir), _t(), 30).select("symbol", "date", F.bround("close", 8).alias("close"), "volume", "n")
 
 
 @query(T.oracle("bars") + f"SELECT symbol, date, round_even(close, 8) AS close FROM bars WHERE date > {D} AND date <= {D} + INTERVAL 30 DAY")
 def s2_bars_forward(spark, sf_dir):
-    return T.bars(spark, sf_dir).where((F.col("date") > _T) & (F.col("date") <= F.date_add(_T, 30))).select("symbol", "date", F.bround("close", 8).alias("close"))
+    return T.bars(spark, sf_dir).where((F.col("date") > _t()) & (F.col("date") <= F.date_add(_t(), 30))).select("symbol", "date", F.bround("close", 8).alias("close"))
 
 
 @query(T.oracle("bars") + "SELECT symbol, date, round_even(open, 8) AS open, round_even(high, 8) AS high, round_even(low, 8) AS low, round_even(close, 8) AS close, volume FROM bars WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'")
@@ -35,7 +39,7 @@ def s3_bars_range(spark, sf_dir):
 
 @query(T.oracle("filings") + f"SELECT accession, form_type, filed_at, symbol, upper(form_type) IN ('8-K', '8-K/A') AS material FROM filings WHERE filed_at < {D} + INTERVAL 1 DAY")
 def s4_filings_as_of(spark, sf_dir):
-    rows = T.filings(spark, sf_dir).where(F.col("filed_at") < day_after(_T))
+    rows = T.filings(spark, sf_dir).where(F.col("filed_at") < day_after(_t()))
     return rows.select("accession", "form_type", "filed_at", "symbol", F.upper("form_type").isin("8-K", "8-K/A").alias("material"))
 
 
@@ -43,21 +47,21 @@ def s4_filings_as_of(spark, sf_dir):
 def s5_filings_forward(spark, sf_dir):
     """From the day after to the New York end of day 30, which admits a row dated midnight of day 31."""
     at = F.col("filed_at")
-    return T.filings(spark, sf_dir).where((at >= day_after(_T)) & (at <= instant_cutoff(F.date_add(_T, 30)))).select("accession", "form_type", "filed_at", "symbol")
+    return T.filings(spark, sf_dir).where((at >= day_after(_t())) & (at <= instant_cutoff(F.date_add(_t(), 30)))).select("accession", "form_type", "filed_at", "symbol")
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_SCORED)) + """SELECT symbol, date, rank, round_even(close, 8) AS close, round_even(ret * 100, 2) AS daily_return_pct, round_even(z, 2) AS z_score,
   round_even(vr, 2) AS volume_ratio, round_even(mom * 100, 2) AS momentum5_pct, round_even(score, 4) AS score, flags FROM moves WHERE rank <= 5""")
 def moves_top(spark, sf_dir):
     """The five highest scores of every symbol."""
-    return moves.top_moves(T.bars(spark, sf_dir), _T).withColumn("flags", F.array_join("flags", ",")).withColumn("close", F.bround("close", 8))
+    return moves.top_moves(T.bars(spark, sf_dir), _t()).withColumn("flags", F.array_join("flags", ",")).withColumn("close", F.bround("close", 8))
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_SCORED)) + "SELECT symbol, date, i, round_even(ret, 6) AS ret, round_even(z, 4) AS z, round_even(vr, 4) AS volume_ratio, round_even(mom, 6) AS momentum5, round_even(rb, 6) AS range_break, round_even(score, 6) AS score FROM scored")
 def w_scores(spark, sf_dir):
     """Every scored bar."""
     r = lambda c, n: F.bround(c, n).alias(c)
-    return moves.scored(T.bars(spark, sf_dir), _T).select("symbol", "date", "i", r("ret", 6), r("z", 4), r("volume_ratio", 4), r("momentum5", 6), r("range_break", 6), r("score", 6))
+    return moves.scored(T.bars(spark, sf_dir), _t()).select("symbol", "date", "i", r("ret", 6), r("z", 4), r("volume_ratio", 4), r("momentum5", 6), r("range_break", 6), r("score", 6))
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED), dd="SELECT *, (close - max(close) OVER (PARTITION BY symbol ORDER BY date)) / max(close) OVER (PARTITION BY symbol ORDER BY date) * 100 AS dd FROM slice") + """
@@ -67,35 +71,35 @@ SELECT symbol, count(*) AS trading_days, round_even((arg_max(close, date) - arg_
   max({'r': -ret, 'a': DATE '1900-01-01' - date, 'd': date}) FILTER (ret IS NOT NULL).d AS worst_day, round_even(min(ret) * 100, 2) AS worst_day_return_pct FROM dd GROUP BY symbol""".replace("max({'r': ret,", "max(CASE WHEN ret IS NOT NULL THEN {'r': ret,").replace("'d': date}).d AS best", "'d': date} END).d AS best").replace("max({'r': -ret,", "max(CASE WHEN ret IS NOT NULL THEN {'r': -ret,").replace("'d': date}) FILTER (ret IS NOT NULL).d", "'d': date} END).d"))
 def a1_window_summary(spark, sf_dir):
     """A1-A3, W12."""
-    return moves.window_summary(T.bars(spark, sf_dir), _T)
+    return moves.window_summary(T.bars(spark, sf_dir), _t())
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED)) + "SELECT symbol, date, round_even((close - max(close) OVER w) / max(close) OVER w * 100, 6) AS drawdown_pct FROM slice WINDOW w AS (PARTITION BY symbol ORDER BY date)")
 def a2_drawdown(spark, sf_dir):
-    return moves.drawdowns(moves.sliced(T.bars(spark, sf_dir), _T)).select("symbol", "date", F.bround("drawdown_pct", 6).alias("drawdown_pct"))
+    return moves.drawdowns(moves.sliced(T.bars(spark, sf_dir), _t())).select("symbol", "date", F.bround("drawdown_pct", 6).alias("drawdown_pct"))
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_REGIMES)) + "SELECT symbol, date, i, volatility, regime FROM regimes")
 def w10_regimes(spark, sf_dir):
     """W10, W11."""
-    return moves.regimes(T.bars(spark, sf_dir), _T).drop("close")
+    return moves.regimes(T.bars(spark, sf_dir), _t()).drop("close")
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_REGIMES)) + """SELECT symbol, min(date) AS run_start, max(date) AS run_end, count(*) AS days FROM (
   SELECT symbol, date, i - row_number() OVER (PARTITION BY symbol ORDER BY date) AS run FROM regimes WHERE regime = 'tense') GROUP BY symbol, run""")
 def a27_tense_runs(spark, sf_dir):
-    return moves.tense_runs(moves.regimes(T.bars(spark, sf_dir), _T))
+    return moves.tense_runs(moves.regimes(T.bars(spark, sf_dir), _t()))
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_REGIMES)) + "SELECT symbol, coalesce(min(date) FILTER (regime = 'warming') < max(date) FILTER (regime = 'tense'), false) AS warming_to_tense FROM regimes GROUP BY symbol")
 def w13_transition(spark, sf_dir):
-    return moves.transitions(moves.regimes(T.bars(spark, sf_dir), _T))
+    return moves.transitions(moves.regimes(T.bars(spark, sf_dir), _t()))
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_REGIMES)) + """SELECT symbol, regime AS from_regime, nxt AS to_regime, count(*) AS pairs, round_even(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 6) AS share FROM (
   SELECT symbol, regime, lead(regime) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM regimes) WHERE nxt IS NOT NULL GROUP BY symbol, regime, nxt""")
 def w14_bigrams(spark, sf_dir):
-    return moves.bigrams(moves.regimes(T.bars(spark, sf_dir), _T))
+    return moves.bigrams(moves.regimes(T.bars(spark, sf_dir), _t()))
 
 
 @query(T.oracle("bars", "filings") + "SELECT f.accession, f.symbol, f.filed_at::DATE AS filed_on, b.date AS bar_date, round_even(b.close, 8) AS close FROM filings f ASOF LEFT JOIN bars b ON f.symbol = b.symbol AND f.filed_at::DATE >= b.date")
@@ -114,7 +118,7 @@ _SIM = """SELECT symbol, max(date) FILTER (date <= DATE '1998-06-30') AS entry_b
   round_even(10000 / en * ex, 4) AS final_value, round_even((10000 / en * ex - 10000) / 10000 * 100, 2) AS return_pct FROM s WHERE en > 0 AND ex > 0""")
 def h26_simulation(spark, sf_dir):
     """J2, H26."""
-    return compare.simulate(T.bars(spark, sf_dir), column("1998-06-30"), _T, 10_000)
+    return compare.simulate(T.bars(spark, sf_dir), column("1998-06-30"), _t(), 10_000)
 
 
 @query(T.oracle("bars", c=f"SELECT symbol, date, close, count(*) OVER (PARTITION BY date) AS n FROM bars WHERE symbol IN {IN}", d="SELECT *, count(*) FILTER (n < 3) OVER (PARTITION BY symbol) AS dropped FROM c") + "SELECT symbol, date, round_even(close / first_value(close) OVER (PARTITION BY symbol ORDER BY date) * 100, 4) AS indexed, dropped AS dropped_days FROM d WHERE n = 3")
@@ -124,12 +128,12 @@ def j20_common_days(spark, sf_dir):
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_SCORED)) + "SELECT date, count(DISTINCT symbol) AS n_symbols, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM moves WHERE rank <= 5 GROUP BY date HAVING n_symbols >= 2")
 def j21_shared_moves(spark, sf_dir):
-    return compare.shared_moves(moves.top_moves(T.bars(spark, sf_dir), _T))
+    return compare.shared_moves(moves.top_moves(T.bars(spark, sf_dir), _t()))
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_REGIMES), g=f"SELECT date, count(*) AS n, count(DISTINCT regime) AS k FROM regimes WHERE symbol IN {IN} GROUP BY date") + "SELECT count(*) AS common_days, round_even(avg((k = 1)::INT), 6) AS agreement FROM g WHERE n = 3")
 def j22_regime_agreement(spark, sf_dir):
-    return compare.regime_agreement(moves.regimes(T.bars(spark, sf_dir), _T), PICKS)
+    return compare.regime_agreement(moves.regimes(T.bars(spark, sf_dir), _t()), PICKS)
 
 
 @query(T.oracle("bars", **moves.sql(D, moves.SQL_SLICED, moves.SQL_SCORED)) + """SELECT m.symbol, m.date, count(b.date) AS n_reactions, round_even(arg_min(b.close, b.date), 8) AS first_close, round_even(arg_max(b.close, b.date), 8) AS last_close
@@ -137,7 +141,7 @@ def j22_regime_agreement(spark, sf_dir):
 def j6_reactions(spark, sf_dir):
     """Bars of the five calendar days after each move."""
     bars = T.bars(spark, sf_dir)
-    m = moves.top_moves(bars, _T).select("symbol", "date")
+    m = moves.top_moves(bars, _t()).select("symbol", "date")
     after = bars.select("symbol", F.col("date").alias("_d"), F.col("close").alias("_c"))
     out = interval_join(m, after, "symbol", F.date_add("date", 1), F.col("_d"), F.date_add("date", 5), "left").groupBy("symbol", "date")
     return out.agg(F.count("_d").alias("n_reactions"), F.bround(F.min_by("_c", "_d"), 8).alias("first_close"), F.bround(F.max_by("_c", "_d"), 8).alias("last_close"))

@@ -13,18 +13,22 @@ from .registry import query
 
 DAY = "1998-02-28"
 D = f"DATE '{DAY}'"
-_T = column(DAY)
+
+
+def _t():
+    return column(DAY)
+
 MOVES = moves.sql(D, moves.SQL_SLICED, moves.SQL_SCORED) | {"m": "SELECT symbol, date, round_even(ret * 100, 2) AS daily_return_pct FROM moves WHERE rank <= 5"}
 KNOWN = f"SELECT * FROM news WHERE {sql_knowable_news(D)}"
 ADMITTED = "SELECT k.* FROM known k JOIN (SELECT DISTINCT article_id, symbol FROM relevance WHERE decision IN ('RELEVANT', 'USER_APPROVED')) r ON k.id = r.article_id AND k.symbol = r.symbol"
 
 
 def top(spark, sf_dir):
-    return moves.top_moves(T.bars(spark, sf_dir), _T).select("symbol", "date", "daily_return_pct")
+    return moves.top_moves(T.bars(spark, sf_dir), _t()).select("symbol", "date", "daily_return_pct")
 
 
 def known(spark, sf_dir):
-    return T.news(spark, sf_dir).where(knowable_news(F.col("published_at"), F.col("source"), _T))
+    return T.news(spark, sf_dir).where(knowable_news(F.col("published_at"), F.col("source"), _t()))
 
 
 def admitted(spark, sf_dir):
@@ -54,7 +58,7 @@ def s8_uncertain_review(spark, sf_dir):
 def evidence_cutoff():
     from ..functions.temporal import instant_cutoff
 
-    return instant_cutoff(_T)
+    return instant_cutoff(_t())
 
 
 @query(T.oracle("filings") + """SELECT form_type, upper(form_type) IN ('8-K', '8-K/A') AS material, CASE WHEN upper(trim(form_type)) LIKE '8-K%' THEN '8-K' WHEN upper(trim(form_type)) LIKE '10-Q%' THEN '10-Q'
@@ -219,20 +223,20 @@ SELECT symbol, round_even(coverage, 6) AS coverage, round_even(conflict, 6) AS c
 def a9_uncertainty(spark, sf_dir):
     m = top(spark, sf_dir)
     days = evidence.layer_days(m, T.filings(spark, sf_dir), known(spark, sf_dir), T.social(spark, sf_dir))
-    return evidence.uncertainty(moves.window_summary(T.bars(spark, sf_dir), _T), days, _conflicts(spark, sf_dir))
+    return evidence.uncertainty(moves.window_summary(T.bars(spark, sf_dir), _t()), days, _conflicts(spark, sf_dir))
 
 
 @query(T.oracle("news") + f"SELECT symbol, max(published_at) AS newest, max(published_at) < {D} - INTERVAL 7 DAY AS stale FROM news WHERE published_at <= {sql_cutoff(D)} GROUP BY symbol")
 def a23_staleness(spark, sf_dir):
     rows = T.news(spark, sf_dir).where(F.col("published_at") <= evidence_cutoff())
-    return rows.groupBy("symbol").agg(F.max("published_at").alias("newest")).withColumn("stale", F.col("newest") < F.date_sub(_T, 7).cast("timestamp"))
+    return rows.groupBy("symbol").agg(F.max("published_at").alias("newest")).withColumn("stale", F.col("newest") < F.date_sub(_t(), 7).cast("timestamp"))
 
 
 @query(T.oracle("news", days=f"SELECT symbol, unnest(generate_series({D} - INTERVAL 7 DAY, {D}, INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT symbol FROM news)") + "SELECT symbol, day FROM days d WHERE NOT EXISTS (SELECT 1 FROM news n WHERE n.symbol = d.symbol AND n.published_at::DATE = d.day)")
 def a25_missing_days(spark, sf_dir):
     """Days of the last week without an article of the symbol."""
     n = T.news(spark, sf_dir)
-    days = n.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.date_sub(_T, 7), _T)).alias("day"))
+    days = n.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.date_sub(_t(), 7), _t())).alias("day"))
     return days.join(n.select("symbol", F.to_date("published_at").alias("day")), ["symbol", "day"], "left_anti")
 
 
@@ -241,7 +245,7 @@ def a25_missing_days(spark, sf_dir):
 def l7_evidence_stream(spark, sf_dir):
     from ..functions.temporal import knowable_filing
 
-    f = T.filings(spark, sf_dir).where(knowable_filing(F.col("filed_at"), _T)).select(F.when(F.col("form_type").isin("8-K", "8-K/A"), "disclosure").otherwise("filing").alias("kind"), F.col("accession").alias("ref"), "symbol", F.col("filed_at").alias("seen_at"))
+    f = T.filings(spark, sf_dir).where(knowable_filing(F.col("filed_at"), _t())).select(F.when(F.col("form_type").isin("8-K", "8-K/A"), "disclosure").otherwise("filing").alias("kind"), F.col("accession").alias("ref"), "symbol", F.col("filed_at").alias("seen_at"))
     n = known(spark, sf_dir).select(F.lit("news").alias("kind"), F.col("id").alias("ref"), "symbol", F.col("published_at").alias("seen_at"))
     return f.unionByName(n).where("symbol = 'Brand#7'").orderBy(F.col("seen_at").desc(), "ref")
 
