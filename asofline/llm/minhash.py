@@ -12,10 +12,12 @@ compared with every member of another component; a leader that was compared with
 on until no bucket has a leader left.  So each pair of a bucket has been compared or is connected already,
 and a group of copies, which the first leaders connect, is compared by a few pairs a member.
 
-A comparison first looks at one bit of each minhash, of which sets at the threshold share 0.9: pairs with less
-than SKETCH in common (more than four standard deviations below) aren't fetched.  The others are confirmed
-on the full sets.  A pair at the threshold 0.8 is missed by all tables with probability
-2 * (1 - 0.8**ROWS)**HALVES, 0.0007; one at 0.85 with 0.00001.
+Before sets are fetched, two tests leave pairs out.  Shingles that no other of these sets has can't be common,
+so what is left of the smaller bounds the overlap: this exact bound keeps copies with many changes of their own
+from meeting all others of their group.  And of one bit of each minhash sets at the threshold share 0.9: pairs with
+less than SKETCH in common (more than four standard deviations below) aren't fetched.  The others are confirmed on
+the full sets.  A pair at the threshold 0.8 is missed by all tables with probability 2 * (1 - 0.8**ROWS)**HALVES,
+0.0007; one at 0.85 with 0.00001.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; texts with fewer words
 than a shingle are one shingle of all words; rows with a null id are kept and in no component; rows that
@@ -160,11 +162,19 @@ def keyed(rows: DataFrame, most: int = HALVES) -> DataFrame:
     return both.select(F.xxhash64("_a.pos", "_a.half", "_b.pos", "_b.half").alias("key"), *others)
 
 
+def with_shared(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes with m, the number of their shingles that other sets have too; without those that nothing can meet."""
+    alone = sets.select("node", F.explode("set").alias("_s")).groupBy("_s").agg(F.count("*").alias("_c"), F.min("node").alias("node")).where("_c = 1").groupBy("node").agg(F.count("*").alias("_alone"))
+    out = nodes.join(alone, "node", "left").withColumn("m", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone")
+    return out.where(100 * F.col("m") >= percent * F.col("n"))
+
+
 def candidates(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """u, v: leaders (key, u, n, sketch, comp prefixed _l) with the members of their buckets that may be near and are in another component."""
+    """u, v: leaders (key, u, n, m, sketch, comp prefixed _l) with the members of their buckets that may be near and are in another component."""
     bits = 2 * HALVES * ROWS
     differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("_lsketch")[k])) for k in range(_SKETCH_LONGS)), F.lit(0))
-    near = (F.col("comp") != F.col("_lcomp")) & (100 * F.least("n", "_ln") >= percent * F.greatest("n", "_ln")) & (differ <= int(bits * (1 - SKETCH)))
+    most = F.least("m", "_lm")
+    near = (F.col("comp") != F.col("_lcomp")) & (100 * most >= percent * (F.col("n") + F.col("_ln") - most)) & (differ <= int(bits * (1 - SKETCH)))
     return members.join(leaders, "key").where(near).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
@@ -182,6 +192,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
     spark = docs.sparkSession
     nodes = saved(sharing(classes), "sharing")
     sets = saved(full_sets(docs, nodes.select("node").distinct(), width, key, text), "sets")
+    nodes = saved(with_shared(nodes, sets, percent), "nodes")
     found, labels = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, component long")
     for most in (FIRST, HALVES):
         done, first = spark.createDataFrame([], "key long, node long"), most == FIRST
@@ -192,7 +203,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
             largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
             minor = rows.join(largest, (rows["key"] == largest["key"]) & (rows["comp"] != largest["_largest"])).drop(largest["key"]).drop("_largest").join(done, ["key", "node"], "left_anti")
             lead = minor.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("_r") <= (1 if first else LEADERS)).drop("_r")
-            lead = saved(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
+            lead = saved(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
             if lead.isEmpty():
                 break
             new = saved(confirmed(candidates(rows, lead, percent), sets, percent), "links")
