@@ -199,6 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     chosen = sample.unionByName(pool)  # MAX_TRAIN + MAX_POOL ids
     rows = docs.select(F.col(key).alias("_id"), *_inputs(docs, text)).join(F.broadcast(chosen), "_id").select("_id", "_y", "_lang", "_source", "_n", "_text")
     got = rows.mapInArrow(run, "_id long, _y int, x0 array<double>, x1 array<double>").toArrow().sort_by("_id")
+    if not got.num_rows:
+        return Quality(None, np.zeros(3), 0.0)
     xs = [np.array(got[c].to_pylist(), np.float64).reshape(got.num_rows, -1) for c in ("x0", "x1")]
     known = got["_y"].is_valid().to_numpy()
     y = got["_y"].fill_null(0).to_numpy().astype(np.int64)[known]
