@@ -12,12 +12,15 @@ compared with every member of another component; a leader that was compared with
 on until no bucket has a leader left.  So each pair of a bucket has been compared or is connected already,
 and a group of copies, which the first leaders connect, is compared by a few pairs a member.
 
-Before sets are fetched, two tests leave pairs out.  Shingles that no other of these sets has can't be common,
-so what is left of the smaller bounds the overlap: this exact bound keeps copies with many changes of their own
-from meeting all others of their group.  And of one bit of each minhash sets at the threshold share 0.9: pairs with
-less than SKETCH in common (more than four standard deviations below) aren't fetched.  The others are confirmed on
-the full sets.  A pair at the threshold 0.8 is missed by all tables with probability 2 * (1 - 0.8**ROWS)**HALVES,
-0.0007; one at 0.85 with 0.00001.
+Before sets are fetched, bounds of the overlap leave pairs out.  Shingles that no other of these sets has can't be
+common.  Of a component of BIG classes and more, a leader's shingles are split by the number of its members that
+have them: with a member that has none of those that LOW members and fewer have, the overlap is at most the
+number of the others.  Where that is too little, only the members that share one of the rare shingles are
+compared, found by the shingle itself; so copies with many changes of their own don't meet all others of their group.
+These bounds are exact.  And of one bit of each minhash sets at the threshold share 0.9: pairs with less than
+SKETCH in common (more than four standard deviations below) aren't fetched.  The others are confirmed on the full
+sets.  A pair at the threshold 0.8 is missed by all tables with probability 2 * (1 - 0.8**ROWS)**HALVES, 0.0007; one
+at 0.85 with 0.00001.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; texts with fewer words
 than a shingle are one shingle of all words; rows with a null id are kept and in no component; rows that
@@ -44,6 +47,8 @@ ROWS, HALVES = 5, 20
 FIRST = 4
 #: Leaders of a bucket in a round; one in the first round, when each class is a component.
 LEADERS = 64
+#: Classes of a component from which its shingles bound overlaps with it, and members with a shingle that is rare in it.
+BIG, LOW = 16, 20
 #: Equal bits of two sketches at least.
 SKETCH = 0.8
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -169,13 +174,33 @@ def with_shared(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(100 * F.col("m") >= percent * F.col("n"))
 
 
-def candidates(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """u, v: leaders (key, u, n, m, sketch, comp prefixed _l) with the members of their buckets that may be near and are in another component."""
-    bits = 2 * HALVES * ROWS
+def _near(percent: int, most) -> object:
+    """Whether a leader (_l...) and a class may meet the threshold: by a bound of the overlap and by their sketches."""
     differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("_lsketch")[k])) for k in range(_SKETCH_LONGS)), F.lit(0))
-    most = F.least("m", "_lm")
-    near = (F.col("comp") != F.col("_lcomp")) & (100 * most >= percent * (F.col("n") + F.col("_ln") - most)) & (differ <= int(bits * (1 - SKETCH)))
-    return members.join(leaders, "key").where(near).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    return (100 * most >= percent * (F.col("n") + F.col("_ln") - most)) & (differ <= int(2 * HALVES * ROWS * (1 - SKETCH)))
+
+
+def candidates(rows: DataFrame, lead: DataFrame, of_comp: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: leaders (key, u, n, m, sketch, comp prefixed _l) with the classes of other components in their buckets that may be near."""
+    pair = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
+    wanted = lead.join(of_comp.select("key", "comp"), "key").where("comp <> _lcomp").withColumn("b", F.col("_lm"))
+    big = placed.groupBy("comp").agg(F.count("*").alias("_size")).where(F.col("_size") >= BIG).select("comp")
+    if big.isEmpty():
+        return rows.join(wanted, ["key", "comp"]).where(_near(percent, F.least("m", "b"))).select(*pair).distinct()
+    members = placed.join(big, "comp")
+    posted = members.select("comp", "node").join(sets, "node").select("comp", "node", F.explode("set").alias("_s"))
+    often = posted.groupBy("comp", "_s").agg(F.count("*").alias("_df"))
+    asked = wanted.select("u", "comp").distinct().join(big, "comp")
+    own = asked.select("u").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode("set").alias("_s"))
+    found = saved(own.join(often, "_s").join(asked, ["u", "comp"]).select("u", "comp", "_s", "_df"), "found")
+    common = found.where(F.col("_df") > LOW).groupBy("u", "comp").agg(F.count("*").alias("_b"))
+    wanted = wanted.join(big.withColumn("_big", F.lit(True)), "comp", "left").join(common, ["u", "comp"], "left")
+    wanted = wanted.withColumn("b", F.when(F.col("_big"), F.least("_lm", F.coalesce("_b", F.lit(0)))).otherwise(F.col("_lm"))).drop("_big", "_b").where(100 * F.col("b") >= percent * F.col("_ln"))
+    usual = rows.join(wanted, ["key", "comp"]).where(_near(percent, F.least("m", "b"))).select(*pair)
+    rare = found.where(F.col("_df") <= LOW).select("u", "comp", "_s").join(posted, ["comp", "_s"]).select("u", "node").distinct()
+    leaders = lead.groupBy("u").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"), F.first("_lsketch").alias("_lsketch"))
+    rare = rare.join(leaders, "u").join(members.select("node", "n", "m", "sketch"), "node").where(_near(percent, F.least("m", "_lm"))).select(*pair)
+    return usual.unionByName(rare).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +231,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
             lead = saved(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
             if lead.isEmpty():
                 break
-            new = saved(confirmed(candidates(rows, lead, percent), sets, percent), "links")
+            new = saved(confirmed(candidates(rows, lead, of_comp, placed, sets, percent), sets, percent), "links")
             if not new.isEmpty():
                 found = found.unionByName(new)
                 labels = components(found)
