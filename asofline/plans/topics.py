@@ -126,7 +126,7 @@ def t8_section_retrieval(spark, sf_dir):
     question = F.lit("thing tion ently onen thand edou hathe inged the of")
     rows = T.table(spark, sf_dir, "benchmark").withColumn("score", F.size(F.array_intersect(X.tokens(F.col("text")), X.tokens(question)))).where("score > 0")
     best = rows.select("item_id", "score").orderBy(F.col("score").desc(), "item_id").limit(3)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "item_id")))
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "item_id")))  # three rows
 
 
 _STRIP = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<ix:header.*?</ix:header>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
