@@ -9,6 +9,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 #: ASCII white space, which separates words in every operator here.
 BLANK = " \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
@@ -18,6 +20,8 @@ _made: list[tuple[object, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; the executors get the package that the operators' tasks import."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
