@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..ship import ship
 
@@ -65,8 +66,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """saved(df), and its number of rows, which the same job counts."""
+    seen = Observation(name)
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get.get("n", 0)
 
 
 def is_held_out(doc_id: int | None) -> bool:

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
-from .components import components
+from .common import counted, saved
+from .components import joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
 ROWS, HALVES = 5, 20
@@ -134,8 +134,8 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, set (array of shingle hashes) of the documents whose id is in ids (node)."""
+def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, set (array of shingle hashes) of the documents whose id is in ids (node); few: no more than may be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +144,6 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, key: str = "doc_id",
                 sets = [shingles(t.as_py(), width).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["node", "set"])
 
-    few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("_text"))
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, set array<long>")
 
@@ -215,10 +214,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node, component of the classes that are linked with others; classes: node, n, halves, sketch."""
     spark = docs.sparkSession
-    nodes = saved(sharing(classes), "sharing")
-    sets = saved(full_sets(docs, nodes.select("node").distinct(), width, key, text), "sets")
+    nodes, n = counted(sharing(classes), "sharing")
+    sets = saved(full_sets(docs, nodes.select("node").distinct(), n <= BROADCAST_IDS, width, key, text), "sets")
     nodes = saved(with_shared(nodes, sets, percent), "nodes")
-    found, labels = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, component long")
+    labels = spark.createDataFrame([], "node long, component long")
     for most in (FIRST, HALVES):
         done, first = spark.createDataFrame([], "key long, node long"), most == FIRST
         while True:
@@ -228,13 +227,12 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
             largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
             minor = rows.join(largest, (rows["key"] == largest["key"]) & (rows["comp"] != largest["_largest"])).drop(largest["key"]).drop("_largest").join(done, ["key", "node"], "left_anti")
             lead = minor.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("_r") <= (1 if first else LEADERS)).drop("_r")
-            lead = saved(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
-            if lead.isEmpty():
+            lead, n = counted(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
+            if not n:
                 break
-            new = saved(confirmed(candidates(rows, lead, of_comp, placed, sets, percent), sets, percent), "links")
-            if not new.isEmpty():
-                found = found.unionByName(new)
-                labels = components(found)
+            new, n = counted(confirmed(candidates(rows, lead, of_comp, placed, sets, percent), sets, percent), "links")
+            if n:
+                labels = joined(labels, new)
             done, first = done.unionByName(lead.select("key", F.col("u").alias("node"))), False
     return labels
 
