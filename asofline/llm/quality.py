@@ -220,7 +220,7 @@ def annotate(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
                 part = b.slice(begin, 500)
                 inputs = [part.column(part.schema.get_field_index(c)) for c in ("_lang", "_source", "_n", "_text")]
                 rows = [_features(*(v.as_py() for v in r)) for r in zip(*inputs)]
-                s = m.scores([np.stack([r[k] for r in rows]) for k in (0, 1)])
+                s = np.round(m.scores([np.stack([r[k] for r in rows]) for k in (0, 1)]), 12)  # equal rows, equal scores, whatever their batch
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(s), pa.array(s >= m.threshold)], names=[*names, "score", "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -84,16 +84,14 @@ def corpus(spark, n=600):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def accuracy(rows, labels, predicted):
-    y = {r.doc_id: r for r in labels.collect()}
-    held = [r for r in rows if r.held_out]
-    return np.mean([predicted(r) == y[r.doc_id] for r in held]) if False else held, y
+def held_out(rows, labels):
+    return [r for r in rows if r.held_out], {r.doc_id: r for r in labels.collect()}
 
 
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = corpus(spark)
     rows = toxicity.report(docs, labels).collect()
-    held, y = accuracy(rows, labels, None)
+    held, y = held_out(rows, labels)
     assert 150 < len(held) < 250 and np.mean([r.predicted == y[r.doc_id].toxic for r in held]) > 0.95
     assert all((r.predicted == 1) == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
 
@@ -101,7 +99,7 @@ def test_toxicity_on_held_out_rows(spark):
 def test_quality_on_held_out_rows(spark):
     docs, labels = corpus(spark)
     rows = quality.report(docs, labels).collect()
-    held, y = accuracy(rows, labels, None)
+    held, y = held_out(rows, labels)
     assert np.mean([r.kept == bool(y[r.doc_id].quality) for r in held]) > 0.97
 
 
@@ -113,7 +111,7 @@ def test_models_of_edge_rows(spark, module):
     none = module.report(docs, labels.where("false")).collect()
     assert len(none) == docs.count() and ({r.score for r in none} == ({0.0} if module is toxicity else {1.0}))
     again = module.report(docs, labels)
-    assert {r.score for r in again.where("doc_id = 6").collect()}.__len__() == 1
+    assert len({r.score for r in again.where("doc_id = 6").collect()}) == 1
 
 
 def test_long_texts_go_through_in_windows(monkeypatch):
