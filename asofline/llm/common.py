@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,13 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, seen.get.get("n", 0)
 
 
+def apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with all but the needed columns under names that nothing else uses, and a function that gives a result (and more columns of it) the old names."""
+    new = {c: c if c in needed else f"_extra{k}" for k, c in enumerate(docs.columns)}
+    back = lambda df, *more: df.select(*[F.col(n).alias(c) for c, n in new.items() if c not in more], *more)
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), back
+
+
 def is_held_out(doc_id: int | None) -> bool:
     """The fold that no model learns from: crc32 of the id as text, modulo 3, is 1."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1

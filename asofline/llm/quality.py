@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
 from .rules import repeated_words
 from .toxicity import _platt, training_ids
 
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 def annotate(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
     """docs with score and kept."""
-    docs = docs.drop("score", "kept")
+    docs, back = apart(docs, (text, "lang", "source", "n_chars"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -224,7 +225,7 @@ def annotate(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(s), pa.array(s >= m.threshold)], names=[*names, "score", "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", *_inputs(docs, text)).mapInArrow(run, schema + ", score double, kept boolean")
+    return back(docs.select("*", *_inputs(docs, text)).mapInArrow(run, schema + ", score double, kept boolean"), "score", "kept")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

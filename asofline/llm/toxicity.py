@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
+
 #: Labelled rows that the model learns from at most.
 MAX_TRAIN = 8000
 #: Score from which a text counts as toxic.
@@ -325,7 +327,7 @@ class _Scorer:
 
 def annotate(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    docs = docs.drop("score", "predicted").withColumn(text, F.col(text).cast("string"))
+    docs, back = apart(docs.withColumn(text, F.col(text).cast("string")), (text,))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +340,7 @@ def annotate(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", score double, predicted int")
+    return back(docs.mapInArrow(run, schema + ", score double, predicted int"), "score", "predicted")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from asofline.llm import minhash, packing, quality, toxicity
-from asofline.llm.common import saved, table
+from asofline.llm.common import apart, saved, table
 from asofline.llm.queries import VOCABULARY
 
+#: Columns that stages read; others go through as they are.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity classifier, fitted on the labelled ones among them, scores below its threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.annotate(docs, model).where("predicted = 0").select(docs.columns)
+    rows, back = apart(docs, COLUMNS)
+    return back(toxicity.annotate(rows, model).where("predicted = 0"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.annotate(docs, model).where("kept").select(docs.columns)
+    rows, back = apart(docs, COLUMNS)
+    return back(quality.annotate(rows, model).where("kept"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
