@@ -17,10 +17,8 @@ common.  Of a component of BIG classes and more, a leader's shingles are split b
 have them: with a member that has none of those that LOW members and fewer have, the overlap is at most the
 number of the others.  Where that is too little, only the members that share one of the rare shingles are
 compared, found by the shingle itself; so copies with many changes of their own don't meet all others of their group.
-These bounds are exact.  And of one bit of each minhash sets at the threshold share 0.9: pairs with less than
-SKETCH in common (more than four standard deviations below) aren't fetched.  The others are confirmed on the full
-sets.  A pair at the threshold 0.8 is missed by all tables with probability 2 * (1 - 0.8**ROWS)**HALVES, 0.0007; one
-at 0.85 with 0.00001.
+These bounds are exact.  The others are confirmed on the full sets.  A pair at the threshold 0.8 is missed by all
+tables with probability 2 * (1 - 0.8**ROWS)**HALVES, 0.0007; one at 0.85 with 0.00001.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; texts with fewer words
 than a shingle are one shingle of all words; rows with a null id are kept and in no component; rows that
@@ -49,8 +47,6 @@ FIRST = 4
 LEADERS = 64
 #: Classes of a component from which its shingles bound overlaps with it, and members with a shingle that is rare in it.
 BIG, LOW = 16, 20
-#: Equal bits of two sketches at least.
-SKETCH = 0.8
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Words whose hashes a Python worker keeps.
@@ -60,9 +56,6 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _MANY = (np.random.default_rng(20).integers(1, 2**31, 2 * HALVES * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
-_SKETCH_LONGS = -(-2 * HALVES * ROWS // 64)
-
-
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE_WORDS:
@@ -90,8 +83,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def half_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """2 * HALVES half keys of a set, and its sketch: a bit of each minhash."""
+def half_keys(h: np.ndarray) -> np.ndarray:
+    """2 * HALVES half keys of a set."""
     small = (h >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_MANY), 2**32 - 1, np.uint32)
     for begin in range(0, len(small), 2048):
@@ -101,9 +94,7 @@ def half_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(ROWS):
         key = (key ^ rows[:, k]) * _ODD[k]
         key ^= key >> np.uint64(31)
-    bits = np.zeros(64 * _SKETCH_LONGS, np.uint8)
-    bits[: len(least)] = ((least * np.uint32(2654435761)) >> np.uint32(13)) & np.uint32(1)
-    return key, np.packbits(bits).view(np.int64)
+    return key
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -112,26 +103,24 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (which identify the set), halves and sketch of each row."""
+    """doc_id, n_shingles, s1, s2 (which identify the set) and halves of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s1, s2, halves, sketches = [], [], [], [], []
+            n, s1, s2, halves = [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py(), width)
                 n.append(len(h))
                 s1.append(np.add.reduce(h).view(np.int64))
                 g = h * _ODD[6]
                 s2.append(np.add.reduce(g ^ (g >> np.uint64(32))).view(np.int64))
-                key, sketch = half_keys(h) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                halves.append(key.view(np.int64))
-                sketches.append(sketch)
+                halves.append(half_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(halves), _lists(sketches)],
-                names=["doc_id", "n_shingles", "s1", "s2", "halves", "sketch"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(halves)],
+                names=["doc_id", "n_shingles", "s1", "s2", "halves"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>, sketch array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,13 +138,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str =
 
 
 def sharing(classes: DataFrame) -> DataFrame:
-    """node, n, sketch and the half keys (a, b) that other classes have too, of the classes with some in both collections."""
+    """node, n and the half keys (a, b) that other classes have too, of the classes with some in both collections."""
     half = classes.select("node", F.posexplode("halves").alias("pos", "half"))
     shared = half.groupBy("pos", "half").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
     lists = half.join(shared, ["pos", "half"]).groupBy("node").agg(F.collect_list(F.struct("pos", "half")).alias("_h"))  # 2 * HALVES at most
     one, two = F.filter("_h", lambda h: h["pos"] < HALVES), F.filter("_h", lambda h: h["pos"] >= HALVES)
     lists = lists.select("node", one.alias("a"), two.alias("b")).where("size(a) > 0 and size(b) > 0")
-    return lists.join(classes.select("node", "n", "sketch"), "node")
+    return lists.join(classes.select("node", "n"), "node")
 
 
 def keyed(rows: DataFrame, most: int = HALVES) -> DataFrame:
@@ -173,32 +162,34 @@ def with_shared(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(100 * F.col("m") >= percent * F.col("n"))
 
 
-def _near(percent: int, most) -> object:
-    """Whether a leader (_l...) and a class may meet the threshold: by a bound of the overlap and by their sketches."""
-    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("_lsketch")[k])) for k in range(_SKETCH_LONGS)), F.lit(0))
-    return (100 * most >= percent * (F.col("n") + F.col("_ln") - most)) & (differ <= int(2 * HALVES * ROWS * (1 - SKETCH)))
+def _near(percent: int, most, n, other):
+    """Whether sets of n and other shingles can meet the threshold with an overlap of `most` at most."""
+    return 100 * most >= percent * (n + other - most)
 
 
 def candidates(rows: DataFrame, lead: DataFrame, of_comp: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: leaders (key, u, n, m, sketch, comp prefixed _l) with the classes of other components in their buckets that may be near."""
+    """u, v: leaders (key, u, n, m, comp prefixed _l) with the classes of other components in their buckets that may be near."""
     pair = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
-    wanted = lead.join(of_comp.select("key", "comp"), "key").where("comp <> _lcomp").withColumn("b", F.col("_lm"))
+    least = F.least("_lm", "_most")
+    some = (F.col("comp") != F.col("_lcomp")) & _near(percent, least, F.col("_ln"), F.greatest("_least", least))
+    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most"), "key").where(some).withColumn("b", least).drop("_most")
     big = placed.groupBy("comp").agg(F.count("*").alias("_size")).where(F.col("_size") >= BIG).select("comp")
+    near = _near(percent, F.least("m", "b"), F.col("n"), F.col("_ln"))
     if big.isEmpty():
-        return rows.join(wanted, ["key", "comp"]).where(_near(percent, F.least("m", "b"))).select(*pair).distinct()
+        return rows.join(wanted, ["key", "comp"]).where(near).select(*pair).distinct()
     members = placed.join(big, "comp")
     posted = members.select("comp", "node").join(sets, "node").select("comp", "node", F.explode("set").alias("_s"))
     often = posted.groupBy("comp", "_s").agg(F.count("*").alias("_df"))
     asked = wanted.select("u", "comp").distinct().join(big, "comp")
     own = asked.select("u").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode("set").alias("_s"))
     found = saved(own.join(often, "_s").join(asked, ["u", "comp"]).select("u", "comp", "_s", "_df"), "found")
-    common = found.where(F.col("_df") > LOW).groupBy("u", "comp").agg(F.count("*").alias("_b"))
-    wanted = wanted.join(big.withColumn("_big", F.lit(True)), "comp", "left").join(common, ["u", "comp"], "left")
-    wanted = wanted.withColumn("b", F.when(F.col("_big"), F.least("_lm", F.coalesce("_b", F.lit(0)))).otherwise(F.col("_lm"))).drop("_big", "_b").where(100 * F.col("b") >= percent * F.col("_ln"))
-    usual = rows.join(wanted, ["key", "comp"]).where(_near(percent, F.least("m", "b"))).select(*pair)
+    common = asked.join(found.where(F.col("_df") > LOW).groupBy("u", "comp").agg(F.count("*").alias("_b")), ["u", "comp"], "left").select("u", "comp", F.coalesce("_b", F.lit(0)).alias("_b"))
+    wanted = wanted.join(common, ["u", "comp"], "left").withColumn("b", F.least("b", F.coalesce("_b", "b"))).drop("_b")
+    wanted = wanted.where(_near(percent, F.col("b"), F.col("_ln"), F.greatest("_least", "b")))
+    usual = rows.join(wanted, ["key", "comp"]).where(near).select(*pair)
     rare = found.where(F.col("_df") <= LOW).select("u", "comp", "_s").join(posted, ["comp", "_s"]).select("u", "node").distinct()
-    leaders = lead.groupBy("u").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"), F.first("_lsketch").alias("_lsketch"))
-    rare = rare.join(leaders, "u").join(members.select("node", "n", "m", "sketch"), "node").where(_near(percent, F.least("m", "_lm"))).select(*pair)
+    leaders = lead.groupBy("u").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"))
+    rare = rare.join(leaders, "u").join(members.select("node", "n", "m"), "node").where(_near(percent, F.least("m", "_lm"), F.col("n"), F.col("_ln"))).select(*pair)
     return usual.unionByName(rare).distinct()
 
 
@@ -212,7 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, component of the classes that are linked with others; classes: node, n, halves, sketch."""
+    """node, component of the classes that are linked with others; classes: node, n, halves."""
     spark = docs.sparkSession
     nodes, n = counted(sharing(classes), "sharing")
     sets = saved(full_sets(docs, nodes.select("node").distinct(), n <= BROADCAST_IDS, width, key, text), "sets")
@@ -222,12 +213,12 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
         done, first = spark.createDataFrame([], "key long, node long"), most == FIRST
         while True:
             placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            rows = keyed(placed, most)
-            of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"))
+            rows = keyed(placed, most).select("key", "node", "comp", F.col("n").cast("int"), F.col("m").cast("int"))
+            of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min("n").alias("_least"), F.max("m").alias("_most"))
             largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
             minor = rows.join(largest, (rows["key"] == largest["key"]) & (rows["comp"] != largest["_largest"])).drop(largest["key"]).drop("_largest").join(done, ["key", "node"], "left_anti")
             lead = minor.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("_r") <= (1 if first else LEADERS)).drop("_r")
-            lead, n = counted(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("sketch").alias("_lsketch"), F.col("comp").alias("_lcomp")), "leaders")
+            lead, n = counted(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("comp").alias("_lcomp")), "leaders")
             if not n:
                 break
             new, n = counted(confirmed(candidates(rows, lead, of_comp, placed, sets, percent), sets, percent), "links")
@@ -240,10 +231,10 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     sig = saved(signatures(docs, width, key, text), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"))
     classes = saved(classes.withColumnRenamed("n_shingles", "n"), "classes")
-    labels = links(docs, classes.select("node", "n", "halves", "sketch"), width, percent, key, text)
+    labels = links(docs, classes.select("node", "n", "halves"), width, percent, key, text)
     of_set = classes.join(labels, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_component"))
-    out = sig.drop("halves", "sketch").join(of_set, ["s1", "s2", "n_shingles"], "left")
+    out = sig.drop("halves").join(of_set, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
