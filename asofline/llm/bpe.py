@@ -13,6 +13,7 @@ rows stay; columns of the input other than the id and the text are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -146,7 +147,7 @@ class TrieBpe:
         """Encode chunks of text without white space: their words go through one trie."""
         if len(self.cache) + len(chunks) > CACHE_WORDS:
             self.cache = dict(self.kept)
-        split = {c: self.split(c) for c in chunks}
+        split = {c: [c.lower()] if c.isascii() and c.isalpha() else self.split(c) for c in chunks}  # plain letters are one word
         distinct = sorted({w.encode() for words in split.values() for w in words})
         packed = {}
         text_of = self.text_of
@@ -221,6 +222,7 @@ def _mapped(docs: DataFrame, path: str, text: str, new: list[tuple[str, str]], t
     docs = docs.withColumn(text, F.col(text).cast("string"))
 
     def run(batches):
+        gc.disable()  # the encoder's many small tuples hold no cycles
         bpe = encoder(path)
         for b in batches:
             column = b.column(b.schema.get_field_index(text))
