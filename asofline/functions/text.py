@@ -90,9 +90,15 @@ def whole_words(terms: tuple[str, ...]) -> str:
 
 
 def first_term(text: Column, terms: tuple[str, ...]) -> Column:
-    """The first of the terms, in their order, that the text has as whole words; null without one."""
-    any_ = F.when(text.rlike(whole_words(terms)), F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.regexp_like(text, F.concat(F.lit(r"(?i)\b\Q"), t, F.lit(r"\E\b"))))[0])
-    return any_
+    """The first of the terms, in their order, that the text has as whole words; null without one.
+
+    One pass: at every word's beginning the pattern looks ahead for the first term that stands there, so overlapping
+    terms are all seen.
+    """
+    ahead = r"(?i)\b(?=(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + r")\b)"
+    order = F.array(*[F.lit(t) for t in terms])
+    places = F.transform(F.regexp_extract_all(text, F.lit(ahead), F.lit(1)), lambda t: F.array_position(order, F.lower(t)))
+    return F.try_element_at(order, F.array_min(places).cast("int"))
 
 
 def names_company(title: Column, symbol: Column, name: Column) -> Column:
@@ -116,17 +122,21 @@ def judge(title: Column, description: Column, symbol: Column, name: Column) -> C
     """Rule verdict as a struct: relevant, decision, category, confidence, term."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
     mentioned = mentions_company(text, symbol, name)
-    category = F.coalesce(*[F.when(text.rlike(whole_words(terms)), F.lit(c)) for c, terms in MATERIAL_TERMS.items()])
-    term = F.coalesce(*[first_term(text, terms) for terms in MATERIAL_TERMS.values()])
-    nearby = text.rlike(whole_words(INDUSTRY_TERMS)) | text.rlike(whole_words(MACRO_TERMS)) | category.isNotNull()
-    verdict = lambda r, d, c, p: F.struct(F.lit(r).cast("boolean").alias("relevant"), F.lit(d).alias("decision"), c.alias("category"), F.lit(p).alias("confidence"), term.alias("term"))
+    group = {c: first_term(text, terms) for c, terms in MATERIAL_TERMS.items()}
+    found = F.coalesce(*[F.when(t.isNotNull(), F.struct(F.lit(c).alias("c"), t.alias("t"))) for c, t in group.items()])
+    nearby = text.rlike(whole_words(INDUSTRY_TERMS)) | text.rlike(whole_words(MACRO_TERMS))
     none = F.lit("UNRELATED")
-    return (
-        F.when(mentioned & category.isNotNull(), verdict(True, "RELEVANT", category, 0.60))
-        .when(mentioned, verdict(None, "UNCERTAIN", none, 0.40))
-        .when(nearby, verdict(None, "UNCERTAIN", none, 0.45))
-        .otherwise(verdict(False, "IRRELEVANT", none, 0.70))
-    )
+
+    def verdict(x: Column) -> Column:
+        of = lambda r, d, c, p: F.struct(F.lit(r).cast("boolean").alias("relevant"), F.lit(d).alias("decision"), c.alias("category"), F.lit(p).alias("confidence"), x["f"]["t"].alias("term"))
+        material = x["f"].isNotNull()
+        return (
+            F.when(x["m"] & material, of(True, "RELEVANT", x["f"]["c"], 0.60)).when(x["m"], of(None, "UNCERTAIN", none, 0.40))
+            .when(x["n"] | material, of(None, "UNCERTAIN", none, 0.45)).otherwise(of(False, "IRRELEVANT", none, 0.70))
+        )
+
+    # bound once: the patterns run once for a row, however often their results are looked at
+    return F.transform(F.array(F.struct(mentioned.alias("m"), found.alias("f"), nearby.alias("n"))), verdict)[0]
 
 
 def dot(a: Column, b: Column) -> Column:
