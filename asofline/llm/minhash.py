@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import counted, saved
+from .common import counted, saved, without_broadcasts
 from .components import joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
@@ -233,7 +233,8 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     sig = saved(signatures(docs, width, key, text), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"))
     classes = saved(classes.withColumnRenamed("n_shingles", "n"), "classes")
-    labels = links(docs, classes.select("node", "n", "halves"), width, percent, key, text)
+    with without_broadcasts(docs.sparkSession):
+        labels = links(docs, classes.select("node", "n", "halves"), width, percent, key, text)
     of_set = classes.join(labels, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_component"))
     out = sig.drop("halves").join(of_set, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
