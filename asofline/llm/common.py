@@ -7,7 +7,6 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -75,23 +74,6 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, seen.get.get("n", 0)
 
 
-@contextmanager
-def without_broadcasts(spark: SparkSession):
-    """For loops of many small joins: the driver would build and hold a table for each that it broadcasts by size; they are shuffled instead."""
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = {n: spark.conf.get(n, None) for n in names}
-    try:
-        for n in names:
-            spark.conf.set(n, "-1")
-        yield
-    finally:
-        for n, value in before.items():
-            if value is None:
-                spark.conf.unset(n)
-            else:
-                spark.conf.set(n, value)
-
-
 def apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with all but the needed columns under names that nothing else uses, and a function that gives a result (and more columns of it) the old names."""
     new = {c: c if c in needed else f"_extra{k}" for k, c in enumerate(docs.columns)}
