@@ -44,7 +44,7 @@ ROWS, HALVES = 5, 20
 #: Half keys of each collection that are settled first.
 FIRST = 4
 #: Leaders of a bucket in a round; one in the first round, when each class is a component.
-LEADERS = 64
+LEADERS = 256
 #: Classes of a component from which its shingles bound overlaps with it, and members with a shingle that is rare in it.
 BIG, LOW = 16, 20
 #: Ids that are broadcast at most; more are joined by a shuffle.
