@@ -44,7 +44,7 @@ ROWS, HALVES = 5, 20
 #: Half keys of each collection that are settled first.
 FIRST = 4
 #: Leaders of a bucket in a round; one in the first round, when each class is a component.
-LEADERS = 256
+LEADERS = 64
 #: Classes of a component from which its shingles bound overlaps with it, and members with a shingle that is rare in it.
 BIG, LOW = 16, 20
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -213,6 +213,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
         done, first = spark.createDataFrame([], "key long, node long"), most == FIRST
         while True:
             placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            placed = saved(placed, "placed")
             rows = keyed(placed, most).select("key", "node", "comp", F.col("n").cast("int"), F.col("m").cast("int"))
             of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min("n").alias("_least"), F.max("m").alias("_most"))
             largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
