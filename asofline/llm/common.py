@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zlib
@@ -74,6 +75,12 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, seen.get.get("n", 0)
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark removes the shuffle files of finished jobs, everywhere, when the driver no longer refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with all but the needed columns under names that nothing else uses, and a function that gives a result (and more columns of it) the old names."""
     new = {c: c if c in needed else f"_extra{k}" for k, c in enumerate(docs.columns)}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import counted, saved
+from .common import counted, saved, swept
 from .components import joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
@@ -167,26 +167,48 @@ def _near(percent: int, most, n, other):
     return 100 * most >= percent * (n + other - most)
 
 
-def candidates(rows: DataFrame, lead: DataFrame, of_comp: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def by_half(rows: DataFrame, most: int) -> DataFrame:
+    """rows once for each of their half keys _h among the first `most` of the first collection, with those below it (_below) and those of the second (_two)."""
+    others = [c for c in rows.columns if c not in ("a", "b")]
+    one = F.array_sort(F.transform(F.filter("a", lambda h: h["pos"] < most), lambda h: h["half"]))
+    two = F.transform(F.filter("b", lambda h: h["pos"] < HALVES + most), lambda h: h["half"])
+    each = rows.select(*others, one.alias("_one"), two.alias("_two")).select(*others, "_one", "_two", F.posexplode("_one").alias("_p", "_h"))
+    return each.select(*others, "_h", F.slice("_one", F.lit(1), F.col("_p")).alias("_below"), "_two")
+
+
+def meeting(placed: DataFrame, wanted: DataFrame, most: int, near) -> DataFrame:
+    """u, node: leaders with the classes of wanted components (u, comp) that share a table with them, each pair once.
+
+    A table is shared where a half key of both collections is; the least shared half key of the first one gives the pair.
+    """
+    lists = placed.select(F.col("node").alias("u"), "a", "b")
+    asked = by_half(wanted.join(lists, "u"), most).withColumnsRenamed({"_below": "_ubelow", "_two": "_utwo"})
+    members = by_half(placed.select("node", "comp", "n", "m", "a", "b"), most)
+    once = F.arrays_overlap("_two", "_utwo") & ~F.arrays_overlap("_below", "_ubelow")
+    return members.join(asked, ["comp", "_h"]).where(near & once).select("u", "node")
+
+
+def candidates(lead: DataFrame, of_comp: DataFrame, placed: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
     """u, v: leaders (key, u, n, m, comp prefixed _l) with the classes of other components in their buckets that may be near."""
     pair = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
     least = F.least("_lm", "_most")
     some = (F.col("comp") != F.col("_lcomp")) & _near(percent, least, F.col("_ln"), F.greatest("_least", least))
-    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most"), "key").where(some).withColumn("b", least).drop("_most")
+    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most"), "key").where(some)
+    wanted = wanted.groupBy("u", "comp").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_bound"), F.min("_least").alias("_least"))
     big = placed.groupBy("comp").agg(F.count("*").alias("_size")).where(F.col("_size") >= BIG).select("comp")
-    near = _near(percent, F.least("m", "b"), F.col("n"), F.col("_ln"))
+    near = _near(percent, F.least("m", "_bound"), F.col("n"), F.col("_ln"))
     if big.isEmpty():
-        return rows.join(wanted, ["key", "comp"]).where(near).select(*pair).distinct()
+        return meeting(placed, wanted, most, near).select(*pair).distinct()
     members = placed.join(big, "comp")
     posted = members.select("comp", "node").join(sets, "node").select("comp", "node", F.explode("set").alias("_s"))
     often = posted.groupBy("comp", "_s").agg(F.count("*").alias("_df"))
-    asked = wanted.select("u", "comp").distinct().join(big, "comp")
+    asked = wanted.select("u", "comp").join(big, "comp")
     own = asked.select("u").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode("set").alias("_s"))
     found = saved(own.join(often, "_s").join(asked, ["u", "comp"]).select("u", "comp", "_s", "_df"), "found")
     common = asked.join(found.where(F.col("_df") > LOW).groupBy("u", "comp").agg(F.count("*").alias("_b")), ["u", "comp"], "left").select("u", "comp", F.coalesce("_b", F.lit(0)).alias("_b"))
-    wanted = wanted.join(common, ["u", "comp"], "left").withColumn("b", F.least("b", F.coalesce("_b", "b"))).drop("_b")
-    wanted = wanted.where(_near(percent, F.col("b"), F.col("_ln"), F.greatest("_least", "b")))
-    usual = rows.join(wanted, ["key", "comp"]).where(near).select(*pair)
+    wanted = wanted.join(common, ["u", "comp"], "left").withColumn("_bound", F.least("_bound", F.coalesce("_b", "_bound"))).drop("_b")
+    wanted = wanted.where(_near(percent, F.col("_bound"), F.col("_ln"), F.greatest("_least", "_bound")))
+    usual = meeting(placed, wanted, most, near).select(*pair)
     rare = found.where(F.col("_df") <= LOW).select("u", "comp", "_s").join(posted, ["comp", "_s"]).select("u", "node").distinct()
     leaders = lead.groupBy("u").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"))
     rare = rare.join(leaders, "u").join(members.select("node", "n", "m"), "node").where(_near(percent, F.least("m", "_lm"), F.col("n"), F.col("_ln"))).select(*pair)
@@ -222,10 +244,11 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: st
             lead, n = counted(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("comp").alias("_lcomp")), "leaders")
             if not n:
                 break
-            new, n = counted(confirmed(candidates(rows, lead, of_comp, placed, sets, percent), sets, percent), "links")
+            new, n = counted(confirmed(candidates(lead, of_comp, placed, sets, most, percent), sets, percent), "links")
             if n:
                 labels = joined(labels, new)
             done, first = done.unionByName(lead.select("key", F.col("u").alias("node"))), False
+            swept(spark)
     return labels
 
 
