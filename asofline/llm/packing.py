@@ -4,9 +4,9 @@ Documents become token ids plus an end id; only longer ones than a sequence are
 by hash over partitions of bounded size, and each partition runs best-fit decreasing.  Dual feasible
 functions give a lower bound of the number of sequences for the partition's pieces: where the packing
 meets it, the partition is certified and done.  Partitions with a gap keep their full sequences and
-exchange the others, whole with their pieces, over fewer partitions, where best-fit decreasing runs
-again on the pooled pieces; a repacking that isn't better is not taken.  Rounds end when all partitions
-are certified or one partition was left in the round before.
+exchange the others, whole with their pieces, over partitions of the same bounded size, dealt anew each
+round, where best-fit decreasing runs again on the pooled pieces; a repacking that isn't better is not
+taken.  Rounds end when all partitions are certified, no partition got better or one was left alone.
 
 Defined results: a null or empty text is one piece, the end id; repeated rows are packed each; a null
 id is kept; an empty table has no sequences; extra columns aren't read.
@@ -33,7 +33,7 @@ from .common import saved
 BUDGET = 2048
 #: Pieces that one partition packs, about.
 PARTITION_PIECES = 50_000
-#: Rounds of exchange at most; every one has fewer partitions.
+#: Rounds of exchange at most; what has a gap after the last one stays as it is packed.
 ROUNDS = 6
 
 
@@ -136,8 +136,8 @@ def best_fit_decreasing(lengths: np.ndarray, budget: int = BUDGET) -> tuple[np.n
     return where, offset, np.array(used, np.int64)
 
 
-def _packer(key: str, budget: int, last: bool):
-    names = [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "used", "done", "bins", "bound"]
+def _packer(key: str, budget: int):
+    names = [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "used", "done", "better", "bins", "bound"]
 
     def pack(group: tuple, table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy().astype(np.int64)
@@ -148,10 +148,11 @@ def _packer(key: str, budget: int, last: bool):
         ids = (round_ << 58) | (part << 26) | where
         fill = used[where]
         bins = len(used)
-        if round_ and bins >= len(np.unique(before)):  # no better than the sequences it got
+        better = not round_ or bins < len(np.unique(before))
+        if not better:  # it keeps the sequences it got
             ids, offset, fill, bins = before, offset0, used0, len(np.unique(before))
-        done = np.full(len(ids), bins <= bound or last) | (fill == budget)
-        columns = [*(table[c] for c in names[:5]), *(pa.array(x.astype(np.int64)) for x in (ids, offset, fill)), pa.array(done), pa.array(np.full(len(ids), bins)), pa.array(np.full(len(ids), bound))]
+        done = np.full(len(ids), bins <= bound) | (fill == budget)
+        columns = [*(table[c] for c in names[:5]), *(pa.array(x.astype(np.int64)) for x in (ids, offset, fill)), pa.array(done), *(pa.array(np.full(len(ids), x)) for x in (better, bins, bound))]
         return pa.Table.from_arrays(columns, names=names)
 
     return pack
@@ -160,27 +161,27 @@ def _packer(key: str, budget: int, last: bool):
 def pack(items: DataFrame, budget: int = BUDGET, key: str = "doc_id", partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """The pieces (as from pieces()) with sequence_id and offset, and the round's number of sequences (bins) and bound of its partition."""
     kind = items.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long, done boolean, bins long, bound long"
+    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long, done boolean, better boolean, bins long, bound long"
     n = items.count()
     pool = items.select("*", *(F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", "used")))
     parts = max(1, -(-n // partition_pieces))
     unit = [F.monotonically_increasing_id()]  # by row, so that repeated rows are dealt too; the saved table keeps its order
     finished = []
     for round_ in range(rounds):
-        last = round_ == rounds - 1 or round_ > 0 and parts == 1
         dealt = pool.withColumn("_round", F.lit(round_)).withColumn("_part", F.pmod(F.xxhash64(F.lit(round_), *unit), F.lit(parts)))
-        packed = saved(dealt.groupBy("_round", "_part").applyInArrow(_packer(key, budget, last), schema), f"packed{round_}")
-        finished.append(packed.where("done"))
-        left = packed.where("not done").agg(F.count("*"), F.countDistinct("sequence_id")).first()
-        if last or not left[0]:
+        packed = saved(dealt.groupBy("_round", "_part").applyInArrow(_packer(key, budget), schema), f"packed{round_}")
+        left, better = packed.agg(F.count_if(~F.col("done")), F.bool_or("better")).first()
+        if round_ == rounds - 1 or round_ > 0 and parts == 1 or not left or not better:
+            finished.append(packed)
             break
-        pool = packed.where("not done").drop("done", "bins", "bound")
-        parts = max(1, min(parts // 4, -(-left[0] // partition_pieces)))
+        finished.append(packed.where("done"))
+        pool = packed.where("not done").drop("done", "better", "bins", "bound")
+        parts = max(1, -(-left // partition_pieces))  # as bounded as at first, however many are left
         unit = ["sequence_id"]  # whole sequences move, so that a partition knows how many it got
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
-    return out.drop("done", "used")
+    return out.drop("done", "better", "used")
 
 
 def packed_documents(docs: DataFrame, path: str, budget: int = BUDGET) -> DataFrame:

@@ -109,3 +109,32 @@ def test_packing_of_edge_rows_and_rounds(spark):
     n, tokens = check_packing(apart, [(r.doc_id, r.text) for r in some.collect()], 256)
     together = len({r.sequence_id for r in packing.pack(items, 256).collect()})
     assert n <= together * 1.02 + 1 and n >= -(-tokens // 256)
+
+
+def test_exchange_keeps_partitions_bounded(spark, monkeypatch, tmp_path):
+    """Two or three pieces fill a sequence unevenly, so that most partitions miss their bound."""
+    real, out = packing._packer, str(tmp_path)
+
+    def noted(*options):
+        inner = real(*options)
+
+        def pack(group, table):
+            with open(f"{out}/{group[0].as_py()}-{group[1].as_py()}-{table.num_rows}", "w"):
+                return inner(group, table)
+
+        return pack
+
+    monkeypatch.setattr(packing, "_packer", noted)
+    lengths = [int(x) for x in np.random.default_rng(3).integers(27, 50, 1600)]
+    items = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(items, 100, partition_pieces=50).collect()
+    groups = [tuple(map(int, p.name.split("-"))) for p in tmp_path.iterdir()]
+    assert max(r for r, _, _ in groups) > 1  # pieces were left to exchange
+    assert max(n for _, _, n in groups) <= 100, groups
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        spans.sort()
+        assert [o for o, _ in spans] == list(np.cumsum([0, *[n for _, n in spans]])[:-1]) and sum(n for _, n in spans) <= 100
