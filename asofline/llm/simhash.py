@@ -2,8 +2,8 @@
 
 Terms are a text's words in lower case, hashed to 64 bits.  A term votes on every bit with its weight,
 the square of its length beyond two characters (one at least), so that short common words count little;
-a bit is set where more than half of the weight sets it.  Votes are counted for two bits in one 64-bit
-sum, which leaves 32 sums for each text.
+a bit is set where more than half of the weight sets it.  Each bit has a 64-bit sum of its own: a string
+holds less than 2^31 characters, so the squares of its words' lengths add up to less than 2^62.
 
 The search splits fingerprints into radius + 3 blocks and keeps a table for every choice of three of
 them: two fingerprints within the radius differ in `radius` blocks at most, so they agree on the three
@@ -31,26 +31,23 @@ BUCKET_DOCS, BUCKETS = 1000, 16384
 
 
 def _votes(word: Column) -> list[Column]:
-    """32 sums over words; sum j counts the weight of bit j in its lower half and of bit j + 32 in its upper half."""
-    return [F.sum(F.expr(f"shiftrightunsigned(_h, {j}) & 4294967297L") * F.col("_w")).alias(f"_v{j}") for j in range(32)]
+    """64 sums over words; sum j is the weight of the words that set bit j."""
+    return [F.sum(F.shiftrightunsigned(word, j).bitwiseAND(F.lit(1)) * F.col("_w")).alias(f"_v{j}") for j in range(64)]
 
 
 def _fingerprint() -> Column:
-    half = F.col("_all")
     bits = F.lit(0).cast("long")
-    for j in range(32):
-        low = F.col(f"_v{j}").bitwiseAND(F.lit(4294967295))
-        high = F.shiftrightunsigned(f"_v{j}", 32)
-        bits = bits.bitwiseOR(F.shiftleft((low * 2 > half).cast("long"), j)).bitwiseOR(F.shiftleft((high * 2 > half).cast("long"), j + 32))
+    for j in range(64):
+        bits = bits.bitwiseOR(F.shiftleft((F.col(f"_v{j}") > F.col("_all") - F.col(f"_v{j}")).cast("long"), j))
     return F.coalesce(bits, F.lit(0).cast("long"))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and fp (long) of each text; keys tell the rows apart."""
     words = rows.select(*keys, F.explode_outer(F.split(F.lower(text), BLANKS)).alias("_word"))
-    words = words.withColumn("_h", F.xxhash64("_word")).withColumn("_n", F.length("_word"))
+    words = words.withColumn("_h", F.xxhash64("_word")).withColumn("_n", F.length("_word").cast("long"))
     # blank strings at the ends of a text have no weight
-    words = words.withColumn("_w", F.when(F.col("_n") > 0, F.greatest((F.col("_n") - 2) * (F.col("_n") - 2) * (F.col("_n") > 2).cast("int"), F.lit(1))).otherwise(0).cast("long"))
+    words = words.withColumn("_w", F.when(F.col("_n") > 0, F.greatest((F.col("_n") - 2) * (F.col("_n") - 2) * (F.col("_n") > 2).cast("long"), F.lit(1))).otherwise(0).cast("long"))
     return words.groupBy(*keys).agg(F.sum("_w").alias("_all"), *_votes(F.col("_h"))).select(*keys, _fingerprint().alias("fp"))
 
 

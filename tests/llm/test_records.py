@@ -167,3 +167,21 @@ def test_base_counts_of_edge_rows(spark):
         assert r.n_dup_lines == len(lines) - len(set(lines)) and r.n_repeat_words == repeated(words)
     assert rules.report(edge.documents(spark)).count() == edge.documents(spark).count()
     assert rules.report(edge.documents(spark).where("false")).count() == 0
+
+
+def test_fingerprints_of_long_words(spark):
+    texts = ["short words and one " + "x9" * 50_000, " ".join(c * 20_000 + " a few between" for c in "abcdefgh"), "y" * 46_343, "plain words only"]
+    words = sorted({w for t in texts for w in t.lower().split()})
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect()}
+    expected = []
+    for text in texts:
+        votes, whole = [0] * 64, 0
+        for w in text.lower().split():
+            weight = max((len(w) - 2) ** 2 if len(w) > 2 else 0, 1)
+            whole += weight
+            for j in range(64):
+                votes[j] += weight * (hashes[w] >> j & 1)
+        expected.append(sum(1 << j for j in range(64) if 2 * votes[j] > whole))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: r.fp % 2**64 for r in simhash.fingerprints(rows, ["k"], "text").collect()}
+    assert [got[k] for k in range(len(texts))] == expected
