@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks of text whose encodings a Python worker keeps; beyond it the cache starts anew.
+#: Distinct chunks of text whose encodings a Python worker keeps; beyond it the cache starts anew with the batch's own.
 CACHE_WORDS = 400_000
 #: Last bytes of a prefix by which the lengths of the tokens that can end it are looked up.
 TAIL = 4
@@ -145,8 +145,6 @@ class TrieBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks of text without white space: their words go through one trie."""
-        if len(self.cache) + len(chunks) > CACHE_WORDS:
-            self.cache = dict(self.kept)
         split = {c: [c.lower()] if c.isascii() and c.isalpha() else self.split(c) for c in chunks}  # plain letters are one word
         distinct = sorted({w.encode() for words in split.values() for w in words})
         packed = {}
@@ -181,9 +179,10 @@ class TrieBpe:
         wanted = set().union(*split)
         new = wanted - self.cache.keys()
         if new:
+            if len(self.cache) + len(new) > CACHE_WORDS:  # starts anew with all that this batch needs, however much that is
+                self.cache = dict(self.kept)
+                new = wanted - self.cache.keys()
             self.learn(new)
-            if lost := wanted - self.cache.keys():
-                self.learn(lost)
         get = self.cache.__getitem__
         return [tell([*map(get, chunks)]) for chunks in split]
 

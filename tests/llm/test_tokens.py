@@ -138,3 +138,10 @@ def test_exchange_keeps_partitions_bounded(spark, monkeypatch, tmp_path):
     for spans in by.values():
         spans.sort()
         assert [o for o, _ in spans] == list(np.cumsum([0, *[n for _, n in spans]])[:-1]) and sum(n for _, n in spans) <= 100
+
+
+def test_batch_beyond_the_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 6)
+    encoder = bpe.TrieBpe(PATH)
+    for text in ["alpha beta", "alpha beta gamma delta epsilon zeta eta theta iota", "iota kappa", "alpha"]:
+        assert list(np.frombuffer(encoder.batch([text], bpe.ids_of)[0], "<u4")) == library_ids(text)
