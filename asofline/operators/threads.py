@@ -1,11 +1,15 @@
 """Topic threads: TF-IDF, similarity graphs, linkage clustering, and attributes of threads.
 
-Clustering works on the MAX_ARTICLES newest articles of a symbol (the feature's own limit), so a symbol's
-pairs are bounded and one task may hold a symbol's graph; symbols are spread over the cluster.
+Average linkage works on the MAX_ARTICLES newest articles of a symbol (the feature's own limit), so one task
+may hold a symbol's matrix.  Similar pairs and single linkage take all articles: frequent tokens are joined in
+blocks, and connected parts are found by joins, so no symbol or token is a group of one task.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,11 +21,30 @@ from ..functions.text import cosine, tokens
 MAX_ARTICLES = 400
 #: Similarities above which texts and vectors are linked.
 TEXT_LINK, VECTOR_LINK = 0.25, 0.75
+#: Documents of a token that one block of the pair join holds, about.
+TOKEN_DOCS = 2000
 
 
-def newest(news: DataFrame, most: int = MAX_ARTICLES) -> DataFrame:
+def numbered(news: DataFrame) -> DataFrame:
+    """news with pos: the place of an article among its symbol's, the newest first."""
     order = W.partitionBy("symbol").orderBy(F.col("published_at").desc(), "id")
-    return news.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most)
+    return news.withColumn("pos", F.row_number().over(order))
+
+
+def newest(news: DataFrame, most: int = MAX_ARTICLES) -> DataFrame:
+    return numbered(news).where(F.col("pos") <= most)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again, which cuts the lineage."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='asofline-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/asofline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def weights(docs: DataFrame, text: str = "title") -> DataFrame:
@@ -38,28 +61,37 @@ def similar(vectors: DataFrame, least: float = TEXT_LINK) -> DataFrame:
     """symbol, a, b (a < b), similarity: pairs of a symbol above the threshold; vectors as from weights()."""
     norm = vectors.groupBy("symbol", "id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_norm"))
     unit = vectors.join(norm, ["symbol", "id"]).select("symbol", "id", "token", (F.col("weight") / F.col("_norm")).alias("w"))
-    one, two = unit.select("symbol", "token", F.col("id").alias("a"), F.col("w").alias("_wa")), unit.select("symbol", "token", F.col("id").alias("b"), F.col("w").alias("_wb"))
-    return one.join(two, ["symbol", "token"]).where("a < b").groupBy("symbol", "a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("similarity")).where(F.col("similarity") > least)
+    # a token's documents are dealt over blocks; each block meets all of them, so a frequent token is many keys
+    blocks = unit.groupBy("symbol", "token").agg(F.ceil(F.count("*") / TOKEN_DOCS).alias("_n"))
+    unit = unit.join(blocks, ["symbol", "token"])
+    one = unit.select("symbol", "token", F.pmod(F.xxhash64("id"), F.col("_n")).alias("_block"), F.col("id").alias("a"), F.col("w").alias("_wa"))
+    two = unit.select("symbol", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_block"), F.col("id").alias("b"), F.col("w").alias("_wb"))
+    pairs = one.join(two, ["symbol", "token", "_block"]).where("a < b")
+    return pairs.groupBy("symbol", "a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("similarity")).where(F.col("similarity") > least)
 
 
 def single_linkage(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """symbol, id, cluster (smallest position of a member): connected parts of a symbol's similarity graph; docs have symbol, id, pos."""
-
-    def parts(key: tuple, docs: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        label = dict(zip(docs["id"], docs["pos"]))
-        ends = list(zip(edges["a"], edges["b"]))
-        changed = True
-        while changed:
-            changed = False
-            for a, b in ends:
-                low = min(label[a], label[b])
-                if label[a] != low or label[b] != low:
-                    label[a] = label[b] = low
-                    changed = True
-        return pd.DataFrame({"symbol": docs["symbol"], "id": docs["id"], "cluster": docs["id"].map(label)})
-
-    one, two = docs.select("symbol", "id", "pos"), pairs.select(F.col("symbol").alias("of"), "a", "b")  # names apart: both may come from one table
-    return one.groupBy("symbol").cogroup(two.groupBy("of")).applyInPandas(parts, "symbol string, id string, cluster long")
+    """symbol, id, cluster (smallest position of a member): connected parts of a symbol's similarity graph; docs have symbol, id, pos.
+
+    Large-star and small-star steps over positions: each joins a node's smallest neighbour back to its others, until edges stay the same.
+    """
+    docs = _kept(docs.select("symbol", "id", F.col("pos").cast("long").alias("pos")), "articles")
+    at = lambda end: docs.select("symbol", F.col("id").alias(end), F.col("pos").alias(f"_{end}"))
+    ends = pairs.select("symbol", "a", "b").join(at("a"), ["symbol", "a"]).join(at("b"), ["symbol", "b"])
+    e = _kept(ends.select("symbol", F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).where("u > v").distinct(), "edges")
+    sums = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("symbol", "u", "v").cast("decimal(38,0)"))).first())
+    before, now = None, sums(e)
+    while now != before:
+        both = e.unionByName(e.select("symbol", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("symbol", "u").agg(F.min("v").alias("m")).select("symbol", "u", F.least("u", "m").alias("m"))
+        large = both.join(low, ["symbol", "u"]).where("v > u").select("symbol", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _kept(large, "large_star")
+        least = large.groupBy("symbol", "u").agg(F.min("v").alias("m"))
+        small = large.join(least, ["symbol", "u"]).where("v > m").select("symbol", F.col("v").alias("u"), F.col("m").alias("v"))
+        e = _kept(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
+        before, now = now, sums(e)
+    labels = e.select("symbol", F.col("u").alias("pos"), F.col("v").alias("_root"))  # stars: each node has one edge, to its smallest
+    return docs.join(labels, ["symbol", "pos"], "left").select("symbol", "id", F.coalesce("_root", "pos").alias("cluster"))
 
 
 def average_linkage(docs: DataFrame, least: float = VECTOR_LINK) -> DataFrame:

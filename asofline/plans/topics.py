@@ -45,14 +45,14 @@ def t2_tfidf(spark, sf_dir):
 
 @query(T.oracle("news", **_SIM) + "SELECT symbol, a, b, round_even(sim, 6) AS similarity FROM s")
 def t3_similar(spark, sf_dir):
-    return threads.similar(threads.weights(threads.newest(T.news(spark, sf_dir)))).withColumn("similarity", F.bround("similarity", 6))
+    return threads.similar(threads.weights(T.news(spark, sf_dir))).withColumn("similarity", F.bround("similarity", 6))
 
 
 @query("WITH RECURSIVE " + T.oracle("news", **_SIM, p="SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY published_at DESC, id) AS pos FROM news",
     e="SELECT symbol, a, b FROM s UNION SELECT symbol, b, a FROM s")[5:].rstrip() + """, reach(symbol, id, other) AS (SELECT symbol, id, id FROM p UNION SELECT r.symbol, r.id, e.b FROM reach r JOIN e ON r.symbol = e.symbol AND r.other = e.a)
 SELECT r.symbol, r.id, min(p.pos) AS cluster FROM reach r JOIN p ON p.symbol = r.symbol AND p.id = r.other GROUP BY r.symbol, r.id""")
 def t4_single_linkage(spark, sf_dir):
-    docs = threads.newest(T.news(spark, sf_dir))
+    docs = threads.numbered(T.news(spark, sf_dir))
     return threads.single_linkage(docs, threads.similar(threads.weights(docs)))
 
 
