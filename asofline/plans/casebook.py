@@ -277,7 +277,8 @@ def s14_daily_prices(spark, sf_dir):
 @query(T.oracle("filings") + "SELECT symbol, accession, form_type, filed_at FROM filings WHERE symbol IN ('Brand#2', 'Brand#7')")
 def s15_columnar_filings(spark, sf_dir):
     f = T.filings(spark, sf_dir).where(F.col("symbol").isin("Brand#2", "Brand#7"))
-    lists = f.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("accession", "form_type", F.date_format("filed_at", "yyyy-MM-dd").alias("d")))).alias("_x"))
+    month = F.date_format("filed_at", "yyyy-MM").alias("month")  # a payload for each, so that no symbol is one row
+    lists = f.groupBy("symbol", month).agg(F.sort_array(F.collect_list(F.struct("accession", "form_type", F.date_format("filed_at", "yyyy-MM-dd").alias("d")))).alias("_x"))
     recent = F.struct(F.col("_x.accession").alias("accessionNumber"), F.col("_x.form_type").alias("form"), F.col("_x.d").alias("filingDate"), F.col("_x.accession").alias("primaryDocument"))
     raw = lists.select("symbol", F.lit("0000000007").alias("cik"), F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("body"))
     return parsers.columnar_filings(raw).select("symbol", "accession", "form_type", "filed_at")
