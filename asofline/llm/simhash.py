@@ -99,8 +99,8 @@ def edited(documents: DataFrame) -> DataFrame:
     return rows.select("_bucket", "_rn", "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("substr(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substr(F.coalesce("_next", F.lit("")), F.lit(1), half)).alias("edited"))
 
 
-def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp and n_near of each distinct fingerprint of queries: rows of prints (fp) within the radius, itself included."""
+def near_pairs(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, near_fp, distance, n_rows: each distinct fingerprint of prints (fp) within the radius of one of queries, itself included, and its number of rows."""
     blocks = radius + 3
     ends = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum(((1 << (ends[b + 1] - ends[b])) - 1) << ends[b] for b in chosen) for chosen in combinations(range(blocks), 3)]
@@ -110,7 +110,18 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) ->
     all_ = keyed(prints.groupBy("fp").agg(F.count("*").alias("_rows")), "fp")
     asked = keyed(queries.select(F.col("fp").alias("_q")).distinct(), "_q")
     found = all_.join(asked, ["_table", "_key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("_q"))) <= radius)
-    return found.groupBy("_q", "fp").agg(F.first("_rows").alias("_rows")).groupBy(F.col("_q").alias("fp")).agg(F.sum("_rows").alias("n_near"))
+    pairs = found.groupBy("_q", "fp").agg(F.first("_rows").alias("n_rows"))
+    return pairs.select(F.col("_q").alias("fp"), F.col("fp").alias("near_fp"), F.bit_count(F.col("fp").bitwiseXOR(F.col("_q"))).alias("distance"), "n_rows")
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp and n_near of each distinct fingerprint of queries: rows of prints (fp) within the radius, itself included."""
+    return near_pairs(prints, queries, radius).groupBy("fp").agg(F.sum("n_rows").alias("n_near"))
+
+
+def members(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """near_fp, doc_id: the documents of each fingerprint that near_pairs() found; copies are listed once a fingerprint, not once a pair."""
+    return prints.select(F.col("fp").alias("near_fp"), "doc_id").join(pairs.select("near_fp").distinct(), "near_fp", "left_semi")
 
 
 def report(documents: DataFrame, radius: int = RADIUS) -> DataFrame:

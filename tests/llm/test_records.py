@@ -185,3 +185,11 @@ def test_fingerprints_of_long_words(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {r.k: r.fp % 2**64 for r in simhash.fingerprints(rows, ["k"], "text").collect()}
     assert [got[k] for k in range(len(texts))] == expected
+
+
+def test_near_documents_are_named(spark):
+    prints = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 15), (5, -1), (6, -2)], "doc_id long, fp long")
+    asked = prints.where("doc_id in (1, 5)")
+    pairs = simhash.near_pairs(prints, asked)
+    assert sorted((r.fp, r.near_fp, r.distance, r.n_rows) for r in pairs.collect()) == [(-1, -2, 1, 1), (-1, -1, 0, 1), (0, 0, 0, 2), (0, 7, 3, 1)]
+    assert sorted((r.near_fp, r.doc_id) for r in simhash.members(prints, pairs).collect()) == [(-2, 6), (-1, 5), (0, 1), (0, 2), (7, 3)]
