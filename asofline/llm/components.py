@@ -13,7 +13,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Nodes are longs; null ends and loops don't count; repeated edges count once.  A step aggregates the
     smallest neighbour of each node, partly before the shuffle, and joins it back, so a node with many
-    neighbours is no group of one task.  The job that writes a round's edges also sums them up; rounds end
+    neighbours is no group of one task.  Both stars of a round are one job, which reads the large one's exchange twice.  The job that writes a round's edges also sums them up; rounds end
     when these are the same as before.
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where(f"{u} is not null and {v} is not null and a > b").distinct()
@@ -23,7 +23,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = saved(large, "large_star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         seen = Observation("edges")

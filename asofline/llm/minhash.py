@@ -5,24 +5,24 @@ minhashes, are computed; the key of table (i, j) combines half key i of the firs
 second.  So HALVES**2 tables cost 2 * HALVES * ROWS minhashes instead of 2 * HALVES**2 * ROWS.  A half key
 that no other set has can't be part of a shared table key and is left out before keys are combined.
 
-Equal sets are one class, whatever their number.  Buckets of FIRST**2 tables are settled first,
-then those of all tables.  To settle buckets, only those that hold classes of two components and more are
-looked at.  The members outside the bucket's largest component are leaders in turn, LEADERS at a time, and are
-compared with every member of another component; a leader that was compared with all is done, and rounds go
-on until no bucket has a leader left.  So each pair of a bucket has been compared or is connected already,
-and a group of copies, which the first leaders connect, is compared by a few pairs a member.
-
-Before sets are fetched, bounds of the overlap leave pairs out.  Shingles that no other of these sets has can't be
-common.  Of a component of BIG classes and more, a leader's shingles are split by the number of its members that
-have them: with a member that has none of those that LOW members and fewer have, the overlap is at most the
-number of the others.  Where that is too little, only the members that share one of the rare shingles are
-compared, found by the shingle itself; so copies with many changes of their own don't meet all others of their group.
+Equal sets are one class, whatever their number.  The search has two phases, whatever the sizes of its groups.
+First the least class of each bucket of FIRST**2 tables is compared with the bucket's others, which connects
+nearly all that belongs together by a pair a class and bucket.  Then all tables count, but only half keys that
+classes of different components have: a pair of a bucket has been compared, is connected already, or is met here.
+
+In the second phase bounds of the overlap leave pairs out before sets are fetched.  Shingles that no other of
+these sets has can't be common.  A pair whose frequent shingles (more than LOW sets have them) are too few must
+share a rare one; as many rare ones as it still needs, less one, may be left out at the end of the order by
+frequency, so it is met at one of the others, found by the shingle itself, of which LOW sets at most have any.
+Only pairs that may be near by their frequent shingles alone are met by table: members of a bucket outside its
+largest component ask for the bucket's other components, and each pair is met once, at its least shared half key.
 These bounds are exact.  The others are confirmed on the full sets.  A pair at the threshold 0.8 is missed by all
 tables with probability 2 * (1 - 0.8**ROWS)**HALVES, 0.0007; one at 0.85 with 0.00001.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; texts with fewer words
 than a shingle are one shingle of all words; rows with a null id are kept and in no component; rows that
-repeat an id are one document; an empty table has no rows; extra columns aren't read.
+repeat an id are one document, kept or left out together (so two equal rows with one id both stay); an empty table
+has no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,20 +33,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import counted, saved, swept
-from .components import joined
+from .common import counted, saved
+from .components import components, joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
 ROWS, HALVES = 5, 20
-#: Half keys of each collection that are settled first.
-FIRST = 4
-#: Leaders of a bucket in a round; one in the first round, when each class is a component.
-LEADERS = 64
-#: Classes of a component from which its shingles bound overlaps with it, and members with a shingle that is rare in it.
-BIG, LOW = 16, 20
+#: Half keys of each collection that the first phase looks at.
+FIRST = 8
+#: Sets that have a rare shingle, at most.
+LOW = 64
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Words whose hashes a Python worker keeps.
@@ -137,14 +134,25 @@ def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str =
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, set array<long>")
 
 
+def _lists_of(half: DataFrame) -> DataFrame:
+    """node and the half keys (a, b) of the rows (node, pos, half), of the classes with some in both collections."""
+    lists = half.groupBy("node").agg(F.collect_list(F.struct("pos", "half")).alias("_h"))  # 2 * HALVES at most
+    one, two = F.filter("_h", lambda h: h["pos"] < HALVES), F.filter("_h", lambda h: h["pos"] >= HALVES)
+    return lists.select("node", one.alias("a"), two.alias("b")).where("size(a) > 0 and size(b) > 0")
+
+
 def sharing(classes: DataFrame) -> DataFrame:
     """node, n and the half keys (a, b) that other classes have too, of the classes with some in both collections."""
     half = classes.select("node", F.posexplode("halves").alias("pos", "half"))
     shared = half.groupBy("pos", "half").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    lists = half.join(shared, ["pos", "half"]).groupBy("node").agg(F.collect_list(F.struct("pos", "half")).alias("_h"))  # 2 * HALVES at most
-    one, two = F.filter("_h", lambda h: h["pos"] < HALVES), F.filter("_h", lambda h: h["pos"] >= HALVES)
-    lists = lists.select("node", one.alias("a"), two.alias("b")).where("size(a) > 0 and size(b) > 0")
-    return lists.join(classes.select("node", "n"), "node")
+    return _lists_of(half.join(shared, ["pos", "half"])).join(classes.select("node", "n"), "node")
+
+
+def between(placed: DataFrame) -> DataFrame:
+    """placed (node, comp, n, a, b) with only those half keys that classes of two components and more have."""
+    half = placed.select("node", "comp", F.explode(F.concat("a", "b")).alias("_e")).select("node", "comp", "_e.pos", "_e.half")
+    several = half.groupBy("pos", "half").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("pos", "half")
+    return _lists_of(half.join(several, ["pos", "half"])).join(placed.drop("a", "b"), "node")
 
 
 def keyed(rows: DataFrame, most: int = HALVES) -> DataFrame:
@@ -188,33 +196,6 @@ def meeting(placed: DataFrame, wanted: DataFrame, most: int, near) -> DataFrame:
     return members.join(asked, ["comp", "_h"]).where(near & once).select("u", "node")
 
 
-def candidates(lead: DataFrame, of_comp: DataFrame, placed: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
-    """u, v: leaders (key, u, n, m, comp prefixed _l) with the classes of other components in their buckets that may be near."""
-    pair = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
-    least = F.least("_lm", "_most")
-    some = (F.col("comp") != F.col("_lcomp")) & _near(percent, least, F.col("_ln"), F.greatest("_least", least))
-    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most"), "key").where(some)
-    wanted = wanted.groupBy("u", "comp").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_bound"), F.min("_least").alias("_least"))
-    big = placed.groupBy("comp").agg(F.count("*").alias("_size")).where(F.col("_size") >= BIG).select("comp")
-    near = _near(percent, F.least("m", "_bound"), F.col("n"), F.col("_ln"))
-    if big.isEmpty():
-        return meeting(placed, wanted, most, near).select(*pair).distinct()
-    members = placed.join(big, "comp")
-    posted = members.select("comp", "node").join(sets, "node").select("comp", "node", F.explode("set").alias("_s"))
-    often = posted.groupBy("comp", "_s").agg(F.count("*").alias("_df"))
-    asked = wanted.select("u", "comp").join(big, "comp")
-    own = asked.select("u").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode("set").alias("_s"))
-    found = saved(own.join(often, "_s").join(asked, ["u", "comp"]).select("u", "comp", "_s", "_df"), "found")
-    common = asked.join(found.where(F.col("_df") > LOW).groupBy("u", "comp").agg(F.count("*").alias("_b")), ["u", "comp"], "left").select("u", "comp", F.coalesce("_b", F.lit(0)).alias("_b"))
-    wanted = wanted.join(common, ["u", "comp"], "left").withColumn("_bound", F.least("_bound", F.coalesce("_b", "_bound"))).drop("_b")
-    wanted = wanted.where(_near(percent, F.col("_bound"), F.col("_ln"), F.greatest("_least", "_bound")))
-    usual = meeting(placed, wanted, most, near).select(*pair)
-    rare = found.where(F.col("_df") <= LOW).select("u", "comp", "_s").join(posted, ["comp", "_s"]).select("u", "node").distinct()
-    leaders = lead.groupBy("u").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"))
-    rare = rare.join(leaders, "u").join(members.select("node", "n", "m"), "node").where(_near(percent, F.least("m", "_lm"), F.col("n"), F.col("_ln"))).select(*pair)
-    return usual.unionByName(rare).distinct()
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose full sets meet the threshold."""
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("_su"))
@@ -224,32 +205,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("_su") + F.size("_sv") - common)).select("u", "v")
 
 
+def stars(nodes: DataFrame, most: int, percent: int) -> DataFrame:
+    """u, v: the least class of each bucket with the bucket's other classes that may be near; copies of a pair are dropped."""
+    rows = keyed(nodes.select("node", F.col("n").cast("int"), F.col("m").cast("int"), "a", "b"), most)
+    least = rows.groupBy("key").agg(F.min(F.struct("node", "n", "m")).alias("_l"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    near = _near(percent, F.least("m", "_l.m"), F.col("n"), F.col("_l.n"))
+    return rows.join(least, "key").where((F.col("node") != F.col("_l.node")) & near).select(F.col("_l.node").alias("u"), F.col("node").alias("v")).distinct()
+
+
+def bounded(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rest with m and b, the numbers of their shingles that others of rest have, and more than LOW of them; and rare, the rarest ones.
+
+    Two sets that can't meet the threshold by what is frequent (b) have a shingle of both rare arrays in common.
+    """
+    own = sets.join(rest.select("node"), "node").select("node", F.explode("set").alias("_s"))
+    often = own.groupBy("_s").agg(F.count("*").alias("_df"), F.min("node").alias("_one"))
+    alone = often.where("_df = 1").groupBy(F.col("_one").alias("node")).agg(F.count("*").alias("_alone"))
+    few = own.join(often.where(F.col("_df").between(2, LOW)).drop("_one"), "_s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("_few"))  # shingles of one text
+    zero = F.lit(0).cast("long")
+    out = rest.join(alone, "node", "left").join(few, "node", "left")
+    out = out.withColumn("m", F.col("n") - F.coalesce("_alone", zero)).withColumn("b", F.col("m") - F.coalesce(F.size("_few"), F.lit(0)))
+    need = F.ceil(F.col("n") * percent / 100)
+    first = F.when(F.col("b") >= need, F.col("m")).otherwise(F.col("m") - need + 1).cast("int")
+    rare = F.transform(F.slice(F.coalesce("_few", F.expr("cast(array() as array<struct<_df: bigint, _s: bigint>>)")), F.lit(1), F.greatest(first, F.lit(0))), lambda e: e["_s"])
+    return out.select(*rest.columns, "m", "b", rare.alias("rare")).where(100 * F.col("m") >= percent * F.col("n"))
+
+
+def by_rare(rest: DataFrame, percent: int) -> DataFrame:
+    """u, v: classes of different components with a rare shingle in common; LOW classes at most have it."""
+    rows = rest.select("node", "comp", "n", "m", "b", F.explode("rare").alias("_s"))
+    two = rows.select("_s", *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "n", "m", "b")])
+    usual = _near(percent, F.least("b", "_b"), F.col("n"), F.col("_n"))
+    some = (F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")) & _near(percent, F.least("m", "_m"), F.col("n"), F.col("_n")) & ~usual
+    return rows.join(two, "_s").where(some).select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct()
+
+
+def by_table(rest: DataFrame, percent: int) -> DataFrame:
+    """u, v: classes of different components that share a table and may be near by their frequent shingles alone.
+
+    Members of a bucket outside its largest component ask for the bucket's other components.
+    """
+    rest = rest.where(100 * F.col("b") >= percent * F.col("n")).select("node", "comp", "n", F.col("b").alias("m"), "a", "b_")
+    placed = saved(between(rest.withColumnRenamed("b_", "b")), "frequent")
+    rows = keyed(placed, HALVES).select("key", "node", "comp", F.col("n").cast("int"), F.col("m").cast("int"))
+    of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min("n").alias("_least"), F.max("m").alias("_most"))
+    largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
+    lead = rows.join(largest, "key").where("comp != _largest").select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("comp").alias("_lcomp"))
+    least = F.least("_lm", "_most")
+    some = (F.col("comp") != F.col("_lcomp")) & _near(percent, least, F.col("_ln"), F.greatest("_least", least))
+    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most"), "key").where(some)
+    wanted = wanted.groupBy("u", "comp").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"))
+    near = _near(percent, F.least("m", "_lm"), F.col("n"), F.col("_ln"))
+    return meeting(placed, wanted, HALVES, near).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node, component of the classes that are linked with others; classes: node, n, halves."""
-    spark = docs.sparkSession
     nodes, n = counted(sharing(classes), "sharing")
-    sets = saved(full_sets(docs, nodes.select("node").distinct(), n <= BROADCAST_IDS, width, key, text), "sets")
+    sets = saved(full_sets(docs, nodes.select("node"), n <= BROADCAST_IDS, width, key, text), "sets")
     nodes = saved(with_shared(nodes, sets, percent), "nodes")
-    labels = spark.createDataFrame([], "node long, component long")
-    for most in (FIRST, HALVES):
-        done, first = spark.createDataFrame([], "key long, node long"), most == FIRST
-        while True:
-            placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            placed = saved(placed, "placed")
-            rows = keyed(placed, most).select("key", "node", "comp", F.col("n").cast("int"), F.col("m").cast("int"))
-            of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min("n").alias("_least"), F.max("m").alias("_most"))
-            largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
-            minor = rows.join(largest, (rows["key"] == largest["key"]) & (rows["comp"] != largest["_largest"])).drop(largest["key"]).drop("_largest").join(done, ["key", "node"], "left_anti")
-            lead = minor.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("_r") <= (1 if first else LEADERS)).drop("_r")
-            lead, n = counted(lead.select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("comp").alias("_lcomp")), "leaders")
-            if not n:
-                break
-            new, n = counted(confirmed(candidates(lead, of_comp, placed, sets, most, percent), sets, percent), "links")
-            if n:
-                labels = joined(labels, new)
-            done, first = done.unionByName(lead.select("key", F.col("u").alias("node"))), False
-            swept(spark)
-    return labels
+    labels = components(confirmed(stars(nodes, FIRST, percent), sets, percent))
+    placed = saved(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "m"), "placed")
+    rest = saved(bounded(between(placed).withColumnRenamed("b", "b_"), sets, percent), "rest")
+    pairs = by_rare(rest, percent).unionByName(by_table(rest, percent)).distinct()
+    return joined(labels, confirmed(pairs, sets, percent))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
