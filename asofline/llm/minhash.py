@@ -16,7 +16,8 @@ share a rare one; as many rare ones as it still needs, less one, may be left out
 frequency, so it is met at one of the others, found by the shingle itself, of which LOW sets at most have any.
 Only pairs that may be near by their frequent shingles alone are met by table: members of a bucket outside its
 largest component ask for the bucket's other components, and each pair is met once, at its least shared half key.
-These bounds are exact.  The others are confirmed on the full sets.  A pair at the threshold 0.8 is missed by all
+These bounds are exact.  Rows of arrays that were taken apart are joined by sorting, for Spark takes them for as few as
+their arrays and might broadcast them.  The other pairs are confirmed on the full sets.  A pair at the threshold 0.8 is missed by all
 tables with probability 2 * (1 - 0.8**ROWS)**HALVES, 0.0007; one at 0.85 with 0.00001.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; texts with fewer words
@@ -145,14 +146,14 @@ def sharing(classes: DataFrame) -> DataFrame:
     """node, n and the half keys (a, b) that other classes have too, of the classes with some in both collections."""
     half = classes.select("node", F.posexplode("halves").alias("pos", "half"))
     shared = half.groupBy("pos", "half").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    return _lists_of(half.join(shared, ["pos", "half"])).join(classes.select("node", "n"), "node")
+    return _lists_of(half.join(shared.hint("merge"), ["pos", "half"])).join(classes.select("node", "n"), "node")
 
 
 def between(placed: DataFrame) -> DataFrame:
     """placed (node, comp, n, a, b) with only those half keys that classes of two components and more have."""
     half = placed.select("node", "comp", F.explode(F.concat("a", "b")).alias("_e")).select("node", "comp", "_e.pos", "_e.half")
     several = half.groupBy("pos", "half").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("pos", "half")
-    return _lists_of(half.join(several, ["pos", "half"])).join(placed.drop("a", "b"), "node")
+    return _lists_of(half.join(several.hint("merge"), ["pos", "half"])).join(placed.drop("a", "b"), "node")
 
 
 def keyed(rows: DataFrame, most: int = HALVES) -> DataFrame:
@@ -193,7 +194,7 @@ def meeting(placed: DataFrame, wanted: DataFrame, most: int, near) -> DataFrame:
     asked = by_half(wanted.join(lists, "u"), most).withColumnsRenamed({"_below": "_ubelow", "_two": "_utwo"})
     members = by_half(placed.select("node", "comp", "n", "m", "a", "b"), most)
     once = F.arrays_overlap("_two", "_utwo") & ~F.arrays_overlap("_below", "_ubelow")
-    return members.join(asked, ["comp", "_h"]).where(near & once).select("u", "node")
+    return members.join(asked.hint("merge"), ["comp", "_h"]).where(near & once).select("u", "node")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +211,7 @@ def stars(nodes: DataFrame, most: int, percent: int) -> DataFrame:
     rows = keyed(nodes.select("node", F.col("n").cast("int"), F.col("m").cast("int"), "a", "b"), most)
     least = rows.groupBy("key").agg(F.min(F.struct("node", "n", "m")).alias("_l"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     near = _near(percent, F.least("m", "_l.m"), F.col("n"), F.col("_l.n"))
-    return rows.join(least, "key").where((F.col("node") != F.col("_l.node")) & near).select(F.col("_l.node").alias("u"), F.col("node").alias("v")).distinct()
+    return rows.join(least.hint("merge"), "key").where((F.col("node") != F.col("_l.node")) & near).select(F.col("_l.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def bounded(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +222,7 @@ def bounded(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = sets.join(rest.select("node"), "node").select("node", F.explode("set").alias("_s"))
     often = own.groupBy("_s").agg(F.count("*").alias("_df"), F.min("node").alias("_one"))
     alone = often.where("_df = 1").groupBy(F.col("_one").alias("node")).agg(F.count("*").alias("_alone"))
-    few = own.join(often.where(F.col("_df").between(2, LOW)).drop("_one"), "_s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("_few"))  # shingles of one text
+    few = own.join(often.where(F.col("_df").between(2, LOW)).drop("_one").hint("merge"), "_s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("_few"))  # shingles of one text
     zero = F.lit(0).cast("long")
     out = rest.join(alone, "node", "left").join(few, "node", "left")
     out = out.withColumn("m", F.col("n") - F.coalesce("_alone", zero)).withColumn("b", F.col("m") - F.coalesce(F.size("_few"), F.lit(0)))
@@ -237,7 +238,7 @@ def by_rare(rest: DataFrame, percent: int) -> DataFrame:
     two = rows.select("_s", *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "n", "m", "b")])
     usual = _near(percent, F.least("b", "_b"), F.col("n"), F.col("_n"))
     some = (F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")) & _near(percent, F.least("m", "_m"), F.col("n"), F.col("_n")) & ~usual
-    return rows.join(two, "_s").where(some).select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct()
+    return rows.join(two.hint("merge"), "_s").where(some).select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct()
 
 
 def by_table(rest: DataFrame, percent: int) -> DataFrame:
@@ -250,10 +251,10 @@ def by_table(rest: DataFrame, percent: int) -> DataFrame:
     rows = keyed(placed, HALVES).select("key", "node", "comp", F.col("n").cast("int"), F.col("m").cast("int"))
     of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min("n").alias("_least"), F.max("m").alias("_most"))
     largest = of_comp.groupBy("key").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("key", F.col("_m.comp").alias("_largest"))
-    lead = rows.join(largest, "key").where("comp != _largest").select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("comp").alias("_lcomp"))
+    lead = rows.join(largest.hint("merge"), "key").where("comp != _largest").select("key", F.col("node").alias("u"), F.col("n").alias("_ln"), F.col("m").alias("_lm"), F.col("comp").alias("_lcomp"))
     least = F.least("_lm", "_most")
     some = (F.col("comp") != F.col("_lcomp")) & _near(percent, least, F.col("_ln"), F.greatest("_least", least))
-    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most"), "key").where(some)
+    wanted = lead.join(of_comp.select("key", "comp", "_least", "_most").hint("merge"), "key").where(some)
     wanted = wanted.groupBy("u", "comp").agg(F.first("_ln").alias("_ln"), F.first("_lm").alias("_lm"))
     near = _near(percent, F.least("m", "_lm"), F.col("n"), F.col("_ln"))
     return meeting(placed, wanted, HALVES, near).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
