@@ -3,18 +3,22 @@
 The content view reads the text alone: shares of symbols, letter cases and digits, word lengths, how far
 words, lines and windows repeat, and a few hashed word shapes.  The metadata view never sees the text: it has the
 language, the source and the number of characters.  Each view is a logistic model fitted in numpy on a
-bounded sample of labelled rows of the training fold.  In every round each view labels the unlabelled rows of
-a bounded pool of which it is most sure, if its held-back precision at that confidence is high enough, and
-the other view learns from them.  Both are then calibrated on held-back rows, combined by a logistic model of
-their logits, and score all documents in the tasks over whole texts.
+bounded sample of labelled rows of the training fold (MAX_TRAIN).
+
+The features of all documents are written once.  In every round both views score every document without a label,
+in the tasks, and each tells the other the EXCHANGED rows of each kind of which it is surest and that it hasn't told
+before; equal rows count once.  A told label is the view's calibrated probability, and weighs the more the
+further it is from one half, so a weak view teaches little and a sure one much.  Both views are fitted again on what
+they were told.  After the rounds they are calibrated on held-back rows, combined by a logistic model of
+their logits, and score all documents over whole texts.
 
 The score is the probability of good quality.  The threshold rejects where the score is low, and is lowered
 so that KEEP of the good held-back rows stay.
 
 Defined results: null or empty texts have the features of no words; null languages and sources are values of
-their own; a null n_chars is the text's length; without labels of both kinds every score is 1 and every row is
-kept; repeated rows have equal scores; extra columns are kept by annotate(), whose own names replace
-clashing ones.
+their own; a null n_chars is the text's length; a row with a null id is scored and is part of the unlabelled rows;
+without labels of both kinds every score is 1 and every row is kept; an empty table has no rows and no model;
+repeated rows have equal scores; extra columns are kept by annotate(), whose own names replace clashing ones.
 """
 
 from __future__ import annotations
@@ -22,24 +26,25 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart
+from .common import saved
 from .rules import repeated_words
 from .toxicity import _platt, training_ids
 
-#: Labelled rows, and rows of the unlabelled pool, that the models see at most.
-MAX_TRAIN, MAX_POOL = 6000, 6000
-#: Rounds of exchange; rows a view labels in a round, of each kind; precision it needs for that.
-ROUNDS, EXCHANGED, PRECISION = 3, 200, 0.97
+#: Labelled rows that the models learn from at most.
+MAX_TRAIN = 6000
+#: Rounds of exchange; rows that a view tells the other in a round, of each kind; weight of a sure told row.
+ROUNDS, EXCHANGED, TOLD_WEIGHT = 3, 200, 0.3
 #: Share of the good held-back rows whose scores the threshold leaves.
-KEEP = 0.998
+KEEP = 0.995
 SYMBOLS = "#*$%&|<>!?.,;:-_/\\@=+~^\"'()[]{}"
 SHAPES, TAGS = 64, 128
 _SHAPE = str.maketrans({c: "0" for c in "0123456789"})
@@ -126,6 +131,8 @@ class Quality:
     views: list[View] | None
     weights: np.ndarray  # of the calibrated logits, and a shift
     threshold: float
+    #: by round: how many rows the content view and the metadata view were told
+    told: list[tuple[int, int]] = field(default_factory=list)
 
     def scores(self, xs: list[np.ndarray]) -> np.ndarray:
         if self.views is None:
@@ -133,8 +140,12 @@ class Quality:
         return _sigmoid(np.clip(sum(w * v.logit(x) for w, v, x in zip(self.weights, self.views, xs)) + self.weights[-1], -30, 30))
 
 
-def train(xs: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], seed: int = 11) -> Quality:
-    """xs: features of the labelled rows, by view; pools: of the unlabelled ones."""
+#: What a view was told: features by view, probability and weight of each row.
+Told = tuple[list[np.ndarray], np.ndarray]
+
+
+def train(xs: list[np.ndarray], y: np.ndarray, surest: Callable[[list[View]], list[Told]], rounds: int = ROUNDS, seed: int = 11) -> Quality:
+    """xs: features of the labelled rows, by view; surest: what each view is told by the other, given both, once a round."""
     if len(set(y.tolist())) < 2:
         return Quality(None, np.zeros(3), 0.0)
     r = np.random.default_rng(seed)
@@ -142,94 +153,147 @@ def train(xs: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], seed: in
     if len(set(y[back].tolist())) < 2 or len(set(y[~back].tolist())) < 2:
         back = np.zeros(len(y), bool)
     held = back if back.any() else ~back
-    pseudo: list[dict[int, int]] = [{}, {}]  # what each view has been told of the pool
+    told: list[list[Told]] = [[], []]
 
     def fitted() -> list[View]:
         views = []
-        for x, pool, told in zip(xs, pools, pseudo):
-            rows = np.array(sorted(told), int)
-            both = np.vstack([x[~back], pool[rows]]) if len(rows) else x[~back]
-            z = np.concatenate([y[~back], [told[k] for k in rows]])
-            view = View.fit(both, z, np.concatenate([np.ones((~back).sum()), np.full(len(rows), 0.3)]), 3.0)
+        for k, x in enumerate(xs):
+            more = np.concatenate([p for _, p in told[k]]) if told[k] else np.zeros(0)
+            both = np.vstack([x[~back], *(t[k] for t, _ in told[k])])
+            weight = np.concatenate([np.ones((~back).sum()), TOLD_WEIGHT * np.abs(2 * more - 1)])
+            view = View.fit(both, np.concatenate([y[~back], more]), weight, 3.0)
             view.slope, view.shift = _platt(view.raw(x[held]), y[held])
             views.append(view)
         return views
 
-    views = fitted()
-    for _ in range(ROUNDS):
-        for k, view in enumerate(views):
-            p, known = _sigmoid(view.logit(pools[k])), _sigmoid(view.logit(xs[k][held]))
-            for kind, sure, seen in ((1, p, known), (0, 1 - p, 1 - known)):
-                order = np.argsort(-sure)[:EXCHANGED]
-                order = order[sure[order] >= PRECISION]
-                near = seen >= PRECISION
-                if len(order) and near.sum() >= 5 and (y[held][near] == kind).mean() >= PRECISION:
-                    pseudo[1 - k].update({int(i): kind for i in order})
+    views, counts = fitted(), []
+    for _ in range(rounds):
+        new = surest(views)
+        counts.append((len(new[0][1]), len(new[1][1])))
+        if not any(counts[-1]):
+            break
+        for k in (0, 1):
+            told[k].append(new[k])
         views = fitted()
     z = np.stack([v.logit(x[held]) for v, x in zip(views, xs)], 1)
     joint = View.fit(z, y[held], np.ones(held.sum()), 1.0)
     scale = joint.weights[:-1] / joint.spread
     weights = np.append(scale, joint.weights[-1] - (scale * joint.mean).sum())
-    model = Quality(views, weights, 0.5)
+    model = Quality(views, weights, 0.5, counts)
     good = model.scores([x[held] for x in xs])[y[held] == 1]
     model.threshold = float(min(0.5, np.quantile(good, 1 - KEEP) * 0.999))
     return model
 
 
-def _features(lang: str | None, source: str | None, n_chars: int | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    return content(text), metadata(lang, source, len(text or "") if n_chars is None else n_chars)
+#: Columns of featured(): float32 features of both views, and a hash that is the same for equal ones.
+FEATURES = ("_x0", "_x1", "_mark")
 
 
-def _inputs(docs: DataFrame, text: str) -> list:
-    have = set(docs.columns)
-    column = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind)
-    return [column("lang", "string").alias("_lang"), column("source", "string").alias("_source"), column("n_chars", "long").alias("_n"), F.col(text).cast("string").alias("_text")]
+def _unpacked(columns: list[pa.Array]) -> list[np.ndarray]:
+    """Features, by view, of a batch's packed columns."""
+    return [np.frombuffer(b"".join(c.to_pylist()), np.float32).reshape(len(c), -1).astype(np.float64) for c in columns]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Quality:
-    """The model of bounded samples: labelled rows of the training fold, and a pool of rows without a label there."""
+def featured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with FEATURES, written once; what reads the rows later doesn't read the texts again."""
+    have, names = set(docs.columns), [c for c in docs.columns if c.lower() not in FEATURES]
+    column = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind)
+    inputs = [column("lang", "string").alias("_in_lang"), column("source", "string").alias("_in_source"), column("n_chars", "long").alias("_in_n"), F.col(text).cast("string").alias("_in_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_features(*(v.as_py() for v in r)) for r in zip(*(b.column(k) for k in range(2, 6)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k].tolist() for r in rows], pa.list_(pa.float64())) for k in (0, 1))], names=["_id", "_y", "x0", "x1"])
+            for begin in range(0, b.num_rows, 500):
+                part = b.slice(begin, 500)
+                x0, x1, marks = [], [], []
+                for lang, source, n, t in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_in_lang", "_in_source", "_in_n", "_in_text"))):
+                    x0.append(content(t).astype(np.float32).tobytes())
+                    x1.append(metadata(lang, source, len(t or "") if n is None else n).astype(np.float32).tobytes())
+                    marks.append(xxhash.xxh3_64_intdigest(x0[-1] + x1[-1]) - 2**63)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(x0, pa.binary()), pa.array(x1, pa.binary()), pa.array(marks, pa.int64())], names=[*names, *FEATURES])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    return saved(docs.select(*[F.col(f"`{c}`") for c in names], *inputs).mapInArrow(run, schema + ", _x0 binary, _x1 binary, _mark long"), "features")
+
+
+def _scored(rows: DataFrame, views: list[View], key: str) -> DataFrame:
+    """_id, _mark and the calibrated probability of each view (p0, p1) of featured rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                p = [np.round(_sigmoid(v.logit(x)), 9) for v, x in zip(shared.value, _unpacked([b.column(2), b.column(3)]))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p)], names=["_id", "_mark", "p0", "p1"])
+
+    return rows.select(F.col(key).cast("long").alias("_id"), "_mark", "_x0", "_x1").mapInArrow(run, "_id long, _mark long, p0 double, p1 double")
+
+
+def _surest(rows: DataFrame, labels: DataFrame, key: str, most: int) -> Callable[[list[View]], list[Told]]:
+    """The exchange of a round over all featured rows without a label; equal rows are told once in each direction."""
+    known = labels.select(F.col(key).cast("long").alias("_id")).where("_id is not null").distinct()
+    before: list[set[int]] = [set(), set()]  # marks that each view was told, 2 * most more a round
+
+    def ask(views: list[View]) -> list[Told]:
+        pool = _scored(rows, views, key).join(known, "_id", "left_anti").groupBy("_mark").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1"))
+        pool = saved(pool, "pool")  # slim, and looked at for each kind and view
+        chosen = []
+        for k in (0, 1):
+            new = pool.where(~F.col("_mark").isin(*before[k])) if before[k] else pool
+            p = F.col(f"p{1 - k}")
+            for sure in (p.desc(), p.asc()):
+                chosen.append(new.orderBy(sure, "_mark").limit(most).select(F.lit(k).alias("k"), "_mark", p.alias("p")))
+        told = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).unionByName(chosen[3]).distinct().toArrow().sort_by([("k", "ascending"), ("_mark", "ascending")]).to_pylist()
+        marks = {r["_mark"] for r in told}
+        if not marks:
+            return [([np.zeros((0, 1))] * 2, np.zeros(0))] * 2
+        wanted = rows.sparkSession.createDataFrame([(m,) for m in sorted(marks)], "_mark long")  # 4 * most at most
+        got = rows.select("_mark", "_x0", "_x1").join(F.broadcast(wanted), "_mark").groupBy("_mark").agg(F.first("_x0").alias("_x0"), F.first("_x1").alias("_x1")).toArrow()
+        xs = _unpacked([got["_x0"], got["_x1"]])
+        at = {m: i for i, m in enumerate(got["_mark"].to_pylist())}
+        out = []
+        for k in (0, 1):
+            mine = [r for r in told if r["k"] == k]
+            before[k].update(r["_mark"] for r in mine)
+            place = np.array([at[r["_mark"]] for r in mine], int)
+            out.append(([x[place] for x in xs], np.array([r["p"] for r in mine])))
+        return out
+
+    return ask
+
+
+def _ready(docs: DataFrame) -> DataFrame:
+    return docs if {*FEATURES} <= {*docs.columns} else featured(docs)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", most: int = EXCHANGED, rounds: int = ROUNDS) -> Quality:
+    """The model of docs, plain or featured(): a bounded sample of labelled ones of the training fold, and exchange over all unlabelled ones."""
+    rows = _ready(docs)
     sample = training_ids(labels, label, MAX_TRAIN, key)
-    labelled = labels.select(F.col(key).alias("_id")).distinct()
-    pool = docs.select(F.col(key).alias("_id")).distinct().join(labelled, "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(MAX_POOL).select("_id", F.lit(None).cast("int").alias("_y"))
-    chosen = sample.unionByName(pool)  # MAX_TRAIN + MAX_POOL ids
-    rows = docs.select(F.col(key).alias("_id"), *_inputs(docs, text)).join(F.broadcast(chosen), "_id").select("_id", "_y", "_lang", "_source", "_n", "_text")
-    got = rows.mapInArrow(run, "_id long, _y int, x0 array<double>, x1 array<double>").toArrow().sort_by("_id")
+    got = rows.select(F.col(key).alias("_id"), "_x0", "_x1").join(F.broadcast(sample), "_id").toArrow().sort_by("_id")
     if not got.num_rows:
         return Quality(None, np.zeros(3), 0.0)
-    xs = [np.array(got[c].to_pylist(), np.float64).reshape(got.num_rows, -1) for c in ("x0", "x1")]
-    known = got["_y"].is_valid().to_numpy()
-    y = got["_y"].fill_null(0).to_numpy().astype(np.int64)[known]
-    return train([x[known] for x in xs], y, [x[~known] for x in xs])
+    return train(_unpacked([got["_x0"], got["_x1"]]), got["_y"].to_numpy().astype(np.int64), _surest(rows, labels, key, most), rounds)
 
 
-def annotate(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
-    """docs with score and kept."""
-    docs, back = apart(docs, (text, "lang", "source", "n_chars"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+def annotate(docs: DataFrame, model: Quality) -> DataFrame:
+    """docs, plain or featured(), with score and kept."""
+    rows = _ready(docs)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if c.lower() not in (*FEATURES, "score", "kept")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for begin in range(0, b.num_rows, 500):
-                part = b.slice(begin, 500)
-                inputs = [part.column(part.schema.get_field_index(c)) for c in ("_lang", "_source", "_n", "_text")]
-                rows = [_features(*(v.as_py() for v in r)) for r in zip(*inputs)]
-                s = np.round(m.scores([np.stack([r[k] for r in rows]) for k in (0, 1)]), 12)  # equal rows, equal scores, whatever their batch
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(s), pa.array(s >= m.threshold)], names=[*names, "score", "kept"])
+            if b.num_rows:
+                s = np.round(m.scores(_unpacked([b.column(b.schema.get_field_index(c)) for c in FEATURES[:2]])), 12)  # equal rows, equal scores, whatever their batch
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(s), pa.array(s >= m.threshold)], names=[*names, "score", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return back(docs.select("*", *_inputs(docs, text)).mapInArrow(run, schema + ", score double, kept boolean"), "score", "kept")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names]
+    return rows.mapInArrow(run, ", ".join([*schema, "score double", "kept boolean"]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """op10's result: doc_id, held_out, score (probability of good quality), predicted and kept of every document."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    out = annotate(docs.select("doc_id", "text", "lang", "source", "n_chars"), fit(docs, labels))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "kept")
+    rows = featured(docs.select("doc_id", "text", "lang", "source", "n_chars")).drop("text", "lang", "source", "n_chars")
+    return annotate(rows, fit(rows, labels)).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "kept")
