@@ -1,9 +1,11 @@
 """Quality rules: document counts, and line frequencies across the documents of a host.
 
 Lines are normalised (lower case, single blanks, digits as 0) and hashed.  For every host the number of
-distinct documents with a line is counted; equal texts are one document.  Lines above the limit are
-removed, and a document is rejected as depleted when too few of its words are left.  Counts are summed
-before the shuffle, and a line's documents are never one group.
+distinct documents with a line is counted; equal texts are one document.  Lines above the limit, which is a share of
+the host's distinct documents, are removed, and a document is rejected as depleted when too few of its words are
+left.  Counts are summed before the shuffle.  Removed lines are few a host (each is in a share of its documents) and are
+joined in SALTS parts, so the documents of one line are not one group; hosts of BIG_HOST documents and more,
+whose number is bounded by that, are broadcast, so the lines of one host aren't one either.
 
 Defined results: a null text has no words and fails the base rules; a null source is the source named by
 an empty text; repeated rows are judged alike; ids aren't needed and may be null; extra columns with clashing
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, saved
 
-#: A line of more distinct documents of one host than this is removed.
-MAX_DOCUMENTS = 100
+#: A line is removed if more distinct documents of its host have it than this number and this percentage of them.
+MAX_DOCUMENTS, PERCENT = 5, 2
+#: Distinct documents from which a host is broadcast, and parts of the documents that a removed line meets.
+BIG_HOST, SALTS = 100_000, 16
 #: A document is depleted with less than this share of its words left.
 LEFT = 0.5
 #: Base rules: words at least, and percent of words in repeated windows at most.
@@ -114,25 +118,36 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return docs.select(key, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, host string, {MEASURES}")
 
 
-def depleted_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def common_lines(lines: DataFrame, texts: DataFrame, max_documents: int = MAX_DOCUMENTS, percent: float = PERCENT) -> DataFrame:
+    """host, line of the lines above the limit; lines: host, t1, t2, line, once for each distinct text; texts: host, t1, t2."""
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_documents)
+    hosts = texts.groupBy("host").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_documents)
+    big = hosts.where(F.col("_docs") >= BIG_HOST).select("host", F.col("_docs").alias("_many"))
+    both = often.join(F.broadcast(big), "host", "left")
+    above = lambda df, n: df.where(100 * F.col("_n") > percent * F.col(n)).select("host", "line")
+    return above(both.where("_many is not null"), "_many").unionByName(above(both.where("_many is null").join(hosts, "host"), "_docs"))
+
+
+def depleted_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, percent: float = PERCENT) -> DataFrame:
     """host, t1, t2 of the texts that lose lines, with removed_words and the removed lines' hashes."""
     texts = rows.groupBy("host", "t1", "t2").agg(F.first("lines").alias("lines"))
     lines = texts.select("host", "t1", "t2", F.explode("lines").alias("_l")).select("host", "t1", "t2", "_l.line", "_l.words")
-    common = lines.groupBy("host", "line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_documents).drop("_n")
-    return lines.join(common, ["host", "line"]).groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
+    common = common_lines(lines, texts, max_documents, percent).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("_salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
+    return salted.join(common, ["host", "line", "_salt"]).groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
 
 
-def judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, left: float = LEFT, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, left: float = LEFT, key: str = "doc_id", text: str = "text", host: str = "source", percent: float = PERCENT) -> DataFrame:
     """key, host, t1, t2, the base measures, base_failed, kept, removed_words and removed of each row."""
     rows = saved(measured(docs, key, text, host), "measured")
-    out = rows.drop("lines").join(depleted_lines(rows, max_documents), ["host", "t1", "t2"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    out = rows.drop("lines").join(depleted_lines(rows, max_documents, percent), ["host", "t1", "t2"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= left * F.col("n_words")))
 
 
-def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, left: float = LEFT, text: str = "text", host: str = "source") -> DataFrame:
+def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, left: float = LEFT, text: str = "text", host: str = "source", percent: float = PERCENT) -> DataFrame:
     """The documents that pass all rules, without the lines above the limits."""
-    verdicts = judged(docs.withColumn("_key", F.lit(0)), max_documents, left, "_key", text, host).where("kept").groupBy("host", "t1", "t2").agg(F.first("removed").alias("_removed"))
+    verdicts = judged(docs.withColumn("_key", F.lit(0)), max_documents, left, "_key", text, host, percent).where("kept").groupBy("host", "t1", "t2").agg(F.first("removed").alias("_removed"))
     names = docs.columns
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +187,9 @@ dup AS (SELECT rid, count(*) AS n FROM (SELECT rid, row_number() OVER (PARTITION
 win AS (SELECT rid, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS k FROM t WHERE len(ws) >= 3)),
 twice AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY rid),
-common AS (SELECT host, norm FROM lines WHERE words > 0 GROUP BY host, norm HAVING count(DISTINCT text) > {MAX_DOCUMENTS}),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
+often AS (SELECT host, norm, count(DISTINCT text) AS n FROM lines WHERE words > 0 GROUP BY host, norm),
+common AS (SELECT o.host, o.norm FROM often o JOIN hosts h USING (host) WHERE o.n > {MAX_DOCUMENTS} AND 100 * o.n > {PERCENT} * h.n),
 gone AS (SELECT l.rid, sum(l.words) AS n FROM lines l JOIN common c USING (host, norm) WHERE l.words > 0 GROUP BY l.rid),
 m AS (SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
