@@ -3,7 +3,11 @@
 Writing: each task writes records, one gzip member each, to files of its own under a temporary name;
 the commit renames those of the successful attempts, so a lost executor leaves no half file behind.
 
-Reading: files are planned into partitions of about MAX_PARTITION bytes.  Predicates on headers (record
+Equal payloads are found by their SHA-1 in rows without payloads; what refers to another page is joined with the
+pages by id, so a payload that many pages have is no key that payloads are dealt by.
+
+Reading: files are planned into partitions of about MAX_PARTITION bytes; a file is never split, and none is written
+beyond that size.  Predicates on headers (record
 type, page id, URL, digest, length, reference) are pushed down.  Of each record the headers are read
 first: a gzip member written here carries its length in the gzip extra field, so the reader inflates only
 the beginning, tests the predicates, and seeks over the payload unless a wanted column needs it.  Other
@@ -31,13 +35,14 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith, WriterCommitMessage
 
-from .common import scratch
+from .common import counted, scratch
 
-MAX_PARTITION = 32 << 20
-#: A task begins a new file beyond this size.
-MAX_FILE = 128 << 20
+#: Bytes of the files of a partition; a task that writes begins a new file beyond MAX_FILE.
+MAX_PARTITION, MAX_FILE = 64 << 20, 60 << 20
+#: References that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -199,6 +204,9 @@ def read_records(file, wanted: Callable[[dict], bool], payload: Callable[[dict],
 
 def _test(f: Filter) -> Callable[[dict], bool] | None:
     """A predicate on a header as a function of a row, or None where it isn't one."""
+    if isinstance(f, Not) and isinstance(f.child, (EqualTo, In, StringStartsWith)):
+        test, c = _test(f.child), getattr(f.child, "attribute", ())
+        return None if test is None else lambda r: r[c[0]] is not None and not test(r)
     path = getattr(f, "attribute", ())
     if len(path) != 1 or path[0] not in {x.split()[0] for x in HEADERS.split(", ")}:
         return None
@@ -350,10 +358,12 @@ def register(spark: SparkSession) -> None:
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to: the smallest page id of an equal payload, null for that page itself and for smaller payloads."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("_sha1", F.sha1("payload"))
-    copied = rows.where(F.octet_length("payload") >= least_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    both = rows.join(copied, "_sha1", "left")
-    return both.select("page_id", "url", "payload", F.when(F.col("_first") != F.col("page_id"), F.col("_first")).alias("refers_to"))
+    slim = rows.where(F.octet_length("payload") >= least_bytes).select(F.col("page_id").alias("_page"), F.sha1("payload").alias("_sha1"))
+    first = slim.groupBy("_sha1").agg(F.min("_page").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies, n = counted(slim.where("_page is not null").distinct().join(first, "_sha1").where("_page != _first"), "copies")
+    copies = F.broadcast(copies) if n <= BROADCAST_IDS else copies.hint("merge")
+    same = (F.col("page_id") == F.col("_page")) & (F.sha1("payload") == F.col("_sha1"))
+    return rows.join(copies, same, "left").select("page_id", "url", "payload", F.col("_first").alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -368,8 +378,13 @@ def read(spark: SparkSession, path: str, payload: bool = False, verify: bool = F
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """op8's result: archives of all pages, written to the shared folder and read back; the payloads of responses are decoded and checked."""
+    """op8's result: archives of all pages, written to the shared folder and read back by record type.
+
+    Payloads of responses are decoded and checked; those of other records are skipped, by a predicate that the source is given.
+    """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path)
-    return read(spark, path, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    full = read(spark, path, verify=True).where("record_type = 'response'")
+    heads = read(spark, path).where("record_type != 'response'")
+    return full.unionByName(heads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
