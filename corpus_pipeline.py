@@ -1,4 +1,9 @@
-"""Corpus pipeline: toxicity, quality classifier, near-duplicates, packing; each stage works on what the one before kept."""
+"""Corpus pipeline: toxicity, quality classifier, near-duplicates, packing; each stage works on what the one before kept.
+
+Defined results of every stage: null and empty texts are judged as texts of no words, stay apart as duplicates and are packed as
+one id; a row with a null id goes on unless its text is rejected; repeated rows are judged alike, and rows that share an id
+stay or go together; an empty table gives an empty one; extra columns, whatever their names, go through unread.
+"""
 
 from __future__ import annotations
 
@@ -21,8 +26,9 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
     rows, back = apart(docs, COLUMNS)
+    rows = quality.featured(rows)  # once, for the fit and for the scores
+    model = quality.fit(rows, table(spark, sf_dir, "labels"))
     return back(quality.annotate(rows, model).where("kept"))
 
 
