@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, saved
+from .common import counted, saved, swept
 from .components import components, joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
@@ -262,14 +262,18 @@ def by_table(rest: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node, component of the classes that are linked with others; classes: node, n, halves."""
+    spark = docs.sparkSession
     nodes, n = counted(sharing(classes), "sharing")
     sets = saved(full_sets(docs, nodes.select("node"), n <= BROADCAST_IDS, width, key, text), "sets")
     nodes = saved(with_shared(nodes, sets, percent), "nodes")
     labels = components(confirmed(stars(nodes, FIRST, percent), sets, percent))
+    swept(spark)
     placed = saved(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "m"), "placed")
     rest = saved(bounded(between(placed).withColumnRenamed("b", "b_"), sets, percent), "rest")
-    pairs = by_rare(rest, percent).unionByName(by_table(rest, percent)).distinct()
-    return joined(labels, confirmed(pairs, sets, percent))
+    pairs = saved(by_rare(rest, percent), "rare_pairs").unionByName(saved(by_table(rest, percent), "table_pairs")).distinct()
+    new = saved(confirmed(pairs, sets, percent), "links")
+    swept(spark)
+    return joined(labels, new)
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
