@@ -4,7 +4,7 @@ A word is the sum of hashed embeddings of the word and of its beginnings of seve
 of one stem are alike.  Filters of widths 1, 2 and 3 run over the whole text, max pooling keeps each
 filter's strongest windows (the first TOP of them, so that a word said once differs from one said again),
 and a linear layer makes the logit.  The model is trained in numpy with Adagrad on a bounded sample of labelled rows of the training
-fold (MAX_TRAIN).  Logits out of fold calibrate a scale and a threshold for each language that is told from
+fold (MAX_TRAIN); that is one task's work, so a lost executor repeats it, and the driver holds the finished model alone.  Logits out of fold calibrate a scale and a threshold for each language that is told from
 the text's function words, with what all languages share where one has few examples; the score is moved so
 that the threshold is 0.7 everywhere.  Labels, language and source columns and ids are no inputs.
 
@@ -18,6 +18,7 @@ extra columns are kept by annotate(), whose own names replace clashing ones.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -50,6 +51,8 @@ LANGUAGES = {
     "es": "de la que el en y a los se del las un por con no una su para es al",
 }
 _NAMES = list(LANGUAGES)
+#: The scale of a model that has learned nothing: slope, shift and threshold by language.
+FLAT = np.tile(np.array([1.0, 0.0, THRESHOLD]), (len(LANGUAGES) + 1, 1))
 _SAYS = {w: np.array([w in LANGUAGES[n].split() for n in _NAMES], np.float32) for n in _NAMES for w in LANGUAGES[n].split()}
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -229,9 +232,8 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: list[np.ndarray], words: list[str], tongues: np.ndarray, y: np.ndarray, seed: int = 7) -> Toxicity:
     """docs: the words of each text as places in words."""
-    flat = np.tile(np.array([1.0, 0.0, THRESHOLD]), (len(_NAMES) + 1, 1))
     if len(set(y.tolist())) < 2:
-        return Toxicity(None, flat)
+        return Toxicity(None, FLAT)
     r = np.random.default_rng(seed)
     fold = r.permutation(len(y)) % 2
     z = np.zeros(len(y))
@@ -261,7 +263,7 @@ def training_ids(labels: DataFrame, label: str, most: int, key: str = "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN, key: str = "doc_id", text: str = "text") -> Toxicity:
-    """The model of a bounded sample of labelled rows; whole texts, as packed words, reach the driver."""
+    """The model of a bounded sample of labelled rows; their whole texts, as words, meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,14 +272,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
 
     sample = training_ids(labels, label, most, key)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
-    got = rows.mapInArrow(run, "_id long, _y int, words array<string>").toArrow().sort_by("_id")
+    split = rows.mapInArrow(run, "_id long, _y int, words array<string>").repartition(1)  # MAX_TRAIN rows
+    found = split.mapInArrow(_trained, "model binary").toArrow()["model"].to_pylist()
+    return pickle.loads(found[0]) if found else Toxicity(None, FLAT)
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (_id, _y, words) of a task, packed; nothing without rows."""
+    got = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("_id", pa.int64()), ("_y", pa.int32()), ("words", pa.list_(pa.string()))]))]).sort_by("_id")
+    if not got.num_rows:
+        return
     column = got["words"].combine_chunks()
-    code = column.values.dictionary_encode()
-    ends, flat, words = column.offsets.to_numpy(), code.indices.to_numpy(), code.dictionary.to_pylist()
+    code = column.flatten().dictionary_encode()
+    sizes = column.value_lengths().to_numpy()
+    ends, flat, words = np.concatenate([[0], np.cumsum(sizes)]), code.indices.to_numpy(), code.dictionary.to_pylist()
     parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
     says = np.array([_SAYS.get(w, np.zeros(len(_NAMES), np.float32)) for w in words], np.float32).reshape(-1, len(_NAMES))
     tongues = np.array([language(says[p].sum(0)) for p in parts])
-    return train(parts, words, tongues, got["_y"].to_numpy().astype(np.int64))
+    model = train(parts, words, tongues, got["_y"].to_numpy().astype(np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 class _Scorer:
