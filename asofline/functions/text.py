@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that are no tokens.
 STOPWORDS = (
@@ -64,6 +67,7 @@ MATERIAL_TERMS = {
         "service tier", "tiers",
     ),
 }
+# Terms of the industry and of the economy, which make a text worth a look.
 INDUSTRY_TERMS = (
     "streaming", "streamer", "streamers", "cord-cutting", "cord cutting", "cord cutter",
     "pay-tv", "pay tv", "video on demand", "video-on-demand", "svod", "avod",
@@ -72,6 +76,7 @@ MACRO_TERMS = (
     "recession", "inflation", "federal reserve", "interest rate", "interest rates",
     "rate hike", "rate cut", "gdp", "unemployment", "trade war", "stimulus",
 )
+# Words of a company's name that don't tell it from others.
 NAME_STOPWORDS = ("inc", "incorporated", "corp", "corporation", "company", "co", "ltd", "limited", "holdings", "group", "the")
 
 
@@ -156,13 +161,36 @@ def accession_of(url: Column) -> Column:
     return F.when(F.length(digits) == 18, F.concat_ws("-", F.substring(digits, 1, 10), F.substring(digits, 11, 2), F.substring(digits, 13, 6))).otherwise("")
 
 
-def strip_html(html: Column) -> Column:
-    """Text of a page: without hidden headers, scripts, styles and comments; tags are blanks; the common entities are decoded."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<ix:header.*?</ix:header>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\f\r]+", " "), r" ?\n\s*", "\n"))
+def decoded(text: Column) -> Column:
+    """A text with its character references decoded, named and numbered ones; a table that Spark's own functions lack."""
+
+    def unescaped(texts: pd.Series) -> pd.Series:  # in here, so that it goes to executors by value
+        return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+    return F.pandas_udf(unescaped, StringType())(text)
+
+
+def strip_html(page: Column) -> Column:
+    """Text of a page: without hidden headers, scripts, styles and comments; tags are blanks, character references are decoded, runs of blanks and of empty lines are one."""
+    t = F.coalesce(page, F.lit(""))
+    for hidden in (r"(?is)<ix:header.*?</ix:header>", r"(?is)<(script|style)[^>]*>.*?</\1>", r"(?is)<!--.*?-->", r"<[^>]+>"):
+        t = F.regexp_replace(t, hidden, " ")
+    t = decoded(t)
+    for blanks, one in (("[ \\t\\xA0]+", " "), (" ?\n ?", "\n"), ("\n{3,}", "\n\n")):
+        t = F.regexp_replace(t, blanks, one)
+    return F.regexp_replace(t, "^[\\s\\xA0]+|[\\s\\xA0]+$", "")
+
+
+def guid(text: Column) -> Column:
+    """A fixed id of a text: its MD5 as a GUID, whose first three groups are written with their bytes reversed."""
+    h = F.md5(text)
+    part = lambda *at: F.concat(*[F.substring(h, k, 2) for k in at])
+    return F.concat_ws("-", part(7, 5, 3, 1), part(11, 9), part(15, 13), F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A quarter of a text's characters, one at least."""
+    return F.greatest(F.lit(1.0), F.length(F.coalesce(text, F.lit(""))) / 4.0)
 
 
 def exchange_code(exchange: Column) -> Column:

@@ -14,19 +14,26 @@ REGIMES = ("calm", "normal", "tense", "warming")
 DIRECTIONS = ("agree", "disagree", "neutral", "unknown")
 STRUCTURAL = 96
 CONTENT_WEIGHT = 4.0
+#: Versions that are stamped on cases, characters of a frozen text, signals that ask for structural matches.
+PROJECTION, METHOD, MAX_TEXT = "hcp-v1", "reg-v1", 500
+STRUCTURAL_SIGNALS = ("regulatory-overhang", "leadership-turbulence", "volume-first-divergence")
+#: Event types of filings, in the order of their dimensions.
+EVENTS = ("management_change", "acquisition", "earnings_warning", "regulatory", "other")
 
 
 def freeze(peaks: DataFrame, threads: DataFrame, regimes: DataFrame, evidence: DataFrame, bars: DataFrame) -> DataFrame:
-    """One nested row a peak: threads whose span meets the window before it and that had an article by then, its regime path, evidence counts and reaction.
+    """One nested row a peak: threads whose span meets the window before it, its regime path, evidence counts and reaction.
 
+    A thread without a span can't be placed: it rides along, undated.  Items of evidence are rows of their own (evidence_items).
     peaks: symbol, date, daily_return_pct, score, flags, sentiment_direction, sentiment_mean; threads: symbol, thread, category,
-    n_articles, span_start, span_end; evidence: symbol, date, news_count, n_8k, n_10, n_filings.
+    n_articles, span_start, span_end; evidence: symbol, date, news_count, n_8k, n_10, n_filings, events, relevance, filing_sentiment.
     """
     key = ["symbol", "date"]
     k = peaks.select(*key)
     of = lambda rows: k.join(rows.withColumnRenamed("symbol", "_s"), F.col("symbol") == F.col("_s"))
-    span = of(threads).where((F.to_date("span_end") >= F.date_sub("date", BEFORE)) & (F.to_date("span_start") <= F.col("date")))
-    t = span.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("thread", "category", "n_articles"))).alias("threads"))
+    undated = F.col("span_start").isNull() | F.col("span_end").isNull()
+    span = of(threads).where(undated | ((F.to_date("span_end") >= F.date_sub("date", BEFORE)) & (F.to_date("span_start") <= F.col("date"))))
+    t = span.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("thread", F.coalesce("category", F.lit("")).alias("category"), "n_articles", (~undated).alias("dated")))).alias("threads"))
     path = of(regimes.select("symbol", F.col("date").alias("_d"), "regime")).where(F.col("_d").between(F.date_sub("date", BEFORE), F.col("date")))
     r = path.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("day"), "regime"))).alias("regime_path"))
     after = of(bars.select("symbol", F.col("date").alias("_d"), "close")).where((F.col("_d") > F.col("date")) & (F.col("_d") <= F.date_add("date", REACTION_DAYS)))
@@ -35,16 +42,34 @@ def freeze(peaks: DataFrame, threads: DataFrame, regimes: DataFrame, evidence: D
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     return out.select(
         F.concat_ws(":", "symbol", F.date_format("date", "yyyy-MM-dd")).alias("case_id"), "symbol", F.col("date").alias("peak"), "daily_return_pct", "score", "flags", "sentiment_direction", "sentiment_mean",
-        empty("threads", "array<struct<thread:string,category:string,n_articles:bigint>>"), empty("regime_path", "array<struct<day:date,regime:string>>"), empty("reaction", "array<struct<day:date,close:double>>"),
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("news_count", "n_8k", "n_10", "n_filings")),
+        empty("threads", "array<struct<thread:string,category:string,n_articles:bigint,dated:boolean>>"), empty("regime_path", "array<struct<day:date,regime:string>>"), empty("reaction", "array<struct<day:date,close:double>>"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("news_count", "n_8k", "n_10", "n_filings")), empty("events", "array<string>"), "relevance", "filing_sentiment", F.lit(PROJECTION).alias("projection"),
     )
 
 
+def clip(text: Column, most: int = MAX_TEXT) -> Column:
+    """Text of a frozen item: nothing for blank texts, else its first characters (the stored field's limit)."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "").otherwise(F.substring(text, 1, most))
+
+
+def evidence_items(peaks: DataFrame, news: DataFrame, filings: DataFrame, social: DataFrame, social_days: int = 7, lookback: int = 30) -> DataFrame:
+    """case_id, kind, ref, at, text: each item of evidence that a case is frozen with; one row an item, so a case of many is no row of its own."""
+    p = peaks.select("symbol", "date", F.concat_ws(":", "symbol", F.date_format("date", "yyyy-MM-dd")).alias("case_id"))
+    day = F.to_date("at")
+    rows = lambda df, kind, ref, at, text: df.select(F.col("symbol").alias("_s"), F.lit(kind).alias("kind"), F.col(ref).alias("ref"), F.col(at).alias("at"), text.alias("text"))
+    upto = lambda r, low: p.join(r, (F.col("symbol") == F.col("_s")) & low & (day <= F.col("date"))).select("case_id", "kind", "ref", "at", "text")
+    n = upto(rows(news, "news", "id", "published_at", clip(F.col("description"))), F.lit(True))
+    f = upto(rows(filings, "filing", "accession", "filed_at", F.col("form_type")), day >= F.date_sub("date", lookback))
+    s = upto(rows(social, "social", "id", "created_at", F.col("community")), day >= F.date_sub("date", social_days))
+    return n.unionByName(f).unionByName(s)
+
+
 def completeness(case: DataFrame) -> DataFrame:
-    """case with completeness, a map by area, and overall: full, partial or missing."""
+    """case with completeness, a map by area, and overall: full, partial or missing; threads are partial with an undated one, evidence without any item."""
     some = lambda test: F.when(test, "full").otherwise("missing")
     areas = {
-        "threads": some(F.size("threads") > 0), "regimes": some(F.size("regime_path") > 0), "evidence": some((F.col("news_count") > 0) | (F.col("n_filings") > 0)), "sentiment": some(F.col("sentiment_mean").isNotNull()),
+        "threads": F.when(F.size("threads") == 0, "missing").when(F.exists("threads", lambda t: ~t["dated"]), "partial").otherwise("full"), "regimes": some(F.size("regime_path") > 0),
+        "evidence": F.when((F.col("news_count") > 0) | (F.col("n_filings") > 0), "full").otherwise("partial"), "sentiment": some(F.col("sentiment_direction") != "unknown"),
         "reaction": F.when(F.size("reaction") >= 3, "full").when(F.size("reaction") > 0, "partial").otherwise("missing"),
     }
     out = case.withColumn("completeness", F.map_from_arrays(F.array(*map(F.lit, areas)), F.array(*areas.values())))
@@ -52,6 +77,32 @@ def completeness(case: DataFrame) -> DataFrame:
     return out.withColumn("overall", F.when(F.forall(v, lambda a: a == "full"), "full").when(F.forall(v, lambda a: a == "missing"), "missing").otherwise("partial"))
 
 
+def matches_frozen(frozen: DataFrame, live: DataFrame) -> DataFrame:
+    """case_id, matches: whether a recomputed case is the frozen one: both of the current projection, with as many threads; false where one is missing."""
+    f, v = (d.select("case_id", F.col("projection").alias(f"_p{k}"), F.size("threads").alias(f"_n{k}")) for k, d in enumerate((frozen, live)))
+    same = (F.col("_p0") == PROJECTION) & (F.col("_p1") == PROJECTION) & (F.col("_n0") == F.col("_n1"))
+    return f.join(v, "case_id", "full_outer").select("case_id", F.coalesce(same, F.lit(False)).alias("matches"))
+
+
+def regulatory_clean(items: DataFrame, methodology: Column, tiers: Column) -> DataFrame:
+    """case_id, clean: made by the current method, with all three tiers, and without a filing outside the window (items: case_id, filed_at, peak, methodology, tiers)."""
+    days = F.datediff("peak", F.to_date("filed_at"))
+    inside = F.col("filed_at").isNull() | days.between(0, 30)
+    return items.groupBy("case_id").agg((F.min(methodology == METHOD) & (F.min(F.size(tiers)) == 3) & F.min(inside)).alias("clean"))
+
+
+def to_registry(case: DataFrame) -> DataFrame:
+    """case_id, symbol, peak, body: cases as JSON rows."""
+    return case.select("case_id", "symbol", "peak", F.to_json(F.struct(*[c for c in case.columns if c not in ("case_id", "symbol", "peak")])).alias("body"))
+
+
+def from_registry(rows: DataFrame, schema: str) -> DataFrame:
+    """Cases of JSON rows; a blank or broken one is no case, and no error."""
+    parsed = F.from_json("body", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    out = rows.where(F.trim(F.coalesce("body", F.lit(""))) != "").withColumn("_c", parsed)
+    return out.where("_c is not null and _c._broken is null").select("case_id", "symbol", "peak", "_c.*").drop("_broken")
+
+
 def in_category(*names: str, voting: bool = False) -> Column:
     return F.size(F.filter("threads", lambda t: t["category"].isin(*names) & ((t["n_articles"] > 1) if voting else F.lit(True))))
 
@@ -83,27 +134,37 @@ def signals(case: DataFrame) -> DataFrame:
 
 
 def structural(case: DataFrame) -> DataFrame:
-    """case with vector: 96 dimensions of unit length (all zero where nothing is measured); the places are fixed values."""
-    fires = lambda n: F.array_contains("fired", n)
+    """case with vector: 96 dimensions of unit length (all zero where nothing is measured); the places are fixed values.
+
+    Groups of dimensions are arrays made by one function over their names, so the expression stays small.
+    """
     n_path, n_threads = F.size("regime_path"), F.size("threads")
-    share = lambda label: F.coalesce(F.size(F.filter("regime_path", lambda r: r["regime"] == label)) / F.nullif(n_path, F.lit(0)), F.lit(0.0))
+    clamp = lambda c, low: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(low)), F.lit(1.0))  # noqa: E731  what isn't known is 0
+    each = lambda names, f: F.transform(F.array(*[F.lit(n) for n in names]), f)
+    share = lambda part, whole: F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    fires = lambda n: F.array_contains("fired", n)
+    days = lambda label: F.size(F.filter("regime_path", lambda r: r["regime"] == label))
     labels = F.transform("regime_path", lambda r: r["regime"])
-    pairs = F.when(n_path > 1, F.zip_with(F.slice(labels, 1, F.greatest(n_path - 1, F.lit(1))), F.slice(labels, 2, F.greatest(n_path - 1, F.lit(1))), lambda a, b: F.concat_ws(">", a, b))).otherwise(F.array().cast("array<string>"))
-    v = [F.when(fires(n), 3.0).otherwise(0.0) for n in SIGNALS]
-    v += [share(label) for label in REGIMES]
-    v += [F.when(warming_to_tense(), 2.0).otherwise(0.0), share("tense") * 2]
-    v += [F.when(F.col("sentiment_direction") == d, 2.0).otherwise(0.0) for d in DIRECTIONS]
-    for c in CATEGORIES:
-        v += [F.coalesce(in_category(c) / F.nullif(n_threads, F.lit(0)), F.lit(0.0)), F.least(in_category(c) / 10, F.lit(1.0))]
-    v += [F.when(fires(a) & fires(b), 2.0).otherwise(0.0) for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1 :]]
-    v += [F.least(F.col(c) / 3, F.lit(1.0)) * 0.5 for c in ("n_8k", "n_10")] + [F.least(F.greatest(F.col("n_filings") - F.col("n_8k") - F.col("n_10"), F.lit(0)) / 3, F.lit(1.0)) * 0.5]
+    pairs = F.when(n_path > 1, F.zip_with(F.slice(labels, 1, F.greatest(n_path - 1, F.lit(1))), F.slice(labels, 2, F.greatest(n_path - 1, F.lit(1))), lambda x, y: F.concat_ws(">", x, y))).otherwise(F.array().cast("array<string>"))
+    counts = each(CATEGORIES, lambda c: F.size(F.filter("threads", lambda t: t["category"] == c)))
+    raw = case.withColumns({"_pairs": pairs, "_counts": counts})
+    both = F.array(*[F.array(F.lit(x), F.lit(y)) for i, x in enumerate(SIGNALS) for y in SIGNALS[i + 1 :]])
     ret = F.col("daily_return_pct")
-    v += [F.least(F.greatest(ret, F.lit(0.0)), F.lit(10.0)) / 10 * 0.5, F.least(F.greatest(-ret, F.lit(0.0)), F.lit(10.0)) / 10 * 0.5]
-    v += [F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)), F.least(F.col("news_count") / 5, F.lit(1.0)), F.coalesce(F.least(F.greatest("sentiment_mean", F.lit(-1.0)), F.lit(1.0)), F.lit(0.0)) * 2]
-    v += [F.size(F.filter("_pairs", lambda p: p == f"{a}>{b}")) / F.greatest(n_path - 1, F.lit(1)) for a in REGIMES for b in REGIMES]
-    v += [F.lit(0.0)] * (STRUCTURAL - len(v))  # filings without a structured summary add nothing
-    raw = case.withColumn("_pairs", pairs)
-    return raw.withColumn("vector", unit(F.array(*[x.cast("double") for x in v]))).drop("_pairs")
+    groups = [
+        each(SIGNALS, lambda n: F.when(fires(n), 3.0).otherwise(0.0)),
+        each(REGIMES, lambda label: share(days(label), n_path)),
+        F.array(F.when(warming_to_tense(), 2.0).otherwise(0.0), share(tense_days(), n_path) * 2),
+        each(DIRECTIONS, lambda d: F.when(F.col("sentiment_direction") == d, 2.0).otherwise(0.0)),
+        F.flatten(F.transform("_counts", lambda n: F.array(share(n, n_threads), F.least(n / 10, F.lit(1.0))))),
+        F.transform(both, lambda p: F.when(fires(p[0]) & fires(p[1]), 2.0).otherwise(0.0)),
+        F.array(*[F.least(c / 3, F.lit(1.0)) * 0.5 for c in (F.col("n_8k"), F.col("n_10"), F.greatest(F.col("n_filings") - F.col("n_8k") - F.col("n_10"), F.lit(0)))]),
+        F.array(*[F.least(F.greatest(r, F.lit(0.0)), F.lit(10.0)) / 10 * 0.5 for r in (ret, -ret)], clamp("score", 0.0), F.least(F.col("news_count") / 5, F.lit(1.0)), clamp("sentiment_mean", -1.0) * 2),
+        each([f"{x}>{y}" for x in REGIMES for y in REGIMES], lambda p: F.size(F.filter("_pairs", lambda q: q == p)) / F.greatest(n_path - 1, F.lit(1))),
+        each(EVENTS, lambda e: F.when(F.array_contains("events", e), 2.0).otherwise(0.0)),  # filings without a structured summary add nothing
+        F.array(clamp("relevance", 0.0) * 2, clamp("filing_sentiment", -1.0) * 2),
+    ]
+    whole = F.concat(*[g.cast("array<double>") for g in groups])
+    return raw.withColumn("vector", unit(whole)).drop("_pairs", "_counts")
 
 
 def unit(v: Column) -> Column:
@@ -124,10 +185,12 @@ def hybrid(case: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def supporters(case: DataFrame) -> DataFrame:
-    """case_id, signal, n_supporters: other cases with the signal that peaked no later; a running count, without pairs."""
+    """case_id, signal, n_supporters: other cases with the signal that peaked no later; running sums of counts by day, so a signal's cases are no group."""
     fired = case.select("case_id", "peak", F.explode("fired").alias("signal"))
-    upto = W.partitionBy("signal").orderBy("peak").rangeBetween(W.unboundedPreceding, W.currentRow)
-    return fired.select("case_id", "signal", (F.count("*").over(upto) - 1).alias("n_supporters"))
+    days = fired.groupBy("signal", "peak").agg(F.count("*").alias("_c"))
+    upto = W.partitionBy("signal").orderBy("peak")
+    running = days.select("signal", "peak", F.sum("_c").over(upto).alias("_upto"))
+    return fired.join(running, ["signal", "peak"]).select("case_id", "signal", (F.col("_upto") - 1).alias("n_supporters"))
 
 
 def aftermath(case: DataFrame) -> DataFrame:
@@ -142,6 +205,29 @@ def display(similarity: Column) -> Column:
     return F.least(F.bround(similarity, 3), F.lit(0.999))
 
 
+def similar_cases(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """q, case_id, similarity: pairs (q, id, similarity) of cases, without those of one symbol whose peaks are EXCLUDED_DAYS apart at most."""
+    at = lambda name, c: vectors.select(F.col("case_id").alias(name), F.col("symbol").alias(f"_s{c}"), F.col("peak").alias(f"_p{c}"))
+    both = pairs.withColumnRenamed("id", "case_id").join(at("q", 0), "q").join(at("case_id", 1), "case_id")
+    return both.where(~((F.col("_s0") == F.col("_s1")) & (F.abs(F.datediff("_p0", "_p1")) <= EXCLUDED_DAYS))).select("q", "case_id", "similarity")
+
+
+def best_pairs(asked: DataFrame, articles: DataFrame, links: DataFrame) -> DataFrame:
+    """q, case_id, similarity: the best similarity of two different articles of each pair of cases.
+
+    asked: q, id and articles: case_id, id (articles of the cases); links: q, id, similarity of different articles.
+    """
+    a = asked.select(F.col("q").alias("_case"), F.col("id").alias("q"))
+    both = links.join(a, "q").join(articles.select("case_id", "id"), "id").where(F.col("case_id") != F.col("_case"))
+    return both.groupBy(F.col("_case").alias("q"), "case_id").agg(F.max("similarity").alias("similarity"))
+
+
+def stamped(hits: DataFrame, registry: DataFrame) -> DataFrame:
+    """hits with news_source of their case's registry row (case_id, news_source), empty where there is none."""
+    source = registry.groupBy("case_id").agg(F.max("news_source").alias("_src"))
+    return hits.join(source, "case_id", "left").withColumn("news_source", F.coalesce("_src", F.lit(""))).drop("_src")
+
+
 def merged(structural_hits: DataFrame, hybrid_hits: DataFrame, narrative_hits: DataFrame, peaks: DataFrame, lead: int = 3, most: int = 5) -> DataFrame:
     """q, case_id, kind, similarity, rank: strong hits (in both lists), up to `lead` structural ones, then hybrid and narrative ones; `most` are taken, then later peaks are dropped.
 

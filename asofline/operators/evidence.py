@@ -80,22 +80,30 @@ def move_sentiment(moves: DataFrame, news: DataFrame, sentiment: DataFrame) -> D
 
 
 def layer_days(moves: DataFrame, filings: DataFrame, news: DataFrame, social: DataFrame) -> DataFrame:
-    """symbol, regulatory_days, news_days, social_days: distinct days with evidence of any move."""
+    """symbol, regulatory_days, news_days, social_days: distinct days with evidence of any move.
+
+    Evidence is brought down to its distinct days before it meets the moves; news, which have no lower bound, meet the last move alone.
+    """
     m = moves.select("symbol", "date")
-    day = F.to_date("_at")
-    days = lambda rows, at, low: m.join(rows.select(F.col("symbol").alias("_s"), F.col(at).alias("_at")), (F.col("symbol") == F.col("_s")) & low & (day <= F.col("date"))).groupBy("symbol").agg(F.count_distinct(day).alias("_d"))
-    out = m.select("symbol").distinct()
-    for rows, at, low, name in ((filings, "filed_at", day >= F.date_sub("date", LOOKBACK), "regulatory_days"), (news, "published_at", F.lit(True), "news_days"), (social, "created_at", day >= F.date_sub("date", SOCIAL_DAYS), "social_days")):
-        out = out.join(days(rows, at, low).withColumnRenamed("_d", name), "symbol", "left")
+    last = m.groupBy("symbol").agg(F.max("date").alias("date"))
+
+    def days(rows, at, within, name):
+        own = rows.select(F.col("symbol").alias("_s"), F.to_date(at).alias("_day")).distinct()
+        low = F.lit(True) if within is None else F.col("_day") >= F.date_sub("date", within)
+        both = (last if within is None else m).join(own, (F.col("symbol") == F.col("_s")) & low & (F.col("_day") <= F.col("date")))
+        return both.groupBy("symbol").agg(F.count_distinct("_day").alias(name))
+
+    out = last.select("symbol")
+    for rows, at, within, name in ((filings, "filed_at", LOOKBACK, "regulatory_days"), (news, "published_at", None, "news_days"), (social, "created_at", SOCIAL_DAYS, "social_days")):
+        out = out.join(days(rows, at, within, name), "symbol", "left")
     return out.fillna(0)
 
 
 def conflict(scored: DataFrame) -> DataFrame:
     """symbol, n_scored, n_usable, conflict: confidence-weighted variance of the usable scores (two passes), null with fewer than LEAST_SCORED."""
-    w = F.when(F.col("confidence") >= USABLE, F.col("confidence"))
-    of = W.partitionBy("symbol")
-    rows = scored.withColumn("_w", w).withColumn("_m", F.sum(F.col("_w") * F.col("score")).over(of) / F.sum("_w").over(of))
-    out = rows.groupBy("symbol").agg(F.count("score").alias("n_scored"), F.count("_w").alias("n_usable"), (F.sum(F.col("_w") * (F.col("score") - F.col("_m")) ** 2) / F.sum("_w")).alias("_v"))
+    rows = scored.select("symbol", "score", F.when(F.col("confidence") >= USABLE, F.col("confidence")).alias("_w"))
+    mean = rows.groupBy("symbol").agg((F.sum(F.col("_w") * F.col("score")) / F.sum("_w")).alias("_m"))
+    out = rows.join(mean, "symbol").groupBy("symbol").agg(F.count("score").alias("n_scored"), F.count("_w").alias("n_usable"), (F.sum(F.col("_w") * (F.col("score") - F.col("_m")) ** 2) / F.sum("_w")).alias("_v"))
     return out.select("symbol", "n_scored", "n_usable", F.when(F.col("n_usable") >= LEAST_SCORED, F.least(F.greatest("_v", F.lit(0.0)), F.lit(1.0))).alias("conflict"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import accession_of
+from ..sources.tables import CATEGORIES
 
 #: Event types of a structured filing summary, and what its words count for.
 EVENT_TYPES = ("management_change", "acquisition", "earnings_warning", "regulatory", "other")
@@ -79,10 +80,28 @@ def brief_groups(members: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def category_basis(members: DataFrame) -> DataFrame:
-    """symbol, thread, basis: where most of a thread's verdicts come from, of equal ones the first by name."""
-    votes = members.groupBy("symbol", "thread", "decision_source").agg(F.count("*").alias("_n"))
-    rank = W.partitionBy("symbol", "thread").orderBy(F.col("_n").desc(), "decision_source")
-    return votes.withColumn("_k", F.row_number().over(rank)).where("_k = 1").select("symbol", "thread", F.col("decision_source").alias("basis"))
+    """symbol, thread, basis, rationale: where most votes for a thread's main category come from, and how that is told; empty where nobody voted.
+
+    members: symbol, thread, id, published_at, category, relevant (null where unrated), decision_source, reason (a rule quotes its term).
+    Of sources with as many votes, and of terms, that of the newest article counts.
+    """
+    key = ["symbol", "thread"]
+    rated = members.where("relevant is not null")
+    seen = F.struct("published_at", (-F.col("id").cast("long")).alias("k"))
+    votes = rated.where("relevant and category <> 'UNRELATED'").groupBy(*key, "category").agg(F.count("*").alias("_n"), F.max(seen).alias("_seen"))
+    top = votes.groupBy(*key).agg(F.max_by("category", F.struct("_n", "_seen")).alias("_top"))
+    voters = rated.join(top, key).where("relevant and category = _top").withColumn("_term", F.nullif(F.regexp_extract(F.coalesce("reason", F.lit("")), '"([^"]+)"', 1), F.lit("")))
+    sources = voters.groupBy(*key, "decision_source").agg(F.count("*").alias("_n"), F.max(seen).alias("_seen")).groupBy(*key).agg(F.max_by("decision_source", F.struct("_n", "_seen")).alias("_src"))
+    told = voters.groupBy(*key).agg(F.count("*").alias("_voters"), F.max_by("_term", F.when(F.col("_term").isNotNull(), seen)).alias("_term"))
+    total = rated.groupBy(*key).agg(F.count("*").alias("_total"))
+    rows = total.join(top, key, "left").join(sources, key, "left").join(told, key, "left")
+    quoted = F.concat(F.lit("'"), "_term", F.lit("'"))
+    rule, term = F.col("_src") == "RULE", F.col("_term").isNotNull()
+    label = F.when(F.col("_voters").isNull(), "").when(rule & term, F.concat(F.lit("rule:keyword "), quoted)).when(rule, "rule:keyword").when(F.col("_src") == "AI", "ai:gemini-verdict").when(F.col("_src") == "USER", "user-admitted").otherwise("mixed")
+    rows = rows.withColumn("basis", label)
+    head = F.concat(F.col("_voters").cast("string"), F.lit(" of "), F.col("_total").cast("string"), F.lit(" rated members classified "), "_top")
+    tail = F.when(rule & term, F.concat(F.lit(" by keyword rule (matched "), quoted, F.lit(")"))).when(F.col("_src") == "AI", " by AI verdicts").otherwise(F.concat(F.lit(" ("), "basis", F.lit(")")))
+    return rows.select(*key, "basis", F.when(F.col("_voters").isNull(), "").otherwise(F.concat(head, tail)).alias("rationale"))
 
 
 def filing_summary(raw: DataFrame) -> DataFrame:
@@ -102,3 +121,20 @@ def registry(cases: DataFrame, symbol: str | None = None, most: int = 50) -> Dat
     if symbol:
         return cases.where(F.col("symbol") == symbol).orderBy(F.col("peak").desc(), "case_id").limit(most)
     return cases.orderBy("symbol", "peak").limit(most)
+
+
+#: Fixed value: a category that isn't told of in briefs.
+UNTOLD = "REPUTATIONAL"
+
+
+def brief_threads(threads: DataFrame) -> DataFrame:
+    """Threads (..., category) of a material category; unrelated ones and those of image alone aren't told."""
+    return threads.where(F.col("category").isin(*[c for c in CATEGORIES if c != UNTOLD]))
+
+
+def brief_articles(members: DataFrame, most_threads: int = 8, most_articles: int = 5) -> DataFrame:
+    """symbol, thread, rank, id, place: the largest threads of several articles of each symbol, and the newest articles of each."""
+    size = members.groupBy("symbol", "thread").agg(F.count("*").alias("_n")).where("_n > 1")
+    ranked = size.withColumn("rank", F.row_number().over(W.partitionBy("symbol").orderBy(F.col("_n").desc(), "thread"))).where(F.col("rank") <= most_threads)
+    newest = W.partitionBy("symbol", "thread").orderBy(F.col("published_at").desc(), "id")
+    return ranked.join(members, ["symbol", "thread"]).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most_articles).select("symbol", "thread", "rank", "id", "place")

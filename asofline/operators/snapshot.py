@@ -60,11 +60,48 @@ def search(companies: DataFrame, asked: str, most: int = 10) -> DataFrame:
     return companies.where(has("symbol") | has("name")).orderBy("symbol").limit(most)
 
 
-def quantiles(rows: DataFrame, value: str) -> DataFrame:
-    """n, least, p25, median, p75, most of a column; a quantile is the value at the place floor(q * n) in order, exact by counts of values."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    n = rows.agg(F.count("*").alias("_n"))
-    upto = F.sum("_c").over(W.orderBy(value))
-    placed = counts.withColumn("_u", upto).join(F.broadcast(n), F.lit(True))
-    at = lambda q: F.bround(F.min(F.when(F.col("_u") > F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))), F.col(value))), 4)
-    return placed.agg(F.max("_n").alias("n"), F.bround(F.min(value), 4).alias("least"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.bround(F.max(value), 4).alias("most"))
+def quantiles(rows: DataFrame, value: str, parts: int = 1000) -> DataFrame:
+    """n, least, p25, median, p75, most of a column; a quantile is the value at the place floor(q * n) in order.
+
+    Exact in two steps: counts of `parts` ranges tell the range that holds a place, and only that range's values are put in order.
+    """
+    ends = rows.agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / parts, F.lit(1e-300))
+    ranged = rows.where(F.col(value).isNotNull()).join(F.broadcast(ends), F.lit(True)).withColumn("_r", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(parts - 1)).cast("int"))  # one row
+    counts = ranged.groupBy("_r").agg(F.count("*").alias("_c"))
+    upto = counts.select("_r", F.coalesce(F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), "_c")  # `parts` rows
+    place = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+    holds = lambda q: (F.col("_before") <= place(q)) & (place(q) < F.col("_before") + F.col("_c"))
+    some = ranged.join(F.broadcast(upto), "_r").where(holds(0.25) | holds(0.5) | holds(0.75))
+    values = some.groupBy("_r", "_before", "_n", value).agg(F.count("*").alias("_k"))
+    ordered = values.withColumn("_u", F.col("_before") + F.sum("_k").over(W.partitionBy("_r").orderBy(value)))
+    inside = lambda q: (F.col("_u") > place(q)) & (F.col("_u") - F.col("_k") <= place(q))
+    at = lambda q: F.bround(F.min(F.when(inside(q), F.col(value))), 4)
+    picked = ordered.agg(at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"))
+    return ends.join(F.broadcast(picked), F.lit(True)).select(F.col("_n").alias("n"), F.bround("_lo", 4).alias("least"), "p25", "median", "p75", F.bround("_hi", 4).alias("most"))
+
+
+def histogram(rows: DataFrame, value: str, buckets: int = 10) -> DataFrame:
+    """bucket, n: counts of a share in equal ranges from 0 to 1; 1 is in the last."""
+    at = F.greatest(F.least(F.floor(F.col(value) * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
+    return rows.groupBy(at.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def federated(directory: DataFrame, stored: DataFrame, asked: str, most: int = 10) -> DataFrame:
+    """The first hits of a search: the directory's before the stored companies, each symbol once."""
+    hits = search(directory, asked, most).withColumn("_o", F.lit(0)).unionByName(search(stored, asked, 2 * most).withColumn("_o", F.lit(1)))
+    once = W.partitionBy(F.upper("symbol")).orderBy("_o")
+    return hits.withColumn("_k", F.row_number().over(once)).where("_k = 1").orderBy("_o", "symbol").limit(most).drop("_k")
+
+
+def by_number(companies: DataFrame, cik: str) -> DataFrame:
+    """The company of a number, as it is given or filled up to ten digits."""
+    digits = "".join(c for c in cik if c.isdigit())
+    return companies.where(F.col("cik").isin(cik, digits.zfill(10)))
+
+
+def ordered_by(rows: DataFrame, column: str, descending: bool, allowed: tuple[str, ...], tie: str) -> DataFrame:
+    """rows in the order that a request names; an unknown column leaves them as they come."""
+    if column not in allowed:
+        return rows
+    return rows.orderBy(F.col(column).desc() if descending else F.col(column).asc(), tie)

@@ -7,16 +7,15 @@ blocks, and connected parts are found by joins, so no symbol or token is a group
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, tokens
+from ..sources.tables import wording
+from ..storage import kept
 
 MAX_ARTICLES = 400
 #: Similarities above which texts and vectors are linked.
@@ -35,21 +34,9 @@ def newest(news: DataFrame, most: int = MAX_ARTICLES) -> DataFrame:
     return numbered(news).where(F.col("pos") <= most)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again, which cuts the lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='asofline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/asofline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def weights(docs: DataFrame, text: str = "title") -> DataFrame:
-    """symbol, id, token, weight: share of the document's tokens times ln(1 + documents / documents with the token)."""
-    rows = docs.select("symbol", "id", tokens(F.col(text)).alias("_t"))
+def weights(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """symbol, id, token, weight: share of the document's tokens times ln(1 + documents / documents with the token); of title and description where no text is named."""
+    rows = docs.select("symbol", "id", tokens(wording() if text is None else text).alias("_t"))
     n = rows.groupBy("symbol").agg(F.count("*").alias("_docs"))
     counts = rows.select("symbol", "id", F.size("_t").alias("_len"), F.explode("_t").alias("token")).groupBy("symbol", "id", "_len", "token").agg(F.count("*").alias("_n"))
     df = counts.groupBy("symbol", "token").agg(F.count("*").alias("_df"))
@@ -75,20 +62,20 @@ def single_linkage(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Large-star and small-star steps over positions: each joins a node's smallest neighbour back to its others, until edges stay the same.
     """
-    docs = _kept(docs.select("symbol", "id", F.col("pos").cast("long").alias("pos")), "articles")
+    docs = kept(docs.select("symbol", "id", F.col("pos").cast("long").alias("pos")), "articles")
     at = lambda end: docs.select("symbol", F.col("id").alias(end), F.col("pos").alias(f"_{end}"))
     ends = pairs.select("symbol", "a", "b").join(at("a"), ["symbol", "a"]).join(at("b"), ["symbol", "b"])
-    e = _kept(ends.select("symbol", F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).where("u > v").distinct(), "edges")
+    e = kept(ends.select("symbol", F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).where("u > v").distinct(), "edges")
     sums = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("symbol", "u", "v").cast("decimal(38,0)"))).first())
     before, now = None, sums(e)
     while now != before:
         both = e.unionByName(e.select("symbol", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("symbol", "u").agg(F.min("v").alias("m")).select("symbol", "u", F.least("u", "m").alias("m"))
         large = both.join(low, ["symbol", "u"]).where("v > u").select("symbol", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = _kept(large, "large_star")
+        large = kept(large, "large_star")
         least = large.groupBy("symbol", "u").agg(F.min("v").alias("m"))
         small = large.join(least, ["symbol", "u"]).where("v > m").select("symbol", F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _kept(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
+        e = kept(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
         before, now = now, sums(e)
     labels = e.select("symbol", F.col("u").alias("pos"), F.col("v").alias("_root"))  # stars: each node has one edge, to its smallest
     return docs.join(labels, ["symbol", "pos"], "left").select("symbol", "id", F.coalesce("_root", "pos").alias("cluster"))
@@ -126,6 +113,12 @@ def average_linkage(docs: DataFrame, least: float = VECTOR_LINK) -> DataFrame:
     return docs.select("symbol", "id", "pos", "vector").groupBy("symbol").applyInPandas(parts, "symbol string, id string, cluster long")
 
 
+def main_category(members: DataFrame) -> DataFrame:
+    """symbol, thread, top_category: the category of most relevant articles; of equal ones that seen first, the newest article being the first."""
+    votes = members.where("decision = 'RELEVANT' and category <> 'UNRELATED'").groupBy("symbol", "thread", "category").agg(F.count("*").alias("_n"), F.max(F.struct("published_at", (-F.col("id").cast("long")).alias("k"))).alias("_first"))
+    return votes.groupBy("symbol", "thread").agg(F.max_by("category", F.struct("_n", "_first")).alias("top_category"))
+
+
 def attributes(members: DataFrame) -> DataFrame:
     """One row a thread (symbol, thread): size, span, longest title, share of relevant among rated articles, main category of the relevant ones.
 
@@ -137,14 +130,18 @@ def attributes(members: DataFrame) -> DataFrame:
         F.max_by("title", F.struct(F.length("title").alias("n"), (-F.col("id").cast("long")).alias("k"))).alias("representative_title"),
         F.bround(F.avg(F.when(rated, (F.col("decision") == "RELEVANT").cast("double"))), 4).alias("relevance_rate"),
     )
-    votes = members.where("decision = 'RELEVANT' and category <> 'UNRELATED'").groupBy("symbol", "thread", "category").agg(F.count("*").alias("_n"))
-    top = votes.groupBy("symbol", "thread").agg(F.max_by("category", F.struct("_n", "category")).alias("top_category"))
-    return out.join(top, ["symbol", "thread"], "left")
+    return out.join(main_category(members), ["symbol", "thread"], "left")
+
+
+def article_dates(members: DataFrame) -> DataFrame:
+    """symbol, thread, dates: a map of each article's day by its id (members of one thread; ids are unique there)."""
+    pairs = F.array_sort(F.collect_set(F.struct("id", F.to_date("published_at").alias("day"))))
+    return members.groupBy("symbol", "thread").agg(F.map_from_entries(pairs).alias("dates"))
 
 
 def top_terms(members: DataFrame, most: int = 3) -> DataFrame:
-    """symbol, thread, term, n, rank: the most frequent tokens of a thread's titles, of equal ones the first by code point."""
-    counts = members.select("symbol", "thread", F.explode(tokens(F.col("title"))).alias("term")).groupBy("symbol", "thread", "term").agg(F.count("*").alias("n"))
+    """symbol, thread, term, n, rank: the most frequent tokens of a thread's titles and descriptions, of equal ones the first by code point."""
+    counts = members.select("symbol", "thread", F.explode(tokens(wording())).alias("term")).groupBy("symbol", "thread", "term").agg(F.count("*").alias("n"))
     rank = W.partitionBy("symbol", "thread").orderBy(F.col("n").desc(), "term")
     return counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
 
@@ -173,9 +170,14 @@ def nearest(queries: DataFrame, rows: DataFrame, most: int, least: float) -> Dat
     queries (q, vector) are a stated set; blocks of rows meet blocks of queries under one key, and each block keeps
     its best before they are ranked.
     """
+    best = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
+    return near_pairs(queries, rows, least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+
+
+def near_pairs(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """q, id, similarity of the rows above a threshold, other than the query itself; blocks of rows meet blocks of queries under one key."""
     blocks = 16
     q = queries.select("q", F.col("vector").alias("_qv"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("_qb")).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     r = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_rb")).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     both = r.join(q, ["_rb", "_qb"]).where("id <> q").withColumn("similarity", cosine(F.col("_qv"), F.col("vector"))).where(F.col("similarity") >= least)
-    best = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
-    return both.select("q", "id", "similarity").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    return both.select("q", "id", "similarity")

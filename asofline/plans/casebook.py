@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -9,8 +10,9 @@ from ..functions.temporal import column, day_after
 from ..operators import cases, evidence, moves, snapshot, threads, upsert
 from ..sources import parsers
 from ..sources import tables as T
+from ..storage import kept
 from ..streaming import events as S
-from . import news, topics
+from . import lookups, news, topics
 from .registry import query
 
 DAY, D = news.DAY, news.D
@@ -21,33 +23,46 @@ def _t():
 
 
 
-def frozen(spark, sf_dir):
-    bars, f = T.bars(spark, sf_dir), T.filings(spark, sf_dir)
-    top = moves.top_moves(bars, _t()).select("symbol", "date", "daily_return_pct", "score", "flags")
+def case_inputs(spark, sf_dir, take=5):
+    """peaks, threads, regimes, evidence and bars of the sample's cases; bars are made once; threads T5 have no span."""
+    bars, f = kept(T.bars(spark, sf_dir), "bars"), T.filings(spark, sf_dir)
+    top = moves.top_moves(bars, _t(), take).select("symbol", "date", "daily_return_pct", "score", "flags")
     peaks = top.join(evidence.move_sentiment(top, news.known(spark, sf_dir), T.sentiment(spark, sf_dir)).drop("n_scored"), ["symbol", "date"])
-    in_window = evidence.with_filings(top, f).groupBy("symbol", "date").agg(F.count_if(F.col("form_type").startswith("8-K")).alias("n_8k"), F.count_if(F.col("form_type").startswith("10-")).alias("n_10"), F.count("*").alias("n_filings"))
+    told = evidence.with_filings(top, f).join(lookups.summaries(spark, sf_dir), "accession", "left")
+    in_window = told.groupBy("symbol", "date").agg(
+        F.count_if(F.col("form_type").startswith("8-K")).alias("n_8k"), F.count_if(F.col("form_type").startswith("10-")).alias("n_10"), F.count("*").alias("n_filings"),
+        F.collect_set("event_type").alias("events"), F.max("relevance").alias("relevance"), F.avg("sentiment").alias("filing_sentiment"),
+    )
     a = news.admitted(spark, sf_dir).select(F.col("symbol").alias("_s"), "published_at")
     n = top.join(a, (F.col("symbol") == F.col("_s")) & (F.to_date("published_at") <= F.col("date"))).groupBy("symbol", "date").agg(F.count("*").alias("news_count"))
-    found = threads.attributes(topics.members(spark, sf_dir)).select("symbol", "thread", F.regexp_replace("thread", "-[01]$", "").alias("category"), "n_articles", "span_start", "span_end")
-    return cases.freeze(peaks, found, moves.regimes(bars, _t()), n.join(in_window, ["symbol", "date"], "full_outer"), bars)
+    known = ~F.col("thread").startswith("T5")
+    found = threads.attributes(topics.members(spark, sf_dir)).select("symbol", "thread", F.col("top_category").alias("category"), "n_articles", *[F.when(known, F.col(c)).alias(c) for c in ("span_start", "span_end")])
+    return peaks, found, moves.regimes(bars, _t()), n.join(in_window, ["symbol", "date"], "full_outer"), bars
+
+
+def frozen(spark, sf_dir, take=5):
+    return cases.freeze(*case_inputs(spark, sf_dir, take))
 
 
 CASES = news.MOVES | moves.sql(D, moves.SQL_REGIMES) | {
     "known": news.KNOWN, "admitted": news.ADMITTED, "v": news._SCORES, "mem": topics.MEMBERS,
     "mv": "SELECT symbol, date, round_even(ret * 100, 2) AS ret_pct, round_even(score, 4) AS score, flags FROM moves WHERE rank <= 5",
     "sent": "SELECT m.symbol, m.date, count(v.v) AS ns, avg(v.v) AS mean FROM m LEFT JOIN v ON m.symbol = v.symbol AND v.published_at::DATE <= m.date GROUP BY ALL",
-    "thr": "SELECT symbol, thread, regexp_replace(thread, '-[01]$', '') AS category, count(*) AS n_articles, min(published_at)::DATE AS s, max(published_at)::DATE AS e FROM mem GROUP BY ALL",
-    "ct": """SELECT m.symbol, m.date, list(t.category) AS cats, count(*) AS n_threads, count(*) FILTER (t.category IN ('LEGAL', 'REGULATORY') AND t.n_articles > 1) AS voting
-      FROM m JOIN thr t ON m.symbol = t.symbol AND t.e >= m.date - 20 AND t.s <= m.date GROUP BY ALL""",
+    "tc": "SELECT symbol, thread, max({'n': n, 'p': p, 'c': category}).c AS category FROM (SELECT symbol, thread, category, count(*) AS n, max(published_at) AS p FROM mem WHERE decision = 'RELEVANT' GROUP BY ALL) GROUP BY ALL",
+    "thr": "SELECT mem.symbol, mem.thread, coalesce(any_value(tc.category), '') AS category, count(*) AS n_articles, min(published_at)::DATE AS s, max(published_at)::DATE AS e, mem.thread LIKE 'T5%' AS undated FROM mem LEFT JOIN tc ON mem.symbol = tc.symbol AND mem.thread = tc.thread GROUP BY mem.symbol, mem.thread",
+    "fsum": lookups.SUMMARIES,
+    "fin": "SELECT m.symbol, m.date, list(DISTINCT event_type) AS ev, max(relevance) AS frel, avg(sentiment) AS fsen FROM m JOIN filings f ON m.symbol = f.symbol AND f.filed_at::DATE BETWEEN m.date - 30 AND m.date JOIN fsum USING (accession) GROUP BY m.symbol, m.date",
+    "ct": """SELECT m.symbol, m.date, list(t.category) AS cats, count(*) AS n_threads, count(*) FILTER (t.undated) AS n_undated, count(*) FILTER (t.category IN ('LEGAL', 'REGULATORY') AND t.n_articles > 1) AS voting
+      FROM m JOIN thr t ON m.symbol = t.symbol AND (t.undated OR t.e >= m.date - 20 AND t.s <= m.date) GROUP BY ALL""",
     "pth": "SELECT m.symbol, m.date, list(r.regime ORDER BY r.date) AS path, coalesce(min(r.date) FILTER (r.regime = 'warming') < max(r.date) FILTER (r.regime = 'tense'), false) AS w2t FROM m JOIN regimes r ON m.symbol = r.symbol AND r.date BETWEEN m.date - 20 AND m.date GROUP BY m.symbol, m.date",
     "fil": "SELECT m.symbol, m.date, count(*) FILTER (form_type LIKE '8-K%') AS n_8k, count(*) FILTER (form_type LIKE '10-%') AS n_10, count(*) AS n_filings FROM m JOIN filings f ON m.symbol = f.symbol AND f.filed_at::DATE BETWEEN m.date - 30 AND m.date GROUP BY m.symbol, m.date",
     "nws": "SELECT m.symbol, m.date, count(*) AS news_count FROM m JOIN admitted a ON m.symbol = a.symbol AND a.published_at::DATE <= m.date GROUP BY m.symbol, m.date",
     "rea": "SELECT m.symbol, m.date, count(*) AS n, arg_min(b.close, b.date) AS f, arg_max(b.close, b.date) AS l FROM m JOIN bars b ON m.symbol = b.symbol AND b.date > m.date AND b.date <= m.date + 5 GROUP BY m.symbol, m.date",
     "cs": """SELECT symbol || ':' || strftime(date, '%Y-%m-%d') AS case_id, symbol, date AS peak, ret_pct, score, flags, CASE WHEN ns >= 2 THEN round_even(mean, 4) END AS smean,
       CASE WHEN ns < 2 THEN 'unknown' WHEN abs(round_even(mean, 10)) < 0.1 OR ret_pct = 0 THEN 'neutral' WHEN (mean > 0) = (ret_pct > 0) THEN 'agree' ELSE 'disagree' END AS dir,
-      coalesce(cats, []) AS cats, coalesce(n_threads, 0) AS n_threads, coalesce(voting, 0) AS voting, coalesce(path, []) AS path, coalesce(w2t, false) AS w2t, len(list_filter(coalesce(path, []), lambda x: x = 'tense')) AS tense,
+      coalesce(cats, []) AS cats, coalesce(n_threads, 0) AS n_threads, coalesce(n_undated, 0) AS n_undated, coalesce(ev, []) AS ev, coalesce(frel, 0) AS frel, coalesce(fsen, 0) AS fsen, coalesce(voting, 0) AS voting, coalesce(path, []) AS path, coalesce(w2t, false) AS w2t, len(list_filter(coalesce(path, []), lambda x: x = 'tense')) AS tense,
       coalesce(n_8k, 0) AS n_8k, coalesce(n_10, 0) AS n_10, coalesce(n_filings, 0) AS n_filings, coalesce(news_count, 0) AS news_count, coalesce(rea.n, 0) AS n_reaction, rea.f AS rf, rea.l AS rl
-      FROM mv JOIN sent USING (symbol, date) LEFT JOIN ct USING (symbol, date) LEFT JOIN pth USING (symbol, date) LEFT JOIN fil USING (symbol, date) LEFT JOIN nws USING (symbol, date) LEFT JOIN rea USING (symbol, date)""",
+      FROM mv JOIN sent USING (symbol, date) LEFT JOIN ct USING (symbol, date) LEFT JOIN pth USING (symbol, date) LEFT JOIN fil USING (symbol, date) LEFT JOIN fin USING (symbol, date) LEFT JOIN nws USING (symbol, date) LEFT JOIN rea USING (symbol, date)""",
     "cc": "SELECT *, " + ", ".join(f"len(list_filter(cats, lambda x: x = '{c}')) AS c_{c}" for c in T.CATEGORIES) + ", contains(flags, 'high-volume') AS hv, contains(flags, 'spike') OR contains(flags, 'plunge') AS sp FROM cs",
     "sg": """SELECT *, list_filter([CASE WHEN c_FINANCIAL >= 2 THEN 'earnings-chatter' END, CASE WHEN voting >= 1 AND tense >= 3 THEN 'regulatory-overhang' END,
       CASE WHEN (news_count > 0 OR n_filings > 0) AND hv AND sp AND news_count <= 2 THEN 'volume-first-divergence' END,
@@ -57,17 +72,17 @@ CASES = news.MOVES | moves.sql(D, moves.SQL_REGIMES) | {
 VIEWS = ("bars", "filings", "news", "relevance", "sentiment")
 
 
-@query(T.oracle(*VIEWS, **CASES) + """SELECT case_id, symbol, peak, ret_pct AS daily_return_pct, flags, dir AS sentiment_direction, n_threads, len(path) AS n_days, tense AS n_tense, news_count, n_filings, n_reaction FROM cs""")
+@query(T.oracle(*VIEWS, **CASES) + """SELECT case_id, symbol, peak, ret_pct AS daily_return_pct, flags, dir AS sentiment_direction, n_threads, n_undated, len(path) AS n_days, tense AS n_tense, news_count, n_filings, n_reaction FROM cs""")
 def h1_frozen_cases(spark, sf_dir):
-    """H1, P9."""
+    """Threads without a span ride along."""
     return frozen(spark, sf_dir).select(
-        "case_id", "symbol", "peak", "daily_return_pct", F.array_join("flags", ",").alias("flags"), "sentiment_direction", F.size("threads").alias("n_threads"), F.size("regime_path").alias("n_days"),
+        "case_id", "symbol", "peak", "daily_return_pct", F.array_join("flags", ",").alias("flags"), "sentiment_direction", F.size("threads").alias("n_threads"), F.size(F.filter("threads", lambda t: ~t["dated"])).alias("n_undated"), F.size("regime_path").alias("n_days"),
         cases.tense_days().alias("n_tense"), "news_count", "n_filings", F.size("reaction").alias("n_reaction"),
     )
 
 
-@query(T.oracle(*VIEWS, **CASES, a="""SELECT case_id, CASE WHEN n_threads > 0 THEN 'full' ELSE 'missing' END AS t, CASE WHEN len(path) > 0 THEN 'full' ELSE 'missing' END AS r, CASE WHEN news_count > 0 OR n_filings > 0 THEN 'full' ELSE 'missing' END AS e,
-  CASE WHEN smean IS NOT NULL THEN 'full' ELSE 'missing' END AS s, CASE WHEN n_reaction >= 3 THEN 'full' WHEN n_reaction > 0 THEN 'partial' ELSE 'missing' END AS x FROM cs""") + """
+@query(T.oracle(*VIEWS, **CASES, a="""SELECT case_id, CASE WHEN n_threads = 0 THEN 'missing' WHEN n_undated > 0 THEN 'partial' ELSE 'full' END AS t, CASE WHEN len(path) > 0 THEN 'full' ELSE 'missing' END AS r, CASE WHEN news_count > 0 OR n_filings > 0 THEN 'full' ELSE 'partial' END AS e,
+  CASE WHEN dir <> 'unknown' THEN 'full' ELSE 'missing' END AS s, CASE WHEN n_reaction >= 3 THEN 'full' WHEN n_reaction > 0 THEN 'partial' ELSE 'missing' END AS x FROM cs""") + """
 SELECT case_id, t AS threads, x AS reaction, CASE WHEN t = 'full' AND r = 'full' AND e = 'full' AND s = 'full' AND x = 'full' THEN 'full' WHEN t = 'missing' AND r = 'missing' AND e = 'missing' AND s = 'missing' AND x = 'missing' THEN 'missing' ELSE 'partial' END AS overall FROM a""")
 def h2_completeness(spark, sf_dir):
     """H2, A18."""
@@ -91,9 +106,10 @@ def _vector_sql() -> str:
         v += [f"coalesce(c_{c} / nullif(n_threads, 0), 0)", f"least(c_{c} / 10, 1)"]
     v += [f"CASE WHEN {has(a)} AND {has(b)} THEN 2 ELSE 0 END" for i, a in enumerate(s) for b in s[i + 1 :]]
     v += ["least(n_8k / 3, 1) * 0.5", "least(n_10 / 3, 1) * 0.5", "least(greatest(n_filings - n_8k - n_10, 0) / 3, 1) * 0.5"]
-    v += ["least(greatest(ret_pct, 0), 10) / 10 * 0.5", "least(greatest(-ret_pct, 0), 10) / 10 * 0.5", "least(greatest(score, 0), 1)", "least(news_count / 5, 1)", "coalesce(least(greatest(smean, -1), 1), 0) * 2"]
+    v += ["least(greatest(ret_pct, 0), 10) / 10 * 0.5", "least(greatest(-ret_pct, 0), 10) / 10 * 0.5", "least(greatest(score, 0), 1)", "least(news_count / 5, 1)", "least(greatest(coalesce(smean, 0), -1), 1) * 2"]
     v += [f"len(list_filter(list_zip(path[1:-2], path[2:]), lambda z: z[1] = '{a}' AND z[2] = '{b}')) / greatest(len(path) - 1, 1)" for a in r for b in r]
-    return "[" + ", ".join(f"({x})::DOUBLE" for x in v + ["0"] * (96 - len(v))) + "]"
+    v += [f"CASE WHEN list_contains(ev, '{e}') THEN 2 ELSE 0 END" for e in cases.EVENTS] + ["least(greatest(frel, 0), 1) * 2", "least(greatest(fsen, -1), 1) * 2"]
+    return "[" + ", ".join(f"({x})::DOUBLE" for x in v) + "]"
 
 
 _VEC = {"rv": f"SELECT case_id, symbol, peak, {_vector_sql()} AS raw FROM sg", "vec": "SELECT case_id, symbol, peak, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS v FROM rv"}
@@ -101,6 +117,7 @@ _VEC = {"rv": f"SELECT case_id, symbol, peak, {_vector_sql()} AS raw FROM sg", "
 
 @query(T.oracle(*VIEWS, **CASES, **_VEC) + "SELECT case_id, dim, round_even(x, 6) AS value FROM (SELECT case_id, unnest(range(96))::INT AS dim, unnest(v) AS x FROM vec) WHERE x <> 0")
 def h11_structural_vectors(spark, sf_dir):
+    """With the structured summaries of the window's filings."""
     v = cases.structural(cases.signals(frozen(spark, sf_dir)))
     return v.select("case_id", F.posexplode("vector").alias("dim", "value")).where("value <> 0").withColumn("value", F.bround("value", 6))
 
@@ -119,16 +136,17 @@ def _hybrid(spark, sf_dir):
 
 
 _HYB = _VEC | {
-    "ids": "SELECT DISTINCT m.symbol || ':' || strftime(m.date, '%Y-%m-%d') AS case_id, x.id FROM m JOIN thr t ON m.symbol = t.symbol AND t.e >= m.date - 20 AND t.s <= m.date JOIN mem x ON x.symbol = t.symbol AND x.thread = t.thread AND x.published_at::DATE <= m.date",
+    "ids": "SELECT DISTINCT m.symbol || ':' || strftime(m.date, '%Y-%m-%d') AS case_id, x.id FROM m JOIN thr t ON m.symbol = t.symbol AND (t.undated OR t.e >= m.date - 20 AND t.s <= m.date) JOIN mem x ON x.symbol = t.symbol AND x.thread = t.thread AND x.published_at::DATE <= m.date",
     "dims": "SELECT case_id, unnest(range(64)) AS dim, unnest(vector)::DOUBLE AS x FROM ids JOIN vectors ON article_id = id", "mp": "SELECT case_id, dim, avg(x) AS x FROM dims GROUP BY ALL",
     "mean": "SELECT case_id, list(x / n * 4 ORDER BY dim) AS c FROM (SELECT *, sqrt(sum(x ^ 2) OVER (PARTITION BY case_id)) AS n FROM mp) GROUP BY case_id",
     "hv0": "SELECT vec.case_id, symbol, peak, CASE WHEN c IS NULL THEN v ELSE list_concat(v, c) END AS raw FROM vec LEFT JOIN mean USING (case_id)", "hyb": "SELECT case_id, symbol, peak, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS v FROM hv0",
 }
 
 
-@query(T.oracle(*VIEWS, "vectors", **CASES, **_HYB) + "SELECT case_id, dim, round_even(x, 6) AS value FROM (SELECT case_id, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM hyb) WHERE x <> 0 AND dim >= 90")
+@query(T.oracle(*VIEWS, "vectors", **CASES, **_HYB) + "SELECT case_id, dim, round_even(x, 6) AS value FROM (SELECT case_id, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM hyb) WHERE x <> 0")
 def h12_hybrid_vectors(spark, sf_dir):
-    return _hybrid(spark, sf_dir).select("case_id", F.posexplode("vector").alias("dim", "value")).where("value <> 0 and dim >= 90").withColumn("value", F.bround("value", 6))
+    """Structural and content dimensions."""
+    return _hybrid(spark, sf_dir).select("case_id", F.posexplode("vector").alias("dim", "value")).where("value <> 0").withColumn("value", F.bround("value", 6))
 
 
 @query(T.oracle(*VIEWS, **CASES) + "SELECT a.case_id, s AS signal, (SELECT count(*) FROM sg b WHERE list_contains(b.fired, s) AND b.peak <= a.peak AND b.case_id <> a.case_id) AS n_supporters FROM (SELECT case_id, peak, unnest(fired) AS s FROM sg) a")
@@ -141,50 +159,127 @@ def a16_aftermath(spark, sf_dir):
     return cases.aftermath(cases.signals(frozen(spark, sf_dir)))
 
 
-PICK = "Brand#7"
-_HITS = lambda v, name: f"SELECT q, case_id, similarity FROM (SELECT a.case_id AS q, b.case_id, list_dot_product(a.v, b.v) AS similarity, row_number() OVER (PARTITION BY a.case_id ORDER BY list_dot_product(a.v, b.v) DESC, b.case_id) AS k FROM {v} a JOIN {v} b ON a.symbol = '{PICK}' AND a.case_id <> b.case_id AND NOT (a.symbol = b.symbol AND abs(a.peak - b.peak) <= 30) AND len(a.v) = len(b.v) WHERE similarity >= 0.85) WHERE k <= 10"
+#: Similarity of articles that joins cases, in the sample, whose vectors are further apart than real ones (the feature's own is 0.70).
+NARRATIVE = 0.3
+_GATE = "list_has_any(fired, [" + ", ".join(f"'{n}'" for n in cases.STRUCTURAL_SIGNALS) + "])"
+_APART = "NOT (a.symbol = b.symbol AND abs(a.peak - b.peak) <= 30)"
+_DOT = "round_even(list_dot_product(list_resize(a.v, 160, 0.0), list_resize(b.v, 160, 0.0)), 9)"
+_HITS = lambda v: f"SELECT q, case_id, similarity FROM (SELECT a.case_id AS q, b.case_id, {_DOT} AS similarity, {_APART} AS apart, row_number() OVER (PARTITION BY a.case_id ORDER BY {_DOT} DESC, b.case_id) AS k FROM {v} a JOIN {v} b ON a.case_id <> b.case_id) WHERE k <= 10 AND similarity >= 0.85 AND apart"
+
 
+def _hits(vectors, asked=None, least=0.85, most=10):
+    """q, case_id, similarity: of the ten most similar cases of each asked case those above the threshold, without its own symbol's within 30 days."""
+    v = vectors.select(F.col("case_id").alias("id"), "vector")
+    q = (vectors if asked is None else asked).select(F.col("case_id").alias("q"), "vector")
+    pairs = threads.near_pairs(q, v, least).withColumn("similarity", F.bround("similarity", 9))
+    best = pairs.withColumn("_k", F.row_number().over(W.partitionBy("q").orderBy(F.col("similarity").desc(), "id"))).where(F.col("_k") <= most).drop("_k")
+    return cases.similar_cases(vectors, best)
 
-def _hits(rows, least=0.85):
-    """The ten most similar cases of each case of PICK, without those of its own symbol within 30 days."""
-    n = F.size("vector")
-    q = rows.where(F.col("symbol") == PICK).select(F.col("case_id").alias("q"), F.struct("vector", "symbol", "peak").alias("_q"))
-    from pyspark.sql import Window as W
 
-    both = rows.join(F.broadcast(q), F.col("case_id") != F.col("q"))  # five cases of one symbol
-    apart = ~((F.col("symbol") == F.col("_q.symbol")) & (F.abs(F.datediff("peak", "_q.peak")) <= cases.EXCLUDED_DAYS)) & (n == F.size("_q.vector"))
-    scored = both.where(apart).withColumn("similarity", X.dot(F.col("vector"), F.col("_q.vector"))).where(F.col("similarity") >= least)
-    best = W.partitionBy("q").orderBy(F.col("similarity").desc(), "case_id")
-    return scored.withColumn("_k", F.row_number().over(best)).where("_k <= 10").select("q", "case_id", "similarity")
+def _gated(case):
+    """Cases in which a structural signal fires; only they ask for structural matches."""
+    return case.where(F.arrays_overlap("fired", F.array(*[F.lit(n) for n in cases.STRUCTURAL_SIGNALS])))
 
 
-@query(T.oracle(*VIEWS, **CASES, **_VEC, hits=_HITS("vec", "s")) + "SELECT q, case_id, round_even(similarity, 6) AS similarity FROM hits")
+@query(T.oracle(*VIEWS, **CASES, **_VEC, hits=_HITS("vec")) + f"SELECT q, h.case_id, round_even(similarity, 6) AS similarity FROM hits h JOIN sg ON sg.case_id = h.q WHERE {_GATE}")
 def h16_structural_matches(spark, sf_dir):
-    """J14, H16."""
-    v = cases.structural(cases.signals(frozen(spark, sf_dir)))
-    return _hits(v).withColumn("similarity", F.bround("similarity", 6))
+    """Of every case in which a structural signal fires."""
+    v = kept(cases.structural(cases.signals(frozen(spark, sf_dir))), "structural")
+    return _hits(v, _gated(v)).withColumn("similarity", F.bround("similarity", 6))
 
 
-@query(T.oracle(*VIEWS, "vectors", **CASES, **_HYB, s0=_HITS("vec", "s"), h0=_HITS("hyb", "h"),
-    b="SELECT coalesce(s.q, h.q) AS q, coalesce(s.case_id, h.case_id) AS case_id, s.similarity AS s, h.similarity AS h FROM s0 s FULL JOIN h0 h ON s.q = h.q AND s.case_id = h.case_id",
-    g="SELECT q, case_id, CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 ELSE 2 END AS g, least(round_even(CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN greatest(s, h) ELSE coalesce(s, h) END, 3), 0.999) AS sim FROM b",
-    k="SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY sim DESC, case_id) AS k FROM g", r="SELECT *, row_number() OVER (PARTITION BY q ORDER BY g, k) AS rank FROM k WHERE g <> 1 OR k <= 3") + """
-SELECT r.q, r.case_id, ['strong', 'pattern', 'narrative'][g + 1] AS kind, sim AS similarity, rank FROM r JOIN cs a ON a.case_id = r.q JOIN cs p ON p.case_id = r.case_id WHERE rank <= 5 AND p.peak <= a.peak""")
-def l5_resemblance(spark, sf_dir):
-    """Both lists merged; five are taken, then later peaks go."""
+def _case_articles(spark, sf_dir, case):
+    """case_id, peak, id, day of the articles of each case's threads."""
+    t = case.select("case_id", "symbol", "peak", F.explode("threads.thread").alias("thread"))
+    m = topics.members(spark, sf_dir).select("symbol", "thread", "id", F.to_date("published_at").alias("day"))
+    return t.join(m, ["symbol", "thread"]).select("case_id", "peak", "id", "day")
+
+
+def _article_links(spark, sf_dir, own):
+    """q, id, similarity of different articles of cases above NARRATIVE; each article is compared once, however many cases have it."""
+    v = T.vectors(spark, sf_dir).withColumnRenamed("article_id", "id").join(own.select("id").distinct(), "id", "left_semi")
+    return threads.near_pairs(v.withColumnRenamed("id", "q"), v, NARRATIVE).withColumn("similarity", F.bround("similarity", 9))
+
+
+def _narrative(spark, sf_dir, vectors, most=5):
+    """q, case_id, similarity: cases joined by their best pair of articles; the asked case's are those up to its peak."""
+    own = kept(_case_articles(spark, sf_dir, vectors), "case_articles")
+    best = cases.best_pairs(own.where("day <= peak").select(F.col("case_id").alias("q"), "id"), own, _article_links(spark, sf_dir, own))
+    apart = cases.similar_cases(vectors, best.withColumnRenamed("case_id", "id"))
+    order = W.partitionBy("q").orderBy(F.col("similarity").desc(), "case_id")
+    return apart.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+
+
+_NARR = {
+    "lib": "SELECT DISTINCT m.symbol || ':' || strftime(m.date, '%Y-%m-%d') AS case_id, m.symbol, m.date AS peak, x.id, x.published_at::DATE AS d FROM m JOIN thr t ON m.symbol = t.symbol AND (t.undated OR t.e >= m.date - 20 AND t.s <= m.date) JOIN mem x ON x.symbol = t.symbol AND x.thread = t.thread",
+    "art": "SELECT article_id AS id, list_transform(vector::DOUBLE[], lambda x: x / sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[]))) AS u FROM vectors WHERE article_id IN (SELECT id FROM lib)",
+    "lnk": f"SELECT x.id AS a, y.id AS b, round_even(list_dot_product(x.u, y.u), 9) AS s FROM art x JOIN art y ON x.id <> y.id WHERE s >= {NARRATIVE}",
+    "bp": f"SELECT a.case_id AS q, b.case_id, max(s) AS similarity FROM lib a JOIN lnk ON lnk.a = a.id JOIN lib b ON lnk.b = b.id AND a.case_id <> b.case_id AND {_APART} WHERE a.d <= a.peak GROUP BY ALL",
+    "n0": "SELECT * FROM bp QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, case_id) <= 5",
+}
+
+
+@query(T.oracle(*VIEWS, "vectors", **CASES, **_NARR) + "SELECT q, case_id, round_even(similarity, 6) AS similarity FROM n0")
+def j15_best_pairs(spark, sf_dir):
+    """The five cases with the best pair of two different articles."""
+    return _narrative(spark, sf_dir, frozen(spark, sf_dir)).withColumn("similarity", F.bround("similarity", 6))
+
+
+@query(T.oracle(*VIEWS, "vectors", **CASES, **_NARR, t="SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM lnk") + f"""
+SELECT a.case_id AS q, b.case_id, round_even(max(s), 6) AS similarity FROM lib a JOIN t ON t.a = a.id AND k <= 10 JOIN lib b ON t.b = b.id AND a.case_id <> b.case_id AND {_APART} WHERE a.d <= a.peak GROUP BY ALL""")
+def j16_best_by_article(spark, sf_dir):
+    """The ten nearest articles of each of a case's articles, then the best of each case that they belong to."""
     case = frozen(spark, sf_dir)
-    v = cases.structural(cases.signals(case))
-    s, h = _hits(v), _hits(cases.hybrid(v, _content(spark, sf_dir, v)))
-    return cases.merged(s, h, s.where(F.lit(False)), case.select("case_id", "peak"))
+    own = kept(_case_articles(spark, sf_dir, case), "case_articles")
+    nearest = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
+    top = _article_links(spark, sf_dir, own).withColumn("_k", F.row_number().over(nearest)).where("_k <= 10").drop("_k")
+    best = cases.best_pairs(own.where("day <= peak").select(F.col("case_id").alias("q"), "id"), own, top)
+    return cases.similar_cases(case, best.withColumnRenamed("case_id", "id")).withColumn("similarity", F.bround("similarity", 6))
+
+
+_MERGED = {
+    "s0": _HITS("vec") + f" AND q IN (SELECT case_id FROM sg WHERE {_GATE})", "h0": _HITS("hyb"),
+    "b1": "SELECT coalesce(s.q, h.q) AS q, coalesce(s.case_id, h.case_id) AS case_id, s.similarity AS s, h.similarity AS h FROM s0 s FULL JOIN h0 h ON s.q = h.q AND s.case_id = h.case_id",
+    "b2": "SELECT coalesce(b1.q, n0.q) AS q, coalesce(b1.case_id, n0.case_id) AS case_id, s, h, n0.similarity AS n FROM b1 FULL JOIN n0 ON b1.q = n0.q AND b1.case_id = n0.case_id",
+    "g": "SELECT q, case_id, CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 ELSE 2 END AS g, least(round_even(CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN greatest(s, h) ELSE coalesce(s, h, n) END, 3), 0.999) AS sim FROM b2",
+    "k": "SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY sim DESC, case_id) AS k FROM g", "r": "SELECT *, row_number() OVER (PARTITION BY q ORDER BY g, k) AS rank FROM k WHERE g <> 1 OR k <= 3",
+    "res": """SELECT r.q, r.case_id, ['strong', 'pattern', 'narrative'][g + 1] AS kind, sim AS similarity, rank, CASE WHEN substr(p.symbol, 7)::INT % 2 = 0 THEN 'gdelt' ELSE '' END AS news_source
+      FROM r JOIN cs a ON a.case_id = r.q JOIN cs p ON p.case_id = r.case_id WHERE rank <= 5 AND p.peak <= a.peak""",
+}
+
+
+def resemblance(spark, sf_dir, case):
+    """q, case_id, kind, similarity, rank, news_source of the cases that each case resembles; every second symbol's registry rows have a source."""
+    v = kept(cases.structural(cases.signals(case)), "structural")
+    s, h = _hits(v, _gated(v)), _hits(cases.hybrid(v, _content(spark, sf_dir, v)))
+    hits = cases.merged(s, h, _narrative(spark, sf_dir, v), v.select("case_id", "peak"))
+    return cases.stamped(hits, v.where(F.substring("symbol", 7, 2).cast("int") % 2 == 0).select("case_id", F.lit("gdelt").alias("news_source")))
+
+
+@query(T.oracle(*VIEWS, "vectors", **CASES, **_HYB, **_NARR, **_MERGED) + "SELECT * FROM res")
+def l5_resemblance(spark, sf_dir):
+    """Structural, hybrid and narrative hits of every case merged; five are taken, then later peaks go; with the source of their registry row."""
+    return resemblance(spark, sf_dir, frozen(spark, sf_dir))
+
+
+def _best_similarity(spark, sf_dir):
+    """similarity of each case to the most similar other one."""
+    v = kept(cases.structural(cases.signals(frozen(spark, sf_dir))).select(F.col("case_id").alias("id"), "vector"), "structural")
+    best = threads.near_pairs(v.withColumnRenamed("id", "q"), v, -1.0).groupBy("q").agg(F.max("similarity").alias("similarity"))
+    return kept(best.select(F.bround("similarity", 9).alias("similarity")), "best")
 
 
 @query(T.oracle(*VIEWS, **CASES, **_VEC, p="SELECT a.case_id, max(list_dot_product(a.v, b.v)) AS s FROM vec a JOIN vec b ON a.case_id <> b.case_id GROUP BY a.case_id", o="SELECT s, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS n FROM p") + """
 SELECT n AS cases, round_even(min(s), 4) AS least, round_even(max(s) FILTER (k = least(n - 1, floor(0.25 * n))), 4) AS p25, round_even(max(s) FILTER (k = least(n - 1, floor(0.5 * n))), 4) AS median, round_even(max(s) FILTER (k = least(n - 1, floor(0.75 * n))), 4) AS p75, round_even(max(s), 4) AS most FROM o GROUP BY n""")
 def a17_case_stats(spark, sf_dir):
     """Best similarity of each case to another one; quantiles by place."""
-    v = cases.structural(cases.signals(frozen(spark, sf_dir))).select(F.col("case_id").alias("id"), "vector")
-    best = threads.nearest(v.withColumnRenamed("id", "q"), v, 1, -1.0).select("similarity")
-    return snapshot.quantiles(best, "similarity").withColumnRenamed("n", "cases")
+    return snapshot.quantiles(_best_similarity(spark, sf_dir), "similarity").withColumnRenamed("n", "cases")
+
+
+@query(T.oracle(*VIEWS, **CASES, **_VEC, p="SELECT a.case_id, max(list_dot_product(a.v, b.v)) AS s FROM vec a JOIN vec b ON a.case_id <> b.case_id GROUP BY a.case_id") + "SELECT greatest(least(floor(round_even(s, 9) * 10), 9), 0)::INT AS bucket, count(*) AS n FROM p GROUP BY bucket")
+def a17_buckets(spark, sf_dir):
+    """The same similarities in ten buckets."""
+    return snapshot.histogram(_best_similarity(spark, sf_dir), "similarity")
 
 
 _HALF = {"old": "SELECT * FROM filings WHERE accession::BIGINT % 2 = 0", "inc": "SELECT accession, '10-K' AS form_type, filed_at, symbol, url FROM filings WHERE accession::BIGINT % 3 = 0"}
@@ -198,7 +293,7 @@ def _filings(spark, sf_dir):
 
 @query(T.oracle("filings", **_HALF) + "SELECT accession, form_type FROM old UNION ALL SELECT accession, form_type FROM inc WHERE accession NOT IN (SELECT accession FROM old)")
 def k1_insert_new(spark, sf_dir):
-    """K1, K2: a batch that is inserted twice."""
+    """K1: a batch that is inserted twice."""
     old, inc = _filings(spark, sf_dir)
     once = upsert.insert_new(old, inc.unionByName(inc), ["accession"], ["filed_at"])
     return upsert.insert_new(once, inc, ["accession"], ["filed_at"]).select("accession", "form_type")
@@ -206,15 +301,17 @@ def k1_insert_new(spark, sf_dir):
 
 @query(T.oracle("filings", **_HALF) + "SELECT coalesce(i.accession, o.accession) AS accession, coalesce(i.form_type, o.form_type) AS form_type, coalesce(o.url, i.url) AS url FROM old o FULL JOIN inc i ON o.accession = i.accession")
 def k3_latest_wins(spark, sf_dir):
-    """K3, K6, K7, K9: the last row of a key wins; kept columns hold their first value."""
+    """K3: the last row of a key wins; kept columns hold their first value."""
     old, inc = _filings(spark, sf_dir)
     return upsert.latest_wins(old, inc.withColumn("url", F.lit("other")), ["accession"], ["filed_at"], keep=["url"]).select("accession", "form_type", F.when(F.col("url") == "other", F.concat(F.lit("https://filings.example/data/"), "accession", F.lit("/"))).otherwise(F.col("url")).alias("url"))
 
 
 @query(T.oracle("relevance") + "SELECT article_id, CASE WHEN decision_source = 'USER' THEN decision ELSE 'IRRELEVANT' END AS decision, CASE WHEN decision_source = 'USER' THEN 'USER' ELSE 'AI' END AS decision_source FROM relevance")
 def k4_verdict_upsert(spark, sf_dir):
+    """K4: of two incoming verdicts the later one counts, however sure the earlier one was."""
     r = T.relevance(spark, sf_dir)
-    inc = r.withColumns({"decision": F.lit("IRRELEVANT"), "decision_source": F.lit("AI")})
+    inc = r.withColumns({"decision": F.lit("IRRELEVANT"), "decision_source": F.lit("AI"), "arrival": F.lit(2)})
+    inc = inc.unionByName(inc.withColumns({"decision": F.lit("RELEVANT"), "confidence": F.lit(1.0), "arrival": F.lit(1)}))
     return upsert.verdicts(r, inc).select("article_id", "decision", "decision_source")
 
 
@@ -230,7 +327,7 @@ def k5_decisions(spark, sf_dir):
 
 @query(T.oracle("bars", "filings", **news.MOVES, w="SELECT m.symbol || ':' || strftime(m.date, '%Y-%m-%d') AS case_id, count(f.accession) AS n_filings FROM m LEFT JOIN filings f ON m.symbol = f.symbol AND f.filed_at::DATE BETWEEN m.date - 30 AND m.date GROUP BY ALL") + "SELECT case_id, n_filings, 'reg-v1' AS methodology, false AS changed FROM w")
 def h24_backfill(spark, sf_dir):
-    """Windowed filings recomputed; a second run changes nothing."""
+    """Windowed filings recomputed; a second run changes nothing."""
     top = news.top(spark, sf_dir)
     n = evidence.tier_counts(top, T.filings(spark, sf_dir)).select(F.concat_ws(":", "symbol", F.date_format("date", "yyyy-MM-dd")).alias("case_id"), (F.col("very_close") + F.col("recent") + F.col("older")).alias("n_filings"))
     old = n.select("case_id", F.lit(0).cast("long").alias("n_filings"), F.lit(None).cast("string").alias("methodology"))
@@ -240,7 +337,7 @@ def h24_backfill(spark, sf_dir):
 
 @query(T.oracle("companies") + "SELECT symbol, name FROM companies WHERE contains(lower(symbol), '2') OR contains(lower(name), '2') QUALIFY row_number() OVER (ORDER BY symbol) <= 10")
 def s9_company_search(spark, sf_dir):
-    """Substring search, ten symbols."""
+    """Substring search, ten symbols."""
     return snapshot.search(T.companies(spark, sf_dir), "2").select("symbol", "name")
 
 
@@ -251,7 +348,7 @@ def k8_company_normalised(spark, sf_dir):
 
 @query(T.oracle("filings") + "SELECT accession, CASE WHEN length(regexp_replace(accession, '[^0-9]', '', 'g')) = 18 THEN substr(accession, 1, 10) || '-' || substr(accession, 11, 2) || '-' || substr(accession, 13, 6) ELSE '' END AS number FROM filings")
 def h15_accession(spark, sf_dir):
-    """The number from a filing's URL."""
+    """The number from a filing's URL."""
     return T.filings(spark, sf_dir).select("accession", X.accession_of(F.col("url")).alias("number"))
 
 
@@ -267,16 +364,16 @@ def h27_snapshot(spark, sf_dir):
 
 @query(T.oracle("bars") + f"SELECT symbol, date, round_even(close, 8) AS close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars WHERE date <= {D}) WHERE k <= 50")
 def s14_daily_prices(spark, sf_dir):
-    """The daily payload of every symbol, made from the bars and parsed again."""
+    """Daily payloads of every symbol, one a year so that no symbol is one row, made from the bars and parsed again."""
     b = T.bars(spark, sf_dir)
     entry = F.struct(F.date_format("date", "yyyy-MM-dd").alias("key"), F.struct(*(F.col(c).cast("string").alias(f"{k + 1}. {c}") for k, c in enumerate(("open", "high", "low", "close", "volume")))).alias("value"))
-    raw = b.groupBy("symbol").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("Time Series (Daily)"))).alias("body"))
+    raw = b.groupBy("symbol", F.year("date").alias("year")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("Time Series (Daily)"))).alias("body"))
     return parsers.daily_prices(raw, _t(), 50).select("symbol", "date", F.bround("close", 8).alias("close"), "volume")
 
 
-@query(T.oracle("filings") + "SELECT symbol, accession, form_type, filed_at FROM filings WHERE symbol IN ('Brand#2', 'Brand#7')")
+@query(T.oracle("filings") + "SELECT symbol, accession, form_type, filed_at FROM filings")
 def s15_columnar_filings(spark, sf_dir):
-    f = T.filings(spark, sf_dir).where(F.col("symbol").isin("Brand#2", "Brand#7"))
+    f = T.filings(spark, sf_dir)
     month = F.date_format("filed_at", "yyyy-MM").alias("month")  # a payload for each, so that no symbol is one row
     lists = f.groupBy("symbol", month).agg(F.sort_array(F.collect_list(F.struct("accession", "form_type", F.date_format("filed_at", "yyyy-MM-dd").alias("d")))).alias("_x"))
     recent = F.struct(F.col("_x.accession").alias("accessionNumber"), F.col("_x.form_type").alias("form"), F.col("_x.d").alias("filingDate"), F.col("_x.accession").alias("primaryDocument"))
@@ -284,19 +381,19 @@ def s15_columnar_filings(spark, sf_dir):
     return parsers.columnar_filings(raw).select("symbol", "accession", "form_type", "filed_at")
 
 
-@query(T.oracle("news") + f"SELECT 'gdelt-' || substr(sha256(lower(trim(url))), 1, 32) AS id, title, published_at FROM news WHERE symbol IN ('Brand#2', 'Brand#7') AND published_at::DATE BETWEEN DATE '1998-02-01' AND DATE '1998-02-08'")
+@query(T.oracle("news") + f"SELECT 'gdelt-' || substr(sha256(lower(trim(url))), 1, 32) AS id, title, published_at FROM news WHERE published_at::DATE BETWEEN DATE '1998-02-01' AND DATE '1998-02-08'")
 def s17_keyword_articles(spark, sf_dir):
     """The keyword payload of each day; ids from URLs."""
-    n = T.news(spark, sf_dir).where(F.col("symbol").isin("Brand#2", "Brand#7"))
+    n = T.news(spark, sf_dir)
     item = F.struct("url", "title", F.date_format("published_at", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), F.lit("x").alias("domain"))
-    raw = n.groupBy(F.to_date("published_at").alias("day")).agg(F.to_json(F.struct(F.collect_list(item).alias("articles"))).alias("body"))
+    raw = n.groupBy("symbol", F.to_date("published_at").alias("day")).agg(F.to_json(F.struct(F.collect_list(item).alias("articles"))).alias("body"))
     return parsers.keyword_articles(raw, column("1998-02-08")).select("id", "title", "published_at")
 
 
-@query(T.oracle("news") + "SELECT symbol, 'mux-' || substr(sha256(lower(trim(url))), 1, 32) AS id, round_even(sentiment_score::DOUBLE, 4) AS sentiment_score FROM news WHERE symbol IN ('Brand#2', 'Brand#7')")
+@query(T.oracle("news") + "SELECT symbol, 'mux-' || substr(sha256(lower(trim(url))), 1, 32) AS id, round_even(sentiment_score::DOUBLE, 4) AS sentiment_score FROM news")
 def s20_entity_sentiment(spark, sf_dir):
-    """The score of the symbol's own entity."""
-    n = T.news(spark, sf_dir).where(F.col("symbol").isin("Brand#2", "Brand#7"))
+    """The score of the symbol's own entity."""
+    n = T.news(spark, sf_dir)
     entity = F.array(F.struct(F.lit("OTHER").alias("symbol"), F.lit(0.5).alias("sentiment_score")), F.struct(F.lower("symbol").alias("symbol"), F.col("sentiment_score").cast("double").alias("sentiment_score")))
     item = F.struct("url", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), entity.alias("entities"))
     raw = n.groupBy("symbol", F.to_date("published_at").alias("day")).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body"))
@@ -313,7 +410,7 @@ def j24_people_of_countries(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def l12_order_lists(spark, sf_dir):
-    """The newest orders of a status."""
+    """The newest orders of a status."""
     return T.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
@@ -324,22 +421,25 @@ _JOBS = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'runn
   CASE WHEN status = 'running' AND event_type IN ('purchase', 'error') THEN created + INTERVAL 1 MINUTE WHEN status = 'running' AND created < now - INTERVAL 60 MINUTE THEN now ELSE created END AS up, now FROM j)
 SELECT event_id AS id, st AS status, up AS updated FROM s WHERE st = 'running' OR up >= now - INTERVAL 7 DAY""")
 def k10_job_lifecycle(spark, sf_dir):
-    """Complete and fail once, reap late jobs, prune old ones."""
+    """Complete and fail once, reap late jobs, prune old ones."""
     e = T.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     jobs = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "completed").otherwise("running").alias("status"), F.col("ts").alias("created"), F.col("ts").alias("updated"))
     told = e.where(F.col("event_type").isin("purchase", "error")).select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "complete").otherwise("fail").alias("kind"), (F.col("ts") + F.expr("interval 1 minute")).alias("at"))
     return upsert.job_step(jobs, told, F.lit("2024-01-20").cast("timestamp")).select("id", "status", "updated")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS window_start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY ALL")
+_DONE = "(SELECT max(ts::TIMESTAMP) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS window_start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) + INTERVAL 1 HOUR <= {_DONE} GROUP BY ALL")
 def st1_tumbling_stream(spark, sf_dir):
-    """Extension: hourly counts by a stream that reads what is there and stops."""
+    """Extension: counts of the finished hours by a stream that reads what is there and stops."""
     return S.run_once(S.tumbling(S.stream(spark, sf_dir), "1 hour")).withColumn("total", F.bround("total", 4))
 
 
-@query("""WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true)::INT AS cut FROM events),
+@query(f"""WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true)::INT AS cut FROM events),
 s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k HAVING session_end <= {_DONE}""")
 def st2_sessions_stream(spark, sf_dir):
-    """Extension: sessions of users with a gap of six hours."""
+    """Extension: finished sessions of users with a gap of six hours."""
     return S.run_once(S.sessions(S.stream(spark, sf_dir), "6 hours"))

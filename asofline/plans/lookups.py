@@ -56,7 +56,7 @@ def j12_filings_with_summaries(spark, sf_dir):
 @query(T.oracle("companies", "news", s="SELECT DISTINCT symbol FROM news") + """SELECT s.symbol, CASE WHEN substr(s.symbol, 7)::INT % 2 = 0 THEN c.name WHEN substr(s.symbol, 7)::INT % 3 = 0 THEN 'Directory ' || s.symbol ELSE upper(s.symbol) END AS name,
   CASE WHEN substr(s.symbol, 7)::INT % 2 = 0 THEN 0 WHEN substr(s.symbol, 7)::INT % 3 = 0 THEN 1 ELSE -1 END AS origin FROM s JOIN companies c USING (symbol)""".replace("SELECT s.symbol,", "SELECT upper(s.symbol) AS symbol,").replace("'Directory ' || s.symbol", "'Directory ' || upper(s.symbol)"))
 def j19_company_resolution(spark, sf_dir):
-    """The repository, then the directory, then a stub."""
+    """The repository, then the directory, then a stub."""
     c = T.companies(spark, sf_dir).withColumn("symbol", F.upper("symbol"))
     k = F.substring("symbol", 7, 2).cast("int")
     directory = c.where(k % 3 == 0).select("symbol", F.concat(F.lit("Directory "), "symbol").alias("name"))
@@ -83,16 +83,31 @@ def h29_brief_groups(spark, sf_dir):
     return records.brief_groups(topics.members(spark, sf_dir), news.top(spark, sf_dir))
 
 
-@query(T.oracle("news", "relevance", mem="SELECT n.symbol, r.category || '-' || (n.id::INT % 2) AS thread, r.decision_source AS s FROM news n JOIN relevance r ON n.id = r.article_id AND n.symbol = r.symbol") + """
-SELECT symbol, thread, s AS basis FROM (SELECT symbol, thread, s, row_number() OVER (PARTITION BY symbol, thread ORDER BY count(*) DESC, s) AS k FROM mem GROUP BY symbol, thread, s) WHERE k = 1""")
+_BASIS = {
+    "mem": topics.MEMBERS, "x": "SELECT mem.*, r.relevant, r.decision_source AS src, CASE WHEN r.decision_source = 'RULE' AND r.article_id::INT % 3 <> 0 THEN lower(r.category) END AS term FROM mem JOIN relevance r ON mem.id = r.article_id AND mem.symbol = r.symbol WHERE r.relevant IS NOT NULL",
+    "tc": "SELECT symbol, thread, max({'n': n, 'p': p, 'c': category}).c AS top FROM (SELECT symbol, thread, category, count(*) AS n, max(published_at) AS p FROM x WHERE relevant GROUP BY ALL) GROUP BY ALL",
+    "vt": "SELECT x.* FROM x JOIN tc ON x.symbol = tc.symbol AND x.thread = tc.thread AND x.relevant AND x.category = tc.top",
+    "bs": "SELECT symbol, thread, max({'n': n, 'p': p, 's': src}).s AS basis FROM (SELECT symbol, thread, src, count(*) AS n, max(published_at) AS p FROM vt GROUP BY ALL) GROUP BY ALL",
+    "q": "SELECT symbol, thread, count(*) AS voters, arg_max(term, published_at) FILTER (term IS NOT NULL) AS term FROM vt GROUP BY ALL", "n": "SELECT symbol, thread, count(*) AS total FROM x GROUP BY ALL",
+    "l": """SELECT n.symbol, n.thread, total, voters, top, basis, chr(39) || term || chr(39) AS quoted, CASE WHEN voters IS NULL THEN '' WHEN basis = 'RULE' AND term IS NOT NULL THEN 'rule:keyword ' || quoted WHEN basis = 'RULE' THEN 'rule:keyword'
+      WHEN basis = 'AI' THEN 'ai:gemini-verdict' WHEN basis = 'USER' THEN 'user-admitted' ELSE 'mixed' END AS label FROM n LEFT JOIN tc USING (symbol, thread) LEFT JOIN bs USING (symbol, thread) LEFT JOIN q USING (symbol, thread)""",
+}
+
+
+@query(T.oracle("news", "relevance", **_BASIS) + """SELECT symbol, thread, label AS basis, CASE WHEN voters IS NULL THEN '' ELSE voters || ' of ' || total || ' rated members classified ' || top
+  || CASE WHEN basis = 'RULE' AND quoted IS NOT NULL THEN ' by keyword rule (matched ' || quoted || ')' WHEN basis = 'AI' THEN ' by AI verdicts' ELSE ' (' || label || ')' END END AS rationale FROM l""")
 def a14_category_basis(spark, sf_dir):
-    r = T.relevance(spark, sf_dir).select(F.col("article_id").alias("id"), "symbol", "decision_source")
+    """Where the votes for a thread's main category come from, and the reason that is told (two thirds of the rule's reasons quote a term)."""
+    quoted = F.concat(F.lit('matched "'), F.lower("category"), F.lit('"'))
+    r = T.relevance(spark, sf_dir).select(F.col("article_id").alias("id"), "symbol", "relevant", "decision_source", F.when((F.col("decision_source") == "RULE") & (F.col("article_id").cast("int") % 3 != 0), quoted).otherwise("no term").alias("reason"))
     return records.category_basis(topics.members(spark, sf_dir).join(r, ["id", "symbol"]))
 
 
-@query(T.oracle("filings") + """SELECT accession, ['acquisition', 'other', 'regulatory'][accession::BIGINT % 3 + 1] AS event_type, [1.0, 0.5, 0.0, 0.0][accession::BIGINT % 4 + 1]::DOUBLE AS relevance, [1.0, -1.0][accession::BIGINT % 2 + 1]::DOUBLE AS sentiment FROM filings WHERE accession::BIGINT % 5 <> 0""")
-def h13_filing_summaries(spark, sf_dir):
-    """Structured summaries; every fifth has no text and makes no row, unknown words count as other or nothing."""
+SUMMARIES = "SELECT accession, ['acquisition', 'other', 'regulatory'][accession::BIGINT % 3 + 1] AS event_type, [1.0, 0.5, 0.0, 0.0][accession::BIGINT % 4 + 1]::DOUBLE AS relevance, [1.0, -1.0][accession::BIGINT % 2 + 1]::DOUBLE AS sentiment FROM filings WHERE accession::BIGINT % 5 <> 0"
+
+
+def summaries(spark, sf_dir):
+    """Structured summaries of the sample's filings; every fifth has no text and makes no row."""
     f = T.filings(spark, sf_dir)
     k = F.col("accession").cast("bigint")
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
@@ -100,6 +115,12 @@ def h13_filing_summaries(spark, sf_dir):
     return records.filing_summary(f.select("accession", F.to_json(body).alias("body"))).select("accession", "event_type", "relevance", "sentiment")
 
 
+@query(T.oracle("filings") + SUMMARIES)
+def h13_filing_summaries(spark, sf_dir):
+    """Unknown words count as other or nothing."""
+    return summaries(spark, sf_dir)
+
+
 @query(T.oracle("bars", **news.MOVES) + "SELECT symbol || ':' || strftime(date, '%Y-%m-%d') AS case_id, date AS peak FROM m WHERE symbol = 'Brand#7'")
 def s12_case_registry(spark, sf_dir):
     """A symbol's cases, the latest peaks first."""

@@ -73,10 +73,10 @@ def p4_form_families(spark, sf_dir):
 _NAMED = "contains(lower(coalesce(n.title, '')), 'than') OR contains(lower(coalesce(n.title, '')), 'thing') OR contains(lower(coalesce(n.title, '')), 'thing of ereaned')"
 
 
-@query(T.oracle("news", known=KNOWN) + f"SELECT id, published_at, ({_NAMED}) AS named, row_number() OVER (ORDER BY ({_NAMED}) DESC, published_at DESC, id) AS position FROM known n WHERE symbol = 'Brand#11'")
+@query(T.oracle("news", known=KNOWN) + f"SELECT id, published_at, ({_NAMED}) AS named, row_number() OVER (PARTITION BY symbol ORDER BY ({_NAMED}) DESC, published_at DESC, id) AS position FROM known n ")
 def l1_order_by_mention(spark, sf_dir):
-    """Articles that name the company first, then the newest."""
-    rows = known(spark, sf_dir).where("symbol = 'Brand#11'").withColumn("named", X.names_company(F.col("title"), F.lit("than"), F.lit("thing of ereaned")))
+    """The articles of every symbol, those whose title names the company first (the test is of the title), then the newest."""
+    rows = known(spark, sf_dir).withColumn("named", X.names_company(F.col("title"), F.lit("than"), F.lit("thing of ereaned")))
     order = W.partitionBy("symbol").orderBy(F.col("named").desc(), F.col("published_at").desc(), "id")
     return rows.withColumn("position", F.row_number().over(order)).select("id", "published_at", "named", "position")
 
@@ -241,13 +241,14 @@ def a25_missing_days(spark, sf_dir):
 
 
 @query(T.oracle("news", "filings", known=KNOWN) + f"""SELECT kind, ref, symbol, seen_at FROM (SELECT CASE WHEN form_type IN ('8-K', '8-K/A') THEN 'disclosure' ELSE 'filing' END AS kind, accession AS ref, symbol, filed_at AS seen_at FROM filings
-  WHERE filed_at < {D} + INTERVAL 1 DAY UNION ALL SELECT 'news', id, symbol, published_at FROM known) WHERE symbol = 'Brand#7'""")
+  WHERE filed_at < {D} + INTERVAL 1 DAY UNION ALL SELECT 'news', id, symbol, published_at FROM known)""")
 def l7_evidence_stream(spark, sf_dir):
+    """Filings, disclosures and news of every symbol, the newest first."""
     from ..functions.temporal import knowable_filing
 
     f = T.filings(spark, sf_dir).where(knowable_filing(F.col("filed_at"), _t())).select(F.when(F.col("form_type").isin("8-K", "8-K/A"), "disclosure").otherwise("filing").alias("kind"), F.col("accession").alias("ref"), "symbol", F.col("filed_at").alias("seen_at"))
     n = known(spark, sf_dir).select(F.lit("news").alias("kind"), F.col("id").alias("ref"), "symbol", F.col("published_at").alias("seen_at"))
-    return f.unionByName(n).where("symbol = 'Brand#7'").orderBy(F.col("seen_at").desc(), "ref")
+    return f.unionByName(n).orderBy("symbol", F.col("seen_at").desc(), "ref")
 
 
 @query(T.oracle("news") + "SELECT symbol, published_at::DATE AS day, count(*) AS n, CASE WHEN day <= DATE '1998-02-01' THEN 'at-event' ELSE 'post-peak' END AS timing FROM news GROUP BY symbol, day")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_html
+
 FILING_FORMS = ("10-K", "10-Q", "8-K", "10-K/A", "10-Q/A", "8-K/A")
 #: Timestamp formats, in the order they are tried.
 FORMATS = ("yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
@@ -40,19 +42,24 @@ def columnar_filings(raw: DataFrame) -> DataFrame:
     return rows.where(F.col("form_type").isin(*FILING_FORMS) & F.col("filed_at").isNotNull()).select("symbol", "accession", "form_type", "filed_at", url.alias("url"))
 
 
-def keyword_articles(raw: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """id, title, url, published_at of the articles of the last days, each once; raw: body with articles[]."""
+def keyword_articles(raw: DataFrame, as_of: Column, days: int = 7, most: int | None = None) -> DataFrame:
+    """id, title, url, published_at of the articles of the last days, each once, `most` a day where that is named (the first by id); raw: body with articles[]."""
     a = F.from_json("body", "struct<articles: array<struct<url: string, title: string, seendate: string, domain: string>>>")["articles"]
     rows = raw.select(F.explode(a).alias("_a")).select(article_id("gdelt", F.col("_a.url")).alias("id"), F.col("_a.title").alias("title"), F.col("_a.url").alias("url"), instant(F.col("_a.seendate")).alias("published_at"))
     good = rows.where(F.to_date("published_at").between(F.date_sub(as_of, days), as_of))
-    return good.groupBy("id").agg(F.min(F.struct("published_at", "title", "url")).alias("_x")).select("id", "_x.title", "_x.url", "_x.published_at")
+    once = good.groupBy("id").agg(F.min(F.struct("published_at", "title", "url")).alias("_x")).select("id", "_x.title", "_x.url", "_x.published_at")
+    if most is None:
+        return once
+    return once.withColumn("_k", F.row_number().over(W.partitionBy(F.to_date("published_at")).orderBy("id"))).where(F.col("_k") <= most).drop("_k")
 
 
-def entity_stories(raw: DataFrame) -> DataFrame:
-    """symbol, id, title, published_at (by the day) of the top articles of an entity's stories, where the entity has the ticker; raw: symbol, body."""
+def entity_stories(raw: DataFrame, most: int = 100) -> DataFrame:
+    """symbol, id, title, published_at (by the day) of the top articles of an entity's stories, where the entity has the ticker; `most` a day; raw: symbol, body."""
     body = F.from_json("body", "struct<entity: struct<tickers: array<string>>, stories: array<struct<date: string, top_articles: array<struct<url: string, title: string>>>>>")
     rows = raw.select("symbol", body.alias("_b")).where(F.exists("_b.entity.tickers", lambda t: F.upper(t) == F.upper("symbol")))
     s = rows.select("symbol", F.explode("_b.stories").alias("_s")).select("symbol", F.col("_s.date").alias("_d"), F.explode("_s.top_articles").alias("_a"))
+    place = F.row_number().over(W.partitionBy("symbol", "_d").orderBy("_a.url"))
+    s = s.withColumn("_k", place).where(F.col("_k") <= most)
     return s.select("symbol", article_id("gdc", F.col("_a.url")).alias("id"), F.col("_a.title").alias("title"), F.expr("try_cast(_d as timestamp)").alias("published_at")).dropna(subset=["published_at"])
 
 
@@ -64,10 +71,10 @@ def entity_sentiment(raw: DataFrame) -> DataFrame:
     return rows.select("symbol", article_id("mux", F.col("_a.url")).alias("id"), F.col("_a.title").alias("title"), instant(F.col("_a.published_at")).alias("published_at"), F.bround(own, 4).alias("sentiment_score")).dropna(subset=["published_at"])
 
 
-def feed_sentiment(raw: DataFrame) -> DataFrame:
-    """id, title, published_at, sentiment_score (text, kept from -1 to 1); raw: body with feed[]."""
+def feed_sentiment(raw: DataFrame, most: int = 50) -> DataFrame:
+    """id, title, published_at, sentiment_score (text, kept from -1 to 1) of the first `most` entries of each payload; raw: body with feed[]."""
     f = F.from_json("body", "struct<feed: array<struct<url: string, title: string, time_published: string, overall_sentiment_score: string>>>")["feed"]
-    rows = raw.select(F.explode(f).alias("_a"))
+    rows = raw.select(F.explode(F.slice(f, 1, most)).alias("_a"))
     score = F.expr("try_cast(_a.overall_sentiment_score as double)")
     return rows.select(article_id("avnews", F.col("_a.url")).alias("id"), F.col("_a.title").alias("title"), instant(F.col("_a.time_published")).alias("published_at"), F.when(score.between(-1, 1), score).alias("sentiment_score")).dropna(subset=["published_at"])
 
@@ -92,3 +99,37 @@ def directory(raw: DataFrame) -> DataFrame:
     """symbol, name, cik of a directory object; raw: body."""
     entries = F.from_json("body", "map<string, struct<name: string, cik: string>>")
     return raw.select(F.explode(entries).alias("_k", "_v")).select(F.upper(F.trim("_k")).alias("symbol"), "_v.name", F.lpad(F.regexp_replace("_v.cik", r"\D", ""), 10, "0").alias("cik"))
+
+
+def company_profile(raw: DataFrame) -> DataFrame:
+    """symbol, name, cik, exchange, sector of a filer's record: its first ticker and exchange, its industry as the sector; one without a ticker is none; raw: cik, body."""
+    b = F.from_json("body", "struct<name: string, tickers: array<string>, exchanges: array<string>, sicDescription: string>")
+    rows = raw.select(F.lpad(F.regexp_replace("cik", r"\D", ""), 10, "0").alias("cik"), b.alias("_b"))
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
+    out = rows.select(F.upper(first(F.col("_b.tickers"))).alias("symbol"), F.coalesce("_b.name", F.lit("")).alias("name"), "cik", first(F.col("_b.exchanges")).alias("exchange"), F.coalesce("_b.sicDescription", F.lit("")).alias("sector"))
+    return out.where("symbol <> ''")
+
+
+def fallback_profile(raw: DataFrame) -> DataFrame:
+    """symbol, name, cik, exchange, industry of the second provider's record; an unknown symbol, which has no name, is none; raw: symbol, body."""
+    b = F.from_json("body", "struct<name: string, exchange: string, finnhubIndustry: string, cik: string>")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = raw.select(F.upper(F.trim("symbol")).alias("symbol"), b.alias("_b"))
+    return rows.select("symbol", text("_b.name").alias("name"), text("_b.cik").alias("cik"), text("_b.exchange").alias("exchange"), text("_b.finnhubIndustry").alias("industry")).where("name <> '' and symbol <> ''")
+
+
+def folder_names(body: Column) -> Column:
+    """File names of a filing's folder listing; null where it can't be read."""
+    items = F.from_json(body, "struct<directory: struct<item: array<struct<name: string>>>>")["directory"]["item"]
+    return F.transform(items, lambda i: i["name"])
+
+
+def filing_documents(folders: DataFrame, files: DataFrame, most: int = 1_500_000) -> DataFrame:
+    """accession, name, text of each filing's main document without markup, up to `most` characters; folders: accession, body (its listing); files: accession, name, html."""
+    main = folders.select("accession", primary_document(folder_names(F.col("body"))).alias("name")).where("name is not null")
+    return main.join(files, ["accession", "name"]).select("accession", "name", F.substring(strip_html(F.col("html")), 1, most).alias("text"))
+
+
+def no_news(spark: SparkSession) -> DataFrame:
+    """The source of a provider that isn't configured: no rows, with the columns of news."""
+    return spark.createDataFrame([], "id string, title string, description string, source string, published_at timestamp, symbol string, url string, sentiment_score decimal(18,4)")

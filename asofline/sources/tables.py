@@ -5,7 +5,7 @@ Every view is a plain DataFrame of its table; none is cached or collected.  ORAC
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SYMBOLS = 25
@@ -53,18 +53,23 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, title, description, source, published_at, symbol, url, sentiment_score."""
+    """id, title, description, source, published_at, symbol, url, sentiment_score; title and description are the whole text."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     source = F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (n % 4 + 1).cast("int"))
     return d.select(
-        n.cast("string").alias("id"), F.substring("text", 1, 120).alias("title"), F.substring("text", 121, 2000).alias("description"), source.alias("source"),
+        n.cast("string").alias("id"), F.substring("text", 1, 120).alias("title"), F.expr("substring(text, 121)").alias("description"), source.alias("source"),
         F.timestamp_seconds(F.unix_timestamp(F.lit(NEWS_START)) + n * NEWS_STEP * 60).alias("published_at"), symbol_of(n).alias("symbol"),
         F.concat(F.lit("HTTPS://News.Example/"), n.cast("string"), F.lit(" ")).alias("url"),
         F.when(n % 3 == 0, ((n * 37 % 201 - 100) / 100).cast("decimal(18,4)")).alias("sentiment_score"),
     )
 
 
+def wording() -> Column:
+    """Title and description of an article, which is what words are counted in."""
+    return F.concat_ws(" ", "title", "description")
+
+
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """article_id, symbol, relevant, decision, decision_source, category, confidence: verdicts of some articles."""
     n = F.col("doc_id")
@@ -106,6 +111,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The same in SQL.
+WORDING = "concat_ws(' ', title, description)"
 _SYM = "'Brand#' || ({0} % 25 + 1)"
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 ORACLE = {
@@ -114,7 +121,7 @@ ORACLE = {
   FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY symbol, date""",
     "filings": f"""SELECT lpad(o_orderkey::VARCHAR, 18, '0') AS accession, {_LIST(FORMS.values())}[substr(o_orderpriority, 1, 1)::INT] AS form_type, o_orderdate::TIMESTAMP AS filed_at,
   {_SYM.format('o_orderkey')} AS symbol, 'https://filings.example/data/' || lpad(o_orderkey::VARCHAR, 18, '0') || '/' AS url FROM orders""",
-    "news": f"""SELECT doc_id::VARCHAR AS id, substr(text, 1, 120) AS title, substr(text, 121, 2000) AS description, {_LIST(SOURCES)}[doc_id % 4 + 1] AS source,
+    "news": f"""SELECT doc_id::VARCHAR AS id, substr(text, 1, 120) AS title, substr(text, 121) AS description, {_LIST(SOURCES)}[doc_id % 4 + 1] AS source,
   TIMESTAMP '{NEWS_START}' + to_minutes(doc_id * {NEWS_STEP}) AS published_at, {_SYM.format('doc_id')} AS symbol, 'HTTPS://News.Example/' || doc_id || ' ' AS url,
   CASE WHEN doc_id % 3 = 0 THEN ((doc_id * 37 % 201 - 100) / 100)::DECIMAL(18, 4) END AS sentiment_score FROM documents""",
     "relevance": f"""SELECT doc_id::VARCHAR AS article_id, {_SYM.format('doc_id')} AS symbol, CASE WHEN doc_id % 11 <> 0 THEN quality = 1 END AS relevant,

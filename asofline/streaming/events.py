@@ -5,12 +5,11 @@ A stream reads the files that are there (trigger availableNow) and can run on; i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 LATE = "1 hour"
 
 
@@ -34,13 +33,15 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def run_once(result: DataFrame) -> DataFrame:
-    """All rows of a streamed aggregate over what its source holds now, as a table in the shared folder."""
-    spark = result.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='asofline-')}"
-    path = f"{base.rstrip('/')}/asofline-stream-{uuid.uuid4().hex}"
+    """The finished rows of a streamed aggregate over what its source holds now, as a table in the shared folder.
+
+    Append mode: a window is told once, when the watermark has passed its end, and its state is dropped then; windows
+    that may still change aren't told yet.  A batch that is run again overwrites what it wrote.
+    """
+    path = new_path(result.sparkSession, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")  # complete mode: each batch has all rows
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    result.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{path}/out")
+    result.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return result.sparkSession.read.schema(result.schema).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*result.columns)

@@ -186,7 +186,7 @@ def test_payload_edges(spark):
 
 def test_long_texts(spark):
     d = spark.createDataFrame([(1, "intro\nItem 1. Business\nabc\nITEM 2 Risk\ndef"), (2, "plain text"), (3, None)], "k long, text string")
-    assert [(r.k, r.title) for r in documents.sections(d, "k", "text").orderBy("k", "n").collect()] == [(1, "ITEM 1"), (1, "ITEM 2"), (2, "FULL TEXT")]
+    assert [(r.k, r.heading, r.body) for r in documents.sections(d, "k", "text").orderBy("k", "n").collect()] == [(1, "ITEM 1 — Business", "Item 1. Business\nabc"), (1, "ITEM 2 — Risk", "ITEM 2 Risk\ndef"), (2, "FULL TEXT", "plain text")]
     t = spark.createDataFrame([(1, 1, "a" * 70), (1, 2, "b" * 40), (1, 3, "c" * 200), (1, 4, "d")], "k long, turn long, text string")
     assert [(r.turn, r.batch) for r in documents.batches(t, "k", "turn", "text", 100).orderBy("turn").collect()] == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert one(spark, h=X.strip_html(F.lit("<script>x</script><p>a &amp; b</p><!-- c -->"))).h == "a & b"
