@@ -8,7 +8,8 @@ starts from; exactly one does.  The walk keeps the states of the current path, s
 words share is encoded once, and a word's ids are read back along its states.
 
 Defined results: a null text is an empty text and has no tokens; equal texts have equal rows; repeated
-rows stay; columns of the input other than the id and the text are not read.
+rows stay, and so do rows with a null id; an empty table has no rows; columns of the input other than the id and the
+text are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_tasks
+
 #: Distinct chunks of text whose encodings a Python worker keeps; beyond it the cache starts anew with the batch's own.
 CACHE_WORDS = 400_000
 #: Last bytes of a prefix by which the lengths of the tokens that can end it are looked up.
@@ -221,18 +224,21 @@ def _mapped(docs: DataFrame, path: str, text: str, new: list[tuple[str, str]], t
     docs = docs.withColumn(text, F.col(text).cast("string"))
 
     def run(batches):
-        gc.disable()  # the encoder's many small tuples hold no cycles
         bpe = encoder(path)
-        for b in batches:
-            column = b.column(b.schema.get_field_index(text))
-            for begin in range(0, b.num_rows, 256):
-                part = b.slice(begin, 256)
-                rows = bpe.batch(column.slice(begin, 256).to_pylist(), tell)
-                cols = [pa.array([r[k] for r in rows], type=_arrow(t)) for k, (_, t) in enumerate(new)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
+        gc.disable()  # the encoder's many small tuples hold no cycles
+        try:
+            for b in batches:
+                column = b.column(b.schema.get_field_index(text))
+                for begin in range(0, b.num_rows, 256):
+                    part = b.slice(begin, 256)
+                    rows = bpe.batch(column.slice(begin, 256).to_pylist(), tell)
+                    cols = [pa.array([r[k] for r in rows], type=_arrow(t)) for k, (_, t) in enumerate(new)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {n} {t}" for n, t in new)
-    return docs.mapInArrow(run, schema)
+    return in_tasks(docs, run, schema)
 
 
 def _arrow(name: str) -> pa.DataType:

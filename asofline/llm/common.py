@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..storage import shared_folder
 
 #: ASCII white space, which separates words in every operator here.
 BLANK = " \t\n\x0b\x0c\r"
@@ -28,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='asofline-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; removed when the driver ends or by clear()."""
     path = f"{shared_folder(spark).rstrip('/')}/asofline/{name}-{uuid.uuid4().hex}"
@@ -60,6 +52,12 @@ def clear() -> None:
             return
 
 
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), for which the executors get the package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, saved, swept
+from .common import counted, in_tasks, saved, swept
 from .components import components, joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
@@ -118,7 +118,8 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
                 names=["doc_id", "n_shingles", "s1", "s2", "halves"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
+    return in_tasks(rows, run, "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +133,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["node", "set"])
 
     rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("_text"))
-    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, set array<long>")
+    return in_tasks(rows.join(F.broadcast(ids) if few else ids.hint("merge"), "node", "left_semi"), run, "node long, set array<long>")
 
 
 def _lists_of(half: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TrieBpe
-from .common import saved
+from .common import in_tasks, saved
 
 #: Tokens of a sequence.
 BUDGET = 2048
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, path: str, budget: int = BUDGET, end_id: int = 0, ke
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_tasks(docs.select(key, F.col(text).cast("string").alias("_text")), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: np.ndarray, budget: int = BUDGET) -> int:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_tasks, saved
 from .rules import repeated_words
 from .toxicity import _platt, training_ids
 
@@ -212,7 +212,7 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(x0, pa.binary()), pa.array(x1, pa.binary()), pa.array(marks, pa.int64())], names=[*names, *FEATURES])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return saved(docs.select(*[F.col(f"`{c}`") for c in names], *inputs).mapInArrow(run, schema + ", _x0 binary, _x1 binary, _mark long"), "features")
+    return saved(in_tasks(docs.select(*[F.col(f"`{c}`") for c in names], *inputs), run, schema + ", _x0 binary, _x1 binary, _mark long"), "features")
 
 
 def _scored(rows: DataFrame, views: list[View], key: str) -> DataFrame:
@@ -225,7 +225,7 @@ def _scored(rows: DataFrame, views: list[View], key: str) -> DataFrame:
                 p = [np.round(_sigmoid(v.logit(x)), 9) for v, x in zip(shared.value, _unpacked([b.column(2), b.column(3)]))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p)], names=["_id", "_mark", "p0", "p1"])
 
-    return rows.select(F.col(key).cast("long").alias("_id"), "_mark", "_x0", "_x1").mapInArrow(run, "_id long, _mark long, p0 double, p1 double")
+    return in_tasks(rows.select(F.col(key).cast("long").alias("_id"), "_mark", "_x0", "_x1"), run, "_id long, _mark long, p0 double, p1 double")
 
 
 def _surest(rows: DataFrame, labels: DataFrame, key: str, most: int) -> Callable[[list[View]], list[Told]]:
@@ -289,7 +289,7 @@ def annotate(docs: DataFrame, model: Quality) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(s), pa.array(s >= m.threshold)], names=[*names, "score", "kept"])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names]
-    return rows.mapInArrow(run, ", ".join([*schema, "score double", "kept boolean"]))
+    return in_tasks(rows, run, ", ".join([*schema, "score double", "kept boolean"]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, saved
+from .common import BLANK, in_tasks, saved
 
 #: A line is removed if more distinct documents of its host have it than this number and this percentage of them.
 MAX_DOCUMENTS, PERCENT = 5, 2
@@ -115,7 +115,8 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
             names = [key, "host", *(f.split()[0] for f in MEASURES.split(", ")[:7]), "lines"]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.ListArray.from_arrays(pa.array(ends), fields)], names=names)
 
-    return docs.select(key, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, host string, {MEASURES}")
+    rows = docs.select(key, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("_text"))
+    return in_tasks(rows, run, f"`{key}` {kind}, host string, {MEASURES}")
 
 
 def common_lines(lines: DataFrame, texts: DataFrame, max_documents: int = MAX_DOCUMENTS, percent: float = PERCENT) -> DataFrame:
@@ -166,9 +167,9 @@ def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, left: float = LEF
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else b.column(b.schema.get_field_index(n)) for n in names], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(identify, schema + ", _t1 long, _t2 long").withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    keyed = in_tasks(docs, identify, schema + ", _t1 long, _t2 long").withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
     v = verdicts.select(F.col("host").alias("_host"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_removed")
-    return keyed.join(v, ["_host", "_t1", "_t2"]).select(*names, "_removed").mapInArrow(strip, schema)
+    return in_tasks(keyed.join(v, ["_host", "_t1", "_t2"]).select(*names, "_removed"), strip, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ blocks of one table.  Tables hold distinct fingerprints with their number of row
 a group of copies, and are joined with the blocks of a stated set of queries.
 
 Defined results: a null text is an empty text, whose fingerprint is 0; equal texts have equal
-fingerprints; documents are ordered by id, rows that repeat an id by their text's hash; null ids come last.
+fingerprints; documents are ordered by id, rows that repeat an id by their text's hash; null ids come last;
+an empty table has no rows; extra columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart
+from .common import apart, in_tasks
 
 #: Labelled rows that the model learns from at most.
 MAX_TRAIN = 8000
@@ -272,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
 
     sample = training_ids(labels, label, most, key)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
-    split = rows.mapInArrow(run, "_id long, _y int, words array<string>").repartition(1)  # MAX_TRAIN rows
-    found = split.mapInArrow(_trained, "model binary").toArrow()["model"].to_pylist()
+    split = in_tasks(rows, run, "_id long, _y int, words array<string>").repartition(1)  # MAX_TRAIN rows
+    found = in_tasks(split, _trained, "model binary").toArrow()["model"].to_pylist()
     return pickle.loads(found[0]) if found else Toxicity(None, FLAT)
 
 
@@ -353,7 +353,7 @@ def annotate(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return back(docs.mapInArrow(run, schema + ", score double, predicted int"), "score", "predicted")
+    return back(in_tasks(docs, run, schema + ", score double, predicted int"), "score", "predicted")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

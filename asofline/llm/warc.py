@@ -18,7 +18,7 @@ where the schema asks for it or where option verify is true (then length and dig
 is read are compared with the headers, and a difference is an error).
 
 Defined results: a null payload is empty; null page ids and URLs have no header and come back null; rows
-with one page id and equal payloads are all responses; an empty table makes no file.
+with one page id and equal payloads are all responses; an empty table makes no file; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith, WriterCommitMessage
 
+from ..ship import ship
 from .common import counted, scratch
 
 #: Bytes of the files of a partition; a task that writes begins a new file beyond MAX_FILE.
@@ -350,7 +351,8 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known and let filters reach Python data sources."""
+    """Make the format known, here and to executors, and let filters reach Python data sources."""
+    ship(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
