@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_tasks
+from .common import cached_by, in_tasks
 
 #: Distinct chunks of text whose encodings a Python worker keeps; beyond it the cache starts anew with the batch's own.
 CACHE_WORDS = 400_000
@@ -201,6 +201,10 @@ def ids_of(encoded: list[tuple[bytes, str]]) -> bytes:
     return b"".join([e[0] for e in encoded])
 
 
+def forget() -> None:
+    encoder.cache_clear()
+
+
 def with_ids(docs: DataFrame, path: str, text: str | Column = "text") -> DataFrame:
     """Columns of docs and ids array<int>, decoded string."""
     return _mapped(docs, path, text, [("ids", "array<int>"), ("decoded", "string")], lambda e: (list(array("I", ids_of(e))), "".join([x[1] for x in e])[:-1]))
@@ -224,6 +228,7 @@ def _mapped(docs: DataFrame, path: str, text: str, new: list[tuple[str, str]], t
     docs = docs.withColumn(text, F.col(text).cast("string"))
 
     def run(batches):
+        cached_by("bpe", forget)
         bpe = encoder(path)
         gc.disable()  # the encoder's many small tuples hold no cycles
         try:

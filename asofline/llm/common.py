@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 import zlib
@@ -52,6 +53,32 @@ def clear() -> None:
             return
 
 
+def let_go() -> None:
+    """Give memory that a finished task held back to the system; a Python worker goes on to other tasks beside the executor's own memory."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        return
+
+
+_caches: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def cached_by(name: str, clear: Callable[[], None]) -> None:
+    """In a task: the caches of one operator are in use now, and clear empties them; those of the others are let go."""
+    global _owner
+    if name not in _caches:
+        _caches[name] = clear
+    if _owner != name:
+        for other, empty in _caches.items():
+            if other != name:
+                empty()
+        _owner = name
+        let_go()
+
+
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(run, schema), for which the executors get the package."""
     ship(df.sparkSession)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, in_tasks, saved, swept
+from .common import cached_by, counted, in_tasks, saved, swept
 from .components import components, joined
 
 #: Minhashes of a half key, and half keys of each of the two collections.
@@ -65,6 +65,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text: A-Z in lower case, words between ASCII blanks."""
     words = text.encode().lower().split() if text else []
@@ -104,6 +108,7 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
     """doc_id, n_shingles, s1, s2 (which identify the set) and halves of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cached_by("minhash", forget)
         for b in batches:
             n, s1, s2, halves = [], [], [], []
             for t in b.column(1):
@@ -126,6 +131,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, few: bool, width: int, key: str =
     """node, set (array of shingle hashes) of the documents whose id is in ids (node); few: no more than may be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cached_by("minhash", forget)
         for b in batches:
             for begin in range(0, b.num_rows, 500):
                 part = b.slice(begin, 500)

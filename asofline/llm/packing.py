@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TrieBpe
-from .common import in_tasks, saved
+from .common import cached_by, in_tasks, saved
 
 #: Tokens of a sequence.
 BUDGET = 2048
@@ -63,11 +63,16 @@ def fast_ids(path: str) -> FastIds:
     return FastIds(path)
 
 
+def forget() -> None:
+    fast_ids.cache_clear()
+
+
 def pieces(docs: DataFrame, path: str, budget: int = BUDGET, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 of each piece of each document."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cached_by("packing", forget)
         encoder = fast_ids(path)
         for batch in batches:
             take, piece, start, length, crc = [], [], [], [], []

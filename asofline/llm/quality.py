@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_tasks, saved
+from . import rules
+from .common import cached_by, in_tasks, saved
 from .rules import repeated_words
 from .toxicity import _platt, training_ids
 
@@ -201,6 +202,7 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
     inputs = [column("lang", "string").alias("_in_lang"), column("source", "string").alias("_in_source"), column("n_chars", "long").alias("_in_n"), F.col(text).cast("string").alias("_in_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cached_by("rules", rules.forget)
         for b in batches:
             for begin in range(0, b.num_rows, 500):
                 part = b.slice(begin, 500)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, in_tasks, saved
+from .common import BLANK, cached_by, in_tasks, saved
 
 #: A line is removed if more distinct documents of its host have it than this number and this percentage of them.
 MAX_DOCUMENTS, PERCENT = 5, 2
@@ -53,6 +53,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of three words found twice or more."""
     n = len(words) - WINDOW + 1
@@ -105,6 +109,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cached_by("rules", forget)
         struct = pa.struct([("line", pa.int64()), ("words", pa.int32())])
         for b in batches:
             rows = [measure(t.as_py()) for t in b.column(2)]

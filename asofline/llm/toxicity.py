@@ -4,7 +4,8 @@ A word is the sum of hashed embeddings of the word and of its beginnings of seve
 of one stem are alike.  Filters of widths 1, 2 and 3 run over the whole text, max pooling keeps each
 filter's strongest windows (the first TOP of them, so that a word said once differs from one said again),
 and a linear layer makes the logit.  The model is trained in numpy with Adagrad on a bounded sample of labelled rows of the training
-fold (MAX_TRAIN); that is one task's work, so a lost executor repeats it, and the driver holds the finished model alone.  Logits out of fold calibrate a scale and a threshold for each language that is told from
+fold (MAX_TRAIN), in three tasks: on either half, for logits out of fold, and on all rows; a lost executor repeats its fit, and the
+driver holds the finished model alone.  Logits out of fold calibrate a scale and a threshold for each language that is told from
 the text's function words, with what all languages share where one has few examples; the score is moved so
 that the threshold is 0.7 everywhere.  Labels, language and source columns and ids are no inputs.
 
@@ -26,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, in_tasks
+from .common import apart, cached_by, in_tasks, let_go
 
 #: Labelled rows that the model learns from at most.
 MAX_TRAIN = 8000
@@ -230,19 +232,24 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[k]] + low) / 2, 0.02, 0.98))
 
 
-def train(docs: list[np.ndarray], words: list[str], tongues: np.ndarray, y: np.ndarray, seed: int = 7) -> Toxicity:
-    """docs: the words of each text as places in words."""
-    if len(set(y.tolist())) < 2:
-        return Toxicity(None, FLAT)
-    r = np.random.default_rng(seed)
-    fold = r.permutation(len(y)) % 2
-    z = np.zeros(len(y))
-    buckets = buckets_of(words)
-    for f in (0, 1):
-        if len(set(y[fold != f].tolist())) == 2:
-            half = Cnn.new(seed + f).fit([docs[i] for i in np.nonzero(fold != f)[0]], buckets, y[fold != f], seed + f)
-            for i in np.nonzero(fold == f)[0]:
-                z[i] = half.logit(half.columns(buckets[docs[i]]))
+#: Fits of a model: on either half of the rows, which judges the other half out of fold, and on all of them.
+HALVES, WHOLE = (0, 1), 2
+
+
+def fitted(which: int, docs: list[np.ndarray], words: list[str], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, Cnn | None]:
+    """Logits out of fold (0 where this fit has none) and, of all rows, the model; docs: the words of each text as places in words."""
+    fold, z, buckets = np.random.default_rng(seed).permutation(len(y)) % 2, np.zeros(len(y)), buckets_of(words)
+    if which == WHOLE:
+        return z, Cnn.new(seed + 2).fit(docs, buckets, y, seed + 2)
+    if len(set(y[fold != which].tolist())) == 2:
+        half = Cnn.new(seed + which).fit([docs[i] for i in np.nonzero(fold != which)[0]], buckets, y[fold != which], seed + which)
+        for i in np.nonzero(fold == which)[0]:
+            z[i] = half.logit(half.columns(buckets[docs[i]]))
+    return z, None
+
+
+def calibrated(cnn: Cnn, z: np.ndarray, tongues: np.ndarray, y: np.ndarray) -> Toxicity:
+    """The model with a scale and a threshold for each language, from logits out of fold."""
     a, b = _platt(z, y)
     at = _cut(1 / (1 + np.exp(-(a * z + b))), y)
     scale = np.tile(np.array([a, b, at]), (len(_NAMES) + 1, 1))
@@ -250,9 +257,9 @@ def train(docs: list[np.ndarray], words: list[str], tongues: np.ndarray, y: np.n
         own = tongues == tongue
         if (y[own] == 1).sum() >= 10 and (y[own] == 0).sum() >= 10:
             a1, b1 = _platt(z[own], y[own], a, b, 5.0)
-            p = 1 / (1 + np.exp(-np.clip(a1 * z[own] + b1, -30, 30)))
+            p = 1 / (1 + np.exp(-(a1 * z[own] + b1)))
             scale[tongue] = a1, b1, _cut(p, y[own])
-    return Toxicity(Cnn.new(seed + 2).fit(docs, buckets, y, seed + 2), scale)
+    return Toxicity(cnn, scale)
 
 
 def training_ids(labels: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
@@ -263,7 +270,7 @@ def training_ids(labels: DataFrame, label: str, most: int, key: str = "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN, key: str = "doc_id", text: str = "text") -> Toxicity:
-    """The model of a bounded sample of labelled rows; their whole texts, as words, meet in one task."""
+    """The model of a bounded sample of labelled rows; their whole texts, as words, meet in one task a fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,25 +279,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
 
     sample = training_ids(labels, label, most, key)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
-    split = in_tasks(rows, run, "_id long, _y int, words array<string>").repartition(1)  # MAX_TRAIN rows
-    found = in_tasks(split, _trained, "model binary").toArrow()["model"].to_pylist()
-    return pickle.loads(found[0]) if found else Toxicity(None, FLAT)
+    split = in_tasks(rows, run, "_id long, _y int, words array<string>")
+    each = split.withColumn("_fit", F.explode(F.array(*[F.lit(k) for k in (*HALVES, WHOLE)]))).repartition(12, "_fit")  # MAX_TRAIN rows a fit
+    got = in_tasks(each, _fits, "fit int, part binary").toArrow().to_pylist()  # a model, and three numbers a row
+    if not got:
+        return Toxicity(None, FLAT)
+    parts = [pickle.loads(r["part"]) for r in got]
+    cnn = next(c for _, c, _, _ in parts if c is not None) if len(set(parts[0][3].tolist())) == 2 else None
+    return Toxicity(None, FLAT) if cnn is None else calibrated(cnn, sum(z for z, *_ in parts), parts[0][2], parts[0][3])
 
 
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The model of all rows (_id, _y, words) of a task, packed; nothing without rows."""
-    got = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("_id", pa.int64()), ("_y", pa.int32()), ("words", pa.list_(pa.string()))]))]).sort_by("_id")
-    if not got.num_rows:
+def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fits whose rows (_id, _y, words, _fit) a task has; of each its number and, packed, logits out of fold, model, languages and labels."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    column = got["words"].combine_chunks()
-    code = column.flatten().dictionary_encode()
-    sizes = column.value_lengths().to_numpy()
-    ends, flat, words = np.concatenate([[0], np.cumsum(sizes)]), code.indices.to_numpy(), code.dictionary.to_pylist()
-    parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    says = np.array([_SAYS.get(w, np.zeros(len(_NAMES), np.float32)) for w in words], np.float32).reshape(-1, len(_NAMES))
-    tongues = np.array([language(says[p].sum(0)) for p in parts])
-    model = train(parts, words, tongues, got["_y"].to_numpy().astype(np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    table = pa.Table.from_batches(held)
+    for which in sorted(set(table["_fit"].to_pylist())):
+        got = table.filter(pa.compute.equal(table["_fit"], which)).select(["_id", "_y", "words"]).sort_by("_id")
+        column, y = got["words"].combine_chunks(), got["_y"].to_numpy().astype(np.int64)
+        sizes, code = column.value_lengths().to_numpy(), column.flatten().dictionary_encode()
+        ends, flat, words = np.concatenate([[0], np.cumsum(sizes)]), code.indices.to_numpy(), code.dictionary.to_pylist()
+        del got, column, code
+        docs = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        says = np.array([_SAYS.get(w, np.zeros(len(_NAMES), np.float32)) for w in words], np.float32).reshape(-1, len(_NAMES))
+        tongues = np.array([language(says[d].sum(0)) for d in docs])
+        z, cnn = fitted(which, docs, words, y) if len(set(y.tolist())) == 2 else (np.zeros(len(y)), None)
+        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([pickle.dumps((z, cnn, tongues, y))], pa.binary())], names=["fit", "part"])
+        del docs, flat, words, says, cnn
+    del table, held
+    let_go()
 
 
 class _Scorer:
@@ -344,6 +362,7 @@ def annotate(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cached_by("toxicity", let_go)
         scorer = _Scorer(shared.value)
         for b in batches:
             at = b.schema.get_field_index(text)
@@ -351,6 +370,8 @@ def annotate(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
                 part = b.slice(begin, 200)
                 s = np.array(scorer.scores(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+        del scorer
+        let_go()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return back(in_tasks(docs, run, schema + ", score double, predicted int"), "score", "predicted")
