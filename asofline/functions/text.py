@@ -89,21 +89,38 @@ def tokens(text: Column) -> Column:
 SQL_TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOPWORDS) + "], t) AND NOT regexp_full_match(t, '\\p{{Nd}}+'))"
 
 
+def any_of(terms: tuple[str, ...]) -> str:
+    """Pattern of any of the terms, beginnings in common written once, so that a place is left at its first wrong letter."""
+    tree: dict = {}
+    for t in terms:
+        at = tree
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        ways = [re.escape(c).replace(r"\ ", " ") + written(sub) for c, sub in at.items() if c]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in at else "(?:" + "|".join(ways) + ")"
+        return body + "?" * ("" in at)
+
+    return written(tree)
+
+
 def whole_words(terms: tuple[str, ...]) -> str:
     """Pattern of any of the terms as whole words, in any case."""
-    return r"(?i)\b(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + r")\b"
+    return r"(?i)\b" + any_of(terms) + r"\b"
 
 
-def first_term(text: Column, terms: tuple[str, ...]) -> Column:
-    """The first of the terms, in their order, that the text has as whole words; null without one.
+def term_places(text: Column, terms: tuple[str, ...]) -> Column:
+    """Array of the places (from 1) in terms of those that the text has as whole words, one for each place where one begins.
 
-    One pass: at every word's beginning the pattern looks ahead for the first term that stands there, so overlapping
-    terms are all seen.
+    One pass: at every word's beginning the pattern looks ahead for a term that stands there, so overlapping terms are all seen.
     """
-    ahead = r"(?i)\b(?=(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + r")\b)"
+    ahead = r"(?i)\b(?=(" + any_of(terms) + r")\b)"
     order = F.array(*[F.lit(t) for t in terms])
-    places = F.transform(F.regexp_extract_all(text, F.lit(ahead), F.lit(1)), lambda t: F.array_position(order, F.lower(t)))
-    return F.try_element_at(order, F.array_min(places).cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(ahead), F.lit(1)), lambda t: F.array_position(order, F.lower(t)).cast("int"))
 
 
 def names_company(title: Column, symbol: Column, name: Column) -> Column:
@@ -123,25 +140,34 @@ def mentions_company(text: Column, symbol: Column, name: Column) -> Column:
     return ((F.trim(symbol) != "") & whole(F.trim(symbol))) | ((n != "") & (F.lower(text).contains(F.lower(n)) | F.exists(telling, whole)))
 
 
+_MATERIAL = tuple(t for terms in MATERIAL_TERMS.values() for t in terms)
+_CATEGORY = tuple(c for c, terms in MATERIAL_TERMS.items() for _ in terms)
+
+
 def judge(title: Column, description: Column, symbol: Column, name: Column) -> Column:
-    """Rule verdict as a struct: relevant, decision, category, confidence, term."""
+    """Rule verdict as a struct: relevant, decision, category, confidence, term.
+
+    All lists are looked for in one pass; the material lists stand first and in their order, so the least place found is the
+    first term of the first category, and places beyond them are terms of the industry and the economy.
+    """
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
-    mentioned = mentions_company(text, symbol, name)
-    group = {c: first_term(text, terms) for c, terms in MATERIAL_TERMS.items()}
-    found = F.coalesce(*[F.when(t.isNotNull(), F.struct(F.lit(c).alias("c"), t.alias("t"))) for c, t in group.items()])
-    nearby = text.rlike(whole_words(INDUSTRY_TERMS)) | text.rlike(whole_words(MACRO_TERMS))
+    terms = _MATERIAL + INDUSTRY_TERMS + MACRO_TERMS
+    names = F.array(*[F.lit(t) for t in _MATERIAL])
+    category = F.array(*[F.lit(c) for c in _CATEGORY])
     none = F.lit("UNRELATED")
 
     def verdict(x: Column) -> Column:
-        of = lambda r, d, c, p: F.struct(F.lit(r).cast("boolean").alias("relevant"), F.lit(d).alias("decision"), c.alias("category"), F.lit(p).alias("confidence"), x["f"]["t"].alias("term"))
-        material = x["f"].isNotNull()
+        first = F.array_min(x["p"])
+        material = F.coalesce(first <= len(_MATERIAL), F.lit(False))
+        at = lambda values: F.when(material, F.try_element_at(values, first))
+        of = lambda r, d, c, p: F.struct(F.lit(r).cast("boolean").alias("relevant"), F.lit(d).alias("decision"), c.alias("category"), F.lit(p).alias("confidence"), at(names).alias("term"))
         return (
-            F.when(x["m"] & material, of(True, "RELEVANT", x["f"]["c"], 0.60)).when(x["m"], of(None, "UNCERTAIN", none, 0.40))
-            .when(x["n"] | material, of(None, "UNCERTAIN", none, 0.45)).otherwise(of(False, "IRRELEVANT", none, 0.70))
+            F.when(x["m"] & material, of(True, "RELEVANT", at(category), 0.60)).when(x["m"], of(None, "UNCERTAIN", none, 0.40))
+            .when(F.size(x["p"]) > 0, of(None, "UNCERTAIN", none, 0.45)).otherwise(of(False, "IRRELEVANT", none, 0.70))
         )
 
     # bound once: the patterns run once for a row, however often their results are looked at
-    return F.transform(F.array(F.struct(mentioned.alias("m"), found.alias("f"), nearby.alias("n"))), verdict)[0]
+    return F.transform(F.array(F.struct(mentions_company(text, symbol, name).alias("m"), term_places(text, terms).alias("p"))), verdict)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,7 +1,8 @@
 """As-of and interval joins on symbols.
 
-Both sides are hash-partitioned by symbol once.  An as-of join is one union sorted by time, in which the
-last row of the right side is carried forward; it makes no pairs, whatever the number of rows of a symbol.
+An as-of join is one union sorted by time inside each period of a symbol, in which the last row of the right side is
+carried forward; what earlier periods end with comes from one row a period.  So it makes no pairs, and a symbol with
+many rows is as many groups as it has periods.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """left with the values of right's latest row at or before left_time, null where there is none."""
+def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], period: str = "month") -> DataFrame:
+    """left with the values of right's latest row at or before left_time, null where there is none; rows of right without a time don't count."""
     names = left.columns
     l = left.select(F.struct(*names).alias("_row"), F.col(by).alias("_by"), F.col(left_time).alias("_t"), F.lit(None).cast(right.select(F.struct(right_time, *values).alias("x")).schema["x"].dataType).alias("_v"), F.lit(1).alias("_side"))
-    r = right.select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(by).alias("_by"), F.col(right_time).alias("_t"), F.struct(right_time, *values).alias("_v"), F.lit(0).alias("_side"))
-    w = W.partitionBy("_by").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = l.unionByName(r).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_row.*", F.col(f"_v.{right_time}").alias(f"{right_time}_as_of"), *(F.col(f"_v.{v}").alias(f"{v}_as_of") for v in values))
+    r = right.where(F.col(right_time).isNotNull()).select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(by).alias("_by"), F.col(right_time).alias("_t"), F.struct(right_time, *values).alias("_v"), F.lit(0).alias("_side"))
+    both = l.unionByName(r).withColumn("_period", F.date_trunc(period, F.col("_t").cast("timestamp")))
+    ends = both.groupBy("_by", "_period").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    earlier = W.partitionBy("_by").orderBy("_period").rowsBetween(W.unboundedPreceding, -1)  # a row a period
+    before = ends.select("_by", "_period", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    w = W.partitionBy("_by", "_period").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").join(before, ["_by", "_period"], "left").withColumn("_v", F.coalesce("_v", "_before"))
+    return found.select("_row.*", F.col(f"_v.{right_time}").alias(f"{right_time}_as_of"), *(F.col(f"_v.{v}").alias(f"{v}_as_of") for v in values))
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: str, low: Column, day: Column, high: Column, how: str = "inner") -> DataFrame:

@@ -343,7 +343,8 @@ def s9_company_search(spark, sf_dir):
 
 @query(T.oracle("companies") + "SELECT symbol, CASE WHEN upper(exchange) LIKE 'NEW YORK STOCK EXCHANGE%' THEN 'NYSE ARCA' WHEN upper(exchange) LIKE 'NASDAQ%' THEN 'NASDAQ' ELSE 'OTC' END AS exchange, lpad(cik, 10, '0') AS cik FROM companies")
 def k8_company_normalised(spark, sf_dir):
-    return T.companies(spark, sf_dir).select("symbol", X.exchange_code(F.col("exchange")).alias("exchange"), F.lpad(F.regexp_replace("cik", r"\D", ""), 10, "0").alias("cik"))
+    """K8: companies as they are stored; a second one of a symbol is an error."""
+    return upsert.unique(T.companies(spark, sf_dir).select("symbol", X.exchange_code(F.col("exchange")).alias("exchange"), F.lpad(F.regexp_replace("cik", r"\D", ""), 10, "0").alias("cik")), "symbol")
 
 
 @query(T.oracle("filings") + "SELECT accession, CASE WHEN length(regexp_replace(accession, '[^0-9]', '', 'g')) = 18 THEN substr(accession, 1, 10) || '-' || substr(accession, 11, 2) || '-' || substr(accession, 13, 6) ELSE '' END AS number FROM filings")

@@ -164,9 +164,9 @@ def p8_brief_threads(spark, sf_dir):
 
 @query()
 def p8_brief_news(spark, sf_dir):
-    """Articles that the rules call relevant, by the name of their company; the whole text is judged."""
+    """Articles that the rules call relevant; the company's name, and two terms in every third, are planted, and the whole text is judged."""
     rows = T.news(spark, sf_dir).join(T.companies(spark, sf_dir).select("symbol", "name"), "symbol")
-    judged = X.judge(F.concat(F.col("name"), F.lit(" revenue "), F.coalesce("title", F.lit(""))), F.when(F.col("id").cast("int") % 2 == 0, F.col("description")), F.col("symbol"), F.col("name"))
+    judged = X.judge(F.concat(F.col("name"), F.when(F.col("id").cast("int") % 3 == 0, " take over and Revenue ").otherwise(" "), F.coalesce("title", F.lit(""))), F.when(F.col("id").cast("int") % 2 == 0, F.col("description")), F.col("symbol"), F.col("name"))
     return rows.select("id", judged.alias("v")).where("v.decision = 'RELEVANT'").select("id", "v.category", "v.term")
 
 

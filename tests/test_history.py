@@ -238,3 +238,34 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         storage.shared_folder(Session)
+
+
+def test_brief_news_of_whole_texts(spark):
+    names = {r.symbol: r.name for r in T.companies(spark, SF).collect()}
+    expected = set()
+    for r in T.news(spark, SF).collect():
+        text = f"{names[r.symbol]}{' take over and Revenue ' if int(r.id) % 3 == 0 else ' '}{r.title or ''}\n{(r.description or '') if int(r.id) % 2 == 0 else ''}".lower()
+        found = next(((c, t) for c, terms in X.MATERIAL_TERMS.items() for t in terms if re.search(rf"\b{re.escape(t)}\b", text, re.ASCII)), None)
+        if found:
+            expected.add((r.id, *found))
+    assert expected and {tuple(r) for r in catalog.QUERIES["p8_brief_news"](spark, SF).collect()} == expected
+
+
+def test_terms_are_told_apart():
+    terms = [*X._MATERIAL, *X.INDUSTRY_TERMS, *X.MACRO_TERMS]
+    pattern = re.compile(r"(?i)\b(?=(" + X.any_of(tuple(terms)) + r")\b)")
+    assert all(pattern.match(t)[1] == t for t in terms) and len(set(terms)) == len(terms)
+    assert [m[1] for m in pattern.finditer("to acquire a cyber attack, price cuts")] == ["to acquire", "acquire", "cyber attack"]
+
+
+def test_as_of_join_over_periods(spark):
+    from asofline.operators.joins import as_of_join
+
+    r = np.random.default_rng(4)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(int(n))
+    right = sorted({(s, day(n)) for s, n in zip(r.choice(list("ab"), 60), r.integers(0, 400, 60))})
+    left = [(k, s, day(n)) for k, (s, n) in enumerate(zip(r.choice(list("abc"), 200), r.integers(0, 420, 200)))] + [(500, "a", None)]
+    rows = as_of_join(spark.createDataFrame(left, "k int, s string, d date"), spark.createDataFrame([(*x, str(x[1])) for x in right] + [("a", None, "lost")], "s string, t date, v string"), "s", "d", "t", ["v"])
+    expected = {k: max((t for x, t in right if x == s and d is not None and t <= d), default=None) for k, s, d in left}
+    got = {x.k: (x.t_as_of, x.v_as_of) for x in rows.collect()}
+    assert got == {k: (t, None if t is None else str(t)) for k, t in expected.items()}
