@@ -21,6 +21,9 @@ BLANK = " \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
 BLANKS = "[ \\t\\n\\u000b\\f\\r]+"
 
+#: Bytes of a batch of rows that a task hands to Python, about.
+BATCH_BYTES = 8 << 20
+
 _made: list[tuple[object, str]] = []
 
 
@@ -80,8 +83,12 @@ def cached_by(name: str, clear: Callable[[], None]) -> None:
 
 
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), for which the executors get the package."""
-    ship(df.sparkSession)
+    """df.mapInArrow(run, schema), for which the executors get the package; batches are of BATCH_BYTES where the session has Spark's own, larger default."""
+    spark = df.sparkSession
+    ship(spark)
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
