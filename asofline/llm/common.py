@@ -59,6 +59,7 @@ def clear() -> None:
 def let_go() -> None:
     """Give memory that a finished task held back to the system; a Python worker goes on to other tasks beside the executor's own memory."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps what it has
@@ -89,7 +90,12 @@ def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
     if spark.conf.get(name) == default:
         spark.conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def then_let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        let_go()
+
+    return df.mapInArrow(then_let_go, schema)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

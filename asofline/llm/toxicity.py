@@ -270,17 +270,17 @@ def training_ids(labels: DataFrame, label: str, most: int, key: str = "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN, key: str = "doc_id", text: str = "text") -> Toxicity:
-    """The model of a bounded sample of labelled rows; their whole texts, as words, meet in one task a fit."""
+    """The model of a bounded sample of labelled rows; their whole texts, as packed words, meet in one task a fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached_by("toxicity", let_go)
         for b in batches:
-            words = [words_of(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["_id", "_y", "words"])
+            words = [zlib.compress(" ".join(words_of(t.as_py())).encode(), 1) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["_id", "_y", "words"])
 
     sample = training_ids(labels, label, most, key)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
-    split = in_tasks(rows, run, "_id long, _y int, words array<string>")
+    split = in_tasks(rows, run, "_id long, _y int, words binary")
     each = split.withColumn("_fit", F.explode(F.array(*[F.lit(k) for k in (*HALVES, WHOLE)]))).repartition(12, "_fit")  # MAX_TRAIN rows a fit
     got = in_tasks(each, _fits, "fit int, part binary").toArrow().to_pylist()  # a model, and three numbers a row
     if not got:
@@ -299,16 +299,17 @@ def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
     for which in sorted(set(table["_fit"].to_pylist())):
         got = table.filter(pa.compute.equal(table["_fit"], which)).select(["_id", "_y", "words"]).sort_by("_id")
-        column, y = got["words"].combine_chunks(), got["_y"].to_numpy().astype(np.int64)
-        sizes, code = column.value_lengths().to_numpy(), column.flatten().dictionary_encode()
-        ends, flat, words = np.concatenate([[0], np.cumsum(sizes)]), code.indices.to_numpy(), code.dictionary.to_pylist()
-        del got, column, code
-        docs = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        y, codes, docs = got["_y"].to_numpy().astype(np.int64), {}, []
+        for packed in got["words"]:  # a text at a time
+            own = zlib.decompress(packed.as_py()).decode().split()
+            docs.append(np.fromiter((codes.setdefault(w, len(codes)) for w in own), np.int32, len(own)))
+        words = list(codes)
+        del got, codes
         says = np.array([_SAYS.get(w, np.zeros(len(_NAMES), np.float32)) for w in words], np.float32).reshape(-1, len(_NAMES))
         tongues = np.array([language(says[d].sum(0)) for d in docs])
         z, cnn = fitted(which, docs, words, y) if len(set(y.tolist())) == 2 else (np.zeros(len(y)), None)
         yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([pickle.dumps((z, cnn, tongues, y))], pa.binary())], names=["fit", "part"])
-        del docs, flat, words, says, cnn
+        del docs, words, says, cnn
     del table, held
     let_go()
 
