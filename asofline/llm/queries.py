@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, packing, quality, rules, sharding, simhash, toxicity, warc
+from . import alignment, bpe, chat, minhash, mixing, packing, quality, rules, sharding, simhash, toxicity, variants, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +52,17 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_best_fit_packing, op4_line_frequency, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup, op10_cotraining)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_best_fit_packing, op4_line_frequency, op5_ring_sharding, op6_simhash, op7_bpe, op8_warc, op9_minhash_dedup, op10_cotraining, op11_alignment, op12_variants, op13_mixing)}
 SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_line_frequency": rules.SQL}
