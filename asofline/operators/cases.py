@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import CATEGORIES
+from . import ranks
 
 BEFORE, REACTION_DAYS, EXCLUDED_DAYS = 20, 5, 30
 SIGNALS = ("earnings-chatter", "regulatory-overhang", "volume-first-divergence", "leadership-turbulence", "sentiment-split", "supply-tremor")
@@ -194,10 +195,29 @@ def supporters(case: DataFrame) -> DataFrame:
 
 
 def aftermath(case: DataFrame) -> DataFrame:
-    """signal, n, median, high, low of the moves from the first to the last reaction close of the cases with the signal."""
+    """case_id, signal, n, median, high, low of the moves, from the first to the last reaction close, of the case's supporters: other cases with the signal that peaked no later.
+
+    The order statistics of all cases up to a day are taken once for each signal and day; a case that is itself among
+    them is left out by place: what isn't below its own move is one place further.  No case meets another.
+    """
     first, last = F.col("reaction")[0]["close"], F.element_at("reaction", -1)["close"]
-    moved = case.where((F.size("reaction") >= 2) & (first != 0)).select(F.explode("fired").alias("signal"), ((last - first) / first * 100).alias("m"))
-    return moved.groupBy("signal").agg(F.count("*").alias("n"), F.bround(F.percentile("m", 0.5), 2).alias("median"), F.bround(F.max("m"), 2).alias("high"), F.bround(F.min("m"), 2).alias("low"))
+    move = F.when((F.size("reaction") >= 2) & (first != 0), (last - first) / first * 100)
+    fired = case.select("case_id", "peak", move.alias("_m"), F.explode("fired").alias("signal"))
+    upto = W.partitionBy("signal").orderBy("peak")
+    days = fired.groupBy("signal", "peak").agg(F.count("_m").alias("_c")).withColumn("_n", F.sum("_c").over(upto))
+    n = F.col("_n")
+    places = F.array(F.lit(0), F.lit(1), n - 2, n - 1, *[F.floor((n - 2) / 2) + k for k in range(3)])
+    asked = days.select(F.col("signal").alias("key"), F.col("peak").alias("at"), F.explode(F.array_distinct(places)).alias("k"), "_n").where("k >= 0 and k < _n")
+    found = ranks.order_statistics(fired.select(F.col("signal").alias("key"), F.col("peak").alias("at"), F.col("_m").alias("value")), asked)
+    known = found.groupBy(F.col("key").alias("signal"), F.col("at").alias("peak")).agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("_v"))  # seven places at most
+    rows = fired.join(days.select("signal", "peak", "_n"), ["signal", "peak"]).join(known, ["signal", "peak"], "left")
+    rows = rows.withColumn("n", F.col("_n") - F.col("_m").isNotNull().cast("long"))
+    at = lambda k: F.try_element_at("_v", k.cast("long"))
+    pick = lambda k: F.when(F.col("_m").isNotNull() & (at(k) >= F.col("_m")), at(k + 1)).otherwise(at(k))
+    half = F.floor(F.col("n") / 2)
+    median = F.when(F.col("n") % 2 == 1, pick(half)).otherwise((pick(half - 1) + pick(half)) / 2)
+    some = lambda c: F.when(F.col("n") > 0, F.bround(c, 2))
+    return rows.select("case_id", "signal", "n", some(median).alias("median"), some(pick(F.col("n") - 1)).alias("high"), some(pick(F.lit(0))).alias("low"))
 
 
 def display(similarity: Column) -> Column:
