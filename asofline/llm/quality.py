@@ -6,10 +6,10 @@ language, the source and the number of characters.  Each view is a logistic mode
 bounded sample of labelled rows of the training fold (MAX_TRAIN).
 
 The features of all documents are written once.  In every round both views score every document without a label,
-in the tasks, and each tells the other the EXCHANGED rows of each kind of which it is surest and that it hasn't told
-before; equal rows count once.  A told label is the view's calibrated probability, and weighs the more the
-further it is from one half, so a weak view teaches little and a sure one much.  Both views are fitted again on what
-they were told.  After the rounds they are calibrated on held-back rows, combined by a logistic model of
+in the tasks, and each tells the other the EXCHANGED rows of each kind of which it is surest, that it hasn't told
+before, and of which it is CONFIDENT: its calibrated probability of the kind is as high as that.  Of other rows it says
+nothing, and a view that is sure of none tells none; equal rows count once.  A told label is that probability, and
+weighs the more the further it is from one half.  Both views are fitted again on what they were told.  After the rounds they are calibrated on held-back rows, combined by a logistic model of
 their logits, and score all documents over whole texts.
 
 The score is the probability of good quality.  The threshold rejects where the score is low, and is lowered
@@ -23,6 +23,7 @@ repeated rows have equal scores; extra columns are kept by annotate(), whose own
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from collections import Counter
@@ -40,10 +41,13 @@ from .common import cached_by, in_tasks, saved
 from .rules import repeated_words
 from .toxicity import _platt, training_ids
 
+LOG = logging.getLogger(__name__)
 #: Labelled rows that the models learn from at most.
 MAX_TRAIN = 6000
 #: Rounds of exchange; rows that a view tells the other in a round, of each kind; weight of a sure told row.
 ROUNDS, EXCHANGED, TOLD_WEIGHT = 3, 200, 0.3
+#: Calibrated probability of a kind from which a view tells a row as of that kind.
+CONFIDENT = 0.95
 #: Share of the good held-back rows whose scores the threshold leaves.
 KEEP = 0.995
 SYMBOLS = "#*$%&|<>!?.,;:-_/\\@=+~^\"'()[]{}"
@@ -171,6 +175,7 @@ def train(xs: list[np.ndarray], y: np.ndarray, surest: Callable[[list[View]], li
     for _ in range(rounds):
         new = surest(views)
         counts.append((len(new[0][1]), len(new[1][1])))
+        LOG.info("the content view was told %d rows, the metadata view %d", *counts[-1])
         if not any(counts[-1]):
             break
         for k in (0, 1):
@@ -195,9 +200,9 @@ def _unpacked(columns: list[pa.Array]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(c.to_pylist()), np.float32).reshape(len(c), -1).astype(np.float64) for c in columns]
 
 
-def featured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with FEATURES, written once; what reads the rows later doesn't read the texts again."""
-    have, names = set(docs.columns), [c for c in docs.columns if c.lower() not in FEATURES]
+def featured(docs: DataFrame, text: str = "text", only: tuple[str, ...] | None = None) -> DataFrame:
+    """docs, or the named columns of them, with FEATURES, written once; what reads the rows later doesn't read the texts again."""
+    have, names = set(docs.columns), [c for c in docs.columns if c.lower() not in FEATURES and (only is None or c in only)]
     column = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind)
     inputs = [column("lang", "string").alias("_in_lang"), column("source", "string").alias("_in_source"), column("n_chars", "long").alias("_in_n"), F.col(text).cast("string").alias("_in_text")]
 
@@ -230,8 +235,8 @@ def _scored(rows: DataFrame, views: list[View], key: str) -> DataFrame:
     return in_tasks(rows.select(F.col(key).cast("long").alias("_id"), "_mark", "_x0", "_x1"), run, "_id long, _mark long, p0 double, p1 double")
 
 
-def _surest(rows: DataFrame, labels: DataFrame, key: str, most: int) -> Callable[[list[View]], list[Told]]:
-    """The exchange of a round over all featured rows without a label; equal rows are told once in each direction."""
+def _surest(rows: DataFrame, labels: DataFrame, key: str, most: int, floor: float = CONFIDENT) -> Callable[[list[View]], list[Told]]:
+    """The exchange of a round over all featured rows without a label, of those whose probability of a kind is `floor` or more; equal rows are told once in each direction."""
     known = labels.select(F.col(key).cast("long").alias("_id")).where("_id is not null").distinct()
     before: list[set[int]] = [set(), set()]  # marks that each view was told, 2 * most more a round
 
@@ -242,8 +247,8 @@ def _surest(rows: DataFrame, labels: DataFrame, key: str, most: int) -> Callable
         for k in (0, 1):
             new = pool.where(~F.col("_mark").isin(*before[k])) if before[k] else pool
             p = F.col(f"p{1 - k}")
-            for sure in (p.desc(), p.asc()):
-                chosen.append(new.orderBy(sure, "_mark").limit(most).select(F.lit(k).alias("k"), "_mark", p.alias("p")))
+            for sure, enough in ((p.desc(), p >= floor), (p.asc(), p <= 1 - floor)):
+                chosen.append(new.where(enough).orderBy(sure, "_mark").limit(most).select(F.lit(k).alias("k"), "_mark", p.alias("p")))
         told = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).unionByName(chosen[3]).distinct().toArrow().sort_by([("k", "ascending"), ("_mark", "ascending")]).to_pylist()
         marks = {r["_mark"] for r in told}
         if not marks:
@@ -267,14 +272,14 @@ def _ready(docs: DataFrame) -> DataFrame:
     return docs if {*FEATURES} <= {*docs.columns} else featured(docs)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", most: int = EXCHANGED, rounds: int = ROUNDS) -> Quality:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", most: int = EXCHANGED, rounds: int = ROUNDS, floor: float = CONFIDENT) -> Quality:
     """The model of docs, plain or featured(): a bounded sample of labelled ones of the training fold, and exchange over all unlabelled ones."""
     rows = _ready(docs)
     sample = training_ids(labels, label, MAX_TRAIN, key)
     got = rows.select(F.col(key).alias("_id"), "_x0", "_x1").join(F.broadcast(sample), "_id").toArrow().sort_by("_id")
     if not got.num_rows:
         return Quality(None, np.zeros(3), 0.0)
-    return train(_unpacked([got["_x0"], got["_x1"]]), got["_y"].to_numpy().astype(np.int64), _surest(rows, labels, key, most), rounds)
+    return train(_unpacked([got["_x0"], got["_x1"]]), got["_y"].to_numpy().astype(np.int64), _surest(rows, labels, key, most, floor), rounds)
 
 
 def annotate(docs: DataFrame, model: Quality) -> DataFrame:
@@ -297,5 +302,5 @@ def annotate(docs: DataFrame, model: Quality) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """op10's result: doc_id, held_out, score (probability of good quality), predicted and kept of every document."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rows = featured(docs.select("doc_id", "text", "lang", "source", "n_chars")).drop("text", "lang", "source", "n_chars")
+    rows = featured(docs.select("doc_id", "text", "lang", "source", "n_chars"), only=("doc_id",))
     return annotate(rows, fit(rows, labels)).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "kept")

@@ -59,12 +59,12 @@ def test_views_tell_each_other_their_surest_rows(spark):
     docs, labels = corpus(spark)
     labels = labels.where("doc_id % 3 = 0")
     rows = quality.featured(docs.withColumn("n_chars", F.length("text") * 7).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"))))
-    one, three = quality.fit(rows, labels, most=20, rounds=1), quality.fit(rows, labels, most=20, rounds=3)
+    one, three = (quality.fit(rows, labels, most=20, rounds=k, floor=0.0) for k in (1, 3))  # by rank alone
     assert one.told == [(40, 40)] and three.told == [(40, 40)] * 3
     none = quality.fit(rows, labels, rounds=0)
     assert none.told == [] and not np.array_equal(none.views[0].weights, three.views[0].weights) and not np.array_equal(none.views[1].weights, three.views[1].weights)
     # the first round, row by row in numpy
-    told = quality._surest(rows, labels, "doc_id", 20)(none.views)
+    told = quality._surest(rows, labels, "doc_id", 20, 0.0)(none.views)
     known = {r.doc_id for r in labels.collect()}
     pool = {r._mark: r for r in rows.collect() if r.doc_id not in known}
     for k in (0, 1):
@@ -72,13 +72,30 @@ def test_views_tell_each_other_their_surest_rows(spark):
         p = {m: round(float(quality._sigmoid(view.logit(np.frombuffer(r[f"_x{1 - k}"], np.float32).astype(np.float64)[None, :]))[0]), 9) for m, r in pool.items()}
         up, down = sorted(p, key=lambda m: (-p[m], m))[:20], sorted(p, key=lambda m: (p[m], m))[:20]
         assert sorted(told[k][1]) == sorted(p[m] for m in {*up, *down})
+    # with a floor, only rows of which the view is as sure as that are told, and all of these if they are few
+    floor = quality._surest(rows, labels, "doc_id", 10_000, 0.9)(none.views)
+    for k in (0, 1):
+        view = none.views[1 - k]
+        p = [round(float(quality._sigmoid(view.logit(np.frombuffer(r[f"_x{1 - k}"], np.float32).astype(np.float64)[None, :]))[0]), 9) for r in pool.values()]
+        assert sorted(floor[k][1]) == sorted(x for x in p if x >= 0.9 or x <= 0.1)
+
+
+def test_an_unsure_view_tells_nothing(spark):
+    """Sources, languages and lengths say nothing of the quality here: the metadata view abstains, and the content view teaches it."""
+    docs, labels = corpus(spark)
+    rows = quality.featured(docs.withColumns({"n_chars": F.lit(100).cast("long"), "source": F.lit("s"), "lang": F.lit("en")}))
+    model = quality.fit(rows, labels.where("doc_id % 3 = 0"), most=20, rounds=2)
+    assert [n for n, _ in model.told] == [0, 0] and model.told[0][1] > 0
+    assert abs(model.weights[1]) < 0.2 * abs(model.weights[0])
+    only = quality.featured(docs, only=("doc_id",))
+    assert only.columns == ["doc_id", *quality.FEATURES] and only.count() == docs.count()
 
 
 def test_copies_are_told_once(spark):
     docs, labels = corpus(spark, 200)
     few = labels.where("doc_id < 150")
     again = docs.unionByName(docs.where("doc_id >= 150").withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(docs.where("doc_id >= 150").withColumn("doc_id", F.lit(None).cast("long")))
-    assert quality.fit(again, few, most=10_000, rounds=2).told == [(50, 50), (0, 0)]
+    assert quality.fit(again, few, most=10_000, rounds=2, floor=0.0).told == [(50, 50), (0, 0)]
 
 
 def test_models_keep_extra_columns(spark):
