@@ -134,6 +134,47 @@ def signals(case: DataFrame) -> DataFrame:
     return case.withColumn("fired", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in zip(SIGNALS, tests)])))
 
 
+def triggers(signal: Column, category: Column, n_articles: Column, otherwise: Column, categories: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a thread triggers a signal (by its category; the regulatory one by threads of several articles alone); `otherwise` for signals that no thread triggers."""
+    test = F
+    for name, of in categories.items():
+        votes = category.isin(*of) & ((n_articles > 1) if name == "regulatory-overhang" else F.lit(True))
+        test = test.when(signal == name, votes)
+    return test.otherwise(otherwise)
+
+
+def trigger_evidence(case: DataFrame, categories: dict[str, tuple[str, ...]]) -> DataFrame:
+    """case_id, signal, text, size: what each fired signal is told with; size is that of a thread."""
+    fired = case.select("*", F.explode("fired").alias("signal"))
+    tense = F.array_sort(F.transform(F.filter("regime_path", lambda r: r["regime"] == "tense"), lambda r: F.date_format(r["day"], "yyyy-MM-dd")))
+    item = lambda text, size: F.struct(text.alias("text"), size.cast("long").alias("size"))  # noqa: E731  what isn't a thread has size 0
+    of_threads = F.transform(
+        F.filter("threads", lambda t: triggers(F.col("signal"), t["category"], t["n_articles"], F.lit(False), categories)),
+        lambda t: item(F.concat(t["category"], F.lit(" thread: "), t["thread"]), t["n_articles"]),
+    )
+    told = lambda *texts: F.array(*[item(x, F.lit(0)) for x in texts])
+    days = F.concat(F.lit("tense regime on "), F.size(tense).cast("string"), F.lit(" pre-peak days ("), F.try_element_at(tense, F.lit(1)), F.lit("→"), F.try_element_at(tense, F.lit(-1)), F.lit(")"))
+    numbers = (
+        F.when(F.col("signal") == "regulatory-overhang", told(days))
+        .when(F.col("signal") == "volume-first-divergence", told(F.concat(F.lit("peak flags: "), F.array_join("flags", ", ")), F.concat(F.lit("only "), F.col("news_count").cast("string"), F.lit(" pre-peak news item(s) in move evidence"))))
+        .when(F.col("signal") == "sentiment-split", told(F.lit("scored pre-peak news leans against the price move (contrarian divergence)")))
+        .when(F.col("signal") == "supply-tremor", told(F.lit("regime path shifts warming→tense inside the pre-peak window"))).otherwise(F.array().cast("array<struct<text:string,size:bigint>>"))
+    )
+    return fired.select("case_id", "signal", F.explode(F.concat(of_threads, numbers)).alias("_e")).select("case_id", "signal", "_e.text", "_e.size")
+
+
+#: Fixed value: what a case says whose frozen row differs.
+RECOMPUTED = "Recomputed now — may differ from frozen registry record."
+
+
+def recomputed_notes(rows: DataFrame, frozen: DataFrame, live: DataFrame) -> DataFrame:
+    """case_id, note of each live case: RECOMPUTED where its registry row (rows: case_id) differs from it or can't be read (frozen: what could be), nothing where there is no row."""
+    same = matches_frozen(frozen, live)
+    there = rows.select("case_id").distinct().withColumn("_there", F.lit(True))
+    out = live.select("case_id").join(there, "case_id", "left").join(same, "case_id", "left")
+    return out.select("case_id", F.when(F.col("_there") & ~F.coalesce("matches", F.lit(False)), RECOMPUTED).otherwise("").alias("note"))
+
+
 def structural(case: DataFrame) -> DataFrame:
     """case with vector: 96 dimensions of unit length (all zero where nothing is measured); the places are fixed values.
 
@@ -225,21 +266,25 @@ def display(similarity: Column) -> Column:
     return F.least(F.bround(similarity, 3), F.lit(0.999))
 
 
-def similar_cases(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """q, case_id, similarity: pairs (q, id, similarity) of cases, without those of one symbol whose peaks are EXCLUDED_DAYS apart at most."""
-    at = lambda name, c: vectors.select(F.col("case_id").alias(name), F.col("symbol").alias(f"_s{c}"), F.col("peak").alias(f"_p{c}"))
-    both = pairs.withColumnRenamed("id", "case_id").join(at("q", 0), "q").join(at("case_id", 1), "case_id")
+def similar_cases(vectors: DataFrame, pairs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """q, case_id, similarity: pairs (q, id, similarity) of cases, without those of one symbol whose peaks are EXCLUDED_DAYS apart at most.
+
+    vectors: case_id, symbol, peak of the cases; asked: the same of q, where it isn't a case's id itself.
+    """
+    mine = vectors.withColumn("q", F.col("case_id")) if asked is None else asked
+    at = lambda rows, name, c: rows.select(F.col(name), F.col("symbol").alias(f"_s{c}"), F.col("peak").alias(f"_p{c}"))
+    both = pairs.withColumnRenamed("id", "case_id").join(at(mine, "q", 0), "q").join(at(vectors, "case_id", 1), "case_id")
     return both.where(~((F.col("_s0") == F.col("_s1")) & (F.abs(F.datediff("_p0", "_p1")) <= EXCLUDED_DAYS))).select("q", "case_id", "similarity")
 
 
 def best_pairs(asked: DataFrame, articles: DataFrame, links: DataFrame) -> DataFrame:
-    """q, case_id, similarity: the best similarity of two different articles of each pair of cases.
+    """q, case_id, similarity: the best similarity of two different articles of what is asked and of another case.
 
-    asked: q, id and articles: case_id, id (articles of the cases); links: q, id, similarity of different articles.
+    asked: q, own (the case that asks), id and articles: case_id, id (articles of the cases); links: q, id, similarity of different articles.
     """
-    a = asked.select(F.col("q").alias("_case"), F.col("id").alias("q"))
-    both = links.join(a, "q").join(articles.select("case_id", "id"), "id").where(F.col("case_id") != F.col("_case"))
-    return both.groupBy(F.col("_case").alias("q"), "case_id").agg(F.max("similarity").alias("similarity"))
+    a = asked.select(F.col("q").alias("_q"), "own", F.col("id").alias("q"))
+    both = links.join(a, "q").join(articles.select("case_id", "id"), "id").where(F.col("case_id") != F.col("own"))
+    return both.groupBy(F.col("_q").alias("q"), "case_id").agg(F.max("similarity").alias("similarity"))
 
 
 def stamped(hits: DataFrame, registry: DataFrame) -> DataFrame:
@@ -248,10 +293,10 @@ def stamped(hits: DataFrame, registry: DataFrame) -> DataFrame:
     return hits.join(source, "case_id", "left").withColumn("news_source", F.coalesce("_src", F.lit(""))).drop("_src")
 
 
-def merged(structural_hits: DataFrame, hybrid_hits: DataFrame, narrative_hits: DataFrame, peaks: DataFrame, lead: int = 3, most: int = 5) -> DataFrame:
+def merged(structural_hits: DataFrame, hybrid_hits: DataFrame, narrative_hits: DataFrame, peaks: DataFrame, asked: DataFrame | None = None, lead: int = 3, most: int = 5) -> DataFrame:
     """q, case_id, kind, similarity, rank: strong hits (in both lists), up to `lead` structural ones, then hybrid and narrative ones; `most` are taken, then later peaks are dropped.
 
-    The hits have q, case_id, similarity; peaks: case_id, peak.
+    The hits have q, case_id, similarity; peaks: case_id, peak; asked: q, peak, where q isn't a case's id itself.
     """
     s, h, n = (d.select("q", "case_id", F.col("similarity").alias(f"_{k}")) for k, d in zip("shn", (structural_hits, hybrid_hits, narrative_hits)))
     both = s.join(h, ["q", "case_id"], "full_outer").join(n, ["q", "case_id"], "full_outer")
@@ -261,5 +306,5 @@ def merged(structural_hits: DataFrame, hybrid_hits: DataFrame, narrative_hits: D
     group = W.partitionBy("q", "_g").orderBy(F.col("similarity").desc(), "case_id")
     rows = rows.withColumn("_k", F.row_number().over(group)).where((F.col("_g") != 1) | (F.col("_k") <= lead))
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("_g", "_k"))).where(F.col("rank") <= most)
-    own = peaks.select(F.col("case_id").alias("q"), F.col("peak").alias("_qp"))
+    own = (peaks.withColumn("q", F.col("case_id")) if asked is None else asked).select("q", F.col("peak").alias("_qp"))
     return rows.join(own, "q").join(peaks, "case_id").where("peak <= _qp").select("q", "case_id", "kind", "similarity", "rank")

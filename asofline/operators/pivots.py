@@ -125,11 +125,13 @@ def _joined(q: Cells, r: Cells, pairs: list[tuple[int, int]], tell: Callable, sc
     right = r.rows.join(plan(), F.col("cell") == F.col("_j")).select("_i", upto("_qn").alias("_a"), "_j", F.col("block").alias("_b"), "id", "vector")
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.rename_columns(one.schema.names)
         width = max([len(t["vector"][0]) for t in (one, two) if t.num_rows], default=0)
         a, b = (matrix(t["vector"], width) for t in (one, two))
         return tell(one["id"], two["id"], a @ b.T)
 
     key = ["_i", "_a", "_j", "_b"]
+    left, right = left.toDF("_i", "_a", "_j", "_b", "id", "vector"), right.toDF(*[f"_{c}" for c in ("i", "a", "j", "b", "id", "vector")])
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
 
 

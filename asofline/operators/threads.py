@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,27 +35,86 @@ def newest(news: DataFrame, most: int = MAX_ARTICLES) -> DataFrame:
     return numbered(news).where(F.col("pos") <= most)
 
 
+def token_counts(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """symbol, id, n_tokens, token, n: how often each token is in a document, counted inside its row: tokens are sorted, and those that differ from the one before begin a run."""
+    rows = docs.select("symbol", "id", F.sort_array(tokens(wording() if text is None else text)).alias("_t")).where(F.size("_t") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda k: (k == 0) | (F.col("_t")[k] != F.col("_t")[k - 1]))
+    rows = rows.select("symbol", "id", "_t", F.size("_t").alias("n_tokens"), starts.alias("_s"))
+    runs = F.zip_with("_s", F.concat(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.array("n_tokens")), lambda x, y: F.struct(F.col("_t")[x].alias("token"), (y - x).alias("n")))
+    return rows.select("symbol", "id", "n_tokens", F.explode(runs).alias("_r")).select("symbol", "id", "n_tokens", "_r.token", "_r.n")
+
+
 def weights(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """symbol, id, token, weight: share of the document's tokens times ln(1 + documents / documents with the token); of title and description where no text is named."""
-    rows = docs.select("symbol", "id", tokens(wording() if text is None else text).alias("_t"))
-    n = rows.groupBy("symbol").agg(F.count("*").alias("_docs"))
-    counts = rows.select("symbol", "id", F.size("_t").alias("_len"), F.explode("_t").alias("token")).groupBy("symbol", "id", "_len", "token").agg(F.count("*").alias("_n"))
-    df = counts.groupBy("symbol", "token").agg(F.count("*").alias("_df"))
-    both = counts.join(df, ["symbol", "token"]).join(n, "symbol")
-    return both.select("symbol", "id", "token", (F.col("_n") / F.col("_len") * F.log(1 + F.col("_docs") / F.col("_df"))).alias("weight"))
+    """symbol, id, token, weight: share of the document's tokens times ln(1 + documents / documents with the token); of title and description where no text is named.
+
+    A document's distinct tokens are dealt once, by symbol and token; documents with a token are counted partly before that.
+    """
+    n = docs.groupBy("symbol").agg(F.count("*").alias("_docs"))
+    counts = token_counts(docs, text)
+    df = counts.groupBy("symbol", "token").agg(F.count("*").alias("_df")).join(n, "symbol")
+    return counts.join(df, ["symbol", "token"]).select("symbol", "id", "token", (F.col("n") / F.col("n_tokens") * F.log(1 + F.col("_docs") / F.col("_df"))).alias("weight"))
+
+
+def indexed(vectors: DataFrame, least: float) -> DataFrame:
+    """symbol, id, tokens, weights, n_index: documents as unit vectors, their commonest tokens first, and how many tokens at their end are in the index.
+
+    What is left out of a document, its commonest tokens, has a length below half of `least`.  Tokens have one order for all documents of a
+    symbol, so two documents of a cosine above `least` have more than `least` / 2 of it in tokens that both have in the index.
+    """
+    df = vectors.groupBy("symbol", "token").agg(F.count("*").alias("_df"))
+    item = F.struct((-F.col("_df")).alias("o"), F.col("token"), F.col("weight").alias("w"))
+    docs = vectors.join(df, ["symbol", "token"]).groupBy("symbol", "id").agg(F.sort_array(F.collect_list(item)).alias("_x"))  # a document's own tokens
+    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    docs = docs.withColumn("_norm", F.sqrt(square("_x"))).where("_norm > 0")
+    unit = docs.select("symbol", "id", F.transform("_x", lambda x: x["token"]).alias("tokens"), F.transform("_x", lambda x: x["w"] / F.col("_norm")).alias("weights"))
+    bound = (least / 2) ** 2
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    left_out = F.aggregate("weights", zero, lambda a, w: F.struct((a["s"] + w * w).alias("s"), (a["n"] + (a["s"] + w * w < bound).cast("int")).alias("n")), lambda a: a["n"])
+    return unit.withColumn("n_index", F.size("weights") - left_out)
 
 
 def similar(vectors: DataFrame, least: float = TEXT_LINK) -> DataFrame:
-    """symbol, a, b (a < b), similarity: pairs of a symbol above the threshold; vectors as from weights()."""
-    norm = vectors.groupBy("symbol", "id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_norm"))
-    unit = vectors.join(norm, ["symbol", "id"]).select("symbol", "id", "token", (F.col("weight") / F.col("_norm")).alias("w"))
+    """symbol, a, b (a < b), similarity: pairs of a symbol above the threshold; vectors as from weights().
+
+    Only tokens of the index are joined: a pair's sum over them bounds its cosine, and pairs that can reach the threshold are verified on whole vectors.
+    """
+    docs = kept(indexed(vectors, least), "vectors")
+    at = lambda c: F.expr(f"slice({c}, size({c}) - n_index + 1, n_index)")
+    entries = docs.where("n_index > 0").select("symbol", "id", F.explode(F.arrays_zip(at("tokens").alias("token"), at("weights").alias("w"))).alias("_e")).select("symbol", "id", "_e.token", "_e.w")
     # a token's documents are dealt over blocks; each block meets all of them, so a frequent token is many keys
-    blocks = unit.groupBy("symbol", "token").agg(F.ceil(F.count("*") / TOKEN_DOCS).alias("_n"))
-    unit = unit.join(blocks, ["symbol", "token"])
-    one = unit.select("symbol", "token", F.pmod(F.xxhash64("id"), F.col("_n")).alias("_block"), F.col("id").alias("a"), F.col("w").alias("_wa"))
-    two = unit.select("symbol", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_block"), F.col("id").alias("b"), F.col("w").alias("_wb"))
+    blocks = entries.groupBy("symbol", "token").agg(F.count("*").alias("_df")).where("_df > 1").select("symbol", "token", F.ceil(F.col("_df") / TOKEN_DOCS).alias("_n"))
+    entries = entries.join(blocks, ["symbol", "token"])
+    one = entries.select("symbol", "token", F.pmod(F.xxhash64("id"), F.col("_n")).alias("_block"), F.col("id").alias("a"), F.col("w").alias("_wa"))
+    two = entries.select("symbol", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_block"), F.col("id").alias("b"), F.col("w").alias("_wb"))
     pairs = one.join(two, ["symbol", "token", "_block"]).where("a < b")
-    return pairs.groupBy("symbol", "a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("similarity")).where(F.col("similarity") > least)
+    pairs = pairs.groupBy("symbol", "a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_part")).where(F.col("_part") > least / 2 - 1e-9)
+    return verified(docs, pairs.select("symbol", "a", "b")).where(F.col("similarity") > least)
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """symbol, a, b, similarity of pairs, by their whole vectors (docs: symbol, id, tokens, weights): tokens of many pairs are matched at once by their hashes."""
+    side = lambda end: docs.select("symbol", F.col("id").alias(end), F.transform("tokens", lambda t: F.xxhash64(t)).alias(f"_t{end}"), F.col("weights").alias(f"_w{end}"))
+    both = pairs.join(side("a"), ["symbol", "a"]).join(side("b"), ["symbol", "b"]).select("symbol", "a", "b", "_ta", "_wa", "_tb", "_wb")
+
+    def dots(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                pair, token, weight = [], [], []
+                for k in (3, 5):
+                    lists = part.column(k)
+                    pair.append(np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())))
+                    token.append(lists.flatten().to_numpy())
+                    weight.append(part.column(k + 1).flatten().to_numpy())
+                pair, token, weight = map(np.concatenate, (pair, token, weight))
+                order = np.lexsort((token, pair))
+                p, t, w = pair[order], token[order], weight[order]
+                same = np.flatnonzero((p[1:] == p[:-1]) & (t[1:] == t[:-1]))  # a document has a token once, so two in a row are one of each
+                found = np.bincount(p[same], w[same] * w[same + 1], part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found)], names=["symbol", "a", "b", "similarity"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return both.mapInArrow(dots, f"symbol string, a {kind}, b {kind}, similarity double")
 
 
 def single_linkage(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.temporal import column, day_after
-from ..operators import cases, evidence, moves, snapshot, threads, upsert
+from ..operators import cases, evidence, moves, pivots, snapshot, threads, upsert
 from ..sources import parsers
 from ..sources import tables as T
 from ..storage import kept
@@ -112,7 +112,8 @@ def _vector_sql() -> str:
     return "[" + ", ".join(f"({x})::DOUBLE" for x in v) + "]"
 
 
-_VEC = {"rv": f"SELECT case_id, symbol, peak, {_vector_sql()} AS raw FROM sg", "vec": "SELECT case_id, symbol, peak, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS v FROM rv"}
+_UNIT = "list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw)))"
+_VEC = {"rv": f"SELECT case_id, symbol, peak, {_vector_sql()} AS raw FROM sg", "vec": f"SELECT case_id, symbol, peak, {_UNIT} AS v FROM rv"}
 
 
 @query(T.oracle(*VIEWS, **CASES, **_VEC) + "SELECT case_id, dim, round_even(x, 6) AS value FROM (SELECT case_id, unnest(range(96))::INT AS dim, unnest(v) AS x FROM vec) WHERE x <> 0")
@@ -122,14 +123,17 @@ def h11_structural_vectors(spark, sf_dir):
     return v.select("case_id", F.posexplode("vector").alias("dim", "value")).where("value <> 0").withColumn("value", F.bround("value", 6))
 
 
-def _content(spark, sf_dir, case):
-    t = case.select("case_id", "symbol", "peak", F.explode("threads.thread").alias("thread"))
-    m = topics.members(spark, sf_dir).select("symbol", "thread", "id", F.to_date("published_at").alias("_d"))
-    ids = t.join(m, ["symbol", "thread"]).where("_d <= peak").select(F.lit("case").alias("symbol"), F.col("case_id").alias("thread"), "id")
-    pooled = threads.mean_pool(ids, T.vectors(spark, sf_dir))
+def _pooled(spark, sf_dir, ids):
+    """case_id, mean: the unit mean of the vectors of each case's articles (case_id, id)."""
+    pooled = threads.mean_pool(ids.select(F.lit("case").alias("symbol"), F.col("case_id").alias("thread"), "id"), T.vectors(spark, sf_dir))
     return pooled.groupBy(F.col("thread").alias("case_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("mean"))
 
 
+def _content(spark, sf_dir, case):
+    """case_id, mean of the articles of each case's threads up to its peak."""
+    return _pooled(spark, sf_dir, _case_articles(spark, sf_dir, case).where("day <= peak").select("case_id", "id").distinct())
+
+
 def _hybrid(spark, sf_dir):
     case = cases.structural(cases.signals(frozen(spark, sf_dir)))
     return cases.hybrid(case, _content(spark, sf_dir, case))
@@ -154,9 +158,34 @@ def j13_supporters(spark, sf_dir):
     return cases.supporters(cases.signals(frozen(spark, sf_dir)))
 
 
-@query(T.oracle(*VIEWS, **CASES) + """SELECT s AS signal, count(*) AS n, round_even(quantile_cont(x, 0.5), 2) AS median, round_even(max(x), 2) AS high, round_even(min(x), 2) AS low FROM (SELECT unnest(fired) AS s, (rl - rf) / rf * 100 AS x FROM sg WHERE n_reaction >= 2 AND rf <> 0) GROUP BY s""")
+#: The sample's registry: the cases, and of each two planted ones: a twin of another symbol, forty days earlier, with the same evidence, and one eighty days earlier whose articles aren't known.
+TWIN, BARE = ("Twin", 40), ("Bare", 80)
+
+
+def registry(spark, sf_dir):
+    """Cases with their signals, of the sample and planted: origin (the case that one is a copy of), own (not planted), known (with articles)."""
+    case = kept(cases.signals(frozen(spark, sf_dir)), "cases")
+
+    def copy(name, days):
+        moved = case.withColumn("origin", F.col("case_id")).withColumns({"symbol": F.regexp_replace("symbol", "Brand", name), "peak": F.date_sub("peak", days)})
+        return moved.withColumns({"case_id": F.concat_ws(":", "symbol", F.date_format("peak", "yyyy-MM-dd")), "own": F.lit(name == "Brand"), "known": F.lit(name != BARE[0])})
+
+    return copy("Brand", 0).unionByName(copy(*TWIN)).unionByName(copy(*BARE))
+
+
+def _planted(name, days):
+    symbol = f"replace(symbol, 'Brand', '{name}')"
+    return f"SELECT * REPLACE ({symbol} || ':' || strftime((peak - {days})::DATE, '%Y-%m-%d') AS case_id, {symbol} AS symbol, (peak - {days})::DATE AS peak), case_id AS origin, {name == 'Brand'} AS own, {name != BARE[0]} AS known FROM sg"
+
+
+LIBRARY = {"lb": " UNION ALL ".join(_planted(*x) for x in (("Brand", 0), TWIN, BARE)), "fi": "SELECT case_id, symbol, peak, own, CASE WHEN n_reaction >= 2 AND rf <> 0 THEN (rl - rf) / rf * 100 END AS x, unnest(fired) AS signal FROM lb",
+    "aft": "SELECT a.case_id, a.signal, count(b.x) AS n, round_even(quantile_cont(b.x, 0.5), 2) AS median, round_even(max(b.x), 2) AS high, round_even(min(b.x), 2) AS low, count(b.case_id) AS n_supporters FROM fi a LEFT JOIN fi b ON a.signal = b.signal AND b.peak <= a.peak AND b.case_id <> a.case_id GROUP BY a.case_id, a.signal"}
+
+
+@query(T.oracle(*VIEWS, **CASES, **LIBRARY) + "SELECT case_id, signal, n, median, high, low FROM aft")
 def a16_aftermath(spark, sf_dir):
-    return cases.aftermath(cases.signals(frozen(spark, sf_dir)))
+    """What followed the supporters of each case and signal: other cases of the registry that peaked no later."""
+    return cases.aftermath(registry(spark, sf_dir))
 
 
 #: Similarity of articles that joins cases, in the sample, whose vectors are further apart than real ones (the feature's own is 0.70).
@@ -164,16 +193,18 @@ NARRATIVE = 0.3
 _GATE = "list_has_any(fired, [" + ", ".join(f"'{n}'" for n in cases.STRUCTURAL_SIGNALS) + "])"
 _APART = "NOT (a.symbol = b.symbol AND abs(a.peak - b.peak) <= 30)"
 _DOT = "round_even(list_dot_product(list_resize(a.v, 160, 0.0), list_resize(b.v, 160, 0.0)), 9)"
-_HITS = lambda v: f"SELECT q, case_id, similarity FROM (SELECT a.case_id AS q, b.case_id, {_DOT} AS similarity, {_APART} AS apart, row_number() OVER (PARTITION BY a.case_id ORDER BY {_DOT} DESC, b.case_id) AS k FROM {v} a JOIN {v} b ON a.case_id <> b.case_id) WHERE k <= 10 AND similarity >= 0.85 AND apart"
+#: Of the ten most similar cases of the registry those of the threshold, without its own symbol's of 30 days; asked of q (a relation of q, symbol, peak, v).
+_HITS = lambda q, v: f"SELECT q, case_id, similarity FROM (SELECT a.q, b.case_id, {_DOT} AS similarity, {_APART} AS apart, row_number() OVER (PARTITION BY a.q ORDER BY {_DOT} DESC, b.case_id) AS k FROM {q} a JOIN {v} b ON a.case_id <> b.case_id) WHERE k <= 10 AND similarity >= 0.85 AND apart"
+#: Structural vectors of the registry, and what is asked of them: the sample's cases in which a structural signal fires.
+_LVEC = LIBRARY | {"lrv": f"SELECT case_id, symbol, peak, origin, own, known, fired, {_vector_sql()} AS raw FROM lb", "lvec": f"SELECT case_id, symbol, peak, origin, own, known, fired, {_UNIT} AS v FROM lrv", "ask": f"SELECT case_id AS q, case_id, symbol, peak, v FROM lvec WHERE own AND {_GATE}"}
 
 
-def _hits(vectors, asked=None, least=0.85, most=10):
-    """q, case_id, similarity: of the ten most similar cases of each asked case those above the threshold, without its own symbol's within 30 days."""
-    v = vectors.select(F.col("case_id").alias("id"), "vector")
-    q = (vectors if asked is None else asked).select(F.col("case_id").alias("q"), "vector")
-    pairs = threads.near_pairs(q, v, least).withColumn("similarity", F.bround("similarity", 9))
+def _hits(vectors, asked, least=0.85, most=10):
+    """q, case_id, similarity: of the ten most similar cases (case_id, symbol, peak, vector) of each asked row (q, case_id, vector) those above the threshold, without its own symbol's within 30 days."""
+    pairs = pivots.near_pairs(asked.select("q", "vector"), vectors.select(F.col("case_id").alias("id"), "vector"), least)
+    pairs = pairs.join(asked.select("q", "case_id"), "q").where("id <> case_id").drop("case_id").withColumn("similarity", F.bround("similarity", 9))
     best = pairs.withColumn("_k", F.row_number().over(W.partitionBy("q").orderBy(F.col("similarity").desc(), "id"))).where(F.col("_k") <= most).drop("_k")
-    return cases.similar_cases(vectors, best)
+    return cases.similar_cases(vectors, best, asked)
 
 
 def _gated(case):
@@ -181,33 +212,36 @@ def _gated(case):
     return case.where(F.arrays_overlap("fired", F.array(*[F.lit(n) for n in cases.STRUCTURAL_SIGNALS])))
 
 
-@query(T.oracle(*VIEWS, **CASES, **_VEC, hits=_HITS("vec")) + f"SELECT q, h.case_id, round_even(similarity, 6) AS similarity FROM hits h JOIN sg ON sg.case_id = h.q WHERE {_GATE}")
+@query(T.oracle(*VIEWS, **CASES, **_LVEC, hits=_HITS("ask", "lvec")) + "SELECT q, case_id, round_even(similarity, 6) AS similarity FROM hits")
 def h16_structural_matches(spark, sf_dir):
-    """Of every case in which a structural signal fires."""
-    v = kept(cases.structural(cases.signals(frozen(spark, sf_dir))), "structural")
-    return _hits(v, _gated(v)).withColumn("similarity", F.bround("similarity", 6))
+    """Of every case in which a structural signal fires, in the registry."""
+    v = kept(cases.structural(registry(spark, sf_dir)), "structural")
+    return _hits(v, _gated(v.where("own")).withColumn("q", F.col("case_id"))).withColumn("similarity", F.bround("similarity", 6))
 
 
 def _case_articles(spark, sf_dir, case):
-    """case_id, peak, id, day of the articles of each case's threads."""
-    t = case.select("case_id", "symbol", "peak", F.explode("threads.thread").alias("thread"))
+    """case_id, peak, id, day, thread, category, n_articles of the articles of each case's threads."""
+    t = case.select("case_id", "symbol", "peak", F.explode("threads").alias("_t")).select("case_id", "symbol", "peak", "_t.thread", "_t.category", "_t.n_articles")
     m = topics.members(spark, sf_dir).select("symbol", "thread", "id", F.to_date("published_at").alias("day"))
-    return t.join(m, ["symbol", "thread"]).select("case_id", "peak", "id", "day")
+    return t.join(m, ["symbol", "thread"]).select("case_id", "peak", "id", "day", "thread", "category", "n_articles")
 
 
 def _article_links(spark, sf_dir, own):
     """q, id, similarity of different articles of cases above NARRATIVE; each article is compared once, however many cases have it."""
-    v = T.vectors(spark, sf_dir).withColumnRenamed("article_id", "id").join(own.select("id").distinct(), "id", "left_semi")
-    return threads.near_pairs(v.withColumnRenamed("id", "q"), v, NARRATIVE).withColumn("similarity", F.bround("similarity", 9))
+    v = kept(T.vectors(spark, sf_dir).withColumnRenamed("article_id", "id").join(own.select("id").distinct(), "id", "left_semi"), "article_vectors")
+    return pivots.near_pairs(v.withColumnRenamed("id", "q"), v, NARRATIVE).withColumn("similarity", F.bround("similarity", 9))
+
+
+def _nearest_cases(hits, most=5):
+    order = W.partitionBy("q").orderBy(F.col("similarity").desc(), "case_id")
+    return hits.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
 
 
 def _narrative(spark, sf_dir, vectors, most=5):
     """q, case_id, similarity: cases joined by their best pair of articles; the asked case's are those up to its peak."""
     own = kept(_case_articles(spark, sf_dir, vectors), "case_articles")
-    best = cases.best_pairs(own.where("day <= peak").select(F.col("case_id").alias("q"), "id"), own, _article_links(spark, sf_dir, own))
-    apart = cases.similar_cases(vectors, best.withColumnRenamed("case_id", "id"))
-    order = W.partitionBy("q").orderBy(F.col("similarity").desc(), "case_id")
-    return apart.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+    best = cases.best_pairs(own.where("day <= peak").select(F.col("case_id").alias("q"), F.col("case_id").alias("own"), "id"), own, _article_links(spark, sf_dir, own))
+    return _nearest_cases(cases.similar_cases(vectors, best.withColumnRenamed("case_id", "id")), most)
 
 
 _NARR = {
@@ -233,40 +267,72 @@ def j16_best_by_article(spark, sf_dir):
     own = kept(_case_articles(spark, sf_dir, case), "case_articles")
     nearest = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
     top = _article_links(spark, sf_dir, own).withColumn("_k", F.row_number().over(nearest)).where("_k <= 10").drop("_k")
-    best = cases.best_pairs(own.where("day <= peak").select(F.col("case_id").alias("q"), "id"), own, top)
+    best = cases.best_pairs(own.where("day <= peak").select(F.col("case_id").alias("q"), F.col("case_id").alias("own"), "id"), own, top)
     return cases.similar_cases(case, best.withColumnRenamed("case_id", "id")).withColumn("similarity", F.bround("similarity", 6))
 
 
-_MERGED = {
-    "s0": _HITS("vec") + f" AND q IN (SELECT case_id FROM sg WHERE {_GATE})", "h0": _HITS("hyb"),
-    "b1": "SELECT coalesce(s.q, h.q) AS q, coalesce(s.case_id, h.case_id) AS case_id, s.similarity AS s, h.similarity AS h FROM s0 s FULL JOIN h0 h ON s.q = h.q AND s.case_id = h.case_id",
-    "b2": "SELECT coalesce(b1.q, n0.q) AS q, coalesce(b1.case_id, n0.case_id) AS case_id, s, h, n0.similarity AS n FROM b1 FULL JOIN n0 ON b1.q = n0.q AND b1.case_id = n0.case_id",
-    "g": "SELECT q, case_id, CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 ELSE 2 END AS g, least(round_even(CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN greatest(s, h) ELSE coalesce(s, h, n) END, 3), 0.999) AS sim FROM b2",
-    "k": "SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY sim DESC, case_id) AS k FROM g", "r": "SELECT *, row_number() OVER (PARTITION BY q ORDER BY g, k) AS rank FROM k WHERE g <> 1 OR k <= 3",
-    "res": """SELECT r.q, r.case_id, ['strong', 'pattern', 'narrative'][g + 1] AS kind, sim AS similarity, rank, CASE WHEN substr(p.symbol, 7)::INT % 2 = 0 THEN 'gdelt' ELSE '' END AS news_source
-      FROM r JOIN cs a ON a.case_id = r.q JOIN cs p ON p.case_id = r.case_id WHERE rank <= 5 AND p.peak <= a.peak""",
-}
-
-
-def resemblance(spark, sf_dir, case):
-    """q, case_id, kind, similarity, rank, news_source of the cases that each case resembles; every second symbol's registry rows have a source."""
-    v = kept(cases.structural(cases.signals(case)), "structural")
-    s, h = _hits(v, _gated(v)), _hits(cases.hybrid(v, _content(spark, sf_dir, v)))
-    hits = cases.merged(s, h, _narrative(spark, sf_dir, v), v.select("case_id", "peak"))
-    return cases.stamped(hits, v.where(F.substring("symbol", 7, 2).cast("int") % 2 == 0).select("case_id", F.lit("gdelt").alias("news_source")))
-
-
-@query(T.oracle(*VIEWS, "vectors", **CASES, **_HYB, **_NARR, **_MERGED) + "SELECT * FROM res")
+#: Signals that threads of these categories trigger; the others ask with all articles up to the peak.  Of REGULATORY and LEGAL ones only threads of several articles vote.
+TRIGGERS = {"earnings-chatter": ("FINANCIAL",), "regulatory-overhang": ("LEGAL", "REGULATORY"), "leadership-turbulence": ("MANAGEMENT",), "supply-tremor": ("SUPPLY_CHAIN",)}
+
+
+def merged_sql(asks, wanted):
+    """Resemblance of what is asked (asks: q, case_id) with its articles (wanted: q, id): hits of the structural, the mixed and the article vectors, merged."""
+    return {
+        "aq": asks, "wn": wanted, "wd": "SELECT q, unnest(range(64)) AS dim, unnest(vector)::DOUBLE AS x FROM wn JOIN vectors ON article_id = id", "wm": "SELECT q, dim, avg(x) AS x FROM wd GROUP BY ALL",
+        "wc": "SELECT q, list(x / n * 4 ORDER BY dim) AS c FROM (SELECT *, sqrt(sum(x ^ 2) OVER (PARTITION BY q)) AS n FROM wm) GROUP BY q",
+        "hq0": "SELECT aq.q, l.case_id, l.symbol, l.peak, list_concat(l.v, c) AS raw FROM aq JOIN wc USING (q) JOIN lvec l ON l.case_id = aq.case_id", "hq": f"SELECT q, case_id, symbol, peak, {_UNIT} AS v FROM hq0",
+        "lh0": "SELECT l.case_id, l.symbol, l.peak, CASE WHEN l.known AND c IS NOT NULL THEN list_concat(v, c) ELSE v END AS raw FROM lvec l LEFT JOIN mean ON mean.case_id = l.origin", "lh": f"SELECT case_id, symbol, peak, {_UNIT} AS v FROM lh0",
+        "sq": f"SELECT hq.q, l.case_id, l.symbol, l.peak, l.v FROM hq JOIN lvec l ON l.case_id = hq.case_id WHERE {_GATE}",
+        "s0": _HITS("sq", "lvec"), "h0": _HITS("hq", "lh"), "ll": "SELECT lb.case_id, lb.symbol, lb.peak, lib.id FROM lb JOIN lib ON lib.case_id = lb.origin WHERE lb.known",
+        "np": f"SELECT a.q, b.case_id, max(s) AS similarity FROM hq a JOIN wn ON wn.q = a.q JOIN lnk ON lnk.a = wn.id JOIN ll b ON lnk.b = b.id AND a.case_id <> b.case_id AND {_APART} GROUP BY ALL",
+        "n1": "SELECT * FROM np QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, case_id) <= 5",
+        "b1": "SELECT coalesce(s.q, h.q) AS q, coalesce(s.case_id, h.case_id) AS case_id, s.similarity AS s, h.similarity AS h FROM s0 s FULL JOIN h0 h ON s.q = h.q AND s.case_id = h.case_id",
+        "b2": "SELECT coalesce(b1.q, n1.q) AS q, coalesce(b1.case_id, n1.case_id) AS case_id, s, h, n1.similarity AS n FROM b1 FULL JOIN n1 ON b1.q = n1.q AND b1.case_id = n1.case_id",
+        "g": "SELECT q, case_id, CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 ELSE 2 END AS g, least(round_even(CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN greatest(s, h) ELSE coalesce(s, h, n) END, 3), 0.999) AS sim FROM b2",
+        "k": "SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY sim DESC, case_id) AS k FROM g", "r": "SELECT *, row_number() OVER (PARTITION BY q ORDER BY g, k) AS rank FROM k WHERE g <> 1 OR k <= 3",
+        "res": """SELECT r.q, r.case_id, ['strong', 'pattern', 'narrative'][g + 1] AS kind, sim AS similarity, rank, CASE WHEN split_part(p.symbol, '#', 2)::INT % 2 = 0 THEN 'gdelt' ELSE '' END AS news_source
+          FROM r JOIN aq ON aq.q = r.q JOIN lb a ON a.case_id = aq.case_id JOIN lb p ON p.case_id = r.case_id WHERE rank <= 5 AND p.peak <= a.peak""",
+    }
+
+
+def resemblance(spark, sf_dir, library, asked, wanted):
+    """q, case_id, kind, similarity, rank, news_source of the registry's cases that each asked row resembles.
+
+    library: registry(); asked: q, case_id; wanted: q, id, the articles that are asked with; without any vector of theirs nothing is found.
+    Every second symbol's registry rows have a source.
+    """
+    v = kept(cases.structural(library), "structural")
+    wanted = kept(wanted.distinct(), "wanted")
+    means = _pooled(spark, sf_dir, wanted.withColumnRenamed("q", "case_id"))
+    of = asked.join(v.select("case_id", "symbol", "peak", "vector", "fired"), "case_id")
+    of = kept(of.join(means.withColumnRenamed("case_id", "q"), "q"), "asked")
+    structural = _hits(v, _gated(of))
+    original = v.where("own")
+    content = _content(spark, sf_dir, original).withColumnRenamed("case_id", "origin")
+    whole = kept(cases.hybrid(v, v.where("known").join(content, "origin").select("case_id", "mean")), "hybrid")
+    mixed = cases.hybrid(of.withColumnRenamed("case_id", "_c").withColumnRenamed("q", "case_id").drop("mean"), of.select(F.col("q").alias("case_id"), "mean"))
+    hybrid = _hits(whole, mixed.withColumnRenamed("case_id", "q").join(of.select("q", "case_id"), "q").select("q", "case_id", "symbol", "peak", "vector"))
+    own = kept(_case_articles(spark, sf_dir, original).select("case_id", "id").distinct(), "case_articles")
+    shelf = v.where("known").select("case_id", "origin").join(own.withColumnRenamed("case_id", "origin"), "origin").select("case_id", "id")
+    best = cases.best_pairs(wanted.join(of.select("q", F.col("case_id").alias("own")), "q"), shelf, _article_links(spark, sf_dir, own))
+    narrative = _nearest_cases(cases.similar_cases(v, best.withColumnRenamed("case_id", "id"), of))
+    hits = cases.merged(structural, hybrid, narrative, v.select("case_id", "peak"), of.select("q", "peak"))
+    sources = v.where(F.substring_index("symbol", "#", -1).cast("int") % 2 == 0).select("case_id", F.lit("gdelt").alias("news_source"))
+    return cases.stamped(hits, sources)
+
+
+@query(T.oracle(*VIEWS, "vectors", **CASES, **_LVEC, **_HYB, **_NARR, **merged_sql("SELECT case_id AS q, case_id FROM lb WHERE own", "SELECT DISTINCT case_id AS q, id FROM ids")) + "SELECT * FROM res")
 def l5_resemblance(spark, sf_dir):
-    """Structural, hybrid and narrative hits of every case merged; five are taken, then later peaks go; with the source of their registry row."""
-    return resemblance(spark, sf_dir, frozen(spark, sf_dir))
+    """Structural, hybrid and narrative hits of every case, with its articles up to the peak, merged; five are taken, then later peaks go; with the source of their registry row."""
+    library = registry(spark, sf_dir)
+    mine = library.where("own")
+    return resemblance(spark, sf_dir, library, mine.select(F.col("case_id").alias("q"), "case_id"), _case_articles(spark, sf_dir, mine).where("day <= peak").select(F.col("case_id").alias("q"), "id"))
 
 
 def _best_similarity(spark, sf_dir):
     """similarity of each case to the most similar other one."""
     v = kept(cases.structural(cases.signals(frozen(spark, sf_dir))).select(F.col("case_id").alias("id"), "vector"), "structural")
-    best = threads.near_pairs(v.withColumnRenamed("id", "q"), v, -1.0).groupBy("q").agg(F.max("similarity").alias("similarity"))
-    return kept(best.select(F.bround("similarity", 9).alias("similarity")), "best")
+    return kept(pivots.nearest_other(v).select(F.bround("similarity", 9).alias("similarity")), "best")
 
 
 @query(T.oracle(*VIEWS, **CASES, **_VEC, p="SELECT a.case_id, max(list_dot_product(a.v, b.v)) AS s FROM vec a JOIN vec b ON a.case_id <> b.case_id GROUP BY a.case_id", o="SELECT s, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS n FROM p") + """

@@ -91,30 +91,65 @@ def h20_index(spark, sf_dir):
     return point(articles, "thread", "hype-threads", 64).unionByName(full).unionByName(bare).unionByName(point(case.select(F.col("case_id").alias("ref"), "vector"), "structural", "hype-structural", 96))
 
 
-_AFTER = "SELECT s AS signal, count(*) AS n, round_even(quantile_cont(x, 0.5), 2) AS median FROM (SELECT unnest(fired) AS s, (rl - rf) / rf * 100 AS x FROM sg WHERE n_reaction >= 2 AND rf <> 0) GROUP BY s"
+#: What each signal of the sample's cases asks with: all articles of the threads that trigger it, or where no thread does, those up to the peak.
+_BY = "CASE f.signal " + " ".join(f"WHEN '{s}' THEN l.category IN ({', '.join(map(repr, c))})" + (" AND l.n_articles > 1" if s == "regulatory-overhang" else "") for s, c in casebook.TRIGGERS.items()) + " ELSE l.d <= l.peak END"
+_ASKED = casebook.merged_sql("SELECT case_id || '|' || signal AS q, case_id FROM fi WHERE own", f"SELECT DISTINCT f.case_id || '|' || f.signal AS q, l.id FROM fi f JOIN libt l ON l.case_id = f.case_id WHERE f.own AND {_BY}")
 _SIGNALS = {
-    "fi": "SELECT case_id, symbol, peak, unnest(fired) AS signal FROM sg", "aft": _AFTER, "best": "SELECT q, case_id AS best_case, similarity AS best_similarity FROM res QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank) = 1",
-    "sq": "SELECT a.case_id, a.symbol, a.signal, (SELECT count(*) FROM fi b WHERE b.signal = a.signal AND b.peak <= a.peak AND b.case_id <> a.case_id) AS n_supporters, coalesce(aft.n, 0) AS n_after, aft.median, best_case, best_similarity FROM fi a LEFT JOIN aft ON aft.signal = a.signal LEFT JOIN best ON q = a.case_id",
-}
+    "libt": casebook._NARR["lib"].replace("SELECT DISTINCT ", "SELECT DISTINCT t.category, t.n_articles, ", 1), **_ASKED,
+    "best": "SELECT q, case_id AS best_case, similarity AS best_similarity, kind AS best_kind FROM res QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank) = 1", "found": "SELECT q, count(*) AS n_resembling FROM res GROUP BY q",
+    "told": "SELECT a.case_id, a.symbol, a.signal, aft.n_supporters, aft.n AS n_after, aft.median, best_case, best_similarity, best_kind, coalesce(n_resembling, 0) AS n_resembling FROM fi a JOIN aft ON aft.case_id = a.case_id AND aft.signal = a.signal LEFT JOIN best ON best.q = a.case_id || '|' || a.signal LEFT JOIN found ON found.q = a.case_id || '|' || a.signal WHERE a.own",
+}
+_EVIDENCE = {
+    "ctx": "SELECT m.symbol || ':' || strftime(m.date, '%Y-%m-%d') AS case_id, t.thread, t.category, t.n_articles FROM m JOIN thr t ON m.symbol = t.symbol AND (t.undated OR t.e >= m.date - 20 AND t.s <= m.date)",
+    "tns": "SELECT m.symbol || ':' || strftime(m.date, '%Y-%m-%d') AS case_id, count(*) AS n, min(r.date) AS s, max(r.date) AS e FROM m JOIN regimes r ON m.symbol = r.symbol AND r.date BETWEEN m.date - 20 AND m.date WHERE r.regime = 'tense' GROUP BY ALL",
+    "ev": f"""SELECT f.case_id, f.signal, l.category || ' thread: ' || l.thread AS text, l.n_articles AS size FROM fi f JOIN ctx l ON l.case_id = f.case_id WHERE f.own AND {_BY.replace("ELSE l.d <= l.peak END", "ELSE false END")}
+      UNION ALL SELECT f.case_id, signal, 'tense regime on ' || n || ' pre-peak days (' || strftime(s, '%Y-%m-%d') || '→' || strftime(e, '%Y-%m-%d') || ')', 0 FROM fi f JOIN tns USING (case_id) WHERE own AND signal = 'regulatory-overhang'
+      UNION ALL SELECT f.case_id, signal, unnest(['peak flags: ' || array_to_string(string_split(flags, ','), ', '), 'only ' || news_count || ' pre-peak news item(s) in move evidence']), 0 FROM fi f JOIN sg ON sg.case_id = f.case_id WHERE signal = 'volume-first-divergence'
+      UNION ALL SELECT case_id, signal, 'scored pre-peak news leans against the price move (contrarian divergence)', 0 FROM fi WHERE own AND signal = 'sentiment-split'
+      UNION ALL SELECT case_id, signal, 'regime path shifts warming→tense inside the pre-peak window', 0 FROM fi WHERE own AND signal = 'supply-tremor'""",
+}
 
 
 def composed(spark, sf_dir):
-    """case_id, symbol, signal, n_supporters, n_after, median, best_case, best_similarity of every case in which a signal fires."""
-    case = kept(cases.signals(casebook.frozen(spark, sf_dir)), "cases")
-    fired = case.select("case_id", "symbol", F.explode("fired").alias("signal"))
-    after = cases.aftermath(case).select("signal", F.col("n").alias("n_after"), "median")
-    hits = casebook.resemblance(spark, sf_dir, case)
-    best = hits.groupBy("q").agg(F.min_by(F.struct("case_id", "similarity"), "rank").alias("_b")).select(F.col("q").alias("case_id"), F.col("_b.case_id").alias("best_case"), F.col("_b.similarity").alias("best_similarity"))
-    out = fired.join(cases.supporters(case), ["case_id", "signal"]).join(after, "signal", "left").join(best, "case_id", "left")
-    return out.withColumn("n_after", F.coalesce("n_after", F.lit(0))).select("case_id", "symbol", "signal", "n_supporters", "n_after", "median", "best_case", "best_similarity")
+    """case_id, symbol, signal, n_supporters, n_after, median, best_case, best_similarity, best_kind, n_resembling of every case and signal that fires in it.
 
+    Supporters, aftermath and resemblance are of the registry; resemblance is asked with the articles of the threads that trigger the signal,
+    as their thread lists them, or where no thread does, with all articles up to the peak.
+    """
+    library = casebook.registry(spark, sf_dir)
+    fired = kept(library.where("own").select("case_id", "symbol", "peak", F.explode("fired").alias("signal")).withColumn("q", F.concat_ws("|", "case_id", "signal")), "fired")
+    articles = fired.select("q", "case_id", "signal").join(casebook._case_articles(spark, sf_dir, library.where("own")), "case_id")
+    wanted = articles.where(cases.triggers(F.col("signal"), F.col("category"), F.col("n_articles"), F.col("day") <= F.col("peak"), casebook.TRIGGERS)).select("q", "id")
+    hits = kept(casebook.resemblance(spark, sf_dir, library, fired.select("q", "case_id"), wanted), "hits")
+    best = hits.groupBy("q").agg(F.min_by(F.struct("case_id", "similarity", "kind"), "rank").alias("_b"), F.count("*").alias("n_resembling"))
+    best = best.select("q", F.col("_b.case_id").alias("best_case"), F.col("_b.similarity").alias("best_similarity"), F.col("_b.kind").alias("best_kind"), "n_resembling")
+    after = cases.aftermath(library).select("case_id", "signal", F.col("n").alias("n_after"), "median")
+    out = fired.join(cases.supporters(library), ["case_id", "signal"]).join(after, ["case_id", "signal"]).join(best, "q", "left")
+    return out.select("case_id", "symbol", "signal", "n_supporters", "n_after", "median", "best_case", "best_similarity", "best_kind", F.coalesce("n_resembling", F.lit(0)).alias("n_resembling"))
 
-@query(T.oracle(*VIEWS, "vectors", **CASES, **casebook._HYB, **casebook._NARR, **casebook._MERGED, **_SIGNALS) + "SELECT * EXCLUDE (symbol) FROM sq")
+
+_LIBRARY = casebook._LVEC | casebook._HYB | casebook._NARR
+
+
+@query(T.oracle(*VIEWS, "vectors", **CASES, **_LIBRARY, **_SIGNALS) + "SELECT * EXCLUDE (symbol) FROM told")
 def h21_signals(spark, sf_dir):
     """Moves, topics, cases, signals, supporters, aftermath and resemblance of all peaks at once."""
     return composed(spark, sf_dir).drop("symbol")
 
 
+@query(T.oracle(*VIEWS, **CASES, **casebook.LIBRARY, **_EVIDENCE) + "SELECT * FROM ev")
+def h21_trigger_evidence(spark, sf_dir):
+    """What each signal that fires is told with: its threads (their name stands for the title) with their size, or the numbers behind it."""
+    return cases.trigger_evidence(cases.signals(casebook.frozen(spark, sf_dir)), casebook.TRIGGERS)
+
+
+@query(T.oracle(*VIEWS, **CASES) + f"SELECT case_id, CASE WHEN {_K} % 5 <> 0 AND {_K} % 7 <> 0 THEN '' ELSE 'Recomputed now — may differ from frozen registry record.' END AS note FROM cs WHERE {_K} % 3 <> 0 UNION ALL SELECT case_id, '' FROM cs WHERE {_K} % 3 = 0")
+def h21_recomputed_notes(spark, sf_dir):
+    """A case whose frozen row differs says so; where there is no row, as of every third symbol, nothing is said.  A row that can't be read differs."""
+    rows = _registry(spark, sf_dir).where(F.substring("symbol", 7, 2).cast("int") % 3 != 0)
+    return cases.recomputed_notes(rows, cases.from_registry(rows, CASE_SCHEMA), casebook.frozen(spark, sf_dir))
+
+
 SWEPT = ("Brand#1", "Brand#4", "Brand#7", "Brand#13", "Brand#22", "NONE")
 
 
