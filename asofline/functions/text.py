@@ -82,8 +82,9 @@ NAME_STOPWORDS = ("inc", "incorporated", "corp", "corporation", "company", "co",
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits in lower case, three characters and more, without stop words and plain numbers."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS) & ~t.rlike(r"^\p{Nd}+$"))
+    # a run is matched whole or not at all: what is too short or has no letter is passed over by the pattern itself
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?=\p{Nd}*+\p{L})[\p{L}\p{Nd}]{3,}"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
 SQL_TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOPWORDS) + "], t) AND NOT regexp_full_match(t, '\\p{{Nd}}+'))"

@@ -64,13 +64,24 @@ def indexed(vectors: DataFrame, least: float) -> DataFrame:
     df = vectors.groupBy("symbol", "token").agg(F.count("*").alias("_df"))
     item = F.struct((-F.col("_df")).alias("o"), F.col("token"), F.col("weight").alias("w"))
     docs = vectors.join(df, ["symbol", "token"]).groupBy("symbol", "id").agg(F.sort_array(F.collect_list(item)).alias("_x"))  # a document's own tokens
-    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    docs = docs.withColumn("_norm", F.sqrt(square("_x"))).where("_norm > 0")
-    unit = docs.select("symbol", "id", F.transform("_x", lambda x: x["token"]).alias("tokens"), F.transform("_x", lambda x: x["w"] / F.col("_norm")).alias("weights"))
-    bound = (least / 2) ** 2
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    left_out = F.aggregate("weights", zero, lambda a, w: F.struct((a["s"] + w * w).alias("s"), (a["n"] + (a["s"] + w * w < bound).cast("int")).alias("n")), lambda a: a["n"])
-    return unit.withColumn("n_index", F.size("weights") - left_out)
+    docs = docs.select("symbol", "id", F.transform("_x", lambda x: x["token"]).alias("tokens"), F.transform("_x", lambda x: x["w"]).alias("weights"))
+
+    def bounded(batches):
+        for batch in batches:
+            lists, w = batch.column(3), batch.column(3).flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            ends = np.cumsum(sizes)
+            upto = np.concatenate([[0.0], np.cumsum(w * w)])
+            square = upto[ends] - upto[ends - sizes]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            out = (upto[1:] - upto[ends - sizes][row]) < (least / 2) ** 2 * square[row]  # what is left out of each document so far
+            kept_tokens = sizes - np.bincount(row, out, len(sizes)).astype(np.int64)
+            norm = np.sqrt(np.where(square > 0, square, 1))
+            unit = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(w / norm[row]))
+            some = pa.array(square > 0)
+            yield pa.RecordBatch.from_arrays([c.filter(some) for c in (*batch.columns[:3], unit, pa.array(kept_tokens.astype(np.int32)))], names=["symbol", "id", "tokens", "weights", "n_index"])
+
+    return docs.mapInArrow(bounded, f"symbol string, id {vectors.schema['id'].dataType.simpleString()}, tokens array<string>, weights array<double>, n_index int")
 
 
 def similar(vectors: DataFrame, least: float = TEXT_LINK) -> DataFrame:

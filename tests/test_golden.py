@@ -107,9 +107,11 @@ def case_rows(spark, *rows):
 def test_aftermath(spark):
     d = dt.date(2020, 1, 1)
     r = lambda a, b: [(d, float(a)), (d + dt.timedelta(1), float(b))]
-    rows = case_rows(spark, *[(str(k), "X", d, x, ["s"]) for k, x in enumerate((r(100, 110), r(100, 120), r(200, 190)))])
-    assert cases.aftermath(rows).first()[1:] == (3, 10.0, 20.0, -5.0)
-    assert cases.aftermath(rows.where("case_id <> '2'")).first().median == 15.0
+    rows = case_rows(spark, *[(str(k), "X", d, x, ["s"]) for k, x in enumerate((r(100, 110), r(100, 120), r(200, 190)))], ("asks", "X", d, [], ["s"]))
+    of = lambda rows: cases.aftermath(rows).where("case_id = 'asks'").first()[2:]
+    assert of(rows) == (3, 10.0, 20.0, -5.0)
+    assert of(rows.where("case_id <> '2'")) == (2, 15.0, 20.0, 10.0)
+    assert of(rows.where("case_id = 'asks'")) == (0, None, None, None)
 
 
 def test_supporters_never_come_from_the_future(spark):
