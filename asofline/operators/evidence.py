@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import joins
+
 LOOKBACK, SOCIAL_DAYS, REACTION_DAYS = 30, 7, 5
 #: Weights of the uncertainty index, the confidence that makes a score usable, and how many are needed.
 COVERAGE, CONFLICT, INSTABILITY = 0.35, 0.35, 0.30
@@ -56,7 +58,8 @@ def arrivals(moves: DataFrame, filings: DataFrame, news: DataFrame, social: Data
     )
     day = F.to_date("_at")
     seen = first(filings, "filed_at", day >= F.date_sub("date", LOOKBACK), "regulatory", 0)
-    seen = seen.unionByName(first(news, "published_at", F.lit(True), "news", 1)).unionByName(first(social, "created_at", day >= F.date_sub("date", SOCIAL_DAYS), "social", 2))
+    earliest = news.groupBy("symbol").agg(F.min("published_at").alias("published_at"))  # news have no lower bound: what was first of all was first for each move
+    seen = seen.unionByName(first(earliest, "published_at", F.lit(True), "news", 1)).unionByName(first(social, "created_at", day >= F.date_sub("date", SOCIAL_DAYS), "social", 2))
     layers = m.select("symbol", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(k).alias("_rank")) for k, n in enumerate(("regulatory", "news", "social", "market"))])).alias("_l")).select("symbol", "date", "_l.*")
     out = layers.join(seen.drop("_rank"), ["symbol", "date", "layer"], "left").withColumn("first_seen", F.when(F.col("layer") == "market", F.col("date").cast("timestamp")).otherwise(F.col("first_seen")))
     move = W.partitionBy("symbol", "date")
@@ -73,12 +76,20 @@ def divergence(n_scored: Column, mean: Column, daily_return: Column) -> Column:
 def move_sentiment(moves: DataFrame, news: DataFrame, sentiment: DataFrame) -> DataFrame:
     """symbol, date, n_scored, sentiment_mean, sentiment_direction over the news up to each move: the provider's score, else a usable model score."""
     s = sentiment.select(F.col("article_id").alias("id"), F.when(F.col("confidence") >= USABLE, F.col("score")).alias("_model"))
-    rows = news.join(s, "id", "left").select(F.col("symbol").alias("_s"), "published_at", F.coalesce(F.col("sentiment_score").cast("double"), F.col("_model")).alias("_v"))
-    both = moves.select("symbol", "date", "daily_return_pct").join(rows, (F.col("symbol") == F.col("_s")) & (F.to_date("published_at") <= F.col("date")), "left")
-    out = both.groupBy("symbol", "date", "daily_return_pct").agg(F.count("_v").alias("n_scored"), F.avg("_v").alias("_mean"))
+    rows = news.join(s, "id", "left").select("symbol", F.to_date("published_at").alias("_day"), F.coalesce(F.col("sentiment_score").cast("double"), F.col("_model")).alias("_v"))
+    out = joins.upto(moves.select("symbol", "date", "daily_return_pct"), rows, "symbol", "date", {"n_scored": F.count("_v"), "_total": F.coalesce(F.sum("_v"), F.lit(0.0))})
+    out = out.withColumn("_mean", F.when(F.col("n_scored") > 0, F.col("_total") / F.col("n_scored")))
     return out.select("symbol", "date", "n_scored", F.when(F.col("n_scored") >= 2, F.bround("_mean", 4)).alias("sentiment_mean"), divergence(F.col("n_scored"), F.bround("_mean", 10), F.col("daily_return_pct")).alias("sentiment_direction"))
 
 
+def move_news(moves: DataFrame, news: DataFrame) -> DataFrame:
+    """symbol, date, n_news, newest: how many articles there are up to each move, and when the last of them appeared."""
+    rows = news.select("symbol", F.to_date("published_at").alias("_day"), "published_at")
+    counted = joins.upto(moves.select("symbol", "date"), rows, "symbol", "date", {"n_news": F.count("*")})
+    newest = rows.groupBy("symbol", "_day").agg(F.max("published_at").alias("newest"))
+    return joins.as_of_join(counted, newest, "symbol", "date", "_day", ["newest"], "year").select("symbol", "date", "n_news", F.col("newest_as_of").alias("newest"))
+
+
 def layer_days(moves: DataFrame, filings: DataFrame, news: DataFrame, social: DataFrame) -> DataFrame:
     """symbol, regulatory_days, news_days, social_days: distinct days with evidence of any move.
 

@@ -30,3 +30,15 @@ def interval_join(left: DataFrame, right: DataFrame, by: str, low: Column, day:
     """Rows of equal `by` whose day lies between low and high; neither bound names a column of both sides."""
     renamed = right.withColumnRenamed(by, "_by")
     return left.join(renamed, (left[by] == F.col("_by")) & (day >= low) & (day <= high), how).drop("_by")
+
+
+def upto(left: DataFrame, rows: DataFrame, by: str, day: str, sums: dict[str, Column]) -> DataFrame:
+    """left (by, day) with running totals of rows (by, _day): each of `sums`, an aggregate of counts or sums, over all rows up to the day of left; 0 where there are none.
+
+    Rows are summed by day first and the days of a key added up, a row a day; left looks up one of them, so no row of left meets rows.
+    """
+    daily = rows.groupBy(by, "_day").agg(*[c.alias(n) for n, c in sums.items()])
+    so_far = W.partitionBy(by).orderBy("_day")
+    running = daily.select(by, "_day", *[F.sum(n).over(so_far).alias(n) for n in sums])
+    found = as_of_join(left, running, by, day, "_day", list(sums), "year")
+    return found.select(*left.columns, *[F.coalesce(f"{n}_as_of", F.lit(0)).alias(n) for n in sums])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine, tokens
 from ..sources.tables import wording
 from ..storage import kept
+from . import pivots
 
 MAX_ARTICLES = 400
 #: Similarities above which texts and vectors are linked.
@@ -152,38 +154,77 @@ def single_linkage(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(labels, ["symbol", "pos"], "left").select("symbol", "id", F.coalesce("_root", "pos").alias("cluster"))
 
 
+def _merges(vectors: list, least: float) -> tuple[list[list[int]], list[tuple[float, int, int]], list[tuple[float, int, int]]]:
+    """Average linkage: clusters as lists of places, merges (similarity, first places of both) in their order, and the five best pairs that were left.
+
+    Each cluster remembers its best later one.  A merge adds two rows of summed cosines (Lance and Williams' update for averages) and looks again only
+    at clusters whose best was one of the two, so the work is quadratic but for ties.  Of equal pairs the first one in the clusters' order is merged.
+    """
+    if not vectors:
+        return [], [], []
+    unit = pivots.unit(np.array(vectors, np.float64))
+    n = len(unit)
+    total, size, alive = unit @ unit.T, np.ones(n), np.ones(n, bool)
+    members, log = [[k] for k in range(n)], []
+    best, to = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def means(i: int) -> np.ndarray:
+        return np.where(alive[i + 1 :], total[i, i + 1 :] / (size[i] * size[i + 1 :]), -np.inf)
+
+    def look(i: int) -> None:
+        later = means(i)
+        best[i], to[i] = (later.max(), i + 1 + int(later.argmax())) if len(later) else (-np.inf, 0)
+
+    for i in range(n):
+        look(i)
+    while True:
+        i = int(best.argmax())
+        if not best[i] > least:
+            break
+        j = int(to[i])
+        log.append((float(best[i]), members[i][0], members[j][0]))
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        size[i] += size[j]
+        members[i] += members[j]
+        alive[j], best[j] = False, -np.inf
+        look(i)
+        for k in np.flatnonzero(alive[:j]):
+            if k != i and to[k] in (i, j):
+                look(k)
+            elif k < i and (s := total[k, i] / (size[k] * size[i])) >= best[k] and (s > best[k] or i < to[k]):
+                best[k], to[k] = s, i
+    live = np.flatnonzero(alive)
+    near = sorted(((float(s), members[i][0], members[i + 1 + k][0]) for i in live for k, s in enumerate(means(i)) if s > -np.inf), key=lambda x: -x[0])[:5] if len(live) > 1 else []
+    return [members[k] for k in live], log, near
+
+
 def average_linkage(docs: DataFrame, least: float = VECTOR_LINK) -> DataFrame:
     """symbol, id, cluster: merges the two clusters of the highest mean cosine while it is above the threshold; of equal ones the first. docs have symbol, id, pos, vector."""
 
-    def parts(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+    def parts(docs: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values("pos")
-        v = np.array(docs["vector"].tolist(), np.float64)
-        norm = np.sqrt((v * v).sum(1))
-        unit = v / np.where(norm == 0, 1, norm)[:, None]
-        total = unit @ unit.T  # sums of cosines between clusters
-        size = np.ones(len(v))
-        members = [[k] for k in range(len(v))]
-        alive = np.ones(len(v), bool)
-        while alive.sum() > 1:
-            mean = np.where(np.triu(np.outer(alive, alive), 1), total / np.outer(size, size), -np.inf)
-            best = int(mean.argmax())
-            i, j = divmod(best, len(v))
-            if not mean[i, j] > least:
-                break
-            total[i] += total[j]
-            total[:, i] += total[:, j]
-            size[i] += size[j]
-            members[i] += members[j]
-            alive[j] = False
-        pos = docs["pos"].to_numpy()
-        cluster = np.zeros(len(v), np.int64)
-        for k in np.nonzero(alive)[0]:
-            cluster[members[k]] = pos[members[k]].min()
+        pos, cluster = docs["pos"].to_numpy(), np.zeros(len(docs), np.int64)
+        for places in _merges(docs["vector"].tolist(), least)[0]:
+            cluster[places] = pos[places].min()
         return pd.DataFrame({"symbol": docs["symbol"], "id": docs["id"], "cluster": cluster})
 
     return docs.select("symbol", "id", "pos", "vector").groupBy("symbol").applyInPandas(parts, "symbol string, id string, cluster long")
 
 
+def linkage_log(docs: DataFrame, least: float = VECTOR_LINK) -> DataFrame:
+    """symbol, kind, step, similarity, a, b: each symbol's merges in their order, and the five best pairs that stayed below the threshold; a and b are the clusters' first articles."""
+
+    def log(docs: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.sort_values("pos")
+        ids = docs["id"].tolist()
+        _, merged, near = _merges(docs["vector"].tolist(), least)
+        rows = [(docs["symbol"].iloc[0], kind, k, s, ids[a], ids[b]) for kind, found in (("merged", merged), ("rejected", near)) for k, (s, a, b) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["symbol", "kind", "step", "similarity", "a", "b"])
+
+    return docs.select("symbol", "id", "pos", "vector").groupBy("symbol").applyInPandas(log, "symbol string, kind string, step long, similarity double, a string, b string")
+
+
 def main_category(members: DataFrame) -> DataFrame:
     """symbol, thread, top_category: the category of most relevant articles; of equal ones that seen first, the newest article being the first."""
     votes = members.where("decision = 'RELEVANT' and category <> 'UNRELATED'").groupBy("symbol", "thread", "category").agg(F.count("*").alias("_n"), F.max(F.struct("published_at", (-F.col("id").cast("long")).alias("k"))).alias("_first"))
@@ -217,22 +258,57 @@ def top_terms(members: DataFrame, most: int = 3) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
 
 
+def vector_sums(members: DataFrame, vectors: DataFrame, keys: list[str], unit: bool = False) -> DataFrame:
+    """keys, n, sum: the sums of the members' (keys, id) vectors (article_id, vector) as arrays, at unit length where asked; vectors without length don't count then.
+
+    Each task adds up its batches by key and passes on a row for each key of a batch; these are merged by key.  No vector becomes rows, and of a
+    key of many members no task holds more than a row a batch.  Vectors of a key have one length.
+    """
+    rows = members.select(*keys, "id").join(vectors.select(F.col("article_id").alias("id"), F.col("vector").cast("array<double>").alias("sum")), "id").select(*keys, F.lit(1).cast("long").alias("n"), "sum")
+    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "n long, sum array<double>"])
+
+    def added(table: pa.Table, scaled: bool) -> pa.Table:
+        table = table.filter(pa.compute.is_valid(table["sum"]))
+        if scaled:
+            v = pivots.matrix(table["sum"], max([len(x) for x in table["sum"]], default=1))
+            length = np.sqrt((v * v).sum(1))
+            table = table.set_column(table.schema.get_field_index("sum"), "sum", pivots._lists(v / np.where(length > 0, length, 1)[:, None])).filter(pa.array(length > 0))
+        out = {k: [] for k in (*keys, "n", "sum")}
+        groups = table.select(keys).append_column("_at", pa.array(np.arange(table.num_rows))).group_by(keys, use_threads=False).aggregate([("_at", "list")])
+        for k in range(groups.num_rows):
+            at = groups["_at_list"][k].values
+            part = table.take(at)
+            v = pivots.matrix(part["sum"], max([len(x) for x in part["sum"]], default=0))
+            for c in keys:
+                out[c].append(groups[c][k].as_py())
+            out["n"].append(int(pa.compute.sum(part["n"]).as_py()))
+            out["sum"].append(v.sum(0).tolist())
+        return pa.table([pa.array(out[c], table.schema.field(c).type) for c in out], names=list(out))
+
+    def partly(batches):
+        for b in batches:
+            yield from added(pa.Table.from_batches([b]), unit).to_batches()
+
+    return rows.mapInArrow(partly, schema).groupBy(*keys).applyInArrow(lambda t: added(t, False), schema)
+
+
+def unit_means(members: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, mean: the mean of the members' vectors, at unit length; none where it has no length."""
+    square = F.aggregate("sum", F.lit(0.0), lambda s, x: s + x * x)
+    found = vector_sums(members, vectors, keys).select(*keys, "n", "sum", square.alias("_q")).where("_q > 0")
+    return found.select(*keys, "n", F.transform(F.arrays_zip("sum", F.array_repeat(F.sqrt("_q"), F.size("sum")).alias("q")), lambda x: x["sum"] / x["q"]).alias("mean"))
+
+
 def cohesion(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """symbol, thread, n, cohesion: mean cosine of a thread's pairs, null for one article; from sums of unit vectors, without pairs."""
-    v = vectors.select(F.col("article_id").alias("id"), F.posexplode("vector").alias("dim", "x"))
-    norm = v.groupBy("id").agg(F.sqrt(F.sum(F.col("x").cast("double") ** 2)).alias("_n")).where("_n > 0")
-    unit = v.join(norm, "id").select("id", "dim", (F.col("x") / F.col("_n")).alias("u"))
-    sums = members.select("symbol", "thread", "id").join(unit, "id").groupBy("symbol", "thread", "dim").agg(F.sum("u").alias("s"), F.count("*").alias("n"))
-    out = sums.groupBy("symbol", "thread").agg(F.max("n").alias("n"), F.sum(F.col("s") ** 2).alias("_q"))
+    sums = vector_sums(members, vectors, ["symbol", "thread"], unit=True)
+    out = sums.select("symbol", "thread", "n", F.aggregate("sum", F.lit(0.0), lambda s, x: s + x * x).alias("_q"))
     return out.select("symbol", "thread", "n", F.when(F.col("n") > 1, F.bround((F.col("_q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 3)).alias("cohesion"))
 
 
 def mean_pool(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """symbol, thread, dim, value: the unit mean of a thread's vectors, one row a dimension."""
-    v = members.select("symbol", "thread", "id").join(vectors.select(F.col("article_id").alias("id"), F.posexplode("vector").alias("dim", "x")), "id")
-    means = v.groupBy("symbol", "thread", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    norm = F.sqrt(F.sum(F.col("m") ** 2).over(W.partitionBy("symbol", "thread")))
-    return means.withColumn("_n", norm).where("_n > 0").select("symbol", "thread", "dim", (F.col("m") / F.col("_n")).alias("value"))
+    return unit_means(members, vectors, ["symbol", "thread"]).select("symbol", "thread", F.posexplode("mean").alias("dim", "value"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, most: int, least: float) -> DataFrame:

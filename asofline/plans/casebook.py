@@ -33,8 +33,7 @@ def case_inputs(spark, sf_dir, take=5):
         F.count_if(F.col("form_type").startswith("8-K")).alias("n_8k"), F.count_if(F.col("form_type").startswith("10-")).alias("n_10"), F.count("*").alias("n_filings"),
         F.collect_set("event_type").alias("events"), F.max("relevance").alias("relevance"), F.avg("sentiment").alias("filing_sentiment"),
     )
-    a = news.admitted(spark, sf_dir).select(F.col("symbol").alias("_s"), "published_at")
-    n = top.join(a, (F.col("symbol") == F.col("_s")) & (F.to_date("published_at") <= F.col("date"))).groupBy("symbol", "date").agg(F.count("*").alias("news_count"))
+    n = evidence.move_news(top, news.admitted(spark, sf_dir)).select("symbol", "date", F.col("n_news").alias("news_count"))
     known = ~F.col("thread").startswith("T5")
     found = threads.attributes(topics.members(spark, sf_dir)).select("symbol", "thread", F.col("top_category").alias("category"), "n_articles", *[F.when(known, F.col(c)).alias(c) for c in ("span_start", "span_end")])
     return peaks, found, moves.regimes(bars, _t()), n.join(in_window, ["symbol", "date"], "full_outer"), bars
@@ -125,8 +124,7 @@ def h11_structural_vectors(spark, sf_dir):
 
 def _pooled(spark, sf_dir, ids):
     """case_id, mean: the unit mean of the vectors of each case's articles (case_id, id)."""
-    pooled = threads.mean_pool(ids.select(F.lit("case").alias("symbol"), F.col("case_id").alias("thread"), "id"), T.vectors(spark, sf_dir))
-    return pooled.groupBy(F.col("thread").alias("case_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("mean"))
+    return threads.unit_means(ids.select("case_id", "id"), T.vectors(spark, sf_dir), ["case_id"]).select("case_id", "mean")
 
 
 def _content(spark, sf_dir, case):

@@ -153,9 +153,7 @@ def j4_move_social(spark, sf_dir):
 @query(T.oracle("bars", "news", "relevance", known=KNOWN, admitted=ADMITTED, **MOVES) + "SELECT m.symbol, m.date, count(a.id) AS n_news, max(a.published_at) AS newest FROM m LEFT JOIN admitted a ON m.symbol = a.symbol AND a.published_at::DATE <= m.date GROUP BY m.symbol, m.date")
 def j5_move_news(spark, sf_dir):
     """Everything admitted and known by each move."""
-    a = admitted(spark, sf_dir).select(F.col("symbol").alias("_s"), "id", "published_at")
-    both = top(spark, sf_dir).join(a, (F.col("symbol") == F.col("_s")) & (F.to_date("published_at") <= F.col("date")), "left")
-    return both.groupBy("symbol", "date").agg(F.count("id").alias("n_news"), F.max("published_at").alias("newest"))
+    return evidence.move_news(top(spark, sf_dir), admitted(spark, sf_dir))
 
 
 @query(T.oracle("bars", "filings", "news", "social", known=KNOWN, **MOVES, seen="""

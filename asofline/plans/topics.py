@@ -65,6 +65,13 @@ def t5_average_linkage(spark, sf_dir):
     return threads.average_linkage(docs, 0.2)
 
 
+@query()
+def t5_linkage_log(spark, sf_dir):
+    """T5: what average linkage merged, in its order, and the pairs that came nearest to it; merge order has no SQL form."""
+    v = T.vectors(spark, sf_dir).withColumnRenamed("article_id", "id")
+    return threads.linkage_log(threads.newest(T.news(spark, sf_dir).join(v, "id")), 0.2)
+
+
 _COS = "list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / (sqrt(list_dot_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_dot_product(b.vector::DOUBLE[], b.vector::DOUBLE[])))"
 
 

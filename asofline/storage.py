@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,8 +21,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/asofline/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; removed when the driver ends or by clear()."""
+    path = f"{shared_folder(spark).rstrip('/')}/asofline/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def clear() -> None:
+    """Remove what was written to the paths of new_path()."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended; the folder is the cluster's to clean then
+            return
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -25,3 +25,77 @@ def sql_rows(sql, folder):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{folder}/documents.parquet'")
     return c.sql(sql).fetchdf()
+
+
+def plain_linkage(v, least):
+    """The plain greedy: all pairs of clusters are looked at before each merge."""
+    import numpy as np
+
+    v = np.array(v, float)
+    n = np.sqrt((v * v).sum(1))
+    cos = (v / np.where(n == 0, 1, n)[:, None]) @ (v / np.where(n == 0, 1, n)[:, None]).T
+    clusters, log = [[k] for k in range(len(v))], []
+    mean = lambda a, b: cos[np.ix_(a, b)].sum() / (len(a) * len(b))
+    while len(clusters) > 1:
+        pairs = [(mean(clusters[a], clusters[b]), a, b) for a in range(len(clusters)) for b in range(a + 1, len(clusters))]
+        s, a, b = max(pairs, key=lambda p: (round(p[0], 9), -p[1], -p[2]))
+        if not s > least:
+            break
+        log.append((round(s, 6), clusters[a][0], clusters[b][0]))
+        clusters[a] += clusters.pop(b)
+    near = sorted((round(mean(clusters[a], clusters[b]), 6) for a in range(len(clusters)) for b in range(a + 1, len(clusters))), reverse=True)[:5]
+    return [sorted(c) for c in clusters], log, near
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_average_linkage_equals_the_plain_greedy(seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(40, 3)) if seed % 2 else r.integers(-1, 2, (40, 3))  # small whole numbers make many ties
+    for least in (0.75, 0.2):
+        clusters, log, near = threads._merges([list(map(float, x)) for x in v], least)
+        want = plain_linkage(v, least)
+        if seed % 2:
+            assert sorted(sorted(c) for c in clusters) == sorted(want[0])
+            assert [(round(s, 6), a, b) for s, a, b in log] == want[1]
+            assert [round(x[0], 6) for x in near] == pytest.approx(want[2], abs=2e-6)
+        assert all(s > least for s, *_ in log) and all(not x[0] > least for x in near)
+    assert threads._merges([], 0.5) == ([], [], []) and threads._merges([[1.0]], 0.5)[0] == [[0]]
+
+
+def test_tied_merges_take_the_first_pair():
+    clusters, log, near = threads._merges([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]], 0.5)
+    assert [(a, b) for _, a, b in log] == [(0, 2), (0, 4), (1, 3)] and sorted(map(sorted, clusters)) == [[0, 2, 4], [1, 3]] and len(near) == 1
+
+
+def test_linkage_log_of_the_sample(spark):
+    from asofline.plans import topics
+    from asofline.sources import tables as T
+
+    v = T.vectors(spark, "/root/testdata/sf0.001").withColumnRenamed("article_id", "id")
+    docs = threads.newest(T.news(spark, "/root/testdata/sf0.001").join(v, "id"))
+    got = topics.t5_linkage_log(spark, "/root/testdata/sf0.001").collect()
+    assert any(r.kind == "rejected" for r in got)
+    by = {}
+    for r in docs.orderBy("symbol", "pos").collect():
+        by.setdefault(r.symbol, []).append(r)
+    for symbol, rows in by.items():
+        log = plain_linkage([r.vector for r in rows], 0.2)[1]
+        mine = sorted((r for r in got if r.symbol == symbol and r.kind == "merged"), key=lambda r: r.step)
+        assert [(round(r.similarity, 6), r.a, r.b) for r in mine] == [(s, rows[a].id, rows[b].id) for s, a, b in log]
+
+
+def test_vector_sums_of_a_hot_key(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    members = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"), F.col("id").cast("string").alias("id"))
+    vectors = spark.range(4990).select(F.col("id").cast("string").alias("article_id"), F.array(*[(F.col("id") * (j + 1) % 7 - 3).cast("float") for j in range(20)]).alias("vector"))
+    got = {r.k: (r.n, r.sum) for r in threads.vector_sums(members, vectors, ["k"]).collect()}
+    of = {}
+    for i in range(4990):
+        of.setdefault("hot" if i % 3 == 0 else str(i % 50), []).append([i * (j + 1) % 7 - 3 for j in range(20)])
+    assert got.keys() == of.keys()
+    for k, v in of.items():
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.sum(v, 0))
