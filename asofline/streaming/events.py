@@ -13,10 +13,11 @@ from ..storage import new_path
 LATE = "1 hour"
 
 
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files."""
+def stream(spark: SparkSession, sf_dir: str, late: str | None = LATE) -> DataFrame:
+    """The events as a stream of files, with a watermark unless `late` is None."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if late else rows
 
 
 def tumbling(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
@@ -32,8 +33,8 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_once(result: DataFrame) -> DataFrame:
-    """The finished rows of a streamed aggregate over what its source holds now, as a table in the shared folder.
+def run_once(result: DataFrame, mode: str = "append") -> DataFrame:
+    """The finished rows of a streamed aggregate over what its source holds now, as a table in the shared folder; in update mode, each change.
 
     Append mode: a window is told once, when the watermark has passed its end, and its state is dropped then; windows
     that may still change aren't told yet.  A batch that is run again overwrites what it wrote.
@@ -43,5 +44,5 @@ def run_once(result: DataFrame) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    result.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return result.sparkSession.read.schema(result.schema).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*result.columns)
