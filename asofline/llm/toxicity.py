@@ -43,7 +43,7 @@ DIMENSIONS, FILTERS, WIDTHS, TOP = 12, 8, (1, 2, 3), 3
 EPOCHS, BATCHES, BATCH, RATE = 12, 400, 32, 0.1
 #: Positions that go through the filters at once.
 WINDOW = 50_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 
 #: Function words by which a text's language is told.
 LANGUAGES = {
@@ -334,7 +334,7 @@ class _Scorer:
         n = len(self.rows)
         self.rows.update(zip(new, range(n, n + len(new))))
         if n + len(new) > self.columns.shape[1]:
-            grown = np.zeros((len(add), max(2 * n, n + len(new))), np.float32)
+            grown = np.zeros((len(add), max(min(2 * n, CACHE_WORDS), n + len(new))), np.float32)
             tongues = np.zeros((grown.shape[1], len(_NAMES)), np.float32)
             if n:
                 grown[:, :n], tongues[:n] = self.columns[:, :n], self.says[:n]
