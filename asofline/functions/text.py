@@ -171,6 +171,20 @@ def judge(title: Column, description: Column, symbol: Column, name: Column) -> C
     return F.transform(F.array(F.struct(mentions_company(text, symbol, name).alias("m"), term_places(text, terms).alias("p"))), verdict)[0]
 
 
+#: What a rule verdict says of itself; of the first, what stands before the category, before the term and after it.
+REASON_MATERIAL = ("Company mentioned with a material ", ' signal ("', '"). Rule fallback; AI review supersedes.')
+REASON_MENTIONED = "Company mentioned without a material business signal; needs semantic review. Excluded until admitted."
+REASON_NEAR = "No company mention; possible industry/macro connection needs semantic review. Excluded until admitted."
+REASON_NOTHING = "No company mention and no material/industry signal; provider association alone is not relevance."
+
+
+def rule_reason(verdict: Column) -> Column:
+    """The reason of a rule verdict (a struct as from judge(), whose confidence tells its four kinds apart)."""
+    before, between, after = map(F.lit, REASON_MATERIAL)
+    told = F.concat(before, F.lower(verdict["category"]), between, verdict["term"], after)
+    return F.when(verdict["decision"] == "RELEVANT", told).when(verdict["decision"] == "IRRELEVANT", REASON_NOTHING).when(verdict["confidence"] == 0.40, REASON_MENTIONED).otherwise(REASON_NEAR)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double over the length both arrays have."""
     n = F.least(F.size(a), F.size(b))

@@ -258,6 +258,13 @@ def top_terms(members: DataFrame, most: int = 3) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
 
 
+def weighted_terms(members: DataFrame, vectors: DataFrame, most: int = 3) -> DataFrame:
+    """symbol, thread, term, weight, rank: the tokens whose weights (vectors as from weights()) add up to most over a thread's articles, of equal ones the first by code point."""
+    sums = members.select("symbol", "thread", "id").join(vectors, ["symbol", "id"]).groupBy("symbol", "thread", F.col("token").alias("term")).agg(F.sum("weight").alias("weight"))
+    rank = W.partitionBy("symbol", "thread").orderBy(F.bround("weight", 9).desc(), "term")
+    return sums.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+
+
 def vector_sums(members: DataFrame, vectors: DataFrame, keys: list[str], unit: bool = False) -> DataFrame:
     """keys, n, sum: the sums of the members' (keys, id) vectors (article_id, vector) as arrays, at unit length where asked; vectors without length don't count then.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.temporal import column
 from ..operators import cases, documents, records, snapshot, threads, upsert
-from ..sources import parsers
+from ..sources import parsers, recorded
 from ..sources import tables as T
-from ..storage import kept
+from ..sinks import stores
+from ..storage import kept, new_path
 from . import casebook, lookups, news, topics
 from .registry import query
 
@@ -199,9 +201,9 @@ def p8_brief_threads(spark, sf_dir):
 
 @query()
 def p8_brief_news(spark, sf_dir):
-    """Articles that the rules call relevant; the company's name, and two terms in every third, are planted, and the whole text is judged."""
+    """Articles that the rules call relevant; the company's name, and two terms in every third, are planted, and the whole title and description are judged."""
     rows = T.news(spark, sf_dir).join(T.companies(spark, sf_dir).select("symbol", "name"), "symbol")
-    judged = X.judge(F.concat(F.col("name"), F.when(F.col("id").cast("int") % 3 == 0, " take over and Revenue ").otherwise(" "), F.coalesce("title", F.lit(""))), F.when(F.col("id").cast("int") % 2 == 0, F.col("description")), F.col("symbol"), F.col("name"))
+    judged = X.judge(F.concat(F.col("name"), F.when(F.col("id").cast("int") % 3 == 0, " take over and Revenue ").otherwise(" "), F.coalesce("title", F.lit(""))), F.col("description"), F.col("symbol"), F.col("name"))
     return rows.select("id", judged.alias("v")).where("v.decision = 'RELEVANT'").select("id", "v.category", "v.term")
 
 
@@ -310,11 +312,10 @@ def s25_filing_documents(spark, sf_dir):
     return parsers.filing_documents(f.select("accession", "body"), f.select("accession", F.col("_file").alias("name"), "html"))
 
 
-@query(T.oracle("news") + "SELECT id, symbol FROM news WHERE symbol = 'Brand#7'")
+@query(T.oracle("news") + "SELECT id, symbol FROM news")
 def s27_null_source(spark, sf_dir):
     """A source that isn't configured beside a fixed one."""
-    fixed = T.news(spark, sf_dir).where("symbol = 'Brand#7'")
-    return parsers.no_news(spark).unionByName(fixed).select("id", "symbol")
+    return parsers.no_news(spark).unionByName(T.news(spark, sf_dir)).select("id", "symbol")
 
 
 @query(T.oracle("news") + "SELECT 'gdelt-' || substr(sha256(lower(trim(url))), 1, 32) AS id, published_at FROM news WHERE published_at::DATE BETWEEN DATE '1998-02-01' AND DATE '1998-02-08' QUALIFY row_number() OVER (PARTITION BY published_at::DATE ORDER BY 'gdelt-' || substr(sha256(lower(trim(url))), 1, 32)) <= 20")
@@ -326,6 +327,40 @@ def s17_daily_limit(spark, sf_dir):
     return parsers.keyword_articles(raw, column("1998-02-08"), most=20).select("id", "published_at")
 
 
+#: Slices of the sample's recorded answers, in SQL: pages of two articles, every ninth day's first page broken, every seventh day not recorded.
+_SLICES = {
+    "rec": "SELECT symbol, published_at::DATE AS day, id, url, title, published_at, row_number() OVER (PARTITION BY symbol, published_at::DATE ORDER BY published_at, id) - 1 AS k FROM news WHERE published_at::DATE BETWEEN DATE '1998-01-20' AND DATE '1998-02-08' AND dayofyear(published_at) % 7 <> 0",
+    "ask": "SELECT symbol, d::DATE AS day FROM (SELECT DISTINCT symbol FROM companies), range(DATE '1998-01-20', DATE '1998-02-09', INTERVAL 1 DAY) t(d)",
+    "sl": "SELECT symbol, day, count(*) AS n, dayofyear(day) % 9 = 0 AS broken FROM rec GROUP BY ALL",
+}
+
+
+def _recorded(spark, sf_dir):
+    """The sample's articles as answers of a provider, recorded in a folder: pages of two articles, each day."""
+    path = new_path(spark, "recorded")
+    n = T.news(spark, sf_dir).withColumn("day", F.to_date("published_at")).where(F.dayofyear("day") % 7 != 0)
+    place = F.row_number().over(W.partitionBy("symbol", "day").orderBy("published_at", "id")) - 1
+    item = F.struct("url", "title", F.date_format("published_at", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"))
+    pages = n.withColumn("_k", place).groupBy("symbol", "day", F.floor(F.col("_k") / 2).cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct("_k", item.alias("e")))).alias("_x"))
+    body = F.to_json(F.struct(F.transform("_x", lambda x: x["e"]).alias("articles")))
+    recorded.record(pages.select("symbol", "day", "page", F.when((F.col("page") == 0) & (F.dayofyear("day") % 9 == 0), "{broken").otherwise(body).alias("body")), path)
+    return path
+
+
+@query(T.oracle("news", "companies", **_SLICES) + "SELECT a.symbol, a.day, CASE WHEN sl.n IS NULL THEN 'missing' WHEN broken THEN 'failed' ELSE 'ok' END AS status, CASE WHEN sl.n IS NULL OR broken THEN 0 ELSE least(n, 20) END AS n_articles FROM ask a LEFT JOIN sl ON sl.symbol = a.symbol AND sl.day = a.day")
+def s17_slice_status(spark, sf_dir):
+    """How each slice of an interval went, for all symbols: days that weren't recorded are missing, and one with a broken page fails by itself."""
+    names = [r.symbol for r in T.companies(spark, sf_dir).select("symbol").collect()]  # the symbols of the request
+    return recorded.traversed(spark, _recorded(spark, sf_dir), recorded.KEYWORDS, names, "1998-02-08", 19)[1]
+
+
+@query(T.oracle("news", "companies", **_SLICES) + "SELECT rec.symbol, 'gdelt-' || substr(sha256(lower(trim(url))), 1, 32) AS id, published_at FROM rec JOIN sl ON sl.symbol = rec.symbol AND sl.day = rec.day WHERE NOT broken AND k < 20")
+def s17_traversed(spark, sf_dir):
+    """The articles of the good slices, up to twenty each."""
+    names = [r.symbol for r in T.companies(spark, sf_dir).select("symbol").collect()]
+    return recorded.traversed(spark, _recorded(spark, sf_dir), recorded.KEYWORDS, names, "1998-02-08", 19)[0].select("symbol", "id", "published_at")
+
+
 # Stored rows
 
 _JOB = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'running' ELSE 'completed' END AS status, ts::TIMESTAMP AS created, ts::TIMESTAMP + INTERVAL 30 MINUTE AS updated FROM events"
@@ -384,12 +419,55 @@ def k6_sentiment_upsert(spark, sf_dir):
 
 @query(T.oracle("vectors") + "SELECT article_id, CASE WHEN article_id::INT % 4 = 0 THEN 2 ELSE 64 END::INT AS n FROM vectors")
 def k7_vector_cache(spark, sf_dir):
-    """K7: cached vectors by article, the last one wins."""
+    """K3: cached vectors by article, the last one wins."""
     v = T.vectors(spark, sf_dir).withColumn("at", F.lit(0))
     inc = v.where(F.col("article_id").cast("int") % 4 == 0).withColumns({"vector": F.slice("vector", 1, 2), "at": F.lit(1)})
     return upsert.latest_wins(v, inc, ["article_id"], ["at"]).select("article_id", F.size("vector").alias("n"))
 
 
+_SAVED = {"m5": f"SELECT {_ID} AS case_id, symbol, date AS peak, round_even(daily_return_pct, 2) AS r, {_K} AS k FROM m"}
+
+
+def _stored_cases(spark, sf_dir):
+    """The store of the sample's cases, saved one after another: first all, then those of every second symbol again, with other values under another symbol, twice."""
+    store = stores.cases(spark, new_path(spark, "case_store"))
+    k = F.substring("symbol", 7, 2).cast("int")
+    first = news.top(spark, sf_dir).select(
+        F.concat_ws(":", "symbol", F.date_format("date", "yyyy-MM-dd")).alias("case_id"), "symbol", F.col("date").alias("peak"), F.timestamp_add("MINUTE", k, F.col("date").cast("timestamp")).alias("created_at"), F.lit(casebook.DAY).cast("date").alias("decision_date"),
+        F.lit("gdelt").alias("news_source"), F.lit(1.0).alias("score"), F.col("daily_return_pct").cast("double").alias("daily_return_pct"), F.lit("").alias("flags"), F.lit("unknown").alias("sentiment_direction"), F.lit("partial").alias("completeness"), F.lit("{}").alias("body"), k.alias("_k"),
+    )
+    first = kept(first, "cases")
+    store.write(first.drop("_k"), "first")
+    again = first.where("_k % 2 = 0").drop("_k").withColumns({"symbol": F.lit("OTHER"), "peak": F.date_add("peak", 1), "created_at": F.timestamp_add("DAY", F.lit(1), F.col("created_at")), "score": F.lit(2.0), "completeness": F.lit("full")})
+    store.write(again, "again")
+    store.write(again.withColumn("score", F.lit(3.0)), "again")  # the same write, tried again: nothing happens
+    return store.read()
+
+
+@query(T.oracle("bars", **news.MOVES, **_SAVED) + "SELECT case_id, symbol, peak, CASE WHEN k % 2 = 0 THEN 2.0 ELSE 1.0 END AS score, CASE WHEN k % 2 = 0 THEN 'full' ELSE 'partial' END AS completeness, peak + to_minutes(k) AS created_at FROM m5")
+def k7_case_upsert(spark, sf_dir):
+    """K7: a case that is saved again keeps its symbol, its peak and when it was made; written through the versioned store."""
+    return _stored_cases(spark, sf_dir).select("case_id", "symbol", "peak", "score", "completeness", "created_at")
+
+
+@query(T.oracle("bars", **news.MOVES, **_SAVED) + "SELECT case_id, peak + to_minutes(k) AS created_at FROM m5 ORDER BY created_at DESC, case_id LIMIT 50")
+def s12_recent_cases(spark, sf_dir):
+    """The fifty cases that were made last, from the store."""
+    return stores.recent_cases(_stored_cases(spark, sf_dir)).select("case_id", "created_at")
+
+
+@query(T.oracle("filings", fsum=lookups.SUMMARIES) + "SELECT accession, event_type, CASE WHEN accession::BIGINT % 3 = 0 THEN 0.25 ELSE relevance END AS relevance FROM fsum")
+def k6_filing_summaries(spark, sf_dir):
+    """K6: structured summaries by filing number, the last one wins; written through the versioned store."""
+    store = stores.filing_summaries(spark, new_path(spark, "summary_store"))
+    at = lambda day: F.lit(day).cast("timestamp").alias("at")
+    rows = kept(lookups.summaries(spark, sf_dir).select("accession", "event_type", F.col("relevance").cast("double").alias("relevance"), F.col("sentiment").cast("double").alias("sentiment"), at("2026-01-01")), "summaries")
+    store.write(rows)
+    new = rows.where(F.col("accession").cast("bigint") % 3 == 0).withColumns({"relevance": F.lit(0.25), "at": F.lit("2026-01-03").cast("timestamp")})
+    store.write(new.unionByName(new.withColumns({"relevance": F.lit(0.75), "at": F.lit("2026-01-02").cast("timestamp")})))
+    return store.read().select("accession", "event_type", "relevance")
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30")
 def l11_dynamic_sort(spark, sf_dir):
     """The order that a request names; the first thirty."""

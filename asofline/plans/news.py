@@ -85,19 +85,53 @@ def _terms_sql(terms) -> str:
     return "regexp_matches(x, '\\b(?:" + "|".join(t.replace("-", "\\-") for t in terms) + ")\\b')"
 
 
-@query(T.oracle("news", j="SELECT id, lower(coalesce(title, '') || chr(10) || coalesce(description, '') || ' ' || CASE id::INT % 4 WHEN 0 THEN 'the CEO resigns' WHEN 1 THEN 'record sales growth' WHEN 2 THEN 'interest rates' ELSE '' END) AS x FROM news",
-    g="SELECT id, regexp_matches(x, '\\bidiot\\b') OR contains(x, 'thing co') OR regexp_matches(x, '\\bthing\\b') AS mentioned, CASE " + " ".join(f"WHEN {_terms_sql(t)} THEN '{c}'" for c, t in X.MATERIAL_TERMS.items()) + f" END AS c, {_terms_sql(X.INDUSTRY_TERMS)} OR {_terms_sql(X.MACRO_TERMS)} AS near FROM j") + """
-SELECT id, CASE WHEN mentioned AND c IS NOT NULL THEN 'RELEVANT' WHEN mentioned OR near OR c IS NOT NULL THEN 'UNCERTAIN' ELSE 'IRRELEVANT' END AS decision, CASE WHEN mentioned AND c IS NOT NULL THEN c ELSE 'UNRELATED' END AS category,
-  CASE WHEN mentioned AND c IS NOT NULL THEN 0.6 WHEN mentioned THEN 0.4 WHEN near OR c IS NOT NULL THEN 0.45 ELSE 0.7 END AS confidence FROM g""")
-def p7_rule_judge(spark, sf_dir):
-    """The rule gate (a planted phrase stands in for headlines)."""
+#: Rule verdicts of the sample in SQL, with their reasons.
+RULES = {
+    "j": "SELECT id, lower(coalesce(title, '') || chr(10) || coalesce(description, '') || ' ' || CASE id::INT % 4 WHEN 0 THEN 'the CEO resigns' WHEN 1 THEN 'record sales growth' WHEN 2 THEN 'interest rates' ELSE '' END) AS x FROM news",
+    "g": "SELECT id, regexp_matches(x, '\\bidiot\\b') OR contains(x, 'thing co') OR regexp_matches(x, '\\bthing\\b') AS mentioned, CASE " + " ".join(f"WHEN {_terms_sql(t)} THEN '{c}'" for c, t in X.MATERIAL_TERMS.items()) + f" END AS c, {_terms_sql(X.INDUSTRY_TERMS)} OR {_terms_sql(X.MACRO_TERMS)} AS near, CASE " + " ".join(f"WHEN {_terms_sql([t])} THEN '{t}'" for ts in X.MATERIAL_TERMS.values() for t in ts) + " END AS term FROM j",
+    "rv": f"""SELECT id, CASE WHEN mentioned AND c IS NOT NULL THEN 'RELEVANT' WHEN mentioned OR near OR c IS NOT NULL THEN 'UNCERTAIN' ELSE 'IRRELEVANT' END AS decision, CASE WHEN mentioned AND c IS NOT NULL THEN c ELSE 'UNRELATED' END AS category,
+  CASE WHEN mentioned AND c IS NOT NULL THEN 0.6 WHEN mentioned THEN 0.4 WHEN near OR c IS NOT NULL THEN 0.45 ELSE 0.7 END AS confidence, CASE WHEN mentioned AND c IS NOT NULL THEN '{X.REASON_MATERIAL[0]}' || lower(c) || '{X.REASON_MATERIAL[1]}' || term || '{X.REASON_MATERIAL[2]}'
+  WHEN mentioned THEN '{X.REASON_MENTIONED}' WHEN near OR c IS NOT NULL THEN '{X.REASON_NEAR}' ELSE '{X.REASON_NOTHING}' END AS reason FROM g""",
+}
+
+
+def _planted(spark, sf_dir):
+    """The sample's articles with a phrase that stands in for a headline, and their rule verdict."""
     n = F.col("id").cast("int") % 4
     extra = F.when(n == 0, "the CEO resigns").when(n == 1, "record sales growth").when(n == 2, "interest rates").otherwise("")
     rows = T.news(spark, sf_dir).withColumn("description", F.concat_ws(" ", F.coalesce("description", F.lit("")), extra))
-    verdict = X.judge(F.col("title"), F.col("description"), F.lit("idiot"), F.lit("thing co"))
+    return rows, X.judge(F.col("title"), F.col("description"), F.lit("idiot"), F.lit("thing co"))
+
+
+@query(T.oracle("news", **RULES) + "SELECT id, decision, category, confidence FROM rv")
+def p7_rule_judge(spark, sf_dir):
+    """The rule gate (a planted phrase stands in for headlines)."""
+    rows, verdict = _planted(spark, sf_dir)
     return rows.select("id", verdict.alias("v")).select("id", "v.decision", "v.category", "v.confidence")
 
 
+@query(T.oracle("news", **RULES) + "SELECT id, reason FROM rv")
+def p7_rule_reasons(spark, sf_dir):
+    """What each rule verdict says of itself."""
+    rows, verdict = _planted(spark, sf_dir)
+    return rows.select("id", verdict.alias("v")).select("id", X.rule_reason(F.col("v")).alias("reason"))
+
+
+@query(T.oracle("news", "relevance", **RULES, a="SELECT article_id AS id, quality_of AS relevant, CASE WHEN article_id::INT % 5 = 0 THEN 'NONSENSE' ELSE category END AS category, least(greatest((article_id::INT % 140 - 20) / 100, 0), 1) AS confidence FROM (SELECT *, coalesce(relevant, false) AS quality_of FROM relevance) WHERE article_id::INT % 6 <> 0") + """
+SELECT rv.id, CASE WHEN a.id IS NULL THEN CASE rv.decision WHEN 'RELEVANT' THEN true WHEN 'IRRELEVANT' THEN false END WHEN a.confidence >= 0.65 THEN a.relevant END AS relevant, CASE WHEN a.id IS NULL THEN rv.decision WHEN a.confidence < 0.65 THEN 'UNCERTAIN' WHEN a.relevant THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS decision,
+  CASE WHEN a.id IS NULL THEN 'RULE' ELSE 'AI' END AS decision_source, CASE WHEN a.id IS NULL THEN rv.category WHEN a.confidence < 0.65 OR a.category = 'NONSENSE' THEN 'UNRELATED' ELSE a.category END AS category, coalesce(a.confidence, rv.confidence)::DOUBLE AS confidence,
+  CASE WHEN a.id IS NULL THEN rv.reason ELSE substr(repeat('because ', 100), 1, 500) END AS reason FROM rv LEFT JOIN a USING (id)""")
+def g2_batch_verdicts(spark, sf_dir):
+    """A batch as it is stored: the model's answers normalised, the first of two, long reasons cut; articles that it left out have the rule's verdict, answers for articles that weren't asked go."""
+    rows, verdict = _planted(spark, sf_dir)
+    n = F.col("article_id").cast("int")
+    told = T.relevance(spark, sf_dir).where(n % 6 != 0).select(
+        F.col("article_id").alias("id"), F.lit(0).alias("place"), F.coalesce("relevant", F.lit(False)).alias("relevant"), F.when(n % 5 == 0, "nonsense").otherwise(F.lower("category")).alias("category"), ((n % 140 - 20) / 100).alias("confidence"), F.repeat(F.lit("because "), 100).alias("reason"),
+    )
+    again = told.withColumns({"place": F.lit(1), "confidence": F.lit(1.0), "category": F.lit("LEGAL")})
+    return gate.classified(rows, told.unionByName(again).unionByName(told.withColumn("id", F.concat(F.lit("x"), "id"))), verdict)
+
+
 @query(T.oracle("news", "relevance", known=KNOWN) + """SELECT n.symbol, count(*) FILTER (r.decision = 'RELEVANT') AS relevant, count(*) FILTER (r.decision = 'IRRELEVANT') AS irrelevant,
   count(*) FILTER (coalesce(r.decision, 'UNCERTAIN') = 'UNCERTAIN') AS uncertain FROM known n LEFT JOIN relevance r ON n.id = r.article_id AND n.symbol = r.symbol GROUP BY n.symbol""")
 def a4_verdict_census(spark, sf_dir):

@@ -98,6 +98,12 @@ def a22_top_terms(spark, sf_dir):
     return threads.top_terms(members(spark, sf_dir))
 
 
+@query(T.oracle("news", "relevance", **_TFIDF, m=MEMBERS, s="SELECT m.symbol, m.thread, w.token AS term, sum(weight) AS weight FROM m JOIN w ON m.symbol = w.symbol AND m.id = w.id GROUP BY ALL") + "SELECT symbol, thread, term, round_even(weight, 6) AS weight, row_number() OVER (PARTITION BY symbol, thread ORDER BY round_even(weight, 9) DESC, term) AS rank FROM s QUALIFY rank <= 3")
+def t7_weighted_labels(spark, sf_dir):
+    """Labels by summed TF-IDF weights."""
+    return threads.weighted_terms(members(spark, sf_dir), threads.weights(T.news(spark, sf_dir))).withColumn("weight", F.bround("weight", 6))
+
+
 @query(T.oracle("news", "relevance", "vectors", m=MEMBERS, x="SELECT symbol, thread, id, vector FROM m JOIN vectors ON article_id = id") + f"""
 SELECT symbol, thread, n, round_even(c, 3) AS cohesion FROM (SELECT symbol, thread, count(*) AS n FROM x GROUP BY ALL) LEFT JOIN (SELECT a.symbol, a.thread, avg({_COS}) AS c FROM x a JOIN x b ON a.symbol = b.symbol AND a.thread = b.thread AND a.id < b.id GROUP BY ALL) USING (symbol, thread)""")
 def a21_cohesion(spark, sf_dir):

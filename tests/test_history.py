@@ -244,7 +244,7 @@ def test_brief_news_of_whole_texts(spark):
     names = {r.symbol: r.name for r in T.companies(spark, SF).collect()}
     expected = set()
     for r in T.news(spark, SF).collect():
-        text = f"{names[r.symbol]}{' take over and Revenue ' if int(r.id) % 3 == 0 else ' '}{r.title or ''}\n{(r.description or '') if int(r.id) % 2 == 0 else ''}".lower()
+        text = f"{names[r.symbol]}{' take over and Revenue ' if int(r.id) % 3 == 0 else ' '}{r.title or ''}\n{r.description or ''}".lower()
         found = next(((c, t) for c, terms in X.MATERIAL_TERMS.items() for t in terms if re.search(rf"\b{re.escape(t)}\b", text, re.ASCII)), None)
         if found:
             expected.add((r.id, *found))
