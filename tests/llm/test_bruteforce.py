@@ -199,3 +199,27 @@ def test_second_phase_alone_finds_the_links(spark, monkeypatch):
     for low in (2, 64):
         monkeypatch.setattr(minhash, "LOW", low)
         assert {x.doc_id: x.component_id for x in minhash.deduplicate(df, 4).collect()} == expected
+
+
+def test_depletion_decides_in_the_query(spark, tmp_path):
+    """Texts of sixty distinct words pass the base rules; those whose lines most of their host repeats lose their words and go, in the query and in its SQL."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+    from sqlcheck import TABLES, ordered
+
+    shared = "\n".join(" ".join(f"s{i}w{j}" for j in range(10)) for i in range(5))
+    own = lambda k, n: " ".join(f"d{k}x{j}" for j in range(n))
+    rows = [(k, f"{shared}\n{own(k, 12)}", "h", "en") for k in range(12)] + [(100 + k, f"{own(100 + k, 60)}", "h", "en") for k in range(30)] + [(200, f"{shared}\n{own(200, 12)}", "other", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in rules.report(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == set(range(12))
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    import duckdb
+
+    assert "documents" in TABLES
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert ordered(rules.report(docs).toPandas()) == ordered(c.sql(rules.SQL).fetchdf())
