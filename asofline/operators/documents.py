@@ -195,3 +195,22 @@ def expands(verdicts: DataFrame, source: str, least: int = 5) -> DataFrame:
     """symbol, relevant, expands: whether too few relevant articles ask for more: verdicts exist, fewer than `least` are relevant, and the source can be searched by keyword."""
     rows = verdicts.groupBy("symbol").agg(F.count("*").alias("_n"), F.count_if(F.col("decision").isin("RELEVANT", "USER_APPROVED")).alias("relevant"))
     return rows.select("symbol", "relevant", ((F.col("_n") > 0) & (F.col("relevant") < least) & F.lit(source == "gdelt")).alias("expands"))
+
+
+def expansion_tally(companies: DataFrame, news: DataFrame, verdicts: DataFrame, judged: DataFrame, failed: DataFrame, variations: list[str], first: Column, most: int = 20) -> DataFrame:
+    """symbol, queries, candidates, relevant, failed: what a search by keyword variations brings each symbol.
+
+    news holds what is knowable, of which a query finds the newest `most` since `first`; a candidate has no verdict for its symbol (article_id,
+    symbol) and is one however many queries find it; judged: id, decision of the articles; failed: symbol, variation of queries without an answer.
+    """
+    text = F.lower(wording())
+    hits = news.where(F.col("published_at") >= first).select("symbol", "id", "published_at", F.explode(F.filter(F.array(*[F.lit(v) for v in variations]), lambda v: text.contains(v))).alias("variation"))
+    hits = hits.join(failed, ["symbol", "variation"], "left_anti")
+    newest = W.partitionBy("symbol", "variation").orderBy(F.col("published_at").desc(), "id")
+    taken = hits.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= most).select("symbol", "id").distinct()
+    known = verdicts.select("symbol", F.col("article_id").alias("id"))
+    fresh = taken.join(known, ["symbol", "id"], "left_anti").join(judged.select("id", "decision"), "id", "left")
+    counts = fresh.groupBy("symbol").agg(F.count("*").alias("candidates"), F.count_if(F.col("decision") == "RELEVANT").alias("relevant"))
+    broken = failed.where(F.col("variation").isin(variations)).groupBy("symbol").agg(F.sort_array(F.collect_set(F.concat_ws(" ", "symbol", "variation"))).alias("failed"))  # of the variations
+    out = companies.select("symbol").join(counts, "symbol", "left").join(broken, "symbol", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<string>")))
+    return out.select("symbol", (F.lit(len(variations)) - F.size("failed")).alias("queries"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("relevant", F.lit(0)).alias("relevant"), "failed")

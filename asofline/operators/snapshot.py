@@ -6,10 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.temporal import day_after, instant_cutoff
 from .moves import as_of
 
 PRICES, FILINGS = 30, 10
 SECTIONS = ("prices", "filings", "outcome", "news")
+#: What a reader is told; a name in braces is filled in.
+MESSAGES = {
+    "no prices": "Historical market data is not available for {symbol} on {day}. Try a nearby date.",
+    "market closed": "Markets were closed on {day}. Showing data as of the previous trading day, {last}.",
+    "no filings": "SEC filing data is unavailable for this company and date.",
+    "partial": "Some sections of this investigation are unavailable.",
+    "no news": "No historical {source} news was found for this period. This does not mean nothing happened — our sources do not have full coverage for this company and date.",
+    "no moves": "{symbol} returned no key moves for this window — price history too thin or no significant moves. Try another date.",
+    "unknown": "{symbol} is not a known symbol — check the ticker. No investigation ran for this row.",
+}
+
+
+def message(kind: str, **names: Column) -> Column:
+    """A message with its names filled in."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", MESSAGES[kind])
+    return F.concat(*[names[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
 
 
 def sections(asked: str | None) -> list[str]:
@@ -54,6 +73,44 @@ def assemble(companies: DataFrame, bars: DataFrame, filings: DataFrame, news: Da
     return out.withColumns({"prices": F.coalesce("prices", F.array()), "filings": F.coalesce("filings", F.array()), "n_news": F.coalesce("n_news", F.lit(0))})
 
 
+def outcome(companies: DataFrame, bars: DataFrame, filings: DataFrame, day: Column, days: int = 30) -> DataFrame:
+    """symbol, outcome_prices, outcome_price (their last close), outcome_filings: what came in the days after a date, oldest first; nothing of it is known as of the date.
+
+    Filings count from the day after to the New York end of the last day.  The interval bounds both lists.
+    """
+    p = bars.where((F.col("date") > day) & (F.col("date") <= F.date_add(day, days))).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "close", "volume"))).alias("outcome_prices"), F.max_by("close", "date").alias("outcome_price"))
+    at = F.col("filed_at")
+    f = filings.where((at >= day_after(day)) & (at <= instant_cutoff(F.date_add(day, days)))).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("filed_at", "accession", "form_type"))).alias("outcome_filings"))
+    out = companies.select("symbol").join(p, "symbol", "left").join(f, "symbol", "left")
+    return out.select("symbol", F.coalesce("outcome_prices", F.array()).alias("outcome_prices"), "outcome_price", F.coalesce("outcome_filings", F.array()).alias("outcome_filings"))
+
+
+def messages(rows: DataFrame, day: Column, source: str, asked: str | None = None) -> DataFrame:
+    """rows of assemble() (with a column failed: names of sections whose source failed) with warnings as they are told, of the asked sections alone."""
+    wanted, on = sections(asked), lambda d: F.date_format(d, "MMMM d, yyyy")
+    closed = F.when(F.col("as_of_date") < day, message("market closed", day=on(day), last=on(F.col("as_of_date"))))
+    told = {
+        "prices": F.when(F.size("prices") == 0, message("no prices", symbol=F.col("symbol"), day=on(day))).otherwise(closed),
+        "filings": F.when(F.size("filings") == 0, message("no filings")),
+        "partial": F.when(F.size(F.coalesce("failed", F.array().cast("array<string>"))) > 0, message("partial")),
+        "news": F.when(F.col("n_news") == 0, message("no news", source=F.lit(source))),
+    }
+    return rows.withColumn("warnings", F.array_compact(F.array(*[told[k] for k in told if k == "partial" or k in wanted])))
+
+
+def sector_rows(asked: DataFrame, companies: DataFrame, peaks: DataFrame) -> DataFrame:
+    """symbol, name, reason, peaks: a row for each asked symbol (symbol), each by itself; peaks: symbol, peak and whatever a peak is told with.
+
+    A symbol without peaks has an empty list and a reason: it isn't known, or its history shows no move.
+    """
+    rest = [c for c in peaks.columns if c not in ("symbol", "peak")]
+    found = peaks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("peak", *rest))).alias("peaks"))  # a symbol's key moves, five or ten
+    rows = asked.join(companies.select("symbol", "name"), "symbol", "left").join(found, "symbol", "left")
+    symbol = F.col("symbol")
+    reason = F.when(F.col("peaks").isNotNull(), F.lit(None)).when(F.col("name").isNotNull(), message("no moves", symbol=symbol)).otherwise(message("unknown", symbol=symbol))
+    return rows.select("symbol", "name", reason.alias("reason"), F.coalesce("peaks", F.array().cast(found.schema["peaks"].dataType)).alias("peaks"))
+
+
 def search(companies: DataFrame, asked: str, most: int = 10) -> DataFrame:
     """Companies whose symbol or name has the text, whatever its case; the first by symbol."""
     has = lambda c: F.lower(c).contains(asked.strip().lower())

@@ -1,4 +1,4 @@
 """All queries and their SQL."""
 
-from . import casebook, history, lookups, market, news, topics  # noqa: F401
+from . import casebook, history, lookups, market, news, reports, topics  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
