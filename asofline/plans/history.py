@@ -213,7 +213,8 @@ def p8_brief_news(spark, sf_dir):
 def _directory(spark, sf_dir):
     c = T.companies(spark, sf_dir)
     entry = F.struct(F.lower("symbol").alias("key"), F.struct("name", "cik").alias("value"))
-    return parsers.directory(c.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("body")))  # the directory, one object
+    part = c.groupBy(F.expr("left(lpad(cik, 10, '0'), 8)").alias("_part"))  # objects of at most a hundred numbers each
+    return parsers.directory(part.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("body")).select("body"))
 
 
 @query(T.oracle("companies") + "SELECT upper(symbol) AS symbol, name, lpad(cik, 10, '0') AS cik FROM companies")
@@ -265,15 +266,15 @@ def s19_entity_stories(spark, sf_dir):
     return parsers.entity_stories(stories.select("symbol", body.alias("body"))).select("symbol", "id", "published_at")
 
 
-@query(T.oracle("news", f="SELECT *, row_number() OVER (PARTITION BY symbol, published_at::DATE ORDER BY published_at, id) AS k, (id::INT * 37 % 301 - 150) / 100 AS x FROM news") + "SELECT 'avnews-' || substr(sha256(lower(trim(url))), 1, 32) AS id, published_at, CASE WHEN x BETWEEN -1 AND 1 THEN round_even(x, 4) END AS sentiment_score FROM f WHERE k <= 2")
+@query(T.oracle("news", f="SELECT *, row_number() OVER (PARTITION BY symbol, published_at::DATE ORDER BY published_at, id) AS k, (id::INT * 37 % 301 - 150) / 100 AS x FROM news") + "SELECT 'avnews-' || substr(sha256(lower(trim(url))), 1, 32) AS id, published_at, CASE WHEN x BETWEEN -1 AND 1 THEN round_even(x, 4) END AS sentiment_score FROM f WHERE k <= 50")
 def s21_feed_sentiment(spark, sf_dir):
-    """Scores as text, kept from -1 to 1; two entries of each payload (the feature's own limit is 50)."""
+    """Scores as text, kept from -1 to 1; of each payload the first 50 entries, the feature's limit."""
     n = T.news(spark, sf_dir)
     score = F.format_string("%.2f", (F.col("id").cast("int") * 37 % 301 - 150) / 100)
     item = F.struct("published_at", "id", F.struct("url", "title", F.date_format("published_at", "yyyyMMdd'T'HHmmss").alias("time_published"), score.alias("overall_sentiment_score")).alias("e"))
     lists = n.groupBy("symbol", F.to_date("published_at").alias("day")).agg(F.sort_array(F.collect_list(item)).alias("_x"))
     raw = lists.select(F.to_json(F.struct(F.transform("_x", lambda x: x["e"]).alias("feed"))).alias("body"))
-    return parsers.feed_sentiment(raw, 2).select("id", "published_at", F.bround("sentiment_score", 4).alias("sentiment_score"))
+    return parsers.feed_sentiment(raw, 50).select("id", "published_at", F.bround("sentiment_score", 4).alias("sentiment_score"))
 
 
 @query(T.oracle("social") + "SELECT id, community, created_at, score FROM social WHERE created_at BETWEEN TIMESTAMP '1998-01-05' AND TIMESTAMP '1998-01-20' QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 6")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import column
@@ -36,8 +37,9 @@ SELECT x.request, x.pos::INT AS pos, n.id, n.published_at, r.decision FROM x JOI
 def j11_thread_members(spark, sf_dir):
     """Members in the order of the request, unknown ids skipped."""
     n = T.news(spark, sf_dir)
-    ids = F.sort_array(F.collect_list("id"), asc=False)
-    asked = n.groupBy(F.col("symbol").alias("request")).agg(F.concat(ids, F.array(F.lit("none"))).alias("ids"))
+    ids = F.sort_array(F.collect_list("id"), asc=False)  # as many as a request may name
+    first = n.select("symbol", "id", F.row_number().over(W.partitionBy("symbol").orderBy(F.col("id").desc())).alias("_k")).where("_k <= 500")
+    asked = first.groupBy(F.col("symbol").alias("request")).agg(F.concat(ids, F.array(F.lit("none"))).alias("ids"))
     return records.thread_members(asked, n, T.relevance(spark, sf_dir)).select("request", "pos", "id", "published_at", "decision")
 
 

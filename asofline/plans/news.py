@@ -290,8 +290,8 @@ def h28_news_timing(spark, sf_dir):
     return out.withColumn("timing", F.when(F.col("day") <= column("1998-02-01"), "at-event").otherwise("post-peak"))
 
 
-@query(T.oracle("news", "sentiment", known=KNOWN, d="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY published_at DESC, id) AS n FROM known") + "SELECT symbol, id, n FROM d WHERE n <= 10")
+@query(T.oracle("news", "sentiment", known=KNOWN, d="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY published_at DESC, id) AS n FROM known") + "SELECT symbol, id, n FROM d WHERE n <= 100")
 def l3_scoring_budget(spark, sf_dir):
-    """L2, L3: the newest articles of each symbol within a budget."""
+    """L2, L3: the newest articles of each symbol within the feature's budget of 100."""
     newest = W.partitionBy("symbol").orderBy(F.col("published_at").desc(), "id")
-    return known(spark, sf_dir).withColumn("n", F.row_number().over(newest)).where("n <= 10").select("symbol", "id", "n")
+    return known(spark, sf_dir).withColumn("n", F.row_number().over(newest)).where("n <= 100").select("symbol", "id", "n")

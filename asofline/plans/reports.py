@@ -57,7 +57,7 @@ def h22_sector_rows(spark, sf_dir):
     library = casebook.registry(spark, sf_dir)
     after = cases.aftermath(library).select("case_id", "signal", F.col("n").alias("n_after"), "median")
     told = cases.supporters(library).join(after, ["case_id", "signal"]).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("signal", "n_supporters", "n_after", "median"))).alias("signals"))  # six signals at most
-    case = casebook.frozen(spark, sf_dir).select("case_id", "symbol", "peak", "daily_return_pct", "score", F.array_join("flags", ",").alias("flags")).join(told, "case_id", "left").drop("case_id")
+    case = library.where("own").select("case_id", "symbol", "peak", "daily_return_pct", "score", F.array_join("flags", ",").alias("flags")).join(told, "case_id", "left").drop("case_id")
     asked = spark.createDataFrame([(s,) for s in SECTOR], "symbol string")
     rows = snapshot.sector_rows(asked, T.companies(spark, sf_dir), case).select("symbol", "name", "reason", F.explode_outer("peaks").alias("p"))
     rows = rows.select("symbol", "name", "reason", "p.peak", F.bround("p.daily_return_pct", 2).alias("daily_return_pct"), F.bround("p.score", 4).alias("score"), "p.flags", F.explode_outer("p.signals").alias("s"))

@@ -5,7 +5,7 @@ writer that is started again repeats nothing.  A row is one entry of a job's log
 entry of a terminal kind is its last.
 
 A reader names the jobs it follows and how many entries of each it has seen; its offset is a number of batches, so Spark's checkpoint
-says what it was sent.  Only the batches between two offsets are opened, by a task each.
+says what it was sent.  Only the files of batches between two offsets are opened, each by a task, which holds one of its row batches at a time.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
 import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -54,10 +54,12 @@ def append(entries: DataFrame, path: str, batch: int) -> bool:
     return _renamed(entries.sparkSession, staged, f"{path.rstrip('/')}/batches/{batch:012d}")
 
 
-class Batch(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
-        self.number = number
+class Part(InputPartition):
+    """A file of a batch."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.path = path
 
 
 class TailReader(DataSourceStreamReader):
@@ -78,19 +80,22 @@ class TailReader(DataSourceStreamReader):
         found = {int(i.base_name) for i in fs.get_file_info(pa.fs.FileSelector(at, allow_not_found=True)) if i.base_name.isdigit()}
         return {"batches": next(n for n in range(len(found) + 1) if n not in found)}  # a gap is waited for
 
-    def partitions(self, start: dict, end: dict) -> list[Batch]:
-        return [Batch(n) for n in range(start["batches"], end["batches"])]
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        found = []
+        for n in range(start["batches"], end["batches"]):
+            fs, at = self._fs(f"batches/{n:012d}")
+            found += sorted(i.path for i in fs.get_file_info(pa.fs.FileSelector(at)) if i.path.endswith(".parquet"))
+        return [Part(f) for f in found]
 
-    def read(self, partition: Batch) -> Iterator[pa.RecordBatch]:
-        fs, at = self._fs(f"batches/{partition.number:012d}")
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         jobs = None if self._jobs is None else pc.field("id").isin(self._jobs)
-        for f in sorted(i.path for i in fs.get_file_info(pa.fs.FileSelector(at)) if i.path.endswith(".parquet")):
-            rows = pq.read_table(f, filesystem=fs, filters=jobs)
+        file = ds.dataset(partition.path, filesystem=self._fs("batches")[0], format="parquet")
+        for rows in file.to_batches(columns=["id", "seq", "kind", "stage", "at"], filter=jobs):
             if self._seen:
                 upto = pa.array([self._seen.get(k, 0) for k in rows["id"].to_pylist()], pa.int64())
                 rows = rows.filter(pc.greater_equal(rows["seq"], upto))
-            rows = rows.set_column(4, "at", rows["at"].cast(pa.timestamp("us", tz="UTC")))
-            yield from rows.to_batches()
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], rows["at"].cast(pa.timestamp("us", tz="UTC"))], names=rows.schema.names)
 
     def commit(self, end: dict) -> None:
         """The log stays; other readers may be behind."""
