@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, tokens
+from ..functions.text import EDGE, cosine, tokens
 from ..sources.tables import wording
 
 #: Fixed value: a line that begins a section.
@@ -51,7 +51,7 @@ def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _hits(text: Column, terms: tuple[str, ...]) -> Column:
     """Whole-word hits of terms of three letters and more, whatever their case."""
     known = [t.strip().lower() for t in terms if len(t.strip()) >= 3]
-    return sum((F.regexp_count(F.lower(text), F.lit(r"\b" + re.escape(t) + r"\b")) for t in known), F.lit(0))
+    return sum((F.regexp_count(F.lower(text), F.lit(EDGE + re.escape(t) + EDGE)) for t in known), F.lit(0))
 
 
 def extractive(docs: DataFrame, key: str, text: str, terms: tuple[str, ...], most: int) -> DataFrame:

@@ -224,7 +224,7 @@ def t16_html_strip(spark, sf_dir):
 def t14_term_frequency(spark, sf_dir):
     """Pages of a text, and whole-word hits of a term."""
     t = T.table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
-    return t.select("page_id", F.ceil(F.length("text") / 3000).cast("long").alias("pages"), F.regexp_count(F.lower("text"), F.lit(r"\bthe\b")).cast("long").alias("hits"))
+    return t.select("page_id", F.ceil(F.length("text") / 3000).cast("long").alias("pages"), F.regexp_count(F.lower("text"), F.lit(X.EDGE + "the" + X.EDGE)).cast("long").alias("hits"))
 
 
 _HEAD = r"(?im)^[^\S\n]{0,8}ITEM\s+(\d+[A-Z]?)\.?\s*([^\n]{0,120})"
