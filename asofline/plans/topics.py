@@ -54,7 +54,7 @@ def t3_similar(spark, sf_dir):
 SELECT r.symbol, r.id, min(p.pos) AS cluster FROM reach r JOIN p ON p.symbol = r.symbol AND p.id = r.other GROUP BY r.symbol, r.id""")
 def t4_single_linkage(spark, sf_dir):
     docs = threads.numbered(T.news(spark, sf_dir))
-    return threads.single_linkage(docs, threads.similar(threads.weights(docs)))
+    return threads.single_linkage(docs, threads.similar(threads.weights(docs), forest=True))
 
 
 @query()

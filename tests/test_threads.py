@@ -99,3 +99,33 @@ def test_vector_sums_of_a_hot_key(spark):
     assert got.keys() == of.keys()
     for k, v in of.items():
         assert got[k][0] == len(v) and np.allclose(got[k][1], np.sum(v, 0))
+
+
+def test_blocks_of_similar_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(threads, "BLOCK_TOKENS", 300)
+    rows = [("ab"[k % 2], str(k), f"w{k // 6} x{k % 5} every z{k % 9 // 4} u{k}") for k in range(200)] + [("c", "1", "alone here")]
+    docs = spark.createDataFrame(rows, "symbol string, id string, text string")
+    w = threads.weights(docs, F.col("text"))
+    vector = {}
+    for r in w.collect():
+        vector.setdefault((r.symbol, r.id), {})[r.token] = r.weight
+    size = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in vector.items()}
+    want = {}
+    for (s, a), v in vector.items():
+        for (o, b), u in vector.items():
+            if s == o and a < b and (x := sum(v[t] * u[t] for t in v.keys() & u) / size[s, a] / size[s, b]) > 0.25:
+                want[s, a, b] = round(x, 9)
+    assert threads.block_pairs(threads.unit_vectors(w)).select("symbol", "_i", "_j").distinct().count() > 6
+    assert {(r.symbol, r.a, r.b): round(r.similarity, 9) for r in threads.similar(w).collect()} == want
+    edges = {(r.symbol, r.a, r.b) for r in threads.similar(w, forest=True).collect()}
+
+    def parts(pairs):
+        of = {k: k for k in vector}
+        for s, a, b in pairs:
+            x, y = of[s, a], of[s, b]
+            of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+        return of
+
+    assert edges <= set(want) and len(edges) < len(want) / 2 and parts(edges) == parts(want)
