@@ -178,10 +178,9 @@ def chunks(text: Column, size: int = 1000) -> Column:
 def pooled(docs: DataFrame, key: str, text: str, embed, size: int = 1000) -> DataFrame:
     """key, vector: the mean, not scaled, of the vectors of a text's chunks, so that no end of a long text is lost; embed makes an array of a chunk column."""
     v = F.transform(chunks(F.col(text), size), embed)
-    n = F.size(v)
     add = lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda a, b: a + b))
-    total = F.aggregate(v, F.array().cast("array<double>"), add)
-    return docs.select(key, F.transform(total, lambda x: x / n).alias("vector"))
+    mean = lambda v: F.transform(F.array(F.struct(F.aggregate(v, F.array().cast("array<double>"), add).alias("t"), F.size(v).alias("n"))), lambda s: F.transform(s["t"], lambda x: x / s["n"]))[0]
+    return docs.select(key, F.transform(F.array(v), mean)[0].alias("vector"))  # bound once: the chunks are cut and embedded once for a text
 
 
 def expansion(news: DataFrame, verdicts: DataFrame, variations: list[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def a22_top_terms(spark, sf_dir):
 @query(T.oracle("news", "relevance", **_TFIDF, m=MEMBERS, s="SELECT m.symbol, m.thread, w.token AS term, sum(weight) AS weight FROM m JOIN w ON m.symbol = w.symbol AND m.id = w.id GROUP BY ALL") + "SELECT symbol, thread, term, round_even(weight, 6) AS weight, row_number() OVER (PARTITION BY symbol, thread ORDER BY round_even(weight, 9) DESC, term) AS rank FROM s QUALIFY rank <= 3")
 def t7_weighted_labels(spark, sf_dir):
     """Labels by summed TF-IDF weights."""
-    return threads.weighted_terms(members(spark, sf_dir), threads.weights(T.news(spark, sf_dir))).withColumn("weight", F.bround("weight", 6))
+    return threads.weighted_terms(members(spark, sf_dir), T.news(spark, sf_dir)).withColumn("weight", F.bround("weight", 6))
 
 
 @query(T.oracle("news", "relevance", "vectors", m=MEMBERS, x="SELECT symbol, thread, id, vector FROM m JOIN vectors ON article_id = id") + f"""
@@ -183,8 +183,8 @@ v AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS dim, unnest([length(c), length(rege
 SELECT doc_id, dim, round_even(avg(x), 9) AS value FROM v GROUP BY doc_id, dim""")
 def a20_chunk_pooling(spark, sf_dir):
     """Whole texts as the mean of their chunks' vectors (counts of characters stand in for a model)."""
-    count = lambda c, keep: F.length(F.regexp_replace(c, f"[^{keep}]", "")).cast("double")
-    embed = lambda c: F.array(F.length(c).cast("double"), count(c, "e"), count(c, " "), count(c, "0-9"))
+    count = lambda c, one: F.length(c) - F.length(F.replace(c, F.lit(one), F.lit("")))
+    embed = lambda c: F.array(*[x.cast("double") for x in (F.length(c), count(c, "e"), count(c, " "), F.regexp_count(c, F.lit("[0-9]")))])
     out = documents.pooled(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", embed)
     return out.select("doc_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.bround("value", 9))
 

@@ -128,7 +128,10 @@ def test_blocks_of_similar_texts(spark, monkeypatch):
             of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
         return of
 
-    assert edges <= set(want) and len(edges) < len(want) and parts(edges) == parts(want)
+    assert edges <= set(want) and parts(edges) == parts(want)
+    monkeypatch.setattr(threads, "BLOCK_TOKENS", 1_000_000)
+    edges = {(r.symbol, r.a, r.b) for r in threads.similar(w, forest=True).collect()}
+    assert edges <= set(want) and len(edges) < len(want) and len(edges) == len(vector) - len(set(parts(want).values()))
 
 
 def test_nearest_vectors_in_blocks(spark, monkeypatch):
@@ -149,3 +152,27 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     found = threads.nearest(queries, df, 7, 0.2)
     assert {(x.q, x.id): (round(x.similarity, 9), x.rank) for x in found.collect()} == want
     assert "FlatMapCoGroups" in found._jdf.queryExecution().toString()  # matrix products, no row for a pair
+
+
+def test_chunks_are_embedded_once_a_text(spark):
+    from pyspark.sql import functions as F
+
+    from asofline.operators import documents
+
+    rows = spark.createDataFrame([(k, "ab" * 30 * k) for k in range(5)], "k int, text string")
+    got = {r.k: r.vector for r in documents.pooled(rows, "k", "text", lambda c: F.array(F.length(c).cast("double"), F.lit(1.0)), 50).collect()}
+    assert got == {k: [60 * k / max(1, -(-60 * k // 50)), 1.0] for k in range(5)}
+    plan = documents.pooled(rows, "k", "text", lambda c: F.array(F.length(c).cast("double")), 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1
+
+
+def test_labels_add_up_a_threads_shares(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(s, str(k), f"apple{k % 3} berry every{k}", ("berry " * (k % 4)) or None, f"t{k % 2}") for s in "ab" for k in range(12)]
+    docs = spark.createDataFrame(rows, "symbol string, id string, title string, description string, thread string")
+    members = docs.where("symbol = 'a' and id <> '7'")
+    w = threads.weights(docs)
+    want = {(r.thread, r.token): round(r.weight, 9) for r in members.join(w, ["symbol", "id"]).groupBy("thread", "token").agg(F.sum("weight").alias("weight")).collect()}
+    got = threads.weighted_terms(members, docs.select("symbol", "id", "title", "description"), 100)
+    assert {(r.thread, r.term): round(r.weight, 9) for r in got.collect()} == want
