@@ -51,3 +51,28 @@ def test_timeouts_and_what_is_forgotten(spark, tmp_path):
     assert [s for s, _ in of("d")] == ["running", "timeout", "pruned"]
     assert {r.id: r.n_stages for r in states.where("id = 'a' and status = 'completed'").collect()} == {"a": 1}
     assert {r.id for r in jobs.current(states).collect()} == {"e"}
+
+
+def test_state_is_of_groups_and_what_is_due_at_the_watermark_is_told(spark, tmp_path):
+    rows = [(f"j{k}", "start", at(0), None) for k in range(500)] + [(None, "start", at(1), None), ("k", "start", at(70), None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    q = jobs.lifecycle(stream, "10 minutes", groups=8).writeStream.outputMode("update").format("memory").queryName("groups").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8 * 3  # a group's jobs and its timer, not a row for each job
+    got = {r.id: (r.status, r.updated) for r in jobs.current(spark.table("groups")).collect()}
+    assert got == {**{f"j{k}": ("timeout", at(60)) for k in range(500)}, None: ("running", at(1)), "k": ("running", at(70))}
+
+
+def test_events_of_many_frames_and_a_group_that_is_read_again():
+    import pandas as pd
+
+    frame = lambda rows: pd.DataFrame(rows, columns=["id", "kind", "ms"])
+    g = jobs.Group()
+    assert len(g.take(iter([frame([("a", "stage", 5), ("b", "fail", 9)]), frame([("a", "start", 1), ("b", "complete", 9), ("c", "stage", 2)])]))) == 2
+    g = jobs.Group(*g.packed())
+    changed = g.take(iter([frame([("a", "complete", 4), ("b", "start", 3), ("b", "complete", 12), ("c", "stage", 3)])]))
+    told = g.told(changed)
+    assert sorted(zip(told["id"], told["status"], told["created"], told["updated"], told["n_stages"], told["version"])) == [("a", "completed", 1, 4, 0, 2), ("b", "completed", 3, 9, 0, 2)]
+    late, old = g.expire(9 + jobs.RETENTION)
+    assert not len(late) and sorted(old["id"]) == ["a", "b"] and list(g.ids) == ["c"] and list(g.at) == [2, 3]
