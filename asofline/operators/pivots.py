@@ -5,6 +5,9 @@ vectors to every pivot.  Angles obey the triangle inequality, so two vectors are
 their cells' angles to any pivot; pairs of cells whose gap is beyond the asked angle are never joined.  The others meet in
 blocks of bounded size, where all cosines of two blocks are one matrix product over Arrow columns.
 
+Where only the best of many pairs is asked, cells are put together in packs, and a task that holds two packs passes on what is best
+in them: a vector is exchanged once for each pack, and no pair leaves its task.  Inside a task only cells that may be near are multiplied.
+
 What reaches the driver are the pivots and a row for each two of them; their number is bounded, whatever the input.
 """
 
@@ -14,8 +17,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -23,6 +29,10 @@ from ..storage import kept
 
 #: Vectors of a cell, about, and pivots at most; vectors of a block that are multiplied at once.
 CELL, MOST_PIVOTS, BLOCK = 250, 192, 2000
+#: Vectors of a pack at least and at most, and packs of a side below that; rows whose cosines a task holds at once.
+LEAST_PACK, PACK, PACKS, TILE = 4000, 30_000, 4, 256
+#: What rounding to nine digits may add to a cosine; pairs of groups that a task keeps before it takes their best.
+ROUNDED, HELD = 1e-9, 4_000_000
 #: What rounding may add to a bound, as an angle.
 SLACK = 1e-6
 
@@ -67,8 +77,8 @@ def pivots_of(rows: DataFrame) -> np.ndarray:
     return unit(np.array([[*map(float, v), *[0.0] * (width - len(v))] for v in found] or [[0.0] * width]))
 
 
-def cells(rows: DataFrame, pivots: np.ndarray, name: str = "id") -> Cells:
-    """The rows (id, vector) in their cells; rows without a vector aren't there."""
+def cells(rows: DataFrame, pivots: np.ndarray, name: str = "id", more: tuple[str, ...] = ()) -> Cells:
+    """The rows (id, vector, and `more` columns) in their cells; rows without a vector aren't there."""
     spark, width = rows.sparkSession, pivots.shape[1]
     ship(spark)
     known = spark.sparkContext.broadcast(pivots)
@@ -78,7 +88,7 @@ def cells(rows: DataFrame, pivots: np.ndarray, name: str = "id") -> Cells:
         for b in batches:
             v = unit(matrix(b.column(1), width))
             near = v @ known.value.T
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.argmax(1).astype(np.int32)), _lists(v)], names=["id", "cell", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.argmax(1).astype(np.int32)), _lists(v), *b.columns[2:]], names=["id", "cell", "vector", *more])
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +100,7 @@ def cells(rows: DataFrame, pivots: np.ndarray, name: str = "id") -> Cells:
             n = np.repeat(np.array([(cell == c).sum() for c in found], np.int64), len(pivots))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(found, len(pivots)), p, *[e.reshape(-1) for e in ends], n)], names=["cell", "pivot", "low", "high", "n"])
 
-    placed = kept(rows.where("vector is not null").select(F.col(name).alias("id"), F.col("vector").cast("array<double>")).mapInArrow(assign, f"id {kind}, cell int, vector array<double>"), "cells")
+    placed = kept(rows.where("vector is not null").select(F.col(name).alias("id"), F.col("vector").cast("array<double>"), *more).mapInArrow(assign, f"id {kind}, cell int, vector array<double>" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)), "cells")
     told = placed.select("cell", "vector").mapInArrow(angles, "cell int, pivot int, low double, high double, n long").groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     low, high, sizes = {}, {}, {}
     for r in told.collect():  # a row for each two pivots
@@ -186,3 +196,149 @@ def nearest_other(rows: DataFrame) -> DataFrame:
     if not others:
         return first
     return first.unionByName(best(others)).groupBy("q").agg(F.max("similarity").alias("similarity"))
+
+
+def _packs(c: Cells) -> dict[int, range]:
+    """The packs of each cell: cells in the order of their angle to a pivot, as many as fit; a cell that is larger than a pack has several."""
+    room = min(PACK, max(-(-sum(c.sizes.values()) // PACKS), LEAST_PACK))
+    out, at, filled = {}, 0, 0
+    for cell in sorted(c.sizes, key=lambda i: (c.low[i][0], i)):
+        parts = -(-c.sizes[cell] // room)
+        if filled and filled + c.sizes[cell] > room:
+            at, filled = at + 1, 0
+        out[cell] = range(at, at + parts)
+        at, filled = (at + parts, 0) if parts > 1 else (at, filled + c.sizes[cell])
+    return out
+
+
+def _met(q: Cells, r: Cells, least: float, columns: list[str], tell: Callable, schema: str) -> DataFrame | None:
+    """tell(table of q, table of r, cells of r that each cell of q may be near) of each two packs that meet; None where none do."""
+    spark = q.rows.sparkSession
+    near: dict[int, set[int]] = {}
+    for i, j in meeting(q, r, least):
+        near.setdefault(i, set()).add(j)
+    if not near:
+        return None
+    mine, theirs = _packs(q), _packs(r)
+    pairs = sorted({(a, b) for i, js in near.items() for j in js for a in mine[i] for b in theirs[j]})
+    plan = lambda: F.broadcast(spark.createDataFrame(pairs, "_a int, _b int"))  # noqa: E731  packs squared
+
+    def side(c: Cells, packs: dict[int, range], key: str) -> DataFrame:
+        of = lambda f: F.element_at(F.create_map(*[F.lit(x) for i, p in packs.items() for x in (i, f(p))]), F.col("cell"))
+        return c.rows.withColumn(key, (of(lambda p: p.start) + F.pmod(F.xxhash64("id"), of(len))).cast("int")).join(plan(), key).select("_a", "_b", "id", "cell", "vector", *columns)
+
+    left, right = side(q, mine, "_a"), side(r, theirs, "_b").toDF("_c", "_d", *[f"_{c}" for c in ("id", "cell", "vector", *columns)])
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        return tell(one, two.rename_columns(one.schema.names), near)
+
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_c", "_d")).applyInArrow(meet, schema)
+
+
+def _tiles(one: pa.Table, two: pa.Table, near: dict[int, set[int]], a_order: np.ndarray, b_order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of one, rows of two and their cosines, tile by tile; rows of one by cell, then as in a_order; those of two as in b_order.  A row and one of its own id have none."""
+    if not one.num_rows or not two.num_rows:
+        return
+    width = max(len(t["vector"][0]) for t in (one, two))
+    a, b = (matrix(t["vector"], width) for t in (one, two))
+    ids = pd.factorize(pd.concat([t["id"].to_pandas() for t in (one, two)], ignore_index=True), use_na_sentinel=False)[0]
+    mine, theirs = pd.DataFrame({"id": ids[: len(a)], "i": np.arange(len(a))}), pd.DataFrame({"id": ids[len(a) :], "j": np.arange(len(b))})
+    same = mine.merge(theirs, on="id").sort_values("i")
+    same_i, same_j = same["i"].to_numpy(), same["j"].to_numpy()
+    a_cell, b_cell = one["cell"].to_numpy(), two["cell"].to_numpy()[b_order]
+    for cell in np.unique(a_cell):
+        rows, cols = a_order[a_cell[a_order] == cell], b_order[np.isin(b_cell, list(near.get(int(cell), ())))]
+        if not len(cols):
+            continue
+        other, place = b[cols].T, np.full(len(b), -1)
+        place[cols] = np.arange(len(cols))
+        for k in range(0, len(rows), TILE):
+            some = rows[k : k + TILE]
+            s = a[some] @ other
+            low, high = np.searchsorted(same_i, some, "left"), np.searchsorted(same_i, some, "right")
+            for x, (u, v) in enumerate(zip(low, high)):
+                own = place[same_j[u:v]]
+                s[x, own[own >= 0]] = -np.inf
+            yield some, cols, s
+
+
+def _best(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the greatest value of each."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.maximum.reduceat(value, first) if len(first) else value
+
+
+def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, list[tuple]]:
+    """The number of each row's set of groups, and the sets."""
+    known: dict[tuple, int] = {}
+    return np.array([known.setdefault(tuple(x), len(known)) for x in column.to_pylist()], np.int64), list(known)
+
+
+def best_of_groups(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """q, case_id, similarity: the greatest cosine, rounded to nine digits, of two vectors of different ids, one of a group of the queries and one of a group of the rows, where it is `least` or more.
+
+    queries and rows: id, vector, of (names of the groups that it belongs to).  Vectors of the same groups are taken together first.
+    """
+    pivots = pivots_of(rows.select("id", "vector").where("vector is not null"))
+    q, r = (cells(d, pivots, more=("of",)) for d in (queries, rows))
+    schema = "q string, case_id string, similarity double"
+
+    def tell(one: pa.Table, two: pa.Table, near: dict[int, set[int]]) -> pa.Table:
+        (a_set, asked), (b_set, held) = _sets(one["of"]), _sets(two["of"])
+        key, value, kept_ = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        for i, j, s in _tiles(one, two, near, np.argsort(a_set, kind="stable"), np.argsort(b_set, kind="stable")):
+            ends = [np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) for x in (a_set[i], b_set[j])]
+            top = np.maximum.reduceat(np.maximum.reduceat(s, ends[1], axis=1), ends[0], axis=0)
+            x, y = np.nonzero(top >= least - ROUNDED)
+            key.append(a_set[i][ends[0][x]] * len(held) + b_set[j][ends[1][y]])
+            value.append(top[x, y])
+            kept_ += len(x)
+            if kept_ > HELD:
+                k, v = _best(np.concatenate(key), np.concatenate(value))
+                key, value, kept_ = [k], [v], 0
+        k, v = _best(np.concatenate(key), np.concatenate(value))
+        out: dict[tuple, float] = {}
+        for x, y, most in zip(k // max(len(held), 1), k % max(len(held), 1), v):
+            for g in asked[x]:
+                for h in held[y]:
+                    out[g, h] = max(out.get((g, h), -2.0), most)
+        return pa.table({"q": pa.array([g for g, _ in out], pa.string()), "case_id": pa.array([h for _, h in out], pa.string()), "similarity": pa.array(list(out.values()), pa.float64())})
+
+    found = _met(q, r, least, ["of"], tell, schema)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    return found.groupBy("q", "case_id").agg(F.bround(F.max("similarity"), 9).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, least: float, most: int) -> DataFrame:
+    """q, id, similarity: of each query (q, vector) the `most` nearest rows (id, vector) of another id whose cosine, rounded to nine digits, is `least` or more; of equal ones the smaller ids."""
+    pivots = pivots_of(rows.select("id", "vector").where("vector is not null"))
+    r = cells(rows, pivots)
+    q = cells(queries, pivots, "q")
+    kinds = [queries.schema["q"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
+    schema = f"q {kinds[0]}, id {kinds[1]}, similarity double"
+
+    def tell(one: pa.Table, two: pa.Table, near: dict[int, set[int]]) -> pa.Table:
+        by_id = pc.sort_indices(two["id"]).to_numpy().astype(np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j, s in _tiles(one, two, near, np.arange(one.num_rows), by_id):
+            bar = np.full(len(i), least - ROUNDED)
+            if s.shape[1] > most:
+                bar = np.maximum(bar, np.partition(s, s.shape[1] - most, axis=1)[:, -most] - 2 * ROUNDED)
+            x, y = np.nonzero(s >= bar[:, None])
+            value = np.round(s[x, y], 9)
+            order = np.lexsort((y, -value, x))  # columns are in the order of ids
+            x, y, value = x[order], y[order], value[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            take = (place < most) & (value >= least)
+            found.append((i[x[take]], j[y[take]], value[take]))
+        a, b, value = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"q": one["id"].take(pa.array(a)), "id": two["id"].take(pa.array(b)), "similarity": value})
+
+    found = _met(q, r, least, [], tell, schema)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    order = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")

@@ -61,3 +61,43 @@ def test_vectors_of_different_lengths_and_none(spark):
     none = df.where("false")
     assert pivots.near_pairs(none.withColumnRenamed("id", "q"), none, 0.5).count() == 0 and pivots.nearest_other(none).count() == 0
     assert pivots.nearest_other(df.where("id = 1")).count() == 0
+
+
+@pytest.mark.parametrize("pack", [(4000, 30_000), (9, 40)])
+def test_best_of_groups_and_nearest_equal_all_pairs(spark, monkeypatch, pack):
+    monkeypatch.setattr(pivots, "CELL", 20)
+    monkeypatch.setattr(pivots, "LEAST_PACK", pack[0])
+    monkeypatch.setattr(pivots, "PACK", pack[1])
+    v = clustered(300, 5)
+    v[5] = v[6] = v[7]
+    v[9] = 0
+    r = np.random.default_rng(2)
+    asks, holds = ([sorted({f"{x}{k}" for k in r.integers(0, 12, r.integers(1, 4))}) for _ in v] for x in "qc")
+    df = table(spark, v).withColumnRenamed("id", "n")
+    named = lambda of: df.join(spark.createDataFrame(list(enumerate(of)), "n long, of array<string>"), "n").selectExpr("cast(n as string) as id", "vector", "of")
+    s = np.round(pivots.unit(v) @ pivots.unit(v).T, 9)
+    np.fill_diagonal(s, -2)
+    want = {}
+    for i, j in zip(*np.nonzero(s >= 0.6)):
+        for q in asks[i]:
+            for c in holds[j]:
+                want[q, c] = max(want.get((q, c), -2), s[i, j])
+    assert {(x.q, x.case_id): x.similarity for x in pivots.best_of_groups(named(asks), named(holds), 0.6).collect()} == pytest.approx(want, abs=2e-9)
+    ids = named(asks).select("id", "vector")
+    got = {}
+    for x in pivots.nearest(ids.withColumnRenamed("id", "q"), ids, 0.6, 4).collect():
+        got.setdefault(int(x.q), []).append((-x.similarity, x.id))
+    want = {i: sorted((-s[i, j], str(j)) for j in np.flatnonzero(s[i] >= 0.6))[:4] for i in range(300)}
+    assert {i: sorted(x for _, x in got[i]) for i in got} == {i: sorted(x for _, x in w) for i, w in want.items() if w}
+    none = named(asks).where("false")
+    assert pivots.best_of_groups(none, none, 0.6).count() == 0 and pivots.nearest(none.selectExpr("id as q", "vector"), none, 0.6, 4).count() == 0
+
+
+def test_a_vector_is_exchanged_once_for_each_pack(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 10)
+    df = table(spark, np.random.default_rng(4).normal(size=(600, 16)))
+    seen = []
+    met = pivots._met
+    monkeypatch.setattr(pivots, "_met", lambda q, r, *a: (seen.append((len(q.sizes), {p for x in pivots._packs(q).values() for p in x})), met(q, r, *a))[1])
+    assert pivots.nearest(df.withColumnRenamed("id", "q"), df, 0.3, 3).count() > 0
+    assert seen[0][0] > 40 and len(seen[0][1]) == 1  # many cells, one pack
