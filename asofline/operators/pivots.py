@@ -1,12 +1,12 @@
 """Exact neighbours of vectors by cosine, over cells of sampled pivots that are skipped by certified bounds.
 
-Every vector, at unit length, goes to the cell of its nearest pivot.  A cell keeps the least and greatest angle of its
+Every vector goes to the cell of its nearest pivot, by its angle; it is kept as it came, and brought to unit length where it is compared.  A cell keeps the least and greatest angle of its
 vectors to every pivot.  Angles obey the triangle inequality, so two vectors are at least as far apart as the gap between
 their cells' angles to any pivot; pairs of cells whose gap is beyond the asked angle are never joined.  The others meet in
 blocks of bounded size, where all cosines of two blocks are one matrix product over Arrow columns.
 
 Where only the best of many pairs is asked, cells are put together in packs, and a task that holds two packs passes on what is best
-in them: a vector is exchanged once for each pack, and no pair leaves its task.  Inside a task only cells that may be near are multiplied.
+in them: a vector is exchanged once for each pack, of which there are few, and no pair leaves its task.  Inside a task only cells that may be near are multiplied.
 
 What reaches the driver are the pivots and a row for each two of them; their number is bounded, whatever the input.
 """
@@ -29,8 +29,8 @@ from ..storage import kept
 
 #: Vectors of a cell, about, and pivots at most; vectors of a block that are multiplied at once.
 CELL, MOST_PIVOTS, BLOCK = 250, 192, 2000
-#: Vectors of a pack at least and at most, and packs of a side below that; rows whose cosines a task holds at once.
-LEAST_PACK, PACK, PACKS, TILE = 4000, 30_000, 4, 256
+#: Vectors of a pack at least and at most, and packs of a side below that; rows whose cosines a task holds at once, and how many cosines.
+LEAST_PACK, PACK, PACKS, TILE, COSINES = 4000, 120_000, 4, 256, 8_000_000
 #: What rounding to nine digits may add to a cosine; pairs of groups that a task keeps before it takes their best.
 ROUNDED, HELD = 1e-9, 4_000_000
 #: What rounding may add to a bound, as an angle.
@@ -39,7 +39,7 @@ SLACK = 1e-6
 
 @dataclass
 class Cells:
-    """Vectors in their cells (id, cell, block, vector), the number of blocks and of vectors of each cell, and the angles of its vectors to the pivots."""
+    """Vectors, as they came, in their cells (id, cell, block, vector), the number of blocks and of vectors of each cell, and the angles of its vectors to the pivots."""
 
     rows: DataFrame
     blocks: dict[int, int]
@@ -59,6 +59,11 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _width(*columns: pa.Array | pa.ChunkedArray) -> int:
+    """The length of the longest list of these columns, at least 1."""
+    return max(1, *(pc.max(pc.list_value_length(c)).as_py() or 0 for c in columns))
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     norm = np.sqrt((v * v).sum(1))
     return v / np.where(norm == 0, 1, norm)[:, None]
@@ -80,27 +85,31 @@ def pivots_of(rows: DataFrame) -> np.ndarray:
 def cells(rows: DataFrame, pivots: np.ndarray, name: str = "id", more: tuple[str, ...] = ()) -> Cells:
     """The rows (id, vector, and `more` columns) in their cells; rows without a vector aren't there."""
     spark, width = rows.sparkSession, pivots.shape[1]
+    of = rows.schema["vector"].dataType.elementType.simpleString()
+    of = of if of in ("float", "double") else "double"
     ship(spark)
     known = spark.sparkContext.broadcast(pivots)
     kind = rows.schema[name].dataType.simpleString()
 
+    def to_pivots(column: pa.Array) -> np.ndarray:
+        return unit(matrix(column, max(width, _width(column))))[:, :width] @ known.value.T  # pivots are zero beyond their width
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = unit(matrix(b.column(1), width))
-            near = v @ known.value.T
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.argmax(1).astype(np.int32)), _lists(v), *b.columns[2:]], names=["id", "cell", "vector", *more])
+            near = to_pivots(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.argmax(1).astype(np.int32)), *b.columns[1:]], names=["id", "cell", "vector", *more])
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell = b.column(0).to_numpy()
-            angle = np.arccos(np.clip(matrix(b.column(1), width) @ known.value.T, -1, 1))
+            angle = np.arccos(np.clip(to_pivots(b.column(1)), -1, 1))
             found = np.unique(cell)
             ends = [np.stack([f(angle[cell == c], 0) for c in found]) if len(found) else np.zeros((0, len(pivots))) for f in (np.min, np.max)]
             p = np.tile(np.arange(len(pivots), dtype=np.int32), len(found))
             n = np.repeat(np.array([(cell == c).sum() for c in found], np.int64), len(pivots))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(found, len(pivots)), p, *[e.reshape(-1) for e in ends], n)], names=["cell", "pivot", "low", "high", "n"])
 
-    placed = kept(rows.where("vector is not null").select(F.col(name).alias("id"), F.col("vector").cast("array<double>"), *more).mapInArrow(assign, f"id {kind}, cell int, vector array<double>" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)), "cells")
+    placed = kept(rows.where("vector is not null").select(F.col(name).alias("id"), F.col("vector").cast(f"array<{of}>"), *more).mapInArrow(assign, f"id {kind}, cell int, vector array<{of}>" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)), "cells")
     told = placed.select("cell", "vector").mapInArrow(angles, "cell int, pivot int, low double, high double, n long").groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     low, high, sizes = {}, {}, {}
     for r in told.collect():  # a row for each two pivots
@@ -136,8 +145,8 @@ def _joined(q: Cells, r: Cells, pairs: list[tuple[int, int]], tell: Callable, sc
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
         two = two.rename_columns(one.schema.names)
-        width = max([len(t["vector"][0]) for t in (one, two) if t.num_rows], default=0)
-        a, b = (matrix(t["vector"], width) for t in (one, two))
+        width = _width(one["vector"], two["vector"])
+        a, b = (unit(matrix(t["vector"], width)) for t in (one, two))
         return tell(one["id"], two["id"], a @ b.T)
 
     key = ["_i", "_a", "_j", "_b"]
@@ -239,8 +248,8 @@ def _tiles(one: pa.Table, two: pa.Table, near: dict[int, set[int]], a_order: np.
     """Rows of one, rows of two and their cosines, tile by tile; rows of one by cell, then as in a_order; those of two as in b_order.  A row and one of its own id have none."""
     if not one.num_rows or not two.num_rows:
         return
-    width = max(len(t["vector"][0]) for t in (one, two))
-    a, b = (matrix(t["vector"], width) for t in (one, two))
+    width = _width(one["vector"], two["vector"])
+    a, b = (unit(matrix(t["vector"], width)) for t in (one, two))
     ids = pd.factorize(pd.concat([t["id"].to_pandas() for t in (one, two)], ignore_index=True), use_na_sentinel=False)[0]
     mine, theirs = pd.DataFrame({"id": ids[: len(a)], "i": np.arange(len(a))}), pd.DataFrame({"id": ids[len(a) :], "j": np.arange(len(b))})
     same = mine.merge(theirs, on="id").sort_values("i")
@@ -252,8 +261,9 @@ def _tiles(one: pa.Table, two: pa.Table, near: dict[int, set[int]], a_order: np.
             continue
         other, place = b[cols].T, np.full(len(b), -1)
         place[cols] = np.arange(len(cols))
-        for k in range(0, len(rows), TILE):
-            some = rows[k : k + TILE]
+        step = max(1, min(TILE, COSINES // len(cols)))
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
             s = a[some] @ other
             low, high = np.searchsorted(same_i, some, "left"), np.searchsorted(same_i, some, "right")
             for x, (u, v) in enumerate(zip(low, high)):

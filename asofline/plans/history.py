@@ -85,9 +85,10 @@ UNION ALL SELECT 'case', {_GUID("'hype-cases|' || case_id")}, len(v)::INT FROM h
 def h20_index(spark, sf_dir):
     """What is written for all cases: the vectors of all their threads' articles, and of each case, pooled from its qualified articles alone."""
     case = kept(cases.structural(cases.signals(casebook.frozen(spark, sf_dir))), "structural")
-    ids = casebook._case_articles(spark, sf_dir, case).select("id").distinct()
+    articles_of = kept(casebook._case_articles(spark, sf_dir, case), "case_articles")
+    ids = articles_of.select("id").distinct()
     articles = ids.join(T.vectors(spark, sf_dir).withColumnRenamed("article_id", "id"), "id").select(F.col("id").alias("ref"), "vector")
-    whole = cases.hybrid(case, casebook._content(spark, sf_dir, case)).select(F.col("case_id").alias("ref"), "vector")
+    whole = cases.hybrid(case, casebook._content(articles_of, T.vectors(spark, sf_dir))).select(F.col("case_id").alias("ref"), "vector")
     point = lambda rows, kind, prefix, n: upsert.vector_points(rows, prefix, n).select(F.lit(kind).alias("kind"), "point", F.size("vector").alias("n"))
     full, bare = point(whole, "case", "hype-cases", 160), point(whole, "case", "hype-cases", 96)
     return point(articles, "thread", "hype-threads", 64).unionByName(full).unionByName(bare).unionByName(point(case.select(F.col("case_id").alias("ref"), "vector"), "structural", "hype-structural", 96))
@@ -120,9 +121,9 @@ def composed(spark, sf_dir):
     """
     library = casebook.registry(spark, sf_dir)
     fired = kept(library.where("own").select("case_id", "symbol", "peak", F.explode("fired").alias("signal")).withColumn("q", F.concat_ws("|", "case_id", "signal")), "fired")
-    articles = fired.select("q", "case_id", "signal").join(casebook._case_articles(spark, sf_dir, library.where("own")), "case_id")
-    wanted = articles.where(cases.triggers(F.col("signal"), F.col("category"), F.col("n_articles"), F.col("day") <= F.col("peak"), casebook.TRIGGERS)).select("q", "id")
-    hits = kept(casebook.resemblance(spark, sf_dir, library, fired.select("q", "case_id"), wanted), "hits")
+    articles = kept(casebook._case_articles(spark, sf_dir, library.where("own")), "case_articles")
+    wanted = fired.select("q", "case_id", "signal").join(articles, "case_id").where(cases.triggers(F.col("signal"), F.col("category"), F.col("n_articles"), F.col("day") <= F.col("peak"), casebook.TRIGGERS)).select("q", "id")
+    hits = kept(casebook.resemblance(spark, sf_dir, library, fired.select("q", "case_id"), articles, wanted), "hits")
     best = hits.groupBy("q").agg(F.min_by(F.struct("case_id", "similarity", "kind"), "rank").alias("_b"), F.count("*").alias("n_resembling"))
     best = best.select("q", F.col("_b.case_id").alias("best_case"), F.col("_b.similarity").alias("best_similarity"), F.col("_b.kind").alias("best_kind"), "n_resembling")
     after = cases.aftermath(library).select("case_id", "signal", F.col("n").alias("n_after"), "median")

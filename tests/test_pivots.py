@@ -101,3 +101,32 @@ def test_a_vector_is_exchanged_once_for_each_pack(spark, monkeypatch):
     monkeypatch.setattr(pivots, "_met", lambda q, r, *a: (seen.append((len(q.sizes), {p for x in pivots._packs(q).values() for p in x})), met(q, r, *a))[1])
     assert pivots.nearest(df.withColumnRenamed("id", "q"), df, 0.3, 3).count() > 0
     assert seen[0][0] > 40 and len(seen[0][1]) == 1  # many cells, one pack
+
+
+@pytest.mark.parametrize("n", [600_000, 60_000])
+def test_packs_of_a_side_stay_few(n):
+    width = 192
+    c = pivots.Cells(None, {}, dict.fromkeys(range(width), n // width), {k: np.full(1, k / width) for k in range(width)}, {})
+    packs = pivots._packs(c)
+    assert len({p for x in packs.values() for p in x}) <= 6
+    assert max(sum(n // width / len(x) for x in packs.values() if p in x) for p in {p for x in packs.values() for p in x}) <= pivots.PACK
+
+
+def test_vectors_are_exchanged_as_they_came(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 20)
+    v = clustered(120, 6).astype(np.float32)
+    df = table(spark, v).selectExpr("cast(id as string) as id", "cast(vector as array<float>) as vector", "array(cast(id % 7 as string)) as of")
+    c = pivots.cells(df, pivots.pivots_of(df), more=("of",))
+    assert c.rows.schema["vector"].dataType.simpleString() == "array<float>"
+    want = {}
+    for (i, j), s in all_pairs(v.astype(np.float64), v.astype(np.float64), 0.5).items():
+        want[str(i % 7), str(j % 7)] = max(want.get((str(i % 7), str(j % 7)), -2), round(s, 9))
+    monkeypatch.setattr(pivots, "COSINES", 50, raising=False)  # rows of a tile are fewer, not the columns
+    assert {(x.q, x.case_id): x.similarity for x in pivots.best_of_groups(df, df, 0.5).collect()} == pytest.approx(want, abs=2e-9)
+
+
+def test_queries_may_be_longer_than_all_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(7, [3.0, 0.0, 4.0])], "q long, vector array<double>")
+    got = [(r.q, r.id, r.similarity) for r in pivots.near_pairs(queries, rows, 0.5).collect()]
+    assert got == [(7, 1, pytest.approx(0.6))]
