@@ -170,13 +170,16 @@ class JobMachine(StatefulProcessor):
         pass
 
 
-def lifecycle(events: DataFrame, delay: str = DELAY, groups: int = GROUPS) -> DataFrame:
-    """Each job's states as they change (id, status, created, updated, n_stages, version) from a stream of events (id, kind: start, stage, complete or fail; at, stage)."""
+def lifecycle(events: DataFrame, delay: str = DELAY, groups: int = GROUPS, clock: str = "at") -> DataFrame:
+    """Each job's states as they change (id, status, created, updated, n_stages, version) from a stream of events (id, kind: start, stage, complete or fail; at, stage).
+
+    The watermark follows the column `clock`, which is `at` unless events are told at another time than they are of.
+    """
     spark = events.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     id_ = F.col("id").cast("string")
-    rows = events.withWatermark("at", delay).select(F.pmod(F.xxhash64(id_), F.lit(groups)).cast("int").alias("group"), id_.alias("id"), "kind", "at", F.unix_millis("at").alias("ms"))
+    rows = events.withWatermark(clock, delay).select(F.pmod(F.xxhash64(id_), F.lit(groups)).cast("int").alias("group"), id_.alias("id"), "kind", clock, F.unix_millis("at").alias("ms"))
     told = rows.groupBy("group").transformWithStateInPandas(JobMachine(), OUT, "Update", "EventTime")
     return told.withColumns({c: F.timestamp_millis(c) for c in ("created", "updated")})
 

@@ -76,3 +76,20 @@ def test_events_of_many_frames_and_a_group_that_is_read_again():
     assert sorted(zip(told["id"], told["status"], told["created"], told["updated"], told["n_stages"], told["version"])) == [("a", "completed", 1, 4, 0, 2), ("b", "completed", 3, 9, 0, 2)]
     late, old = g.expire(9 + jobs.RETENTION)
     assert not len(late) and sorted(old["id"]) == ["a", "b"] and list(g.ids) == ["c"] and list(g.at) == [2, 3]
+
+
+def test_a_stage_after_the_last_end_moves_no_clock(spark, tmp_path):
+    import duckdb
+
+    from asofline.plans import casebook, catalog
+
+    rows = [(1, 60 * 61, "purchase"), (2, 52 * 60, "click"), (3, 52 * 60 + 0.5, "view"), (4, 51 * 60 + 60, "error"), (5, -8 * 60 + 0.5, "click"), (6, -8 * 60, "click")]
+    times = [(k, T0 + dt.timedelta(seconds=s), 1, kind, 1.0, "") for k, s, kind in rows]
+    spark.createDataFrame(times, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "sf" / "events.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/sf/events.parquet'")
+    want = sorted(db.sql(catalog.SQL["k10_job_stream"]).fetchall())
+    got = sorted(tuple(r) for r in casebook.k10_job_stream(spark, f"{tmp_path}/sf").select("id", "status", "created", "updated", "n_stages").collect())
+    assert got == want and dict((r[0], r[1]) for r in got)["5"] == "running" and dict((r[0], r[1]) for r in got)["6"] == "timeout"
