@@ -46,7 +46,7 @@ def t2_tfidf(spark, sf_dir):
 
 @query(T.oracle("news", **_SIM) + "SELECT symbol, a, b, round_even(sim, 6) AS similarity FROM s")
 def t3_similar(spark, sf_dir):
-    return threads.similar(threads.weights(T.news(spark, sf_dir))).withColumn("similarity", F.bround("similarity", 6))
+    return threads.similar_texts(T.news(spark, sf_dir)).withColumn("similarity", F.bround("similarity", 6))
 
 
 @query("WITH RECURSIVE " + T.oracle("news", **_SIM, p="SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY published_at DESC, id) AS pos FROM news",

@@ -176,3 +176,55 @@ def test_labels_add_up_a_threads_shares(spark):
     want = {(r.thread, r.token): round(r.weight, 9) for r in members.join(w, ["symbol", "id"]).groupBy("thread", "token").agg(F.sum("weight").alias("weight")).collect()}
     got = threads.weighted_terms(members, docs.select("symbol", "id", "title", "description"), 100)
     assert {(r.thread, r.term): round(r.weight, 9) for r in got.collect()} == want
+
+
+def test_texts_meet_as_their_weights_do(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(threads, "TOKEN_DOCS", 30)
+    monkeypatch.setattr(threads, "PIECE_CHARS", 300)
+    rows = [("ab"[k % 2], str(k), f"word{k // 24} xx{k % 5} every zz{k % 9 // 4} uu{k} " + "often " * (k % 3 * 200)) for k in range(200)]
+    rows += [("a", "none", None), ("a", "empty", "..."), ("c", "1", "alone here"), ("d", "1", None)]
+    docs = spark.createDataFrame(rows, "symbol string, id string, text string")
+    w = threads.weights(docs, F.col("text"))
+    found = lambda pairs: {(r.symbol, r.a, r.b): round(r.similarity, 9) for r in pairs.collect()}
+    want = found(threads.similar(w))
+    assert len(want) > 500 and found(threads.similar_texts(docs, F.col("text"))) == want
+    edges = found(threads.similar_texts(docs, F.col("text"), forest=True))
+    assert edges.items() <= want.items() and len(edges) < len(want)
+    blocks = threads.text_blocks(docs, F.col("text"))
+    assert {r.symbol: r.n for r in blocks.groupBy("symbol").agg(F.count_distinct("_b").alias("n")).collect()} == {"a": 4, "b": 4, "c": 1}
+    assert blocks.agg(F.max("piece")).first()[0] > 3
+
+
+def test_a_text_is_exchanged_in_few_bytes(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    docs = spark.createDataFrame([("a", str(k), " ".join(f"w{int(r.paretovariate(0.4)) % 5000}" for _ in range(80))) for k in range(2000)], "symbol string, id string, text string")
+    entries = threads.weights(docs, F.col("text")).count()
+    size = sum(F.coalesce(F.length(c), F.lit(0)) for c in ("lengths", "df", "at", "n", "shared", "total"))
+    assert threads.text_blocks(docs, F.col("text")).agg(F.sum(size)).first()[0] < 5 * entries
+    plan = threads.similar_texts(docs, F.col("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # of blocks, not of tokens
+
+
+@pytest.mark.parametrize("often, most", [(1 / 16, 512), (1 / 40, 3), (2, 1), (0, 10_000)])
+def test_frequent_and_rare_tokens_add_up(monkeypatch, often, most):
+    import numpy as np
+
+    monkeypatch.setattr(threads, "OFTEN", often)
+    monkeypatch.setattr(threads, "MOST_OFTEN", most)
+    r = np.random.default_rng(2)
+    tokens = [np.unique(r.pareto(0.7, r.integers(1, 40)).astype(int) % 300) if k % 30 else np.zeros(0, int) for k in range(301)]
+    weights = [x / np.sqrt((x * x).sum()) for x in (r.random(len(t)) + 0.1 for t in tokens)]
+    full = np.zeros((301, 300))
+    for k, (t, w) in enumerate(zip(tokens, weights)):
+        full[k, t] = w
+    cosines, lists = full @ full.T, np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+    for first in (301, 140):
+        got = {(k, int(o)): s for k, others, found in threads._similar_places(first, lists, np.concatenate(tokens), np.concatenate(weights), 0.25) for o, s in zip(others, found)}
+        want = {(a, b): cosines[a, b] for a in range(first) for b in range(a + 1 if first == 301 else first, 301) if cosines[a, b] > 0.25}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 1000
