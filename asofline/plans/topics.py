@@ -53,8 +53,8 @@ def t3_similar(spark, sf_dir):
     e="SELECT symbol, a, b FROM s UNION SELECT symbol, b, a FROM s")[5:].rstrip() + """, reach(symbol, id, other) AS (SELECT symbol, id, id FROM p UNION SELECT r.symbol, r.id, e.b FROM reach r JOIN e ON r.symbol = e.symbol AND r.other = e.a)
 SELECT r.symbol, r.id, min(p.pos) AS cluster FROM reach r JOIN p ON p.symbol = r.symbol AND p.id = r.other GROUP BY r.symbol, r.id""")
 def t4_single_linkage(spark, sf_dir):
-    docs = threads.numbered(T.news(spark, sf_dir))
-    return threads.single_linkage(docs, threads.similar(threads.weights(docs), forest=True))
+    news = T.news(spark, sf_dir)
+    return threads.single_linkage(threads.numbered(news.select("symbol", "id", "published_at")), threads.similar_texts(news, forest=True))
 
 
 @query()

@@ -228,3 +228,14 @@ def test_frequent_and_rare_tokens_add_up(monkeypatch, often, most):
         got = {(k, int(o)): s for k, others, found in threads._similar_places(first, lists, np.concatenate(tokens), np.concatenate(weights), 0.25) for o, s in zip(others, found)}
         want = {(a, b): cosines[a, b] for a in range(first) for b in range(a + 1 if first == 301 else first, 301) if cosines[a, b] > 0.25}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 1000
+
+
+def test_linkage_numbers_articles_without_their_texts(spark, monkeypatch):
+    from sqlcheck import rows_of_sql
+
+    numbered, seen = threads.numbered, []
+    monkeypatch.setattr(threads, "numbered", lambda news: seen.append(news.columns) or numbered(news))
+    monkeypatch.setattr(threads, "token_counts", None)  # no rows for tokens of documents
+    got = catalog.QUERIES["t4_single_linkage"](spark, "/root/testdata/sf0.001").toPandas()
+    assert seen == [["symbol", "id", "published_at"]]
+    assert ordered(got) == ordered(rows_of_sql(catalog.SQL["t4_single_linkage"], "/root/testdata/sf0.001"))
